@@ -102,8 +102,12 @@ def open_file(uri: str):
     return files.open_input_file(path)
 
 
-def slices(batches, rows: int = 256):
-    """Cuts Arrow batches, so that long texts become Python objects a few at a time."""
+def slices(batches, rows: int = 256, size: int | None = None):
+    """Cuts Arrow batches, so that long texts become Python objects a few at a time.
+
+    With ``size``, as many rows as have about so many bytes, one at least.
+    """
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        step = rows if size is None else max(1, min(batch.num_rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)

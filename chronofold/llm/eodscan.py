@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_dir, open_file, publish, ship, slices, store, table
+from .tokens import RUN as TEXT
 from .tokens import encoder, vocabulary_path
 
 #: The vocabulary and its end-of-document id; ids are below 2 ** 16.
@@ -32,7 +33,7 @@ def _write(root: str, path: str, end: int):
 
         part, mark, at, k = TaskContext.get().partitionId(), np.array([end], "<u2").tobytes(), 0, 0
         uri = f"{root}/part-{part:08d}.u16"
-        rest = slices(batches)
+        rest = slices(batches, size=TEXT)
         first = next(rest, None)
         if first is None:
             return

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, slices, store, table
+from .tokens import RUN as TEXT
 from .tokens import encoder, vocabulary_path
 
 LENGTH, END = 2048, 0
@@ -36,7 +37,7 @@ def _cut(path: str, length: int, end: int):
 
         mark, step = np.array([end], "<u4").tobytes(), 4 * length
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXT):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist()), strict=True):
                 ids += mark

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_dir, open_file, publish, ship, slices, store, table
+from .tokens import RUN as TEXT
 from .tokens import encoder, vocabulary_path
 
 MAGIC = b"CFPFOR01"
@@ -184,7 +185,7 @@ def _write(root: str, path: str, end: int):
 
         part, encode, mark, writer = TaskContext.get().partitionId(), None, struct.pack("<I", end), None
         uri = f"{root}/part-{part:08d}.pfor"
-        rest = slices(batches)
+        rest = slices(batches, size=TEXT)
         first = next(rest, None)
         if first is None:
             return
