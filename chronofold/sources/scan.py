@@ -39,7 +39,7 @@ def read_csv(spark: SparkSession, path: str, dataset: Dataset) -> DataFrame:
     dataset.check_columns(raw.columns)
     wide = []
     for c in dataset.columns:
-        text = F.col(c.name)
+        text = F.coalesce(c.name, F.lit(""))  # the reader takes an empty field without quotes for missing
         if c.nullable:
             text = F.nullif(text, F.lit(""))
         if c.kind == "timestamp_ntz":
