@@ -16,8 +16,18 @@ _OWN: dict[str, str] = {}
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of an Arrow batch, at most: texts may be long, and a batch is held by the JVM and by the worker.
+BATCH_ROWS = 1000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the repository lies on the same path."""
+    """Lets Python workers import this package where the repository lies on the same path, and bounds their batches.
+
+    The bound is a setting of the session, which stays; a smaller one is left as it is.
+    """
+    if not 0 < int(spark.conf.get(_ROWS_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_CONF, str(BATCH_ROWS))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, _ROOT]))

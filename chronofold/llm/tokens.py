@@ -31,9 +31,9 @@ _POINTS = re.compile(rf"[.,](?<![{LETTER}{NUMBER}][.,])").search
 BARE = "\x01"
 _CONTROL = b"\x01\x1c\x1d\x1e\x1f"
 #: Chunks kept a worker; past it, new ones are encoded each time they come.
-MEMO = 700_000
+MEMO = 400_000
 #: Characters encoded at once, or one text.
-RUN = 4_000_000
+RUN = 2_000_000
 
 
 def vocabulary_path(name: str) -> str:
