@@ -51,8 +51,9 @@ def final_messages(events: DataFrame) -> DataFrame:
     )
     own = W.partitionBy("conv_id", "msg")
     began = e.withColumn("began", F.min(F.when(F.col("kind") == "message", F.col("seq"))).over(own))
+    e = began.withColumn("role", F.max(F.when(F.col("kind") == "message", F.coalesce("role", F.lit("")))).over(own))
     # where the latest event of its message that sets the text anew stands
-    began = began.withColumn("reset", F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(own)).where("began IS NOT NULL")
+    began = e.withColumn("reset", F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(own)).where("began IS NOT NULL")
     later = W.partitionBy("conv_id").orderBy(F.col("seq").desc()).rangeBetween(W.unboundedPreceding, -1)
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("began"))).over(later)
     live = began.withColumn("cut", cut).where("cut IS NULL OR began <= cut").where("seq >= reset")

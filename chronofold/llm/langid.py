@@ -85,9 +85,9 @@ def _joined(held):
 
 
 def _spans(h: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last (exclusive) n-gram of each part that lies in it wholly."""
+    """First and last (exclusive) n-gram of each part that lies in it wholly and doesn't begin in the next one's characters."""
     first = np.minimum(starts[:-1], len(h))
-    return first, np.maximum(first, np.minimum(starts[1:] - n + 1, len(h)))
+    return first, np.maximum(first, np.minimum(np.minimum(starts[1:] - n + 1, starts[:-1] + RUN), len(h)))
 
 
 def _count(languages: list[str]):

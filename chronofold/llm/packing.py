@@ -102,18 +102,17 @@ def _pack(capacity: int, slack: int, base: int):
         sizes = group.column("length").to_numpy()
         where, offset = sum_of_squares(sizes, capacity)
         fill = np.bincount(where, weights=sizes)
-        number = group.column("group")[0].as_py()
+        number = group.column("__group")[0].as_py()
         done = fill[where] >= capacity - slack
-        return group.append_column("sequence_id", pa.array(base + (number << 32) + where)).append_column("offset", pa.array(offset)).append_column("done", pa.array(done))
+        return group.append_column("sequence_id", pa.array(base + (number << 32) + where)).append_column("offset", pa.array(offset)).append_column("__done", pa.array(done))
 
     return run
 
 
 def pack(rows: DataFrame, capacity: int = LENGTH, group: int = GROUP, slack: int = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id and offset to rows with ``length`` (1 to capacity)."""
-    spark = rows.sparkSession
-    ship(spark)
-    base = store(rows, "pieces")
+    """Adds sequence_id and offset to rows with ``length`` (1 to capacity); columns of these names are replaced."""
+    ship(rows.sparkSession)
+    base = store(rows.drop("sequence_id", "offset", "__group", "__done"), "pieces")
     whole = base.where(F.col("length") == capacity)
     out = [whole.select("*", (F.monotonically_increasing_id() + (1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = base.where(F.col("length") < capacity)
@@ -125,13 +124,13 @@ def pack(rows: DataFrame, capacity: int = LENGTH, group: int = GROUP, slack: int
         groups = -(-left // group)
         last = groups == 1 or k == rounds
         deal = F.pmod(F.xxhash64(F.lit(k), F.monotonically_increasing_id()), F.lit(groups))
-        packed = rest.withColumn("group", deal).groupBy("group").applyInArrow(_pack(capacity, -1 if last else slack, k << 56), f"{kinds}, group long, sequence_id long, offset long, done boolean")
+        packed = rest.withColumn("__group", deal).groupBy("__group").applyInArrow(_pack(capacity, -1 if last else slack, k << 56), f"{kinds}, __group long, sequence_id long, offset long, __done boolean")
         packed = store(packed, "packed")
         if last:
-            out.append(packed.drop("group", "done"))
+            out.append(packed.drop("__group", "__done"))
             break
-        out.append(packed.where("done").drop("group", "done"))
-        rest = packed.where("NOT done").select(*rest.columns)
+        out.append(packed.where("__done").drop("__group", "__done"))
+        rest = packed.where("NOT __done").select(*rest.columns)
         left = rest.count()
     result = out[0]
     for part in out[1:]:
