@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm
+from ..session import reach_workers
 
 LIKED = 4.0
 NEAREST, TOP, MIN_TAGS = 5, 10, 10
@@ -84,6 +85,7 @@ def preference_history(events: DataFrame, vectors: DataFrame) -> DataFrame:
     else come with the events.
     """
     spark = events.sparkSession
+    reach_workers(spark)
     have = vectors.select("item_id", "vector")
     count, length = have.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     base = events.select("event_id", "user_id", "item_id", "event_us", "rating")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def session(master: str | None = None, app: str = "chronofold", **conf: str) -> SparkSession:
     """UTC, adaptive execution, skew-join splitting; everything else as given or as the cluster has it."""
@@ -19,3 +24,10 @@ def session(master: str | None = None, app: str = "chronofold", **conf: str) ->
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the repository lies on the same path as here."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, _ROOT]))
