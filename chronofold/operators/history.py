@@ -85,11 +85,11 @@ def window_ratios(events: DataFrame, short: str = "30d", long: str = "60d") -> D
 def group_affinity(events: DataFrame) -> DataFrame:
     """Adds user_genre_count and user_genre_mean: the user's earlier ratings of the target's genres, a row an association.
 
-    ``events`` has ``genres`` (array), event_id and user_mean. One shuffle by user serves the exploded windows by
-    (user, genre) and the way back to one row an event, which the grouping by (user, event) needs no other for.
+    ``events`` has ``genres`` (array), event_id and user_mean, as ``user_history`` gives it. The shuffle by user that its window
+    made serves the exploded windows by (user, genre), and the grouping by (user, event) back to one row an event.
     """
     others = [c for c in events.columns if c not in ("user_id", "event_id")]
-    e = events.repartition("user_id").select("*", F.explode_outer("genres").alias("__g"))
+    e = events.select("*", F.explode_outer("genres").alias("__g"))
     w = prior("user_id", "__g")
     e = e.withColumns({"__n": F.when(F.col("__g").isNotNull(), F.count("*").over(w)), "__s": F.when(F.col("__g").isNotNull(), F.sum("rating").over(w))})
     back = e.groupBy("user_id", "event_id").agg(*[F.first(c).alias(c) for c in others], F.coalesce(F.sum("__n"), F.lit(0)).alias("user_genre_count"), F.sum("__s").alias("__s"))

@@ -40,15 +40,19 @@ def statistics(vectors: DataFrame) -> DataFrame:
     return v.select("item_id", F.col("m").alias("vector_mean"), F.sqrt(total("q") / F.col("n")).alias("vector_std"), (total(top) / F.least("n", F.lit(TOP))).alias("vector_top10"))
 
 
-def _profile(item: np.ndarray, vector: np.ndarray, rating: np.ndarray, us: np.ndarray):
-    """Features of one user's events, sorted by time; ``item`` is the row in ``vector``, -1 without one.
+def _unit(vector: np.ndarray) -> np.ndarray:
+    """Normalised in double, kept in 32 bits, multiplied in double."""
+    return (vector / np.sqrt(np.einsum("ij,ij->i", vector, vector))[:, None]).astype(np.float32).astype(np.float64)
+
+
+def _profile(item: np.ndarray, vector: np.ndarray, unit: np.ndarray, rating: np.ndarray, us: np.ndarray):
+    """Features of one user's events, sorted by time; ``item`` is the row in ``vector`` and ``unit``, -1 without one.
 
     Sums grow by time; what a row sees ends before the first row of its own time. Similarities are taken against the
     distinct liked items, in blocks of targets, with how often each was liked by then.
     """
     n = len(item)
     out = np.full((n, 4), np.nan)
-    unit = (vector / np.sqrt(np.einsum("ij,ij->i", vector, vector))[:, None]).astype(np.float32).astype(np.float64)
     seen = np.searchsorted(us, us, side="left")  # rows before each row's time
     has = item >= 0
     for k, want in enumerate((rating >= LIKED, rating < LIKED)):
@@ -96,36 +100,62 @@ def preference_history(events: DataFrame, vectors: DataFrame) -> DataFrame:
         order = np.argsort(rows["item_id"].to_numpy())
         matrix = np.stack(rows["vector"].map(np.asarray)).astype(np.float32)[order] if count else np.zeros((0, 1), np.float32)
         shared = spark.sparkContext.broadcast((rows["item_id"].to_numpy()[order], matrix))
-        source = base
+        source = base.join(have.select("item_id"), "item_id", "left_semi")  # no others are targets or history
     else:
         shared = None
-        source = base.join(have, "item_id", "left")
+        source = base.join(have, "item_id")
+
+    def features(table):
+        """Whole users, sorted by user and time."""
+        import pyarrow as pa
 
-    def run(pdf):
-        pdf = pdf.sort_values("event_us", kind="stable")
-        ids = pdf["item_id"].to_numpy()
+        ids = table.column("item_id").to_numpy()
+        uniq, first, item = np.unique(ids, return_index=True, return_inverse=True)
         if shared is not None:
-            known, vectors = shared.value
-            uniq, item = np.unique(ids, return_inverse=True)
+            known, matrix = shared.value
             at = np.searchsorted(known, uniq)
             ok = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == uniq) if len(known) else np.zeros(len(uniq), bool)
-            local = vectors[at[ok]]
+            local = matrix[at[ok]].astype(np.float64)
         else:
-            uniq, first, item = np.unique(ids, return_index=True, return_inverse=True)
-            values = pdf["vector"].to_numpy()[first]
+            values = table.column("vector").take(pa.array(first)).to_pylist()
             ok = np.array([v is not None for v in values], dtype=bool)
-            local = np.stack(list(values[ok])) if ok.any() else np.zeros((0, 1))
+            local = np.array([v for v in values if v is not None], dtype=np.float64)
         place = np.full(len(uniq), -1)
         place[ok] = np.arange(ok.sum())
         item = place[item]
-        got = _profile(item, local.astype(np.float64), pdf["rating"].to_numpy(), pdf["event_us"].to_numpy()) if ok.any() else np.full((len(pdf), 4), np.nan)
-        out = pdf[["event_id", "user_id"]].copy()
-        for k, name in enumerate(NAMES):
-            out[name] = got[:, k]
-        return out[item >= 0]
-
-    found = source.groupBy("user_id").applyInPandas(run, schema)
-    return found.select("event_id", "user_id", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in NAMES])
+        has = np.flatnonzero(item >= 0)
+        users, rating, us = (table.column(c).to_numpy() for c in ("user_id", "rating", "event_us"))
+        out = np.full((len(ids), 4), np.nan)
+        if len(has):
+            unit = _unit(local)
+            for u in np.unique(users[has]):
+                a, b = np.searchsorted(users, [u, u], side="left")[0], np.searchsorted(users, u, side="right")
+                out[a:b] = _profile(item[a:b], local, unit, rating[a:b], us[a:b])
+        columns = [pa.array(table.column("event_id").to_numpy()[has]), pa.array(users[has])]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(out[has, k], from_pandas=True) for k in range(4)]], names=["event_id", "user_id", *NAMES])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            users = batch.column("user_id").to_numpy()
+            cut = int(np.searchsorted(users, users[-1]))
+            if held and (cut or users[0] != last):
+                yield features(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield features(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+            last = users[-1]
+        if held:
+            yield features(pa.Table.from_batches(held))
+
+    # a user's rows come in one run of a partition; those of a user at the end of a batch wait for the next one
+    rows = source.where("user_id IS NOT NULL AND item_id IS NOT NULL").repartition("user_id").sortWithinPartitions("user_id", "event_us")
+    return rows.mapInArrow(run, schema)
 
 
 def attribution(vectors: DataFrame, item_id: int, other_id: int, k: int = TOP) -> DataFrame:
