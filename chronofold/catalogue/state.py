@@ -104,3 +104,20 @@ def stream_replay(spark, sf):
 def _thirds(e):
     a, b = 883_612_800_000_000, 978_307_200_000_000  # two days inside the span; the second splits its own day
     return e.where(F.col("event_us") < a), e.where(f"event_us >= {a} AND (event_us < {b} OR event_us = {b} AND event_id % 2 = 0)"), e.where(f"event_us > {b} OR event_us = {b} AND event_id % 2 = 1")
+
+
+@query(with_views("re", "SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, min(event_us) AS first_us, max(event_us) AS last_us, '' AS broken FROM re").replace("AS rows", 'AS "rows"'))
+def artifact_audit(spark, sf):
+    from ..operators.artifacts import artifact_audit as audit
+    from ..plans.features import feature_table
+
+    return audit(feature_table(views.events(spark, sf), views.catalog(spark, sf), version=17), contract(17))
+
+
+@query(with_views("re", "SELECT count(*) FILTER (rating < 2) AS only_a, count(*) FILTER (rating >= 4) AS only_b FROM re"))
+def artifact_difference(spark, sf):
+    """All events but the best against all events but the worst."""
+    from ..operators.artifacts import table_difference
+
+    e = views.events(spark, sf)
+    return table_difference(e.where("rating < 4"), e.where("rating >= 2"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
-#: Seconds of a mean Gregorian year.
+# Fixed value: seconds of a mean Gregorian year.
 YEAR_SECONDS = 365.2425 * 86_400
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_US, check_window_us, pop_std, safe_ratio
 
-#: The global mean where there is no history.
+# Fixed value: the global mean where there is no history.
 COLD_START = 3.5
 #: Width of the time buckets of the global history.
 BUCKET_US = 30 * DAY_US

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import norm
 from ..session import reach_workers
 
+# The rating from which an item is liked; similarities and tags averaged; tags needed.
 LIKED = 4.0
 NEAREST, TOP, MIN_TAGS = 5, 10, 10
 #: Numbers of the vectors of all items that a broadcast may hold (0.5 GB of float32).
