@@ -62,6 +62,12 @@ def state_conservation(spark, sf):
     return tables.conservation(tables.advance(half, e, b, CUT_US))
 
 
+def _kept(spark, sf, root: str):
+    """The events, written once: a checkpoint passes over them several times."""
+    views.events(spark, sf).drop("ts").write.parquet(f"{root}/events")
+    return spark.read.parquet(f"{root}/events")
+
+
 def _columns():
     return ["event_id", "user_id", "item_id", "event_us", *[F.col(f.name).cast(f.kind).alias(f.name) for f in contract(17)]]
 
@@ -69,8 +75,8 @@ def _columns():
 @query(with_views("re yr br", _BASE + f"SELECT {_COLUMNS17} {_JOINS} WHERE b.event_us >= {CUT_US}"))
 def checkpoint_resume(spark, sf):
     """Features from the cutoff on, from a checkpoint that is saved, loaded, bound to its history and resumed."""
-    e, c = views.events(spark, sf), views.catalog(spark, sf)
-    path = f"{_scratch(spark)}/checkpoint"
+    root = _scratch(spark)
+    e, c, path = _kept(spark, sf, root), views.catalog(spark, sf), f"{root}/checkpoint"
     checkpoints.checkpoint(e, c, CUT_US, path)
     found, _ = checkpoints.replay(checkpoints.resume(e, c, path), e, c)
     return _as_double(found.select(*_columns()))
@@ -79,7 +85,7 @@ def checkpoint_resume(spark, sf):
 @query("SELECT CAST(0 AS BIGINT) AS only_full, CAST(0 AS BIGINT) AS only_incremental")
 def incremental_equals_full(spark, sf):
     """Rows that only the full plan, or only the resumed one, gives; none of either."""
-    e, c = views.events(spark, sf), views.catalog(spark, sf)
+    e, c = _kept(spark, sf, _scratch(spark)), views.catalog(spark, sf)
     full = blocks(e, c).where(F.col("event_us") >= CUT_US).select(*_columns())
     some = tables.suffix_features(tables.build(e, checkpoints.bridge_of(c), CUT_US), e, c).select(*_columns())
     return full.exceptAll(some).agg(F.count("*").alias("only_full")).crossJoin(some.exceptAll(full).agg(F.count("*").alias("only_incremental")))
