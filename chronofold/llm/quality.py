@@ -6,7 +6,7 @@ the length (repetition and noise lie at its ends), becomes a probability by a lo
 than the dictionaries were.
 
 The fit takes at most ``PER_CLASS`` labelled rows of each class for the dictionaries and as many for the curve, the first
-by a hash of their id, texts of over ``LONGEST`` characters left out; the curve weighs rows so that the classes count as
+by a hash of their id, texts of over ``LONGEST`` characters left out, which bounds what the driver holds; the curve weighs rows so that the classes count as
 often as in all labels. Scoring covers all of every text.
 
 Defined results: NULL and empty texts are scored as the empty text; without labels of both classes every score is the
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ship, slices, table
 
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 65_536
-PER_CLASS, LONGEST, BLOCKS_OF_A_TEXT = 3_000, 200_000, 8
+PER_CLASS, LONGEST, BLOCKS_OF_A_TEXT = 2_000, 50_000, 8
 THRESHOLD, FOLDS = 0.3, 5
 
 
