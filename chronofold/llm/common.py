@@ -42,9 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named if "://" in named or named.startswith("file:") else f"file://{named}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application's intermediate tables and files are in."""
+    return posixpath.join(shared_dir(spark), "chronofold", spark.sparkContext.applicationId)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh URI in the shared folder."""
-    return posixpath.join(shared_dir(spark), "chronofold", f"{name}-{uuid.uuid4().hex}")
+    return posixpath.join(own_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables and files, once results that read them are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

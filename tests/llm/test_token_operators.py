@@ -250,3 +250,27 @@ def test_packing_query(spark, sf):
     n = check_bins(got, 2048)
     assert n <= -(-sum(r["length"] for r in got) // 2048) + 2
     assert packing.pack(packing.pieces(spark.createDataFrame([], DOCS), vocabulary_path("word_bpe_49k.json"))).count() == 0
+
+
+def test_intermediate_tables_can_be_cleaned():
+    """In a session of its own folder: nothing is left of what operators stored."""
+    import subprocess
+    import sys
+    import tempfile
+
+    code = """
+import sys, os
+from chronofold.session import session
+from chronofold.llm import common
+d = sys.argv[1]
+s = session("local[1]", "clean", spark__checkpoint__dir=d, spark__ui__enabled="false")
+assert common.store(s.range(5), "x").count() == 5
+assert os.listdir(d + "/chronofold")
+common.clean(s)
+assert not os.listdir(d + "/chronofold")
+print("cleaned")
+"""
+    with tempfile.TemporaryDirectory() as d:
+        root = __file__.rsplit("/tests/", 1)[0]
+        got = subprocess.run([sys.executable, "-c", code, d], cwd=root, capture_output=True, text=True, timeout=300)
+    assert "cleaned" in got.stdout, got.stderr[-2000:]
