@@ -35,6 +35,8 @@ PERCENTILE = 0.95
 END = 2
 #: Blocks packed, or read, at once.
 RUN = 256
+#: Chunks of text that a worker's encoder keeps (some 200 bytes each).
+MEMO = 1_000_000
 _HEAD = struct.Struct("<IIHBx")  # minimum, exceptions, ids, width
 _TAIL = struct.Struct("<QQQQ8s")  # blocks, documents, ids, start of the index
 
@@ -189,7 +191,7 @@ def _write(root: str, path: str, end: int):
         first = next(rest, None)
         if first is None:
             return
-        encode = encoder(path).encode
+        encode = encoder(path, MEMO).encode
         with publish(uri) as out:
             writer = Writer(out)
             while first is not None:

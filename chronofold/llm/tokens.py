@@ -54,7 +54,7 @@ def _plain(text: str) -> bool:
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,6 +67,7 @@ class Encoder:
         self.findall = re.compile(PIECES[name]).findall if name in PIECES else None
         self.lower = name in LOWER
         self.memo: dict[str, bytes] = {"": b"", BARE: b""}
+        self.size = memo
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -155,7 +156,7 @@ class Encoder:
             own = self._new([chunks[k] for k in holes])
             for k in holes:
                 ids[k] = own[chunks[k]]
-            if len(self.memo) + len(own) <= MEMO:
+            if len(self.memo) + len(own) <= (self.size or MEMO):
                 self.memo.update(own)
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
@@ -176,5 +177,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, memo: int | None = None) -> Encoder:
+    """A worker's encoder; ``memo``: how many chunks it keeps, MEMO if not given."""
+    return Encoder(path, memo)
