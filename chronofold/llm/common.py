@@ -31,10 +31,12 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session doesn't name one (local tests) is a folder made here.
+    Only where a session in one process doesn't name one (local tests) is a folder made here.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="chronofold-")
@@ -80,6 +82,31 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Rows of one key from which a join spreads them; sides of a join that are broadcast, at most.
+HOT, BROADCAST = 100_000, 1_000_000
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str = "n", hot: int | None = None) -> DataFrame:
+    """``rows`` joined to ``side``, which is unique in ``keys`` and whose column ``n`` says how many rows have each key.
+
+    The side of keys with over ``HOT`` rows is broadcast, so their rows stay where they are; there are at most rows / HOT of
+    them, and their number is checked. Past that, and for all other keys, the join shuffles.
+    """
+    heavy = side.where(F.col(n) > (HOT if hot is None else hot))
+    if heavy.isEmpty() or not small_enough(heavy, BROADCAST):
+        return rows.join(side, keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side.join(F.broadcast(heavy.select(*keys)), keys, "left_anti"), keys)
+    return rest.unionByName(rows.join(F.broadcast(heavy), keys))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- files in the shared folder, read and written by Python workers -------------------------------------------------
 
 
@@ -118,12 +145,35 @@ def open_file(uri: str):
     return files.open_input_file(path)
 
 
-def slices(batches, rows: int = 256, size: int | None = None):
-    """Cuts Arrow batches, so that long texts become Python objects a few at a time.
+#: Bytes of a slice that becomes Python objects at once, about.
+SLICE = 4 << 20
+
+
+def slices(batches, rows: int = 256, size: int = SLICE):
+    """Cuts Arrow batches, so that long texts become Python objects a few at a time: at most ``rows`` rows whose columns have
+    ``size`` bytes together, or one row that is longer than that."""
+    import numpy as np
+    import pyarrow as pa
 
-    With ``size``, as many rows as have about so many bytes, one at least.
-    """
     for batch in batches:
-        step = rows if size is None else max(1, min(batch.num_rows, size * batch.num_rows // max(1, batch.nbytes)))
-        for i in range(0, batch.num_rows, step):
-            yield batch.slice(i, step)
+        if batch.num_rows == 0:
+            continue
+        if batch.nbytes <= size:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+            continue
+        each = np.full(batch.num_rows, 16, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                wide = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+                each += np.diff(wide)
+            elif pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                each += np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset))
+            else:
+                each += column.nbytes // len(column)
+        ends, first = np.cumsum(each), 0
+        while first < batch.num_rows:
+            limit = size + (ends[first - 1] if first else 0)
+            last = min(first + rows, max(first + 1, int(np.searchsorted(ends, limit, side="right"))))
+            yield batch.slice(first, last - first)
+            first = last

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from chronofold.llm import embeddings, graph, simhash
+from chronofold.llm import common, embeddings, graph, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -135,18 +135,52 @@ def plain_links(rows):
     return sorted(((i, n[k], low.get(r[k]), i is None or i == low[r[k]]) for k, (i, _, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize("cell, block", [(2000, 4096), (10, 4096), (10, 7), (4, 3)])
-def test_embeddings_against_brute_force(spark, cell, block):
-    rng = np.random.RandomState(cell + block)
+@pytest.mark.parametrize("cells, block, hot", [(2048, 8192, 100_000), (2, 8192, 3), (64, 7, 10), (16, 3, 1)])
+def test_embeddings_against_brute_force(spark, monkeypatch, cells, block, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(embeddings, "COPY", 1e-9)  # many cells even on few rows
+    monkeypatch.setattr(embeddings, "FINE", 5)
+    rng = np.random.RandomState(cells + block)
     base = rng.randn(9, 6)
     rows = [(k, [float(np.float32(x)) for x in base[k % 9] + rng.randn(6) * rng.choice([0, 0.05, 0.1, 0.3])], int(k % 9 % 2)) for k in range(150)]
     rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 6, 1), (903, [float("nan")] * 6, 1), (904, [float("inf")] + [0.0] * 5, 1), (905, [None] + [1.0] * 5, 1), (906, rows[0][1], None), (None, rows[0][1], 0)]
-    rows += [(907, rows[0][1][:3], 0), (908, rows[0][1][:3], 0), rows[5], (909, [2 * x for x in rows[3][1]], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS node", "2 AS fine", "3 AS cell")
-    got = sorted((tuple(r) for r in embeddings.near_duplicates(df, cell=cell, block=block).collect()), key=repr)
+    rows += [(907, rows[0][1][:3], 0), (908, rows[0][1][:3], 0), rows[5], (909, [2 * x for x in rows[3][1]], 1), (910, [0.0, 1.0], 1), (911, [-0.0, 1.0], 1), (912, [-0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS node", "2 AS fine", "3 AS cell", "4 AS n", "5 AS k1")
+    got = sorted((tuple(r) for r in embeddings.near_duplicates(df, cells=cells, block=block).collect()), key=repr)
     assert got == plain_links(rows)
 
 
+def test_each_close_pair_is_compared_once():
+    rng = np.random.RandomState(3)
+    v = embeddings.unit(np.concatenate([rng.randn(600, 24), rng.randn(20, 24).repeat(15, axis=0) + 0.02 * rng.randn(300, 24)]))
+    links = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(v @ v.T >= 0.98, 1)), strict=True)}
+    everyone, half = np.arange(len(v)), np.arange(len(v)) % 2 == 0
+    for parts in ([(everyone, everyone)], [(everyone[half], everyone[half]), (everyone[~half], everyone[~half]), (everyone[half], everyone[~half])]):
+        seen, compared = [], 0
+        for a, b in parts:
+            for x, y, mask in embeddings.products(v, a, b, lambda x, y: np.ones((len(x), len(y)), dtype=bool)):
+                compared += mask.size
+                r, c = np.nonzero(mask)
+                seen += [(min(i, j), max(i, j)) for i, j in zip(x[r].tolist(), y[c].tolist(), strict=True)]
+        assert sorted(seen) == sorted(links)
+        assert compared < len(v) ** 2 / 2
+
+
+def test_cells_at_every_size():
+    rng = np.random.RandomState(0)
+    for n in (2, 50, 500, 5_000):
+        v = embeddings.unit(rng.randn(n, 16))
+        assert len(embeddings.choose_centres(v, np.zeros(n, dtype=int), 1.0)) >= 2
+    # vectors in groups: more cells, few copies over borders, and few pairs left
+    v = embeddings.unit(rng.randn(64, 16).repeat(100, axis=0) + 0.05 * rng.randn(6_400, 16))
+    centres = embeddings.choose_centres(v, np.zeros(len(v), dtype=int), 100.0)
+    home, margin = embeddings.margins(v, centres)
+    copies = ((margin <= embeddings.chord(0.98)) & (np.arange(len(centres)) < home[:, None])).sum(axis=0)
+    own = np.bincount(home, minlength=len(centres))
+    assert len(centres) >= 16
+    assert (own * (own / 2 + copies)).sum() < len(v) ** 2 / 4
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
