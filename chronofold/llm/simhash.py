@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, store, table
+from .common import join_counted, ship, slices, store, table
 from .graph import connected
 
 SEED, WORDS, BITS = 42, 3, 2
@@ -132,35 +132,133 @@ def _keys(batches):
     for batch in slices(batches, 8192):
         fp = batch.column("fp").to_numpy(zero_copy_only=False)
         rows, keys = keys_of(fp)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], names=["key", "fp"])
+        space = batch.column("space").to_numpy()[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(space << 36 | keys), pa.array(space), pa.array(fp[rows])], names=["key", "space", "fp"])
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(fp) of distinct fingerprints to edges (a, b) that connect what differs in at most two bits."""
+def links(distinct: DataFrame, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
+    """(space, fp) of distinct fingerprints to edges (space, a, b) that connect what differs in at most two bits.
+
+    Only fingerprints of a space meet. With more ``bits``, pairs that differ in so many are edges too where they share a key.
+    """
     ship(distinct.sparkSession)
-    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
+    keys = distinct.select(F.col("space").cast("long").alias("space"), "fp")
+    keys = store(keys.mapInArrow(_keys, "key long, space long, fp long"), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = store(keys.join(shared, "key"), "buckets")
-    few = buckets.where(F.col("n") <= bucket).select("key", "fp")
-    near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= BITS)
-    pairs = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    many = buckets.where(F.col("n") > bucket).select("fp").distinct()
-    words = many.select("fp", F.explode(F.expr("transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, i)))")).alias("word"))
-    groups = words.groupBy("word").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    buckets = store(join_counted(keys, shared, ["key"]), "buckets")
+    few = buckets.where(F.col("n") <= bucket).select("key", "space", "fp")
+    near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
+    pairs = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select("a.space", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    many = buckets.where(F.col("n") > bucket).select("space", "fp").distinct()
+    words = many.select("space", "fp", F.explode(F.expr("transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, i)))")).alias("word"))
+    groups = words.groupBy("space", "word").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
+    stars = groups.select("space", F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     return pairs.unionByName(stars)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, fingerprint, component_id)."""
     prints = store(fingerprints(docs), "fingerprints")
-    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    roots = connected(links(distinct)).withColumnRenamed("node", "fp")
-    rooted = store(distinct.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "rooted")
+    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "distinct")
+    roots = connected(links(distinct.select(F.lit(0).alias("space"), "fp"))).withColumnRenamed("node", "fp")
+    rooted = store(distinct.join(roots, "fp", "left").select("fp", "first_doc", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     component = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of = rooted.join(component, "root").select("fp", "component_id")
+    of = store(rooted.join(component, "root").select("fp", "n", "component_id"), "components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return join_counted(prints, of, ["fp"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+# --- similar texts --------------------------------------------------------------------------------------------------
+
+#: Words of a shingle and the similarity of the sets of shingles that is asked for.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Independent fingerprints of a text's distinct words; 64-bit parts of the sketch of its shingles.
+SPACES, PARTS = 4, 16
+#: Standard error of a similarity of 0.8 that is estimated from the sketch; bits in which candidates differ at most.
+ERROR, CLOSE = 0.026, 5
+_CHUNK = 4096
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit integers (the finaliser of splitmix64)."""
+    x = x ^ x >> np.uint64(30)
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ x >> np.uint64(27)
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _majority(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Each hash is widened to ``parts`` words; the bits set in over half of them."""
+    ones, odd = np.zeros(64 * parts, dtype=np.int64), np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(hashes), _CHUNK):
+        wide = _mix(hashes[i : i + _CHUNK, None] + odd).astype("<u8")
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").astype(np.int64)
+
+
+def sketch(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """128 bits of the words in order; the fingerprints of the distinct words; the sketch of the distinct shingles."""
+    import xxhash
+
+    found = (text or "").encode().lower().split()
+    whole = xxhash.xxh128_intdigest(b" ".join(found))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) if found else np.zeros(1, dtype=np.uint64)
+    n = max(1, len(hashes) - SHINGLE + 1)
+    shingles = np.zeros(n, dtype=np.uint64)
+    for k in range(min(SHINGLE, len(hashes))):
+        shingles = _mix(shingles * np.uint64(3) + hashes[k : k + n])
+    high, low = np.array([whole >> 64, whole & 2**64 - 1], dtype=np.uint64).view(np.int64).tolist()
+    return high, low, _majority(np.unique(hashes), SPACES), _majority(np.unique(shingles), PARTS)
+
+
+def _sketches(batches):
+    import pyarrow as pa
+
+    for batch in slices(batches):
+        got = [sketch(t) for t in batch.column("text").to_pylist()]
+        high, low, prints, parts = zip(*got, strict=True)
+        lists = [pa.ListArray.from_arrays(np.arange(0, n * len(got) + 1, n, dtype=np.int32), np.concatenate(x)) for n, x in ((SPACES, prints), (PARTS, parts))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(high), pa.array(low), *lists], names=["row", "high", "low", "fps", "sketch"])
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits of the sketch in which sets of shingles of this similarity differ, on average."""
+    return int(64 * PARTS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _alike(a: str, b: str, similarity: float):
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return apart <= bits_apart(similarity - ERROR)
+
+
+def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(row long, text) to (row, group): the smallest row of those that similar texts lead to; ``row`` is unique.
+
+    Two texts are similar if their sets of five-word shingles are, as estimated from 1024-bit SimHash sketches, at most one
+    standard error below ``similarity``. Candidates are texts of which one of four fingerprints of the distinct words is
+    equal, or shares a Golay key and differs in at most five bits, so that a text meets those near it, not all. A text is
+    compared with the first text of its fingerprint, and the first texts of near fingerprints with each other. Texts of the
+    same words in order (ASCII case and white space aside) are one; NULL and wordless texts are such texts too.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    rows = store(texts.select(F.col("row").cast("long").alias("row"), "text").mapInArrow(_sketches, "row long, high long, low long, fps array<long>, sketch array<long>"), "sketches")
+    copies = rows.groupBy("high", "low").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    copies = store(copies, "copies")
+    unique = store(rows.join(copies.select(F.col("first").alias("row")), "row", "left_semi").select("row", "fps", "sketch"), "texts")
+    flat = unique.select("row", "sketch", F.posexplode("fps").alias("space", "fp"))
+    firsts = flat.groupBy("space", "fp").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    firsts = store(firsts.join(unique.select("row", F.col("sketch").alias("of_first")), "row").withColumnRenamed("row", "first"), "firsts")
+    members = join_counted(flat, firsts.where("n > 1"), ["space", "fp"]).where("row <> first").where(_alike("sketch", "of_first", similarity))
+    side = lambda x: firsts.select("space", F.col("fp").alias(x), F.col("first").alias(f"{x}_row"), F.col("of_first").alias(f"{x}_sketch"))
+    pairs = links(firsts.select("space", "fp"), bits=CLOSE).distinct()
+    pairs = pairs.join(side("a"), ["space", "a"]).join(side("b"), ["space", "b"]).where(_alike("a_sketch", "b_sketch", similarity))
+    roots = connected(members.select(F.col("row").alias("a"), F.col("first").alias("b")).unionByName(pairs.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))))
+    of = copies.join(roots.withColumnRenamed("node", "first"), "first", "left").select("high", "low", "n", F.coalesce("root", "first").alias("group"))
+    single = of.where("n = 1").select(F.col("first").alias("row"), "group")
+    several = join_counted(rows.select("row", "high", "low"), store(of.where("n > 1"), "copied"), ["high", "low"])
+    return single.unionByName(several.select("row", "group"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,9 @@ def test_links_at_any_bucket_size(spark, bucket):
     base = rng.randint(0, 2**62, 5, dtype=np.int64)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.randint(0, 64 if n else 63, rng.randint(0, 3))) for b in base for n in range(30)})
     fps = [f if f < 2**63 else f - 2**64 for f in fps]
-    e = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), bucket)
+    e = simhash.links(spark.createDataFrame([(k, f) for f in fps for k in (0, 3)], "space long, fp long"), bucket)
+    assert {r["space"] for r in e.select("space").distinct().collect()} <= {0, 3}
+    e = e.where("space = 3")
     got = dict(map(tuple, graph.connected(e).collect()))
     r = roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2])
     low = {}
@@ -114,6 +116,56 @@ def test_simhash_query_on_the_tables(spark, sf):
     assert got == plain_groups(rows)
 
 
+def plain_similarity(a, b):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def similar_rows(seed):
+    """Groups of texts with a few words changed, and texts of their own."""
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(3_000)]
+    rows = []
+    for n in (150, 300, 600):
+        for _ in range(8):
+            base = [r.choice(words) for _ in range(n)]
+            rows.append(" ".join(base))
+            for _ in range(3):
+                new = list(base)
+                for _ in range(max(1, n // 150)):
+                    new[r.randrange(n)] = r.choice(words)
+                rows.append(" ".join(new))
+    return rows + [" ".join(r.choice(words) for _ in range(r.choice([3, 40, 200]))) for _ in range(60)] + [None, "", " \n", "A b  c d e f", "a B c\nd e f", "f e d c b a"]
+
+
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_similar_texts_are_found(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = similar_rows(hot)
+    got = dict(map(tuple, simhash.similar(spark.createDataFrame(list(enumerate(rows)), "row long, text string").selectExpr("*", "1 AS fp", "2 AS n")).collect()))
+    assert sorted(got) == list(range(len(rows)))
+    links = [(a, b, plain_similarity(rows[a], rows[b])) for a in range(len(rows)) for b in range(a)]
+    found = [got[a] == got[b] for a, b, j in links if j >= 0.8]
+    assert sum(found) > 0.95 * len(found)
+    sure = roots(len(rows), [(a, b) for a, b, j in links if j >= 0.65])
+    assert all(sure[k] == sure[g] and g <= k for k, g in got.items())
+    assert simhash.similar(spark.createDataFrame([], "row long, text string")).count() == 0
+
+
+def test_sketch_of_long_texts_and_estimates():
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(30_000)]
+    other = base[:27_000] + [f"x{k}" for k in range(3_000)]
+    a, b = (simhash.sketch(" ".join(t))[3] for t in (base, other))
+    apart = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+    j = plain_similarity(" ".join(base), " ".join(other))
+    assert abs(apart - simhash.bits_apart(j)) < 40
+
+
 # --- embeddings ---------------------------------------------------------------------------------------------------------
 
 
