@@ -2,8 +2,9 @@
 
 ``final_messages`` folds a log (partitioned by conversation, sorted by sequence) into final messages; ``render`` writes
 each as one segment of the formatted conversation, with the part of it that a loss may see; ``read_back`` parses the
-segments again. A conversation's formatted text is its segments in order, so that a conversation of any length is never
-one value, and a hot conversation is never held in memory: the digest streams over sorted rows.
+segments again. A conversation's formatted text is its segments in the order that ``ordered`` gives its messages, so that a
+conversation of any length is never one value, and a hot conversation is never held in memory: the digest streams over
+sorted rows.
 
 Template: ``<s>[INST] role [/INST]text</s>`` for each message. Inside a role or text a backslash is doubled, and a control
 string gets a backslash after its first character; dropping the backslash of each pair undoes both.
@@ -63,6 +64,11 @@ def final_messages(events: DataFrame) -> DataFrame:
     return folded.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
 
 
+def ordered(messages: DataFrame) -> DataFrame:
+    """(conv_id, seq, role, text), a conversation's rows together and sorted by sequence, then role, then text."""
+    return messages.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
+
+
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, seq, role, text) to segments (conv_id, seq, role, segment, loss_start, loss_length).
 
@@ -118,10 +124,9 @@ def _digests(batches):
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Parses rendered segments into one digest a conversation; streams over rows sorted by conversation and sequence."""
+    """Parses rendered segments into one digest a conversation; streams over rows that stand as ``ordered`` leaves them."""
     ship(segments.sparkSession)
-    rows = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "segment")
-    return rows.select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(_digests, READ)
+    return segments.select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(_digests, READ)
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
@@ -132,10 +137,16 @@ def as_events(conversations: DataFrame) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose log has deltas, an edit, a regeneration and what it drops."""
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(render(final_messages(as_events(rows))))
+    log = [
+        (-1, 0, "message", -1, "user", "draft"), (-1, 1, "message", -2, "assistant", "first try"), (-1, 2, "delta", -2, None, " goes on"),
+        (-1, 3, "edit", -1, None, said), (-1, 4, "message", -3, "user", "an answer to it"), (-1, 5, "regenerate", -2, None, None),
+        (-1, 6, "delta", -2, None, said[:3]), (-1, 7, "delta", -2, None, said[3:9]), (-1, 8, "delta", -2, None, said[9:]),
+    ]
+    extra = spark.createDataFrame(log, "conv_id long, seq long, kind string, msg long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    return read_back(render(ordered(final_messages(as_events(rows).unionByName(extra)))))
 
 
 OP1_SQL = r"""
