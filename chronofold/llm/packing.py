@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, store, table
+from .common import ship, slices, store, table, unused
 from .tokens import RUN as TEXT
 from .tokens import encoder, vocabulary_path
 
@@ -95,16 +95,16 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return where, offset
 
 
-def _pack(capacity: int, slack: int, base: int):
+def _pack(capacity: int, slack: int, base: int, mark: str, full: str):
     def run(group):
         import pyarrow as pa
 
         sizes = group.column("length").to_numpy()
         where, offset = sum_of_squares(sizes, capacity)
         fill = np.bincount(where, weights=sizes)
-        number = group.column("__group")[0].as_py()
+        number = group.column(mark)[0].as_py()
         done = fill[where] >= capacity - slack
-        return group.append_column("sequence_id", pa.array(base + (number << 32) + where)).append_column("offset", pa.array(offset)).append_column("__done", pa.array(done))
+        return group.append_column("sequence_id", pa.array(base + (number << 32) + where)).append_column("offset", pa.array(offset)).append_column(full, pa.array(done))
 
     return run
 
@@ -112,11 +112,12 @@ def _pack(capacity: int, slack: int, base: int):
 def pack(rows: DataFrame, capacity: int = LENGTH, group: int = GROUP, slack: int = SLACK, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to rows with ``length`` (1 to capacity); columns of these names are replaced."""
     ship(rows.sparkSession)
-    base = store(rows.drop("sequence_id", "offset", "__group", "__done"), "pieces")
+    base = store(rows.drop("sequence_id", "offset"), "pieces")
+    mark, full = unused(base, "__group"), unused(base, "__done")
     whole = base.where(F.col("length") == capacity)
     out = [whole.select("*", (F.monotonically_increasing_id() + (1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = base.where(F.col("length") < capacity)
-    kinds = ", ".join(f"{c} {t}" for c, t in rest.dtypes)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rest.dtypes)
     left = rest.count()
     for k in range(rounds + 1):
         if not left:
@@ -124,13 +125,15 @@ def pack(rows: DataFrame, capacity: int = LENGTH, group: int = GROUP, slack: int
         groups = -(-left // group)
         last = groups == 1 or k == rounds
         deal = F.pmod(F.xxhash64(F.lit(k), F.monotonically_increasing_id()), F.lit(groups))
-        packed = rest.withColumn("__group", deal).groupBy("__group").applyInArrow(_pack(capacity, -1 if last else slack, k << 56), f"{kinds}, __group long, sequence_id long, offset long, __done boolean")
+        packed = rest.withColumn(mark, deal).groupBy(mark)
+        kind = f"{kinds}, `{mark}` long, sequence_id long, offset long, `{full}` boolean"
+        packed = packed.applyInArrow(_pack(capacity, -1 if last else slack, k << 56, mark, full), kind)
         packed = store(packed, "packed")
         if last:
-            out.append(packed.drop("__group", "__done"))
+            out.append(packed.drop(mark, full))
             break
-        out.append(packed.where("__done").drop("__group", "__done"))
-        rest = packed.where("NOT __done").select(*rest.columns)
+        out.append(packed.where(F.col(full)).drop(mark, full))
+        rest = packed.where(~F.col(full)).drop(mark, full, "sequence_id", "offset")
         left = rest.count()
     result = out[0]
     for part in out[1:]:

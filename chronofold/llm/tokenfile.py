@@ -1,12 +1,14 @@
 """Token files of patched frame-of-reference blocks.
 
-A file: the magic; blocks; the starts of the blocks; the documents' ids and lengths; a trailer. A block holds ``ROWS x
+A file: the magic; blocks; the starts of the blocks; the documents' ids and lengths, and a bit for each that says whether
+its id is NULL; a trailer. A block holds ``ROWS x
 LANES`` ids: their minimum is subtracted, the differences are packed at the width that ``PERCENTILE`` of them fit in, and
 the low bits of the others are packed too, with their whole difference in an exception list. Bit ``i * width`` of lane
 ``j`` is where id ``i * LANES + j`` starts, so that packing is a few vector operations for all blocks of a width.
 
-Files hold documents in ascending doc_id order (equal ids: by text; NULL first), and file names ascend too. Each is
-written under a temporary name and moved when complete, so a task that runs again replaces it by an equal one.
+Files hold documents in ascending doc_id order (NULL first; equal ids by a hash of the text, then by the text, so that rows
+of one id may lie in several files), and file names ascend too. Each is written under a temporary name and moved when
+complete, under a name of its attempt: the manifest lists the files of the attempts that counted.
 
 Defined results: a NULL text is empty; an empty text has the end id alone; repeated ids and rows are documents of their
 own; no rows give no rows.
@@ -27,7 +29,7 @@ from .common import new_dir, open_file, publish, ship, slices, store, table
 from .tokens import RUN as TEXT
 from .tokens import encoder, vocabulary_path
 
-MAGIC = b"CFPFOR01"
+MAGIC = b"CFPFOR02"
 ROWS = LANES = 64
 SIZE = ROWS * LANES
 #: Share of a block's differences that fit in its width.
@@ -145,8 +147,9 @@ class Writer:
     def close(self) -> None:
         if self.waiting:
             self._flush(self.waiting)
-        docs = np.array([-(2**63) if d is None else d for d in self.docs], "<i8")
-        self.stream.write(np.array(self.starts, "<u8").tobytes() + docs.tobytes() + np.array(self.lengths, "<u8").tobytes())
+        docs = np.array([d or 0 for d in self.docs], "<i8")
+        nulls = np.packbits(np.array([d is None for d in self.docs], dtype=bool))
+        self.stream.write(np.array(self.starts, "<u8").tobytes() + docs.tobytes() + np.array(self.lengths, "<u8").tobytes() + nulls.tobytes())
         self.stream.write(_TAIL.pack(len(self.starts), len(docs), self.ids, self.at, MAGIC))
 
 
@@ -161,10 +164,12 @@ class Reader:
         if magic != MAGIC:
             raise ValueError("not a token file")
         file.seek(self.index_at)
-        raw = file.read(8 * (self.blocks + 2 * self.n_docs))
+        fixed = 8 * (self.blocks + 2 * self.n_docs)
+        raw = file.read(fixed + -(-self.n_docs // 8))
         self.starts = np.append(np.frombuffer(raw, "<u8", self.blocks), self.index_at).astype(np.int64)
         self.docs = np.frombuffer(raw, "<i8", self.n_docs, 8 * self.blocks)
         self.lengths = np.frombuffer(raw, "<u8", self.n_docs, 8 * (self.blocks + self.n_docs)).astype(np.int64)
+        self.nulls = np.unpackbits(np.frombuffer(raw, np.uint8, offset=fixed), count=self.n_docs).astype(bool)
 
     def runs(self, first: int = 0, last: int | None = None):
         for i in range(first, self.blocks if last is None else last, RUN):
@@ -186,7 +191,7 @@ def _write(root: str, path: str, end: int):
         import pyarrow as pa
 
         part, encode, mark, writer = TaskContext.get().partitionId(), None, struct.pack("<I", end), None
-        uri = f"{root}/part-{part:08d}.pfor"
+        uri = f"{root}/part-{part:08d}-{TaskContext.get().taskAttemptId()}.pfor"
         rest = slices(batches, size=TEXT)
         first = next(rest, None)
         if first is None:
@@ -207,7 +212,8 @@ def _write(root: str, path: str, end: int):
 def write_files(docs: DataFrame, root: str, tokenizer: str, end: int = END) -> DataFrame:
     """Writes (doc_id, text) as token files under ``root``; the manifest: part, file, docs, ids, base (ids before)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    rows = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     manifest = store(rows.mapInArrow(_write(root, tokenizer, end), "part long, file string, docs long, ids long"), "token-manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -231,7 +237,7 @@ def _read(batches):
                         sums[k] = zlib.crc32(data[4 * (at - start) : 4 * (upto - start)], sums[k])
                         at = upto
                         k += at == ends[k]
-                docs = pa.array(reader.docs, mask=reader.docs == -(2**63))
+                docs = pa.array(reader.docs, mask=reader.nulls)
                 yield pa.RecordBatch.from_arrays([docs, pa.array(ends - reader.lengths + base), pa.array(reader.lengths), pa.array(sums, pa.int64())], names=names)
 
 

@@ -4,8 +4,8 @@ A byte-level or word BPE tokenizer splits a text by a fixed pattern and merges w
 text are the ids of its pieces in a row. Text is cut where that pattern always cuts; such chunks repeat far more
 often than they are new, and each is encoded by the library once a worker and then looked up. The patterns here, which
 count a chunk's pieces, equal the tokenizers' own on characters up to U+00FF; a text with any other character, with a
-control character that Python and the tokenizer class differently, with a special token's string, or with a space before
-white space or at its end is handed to the library whole.
+control character that Python and the tokenizer class differently, with the string of an added token, or with a space
+before white space or at its end is handed to the library whole, so that its ids are the library's.
 """
 
 from __future__ import annotations
@@ -43,18 +43,22 @@ def vocabulary_path(name: str) -> str:
 
 
 def _plain(text: str) -> bool:
-    """Whether the patterns above split ``text`` as the tokenizer does."""
+    """Whether the patterns above split ``text`` as the tokenizer does, added tokens aside."""
     try:
         raw = text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return len(raw.translate(None, _CONTROL)) == len(raw) and "<|" not in text
+    return len(raw.translate(None, _CONTROL)) == len(raw)
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, memo: int | None = None):
+    They are the library's with ``add_special_tokens=False``. With ``apart``, the strings of special tokens in a text are
+    ordinary text, so that no text holds a special token's id.
+    """
+
+    def __init__(self, path: str, memo: int | None = None, apart: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,8 +66,11 @@ class Encoder:
 
         name = os.path.basename(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.model._resize_cache(0)  # the memo below stands in for it
+        self.tokenizer.encode_special_tokens = apart
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        lead = re.match("[^A-Za-z]*", os.path.commonprefix(added))[0]
+        # their common first characters, or, where they have none, themselves
+        self.added = (lambda text: False) if not added else (lambda text: lead in text) if lead else re.compile("|".join(map(re.escape, added)), re.I).search
         self.findall = re.compile(PIECES[name]).findall if name in PIECES else None
         self.lower = name in LOWER
         self.memo: dict[str, bytes] = {"": b"", BARE: b""}
@@ -113,7 +120,7 @@ class Encoder:
         A space before a character that isn't white space begins a new piece, as does a stop, comma or line end that stands
         alone, and what follows them.
         """
-        if not _plain(text):
+        if not _plain(text) or self.added(text):
             return None
         if self.lower:
             text = text.lower().replace("\n", " ")
@@ -177,6 +184,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, memo: int | None = None) -> Encoder:
+def encoder(path: str, memo: int | None = None, apart: bool = False) -> Encoder:
     """A worker's encoder; ``memo``: how many chunks it keeps, MEMO if not given."""
-    return Encoder(path, memo)
+    return Encoder(path, memo, apart)
