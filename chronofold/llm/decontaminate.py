@@ -2,9 +2,9 @@
 
 Of each run of ``WINDOW`` consecutive ``K``-word hashes of a text the smallest is its fingerprint, so two texts that share
 ``K + WINDOW - 1`` = 10 words in a row share a fingerprint. Fingerprints of documents are joined with those of benchmark
-items; a document with a hit is read again, and the hit is extended: each of its 10-word windows is compared, by 128 bits
-of hash, with the windows of the items, and the words under matching windows are counted. An item of fewer than 10 words is
-one window and its own fingerprint.
+items. A document with a hit is read again, and its hits are extended over the whole of it: each of its 10-word windows is
+compared, by two independent hashes of 64 bits, with the windows of the items, and the words under matching windows are
+counted. An item of fewer than 10 words is one window and its own fingerprint.
 
 The items' fingerprints are broadcast while there are ``BROADCAST`` of them at most, and joined by a shuffle beyond it.
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_enough, store, table
+from .common import small_enough, store, table, unused
 
 SPAN, K = 10, 5
 WINDOW = SPAN - K + 1
@@ -59,6 +59,11 @@ def with_grams(df: DataFrame, base: str, prefix: str, lengths: list[int]) -> Dat
     return df
 
 
+def second(word: Column) -> Column:
+    """A hash of a word that doesn't follow from the first one: its seed comes before the word."""
+    return F.xxhash64(F.lit(1), word)
+
+
 def _whole(array: str, m: int) -> Column:
     """The places of ``{array}`` that hold m whole words."""
     return F.slice(array, 1, F.greatest(F.size("w") - (m - 1), F.lit(0)))
@@ -83,7 +88,10 @@ def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs (doc_id, text), items (item_id, text) to doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """docs (doc_id, text), items (item_id, text) to doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key.
+
+    ``text_key`` is the hash of the text: with doc_id it tells which row was hit where ids repeat or are NULL.
+    """
     items = with_words(items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL"))
     items = store(items.select("item_id", "w", "h").where(F.size("w") > 0), "items")
     short = sorted(r[0] for r in items.where(F.size("w") < SPAN).select(F.size("w")).distinct().collect())  # 9 numbers at most
@@ -107,10 +115,10 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     chosen = found.where("NOT itself").select("doc_id", "key").distinct()
     near = F.broadcast if small_enough(chosen, BROADCAST) else (lambda x: x)
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-    again = with_words(keyed.join(near(chosen), same(keyed, chosen), "left_semi")).withColumn("h_b", F.transform("w", lambda x: F.xxhash64(x, F.lit(1))))
+    again = with_words(keyed.join(near(chosen), same(keyed, chosen), "left_semi")).withColumn("h_b", F.transform("w", second))
     spans = sorted({*few, SPAN})
     windows = _windows(again, spans, ["doc_id", "key"])
-    of_items = _windows(items.withColumn("h_b", F.transform("w", lambda x: F.xxhash64(x, F.lit(1)))), spans, ["item_id", F.least(F.size("w"), F.lit(SPAN)).alias("length")])
+    of_items = _windows(items.withColumn("h_b", F.transform("w", second)), spans, ["item_id", F.least(F.size("w"), F.lit(SPAN)).alias("length")])
     of_items = store(of_items.where("span = length").select("item_id", "span", "a", "b").distinct(), "item-windows")
     hint = F.broadcast if small_enough(of_items, BROADCAST) else (lambda x: x)
     covered = store(windows.join(hint(of_items), ["span", "a", "b"]).select("doc_id", "key", "item_id", "place", "span").distinct(), "covered")
@@ -127,7 +135,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         docs_again["doc_id"], "n_words", n.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n > 0).alias("contaminated"), docs_again["key"].alias("text_key"),
     )
 
 
@@ -145,7 +153,19 @@ def _windows(df: DataFrame, spans: list[int], keep: list) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def select(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) without any window of ``items``, as they are.
+
+    Rows are told apart by id and text, so a clean row stays where another one of its id, or of no id, goes.
+    """
+    id_, key = unused(docs, "__hit"), unused(docs, "__key")
+    hit = find(docs, items).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    hit = store(hit, "hits")
+    side = F.broadcast(hit) if small_enough(hit, BROADCAST) else hit
+    return docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 OP7_SQL = r"""

@@ -60,6 +60,13 @@ def test_unescape_inverts_escape(text):
     assert not any(c in escaped for c in chat.CONTROLS)
 
 
+def test_tied_turns_are_ordered_by_text_not_by_segment(spark, tmp_path, duck, same):
+    said = ["a", "a!", "<a", "<s>", "\\", "[INST]", "[J", "</s>", "a</s>", "a\\b", "a]"]
+    rows = [(c, 3, "assistant", t) for c, pair in enumerate((x, y) for x in said for y in said) for t in pair] + [(500, 0, "<s>", "x"), (500, 0, "<a", "y")]
+    sf = tables(spark, tmp_path, conversations=spark.createDataFrame(rows, CONV).repartition(3))
+    same(chat.op1_chat_formatting(spark, sf).toPandas(), duck(chat.OP1_SQL, sf))
+
+
 def test_digests_of_odd_rows(spark, tmp_path, duck, same):
     rows = [(5, 1, "assistant", None), (5, 1, "assistant", "x"), (5, 0, None, "q"), (5, None, "user", "first"), (None, 0, "user", "n"), (7, 0, "assistant", "é" * 3000), (8, 0, "user", "r"), (8, 0, "user", "r")]
     sf = tables(spark, tmp_path, conversations=spark.createDataFrame(rows, CONV).selectExpr("*", "1 AS segment", "2 AS kind"))
@@ -192,7 +199,7 @@ def test_decontamination_against_a_plain_version(spark, seed):
     items = [(k, text(r.choice([0, 1, 4, 9, 10, 11, 25]))) for k in range(8)] + [(3, text(12)), (None, "a"), (20, None)]
     docs = [(k, text(r.randint(0, 80)) + (r.choice(items)[1] or "") + text(r.randint(0, 20))) for k in range(30)] + [(1, None), (None, "a b"), (2, ""), (5, items[0][1]), (5, items[0][1])]
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((tuple(x) for x in decontaminate.find(d.selectExpr("*", "1 AS fp", "2 AS key", "3 AS w"), i).collect()), key=repr)
+    got = sorted((tuple(x) for x in decontaminate.find(d.selectExpr("*", "1 AS fp", "2 AS key", "3 AS w"), i).drop("text_key").collect()), key=repr)
     assert got == plain(docs, items)
 
 
@@ -205,6 +212,34 @@ def test_decontamination_without_broadcast_and_without_rows(spark, monkeypatch):
     assert decontaminate.find(d.limit(0), i).count() == 0
 
 
+def test_word_hashes_are_independent(spark):
+    import xxhash
+
+    h, b = spark.sql("SELECT 'word' AS w").select(decontaminate.F.xxhash64("w"), decontaminate.second(decontaminate.F.col("w"))).first()
+    seed = spark.sql("SELECT xxhash64(1)").first()[0] & (2**64 - 1)
+    assert h & (2**64 - 1) == xxhash.xxh64_intdigest("word", 42)
+    assert b & (2**64 - 1) == xxhash.xxh64_intdigest("word", seed)
+
+
+def test_decontamination_of_very_long_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(14))
+    r = random.Random(9)
+    long = [f"w{r.randrange(999)}" for _ in range(200_000)]
+    docs = [(1, " ".join(long)), (1, " ".join([*long[:150_000], passage, *long[150_000:]])), (2, passage * 2), (3, " ".join(passage.split()[:9]))]
+    items = [(9, passage), (10, "no such thing anywhere")]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(x) for x in decontaminate.find(d, i).drop("text_key").collect()), key=repr) == plain(docs, items)
+
+
+def test_clean_rows_of_a_hit_id_stay(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, passage), (1, "clean"), (None, passage), (None, "clean"), (None, None), (2, "clean")]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS __hit", "2 AS text_key")
+    kept = decontaminate.select(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, "clean"), (None, "clean"), (None, None), (2, "clean")], key=repr)
+
+
 def test_the_plan_is_native(spark, sf):
     df = decontaminate.op7_decontamination(spark, sf)
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())

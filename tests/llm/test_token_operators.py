@@ -13,15 +13,33 @@ from chronofold.llm import common, eodscan, packing, sharding, tokenfile
 from chronofold.llm.tokens import PIECES, encoder, vocabulary_path
 
 DOCS = "doc_id long, text string"
-ROWS = [(5, "Hello, world. It's 3.14!"), (1, None), (2, ""), (9, "word " * 30_000), (1, "repeated id"), (1, "repeated id"), (None, "no id"), (7, "日本語 text  with  gaps \n"), (8, "<|endoftext|>")]
+ROWS = [(5, "Hello, world. It's 3.14!"), (1, None), (2, ""), (9, "word " * 30_000), (1, "repeated id"), (1, "repeated id"), (None, "no id"), (7, "日本語 text  with  gaps \n"), (8, "<|endoftext|>"), (4, "hello <|endoftext|> world"), (-(2**63), "least <|ENDOFTEXT|>x"), (2**63 - 1, "most <| <|startoftext|>")]
+
+
+def library(name, texts, apart=False):
+    """Ids by a tokenizer as its file gives it."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path(name))
+    if apart:
+        t.encode_special_tokens = True
+    return [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
 
 @pytest.mark.parametrize("name", sorted(PIECES))
 @settings(max_examples=60, deadline=None)
-@given(texts=some.lists(some.text(alphabet="abS. ,\n'é1²_#\t\x85\xa0<|\x1cŒ\u3000\x01", max_size=25), max_size=30))
-def test_encoder_equals_the_library(name, texts):
-    e = encoder(vocabulary_path(name))
-    assert e.encode(texts) == e._whole(texts)
+@given(
+    texts=some.lists(some.one_of(some.text(alphabet="abS. ,\n'é1²_#\t\x85\xa0<|\x1cŒ\u3000\x01", max_size=25), some.sampled_from(["a <|endoftext|>", "<|EndOfText|> b", "<|startoftext|>.<|endoftext|>", "<|endoftext"])), max_size=30),
+    apart=some.booleans(),
+)
+def test_encoder_equals_the_library(name, texts, apart):
+    assert encoder(vocabulary_path(name), None, apart).encode(texts) == library(name, texts, apart)
+
+
+def test_special_tokens():
+    assert np.frombuffer(encoder(vocabulary_path("byte_bpe_50k.json")).encode(["hello <|endoftext|> world"])[0], "<u4").tolist() == [31373, 220, 50256, 995]
+    assert 49407 in np.frombuffer(encoder(vocabulary_path("word_bpe_49k.json")).encode(["<|endoftext|>"])[0], "<u4").tolist()
+    assert 49407 not in np.frombuffer(encoder(vocabulary_path("word_bpe_49k.json"), apart=True).encode(["<|endoftext|>"])[0], "<u4").tolist()
 
 
 @pytest.mark.parametrize("name", sorted(PIECES))
@@ -32,7 +50,7 @@ def test_encoder_beyond_its_memo(name, monkeypatch, spark, sf):
     e = tokens.Encoder(vocabulary_path(name))
     monkeypatch.setattr(tokens, "MEMO", 50)
     monkeypatch.setattr(tokens, "RUN", 5000)
-    assert e.encode(texts) == e._whole(texts)
+    assert e.encode(texts) == library(name, texts)
 
 
 @settings(max_examples=60, deadline=None)
@@ -51,9 +69,16 @@ def test_blocks_keep_exceptions_apart():
 
 
 def want_files(rows, end=2):
-    e, out, at = encoder(vocabulary_path("byte_bpe_50k.json")), [], 0
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        b = e._whole([t or ""])[0] + np.array([end], "<u4").tobytes()
+    import xxhash
+
+    def key(row):
+        h = 42 if row[1] is None else xxhash.xxh64_intdigest(row[1], 42)
+        return row[0] is not None, row[0] or 0, h - (h >> 63 << 64), row[1] or ""
+
+    out, at = [], 0
+    rows = sorted(rows, key=key)
+    for (d, _), b in zip(rows, library("byte_bpe_50k.json", [t or "" for _, t in rows]), strict=True):
+        b += np.array([end], "<u4").tobytes()
         out.append((d, at, len(b) // 4, zlib.crc32(b)))
         at += len(b) // 4
     return sorted(out, key=repr)
@@ -75,6 +100,18 @@ def test_token_files(spark):
     assert tokenfile.read_files(empty).count() == 0
 
 
+def test_one_id_in_many_files(spark, request):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    request.addfinalizer(lambda: spark.conf.unset(key))
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(400)], DOCS).repartition(3)
+    manifest = tokenfile.write_files(docs, common.new_dir(spark, "t"), vocabulary_path("byte_bpe_50k.json"))
+    files = manifest.collect()
+    assert len(files) > 1
+    assert max(r["docs"] for r in files) < 300
+    assert sorted((tuple(r) for r in tokenfile.read_files(manifest).collect()), key=repr) == want_files([(7, f"text {k}") for k in range(400)])
+
+
 def test_token_files_of_many_runs(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "RUN", 2)
     rows = [(k, f"text {k} " * (k % 50)) for k in range(300)]
@@ -112,27 +149,34 @@ def test_token_file_query(spark, sf):
 
 @pytest.mark.parametrize("block", [2, 10, 1000, 4 << 20])
 def test_separator_scan(spark, block):
-    docs = spark.createDataFrame([(d, (t or "")[:300]) for d, t in ROWS], DOCS).repartition(2)
-    written = eodscan.write_flat(docs, common.new_dir(spark, "f"), vocabulary_path(eodscan.VOCABULARY))
-    files = written.groupBy("part", "file").agg(F.sum("bytes").alias("bytes"))
-    got = eodscan.count_tokens(files, block=block).join(written, ["part", "place"]).select("doc_id", "n_tokens")
-    e = encoder(vocabulary_path(eodscan.VOCABULARY))
-    want = sorted(((d, len(e._whole([(t or "")[:300]])[0]) // 4 + 1) for d, t in ROWS), key=repr)
+    rows = [r for r in ROWS if block > 100 or len(r[1] or "") < 1000]  # blocks of an id or five: not of the longest text
+    docs = spark.createDataFrame(rows, DOCS).repartition(2).selectExpr("*", "1 AS file", "2 AS bytes", "3 AS place")
+    root = common.new_dir(spark, "f")
+    written = eodscan.write_flat(docs, root, vocabulary_path(eodscan.VOCABULARY))
+    eodscan.write_flat(docs.where("doc_id > 5").repartition(2), root, vocabulary_path(eodscan.VOCABULARY))  # as another attempt: replaces no file
+    files = written.groupBy("file").agg(F.sum("bytes").alias("bytes"))
+    got = eodscan.count_tokens(files, block=block).join(written, ["file", "place"]).select("doc_id", "n_tokens")
+    want = sorted(((d, len(ids) // 4 + 1) for (d, _), ids in zip(rows, library(eodscan.VOCABULARY, [t or "" for _, t in rows], True), strict=True)), key=repr)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
+def test_separator_scan_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert eodscan.op8_token_counts(spark, str(tmp_path)).count() == 0
+
+
 def test_scan_of_plain_files(spark, tmp_path):
     ids = [[7, 7, 9, 9, 1], [9], [], [1, 2, 3], [1, 9, 2]]
     for k, x in enumerate(ids):
         (tmp_path / f"{k}").write_bytes(np.array(x, "<u2").tobytes())
-    files = spark.createDataFrame([(k, f"file://{tmp_path}/{k}", 2 * len(x)) for k, x in enumerate(ids)], "part long, file string, bytes long")
-    got = sorted((r["part"], r["place"], r["start"], r["n_tokens"]) for r in eodscan.count_tokens(files, end=9, block=4).collect())
+    files = spark.createDataFrame([(f"file://{tmp_path}/{k}", 2 * len(x)) for k, x in enumerate(ids)], "file string, bytes long")
+    got = sorted((int(r["file"][-1]), r["place"], r["start"], r["n_tokens"]) for r in eodscan.count_tokens(files, end=9, block=4).collect())
     assert got == [(0, 0, 0, 3), (0, 1, 3, 1), (1, 0, 0, 1), (4, 0, 0, 2)]
 
 
 def test_separator_query(spark, sf):
-    e = encoder(vocabulary_path(eodscan.VOCABULARY))
-    want = sorted((r["doc_id"], len(e._whole([r["text"]])[0]) // 4 + 1) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = sorted((r["doc_id"], len(ids) // 4 + 1) for r, ids in zip(rows, library(eodscan.VOCABULARY, [r["text"] for r in rows], True), strict=True))
     assert sorted(map(tuple, eodscan.op8_token_counts(spark, sf).collect())) == want
 
 
@@ -227,8 +271,11 @@ def test_sum_of_squares_chooses_the_smallest_change():
 @pytest.mark.parametrize("group, rounds", [(40_000, 3), (30, 3), (30, 0), (5, 2)])
 def test_packing_of_many_groups(spark, group, rounds):
     r = random.Random(1)
-    rows = spark.createDataFrame([(k, r.choice([3, 100, 500, 1500, 2047, 2048])) for k in range(400)], "doc_id long, length long").selectExpr("*", "1 AS group", "2 AS done", "3 AS offset")
-    got = packing.pack(rows, group=group, rounds=rounds).collect()
+    rows = spark.createDataFrame([(k, r.choice([3, 100, 500, 1500, 2047, 2048])) for k in range(400)], "doc_id long, length long").selectExpr("*", "1 AS __GROUP", "2 AS __done", "3 AS offset", "4 AS `a b`")
+    packed = packing.pack(rows, group=group, rounds=rounds)
+    assert sorted(packed.columns) == ["__GROUP", "__done", "a b", "doc_id", "length", "offset", "sequence_id"]
+    got = packed.collect()
+    assert {(x["__GROUP"], x["__done"], x["a b"]) for x in got} == {(1, 2, 4)}
     assert sorted(x["doc_id"] for x in got) == list(range(400))
     n = check_bins(got, 2048)
     if rounds and group > 5:
@@ -237,10 +284,9 @@ def test_packing_of_many_groups(spark, group, rounds):
 
 def test_pieces(spark):
     got = packing.pieces(spark.createDataFrame(ROWS, DOCS), vocabulary_path("word_bpe_49k.json")).collect()
-    e = encoder(vocabulary_path("word_bpe_49k.json"))
     want = []
-    for d, t in ROWS:
-        b = e._whole([t or ""])[0] + bytes(4)
+    for (d, _), b in zip(ROWS, library("word_bpe_49k.json", [t or "" for _, t in ROWS]), strict=True):
+        b += bytes(4)
         want += [(d, k, i // 4, len(b[i : i + 8192]) // 4, zlib.crc32(b[i : i + 8192])) for k, i in enumerate(range(0, len(b), 8192))]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
