@@ -60,14 +60,27 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Folders of the tables that ``store`` wrote, in order.
+WRITTEN: list[str] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes tables of ``WRITTEN`` that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        WRITTEN.remove(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,11 @@
 """Language by multinomial naive Bayes over hashed character n-grams.
 
 A text is lower-cased, everything but letters becomes one space, and its n-grams of 1 to 3 code points, spaces included,
-are hashed into ``BUCKETS``. Counts by language are summed on the executors; the log-probability matrix, of
-``BUCKETS x languages`` numbers and so of bounded size, goes to every task, where numpy adds the rows that a text's n-grams
-select. The fit takes about ``PER_LANGUAGE`` rows of each language at most, chosen by a hash of the id, and weighs
-languages by their counts over all rows; of more than ``LANGUAGES`` languages the most frequent are learned.
+are hashed into ``BUCKETS``. Counts by language are summed on the executors; the log-probability matrix, of ``MATRIX``
+numbers at most, goes to every task, where numpy adds the rows that a text's n-grams select. With over MATRIX / BUCKETS =
+128 languages there are fewer buckets, so that all are learned and the matrix stays bounded. The fit takes about
+``PER_LANGUAGE`` rows of each language at most, chosen by a hash of id and text, and weighs languages by their counts over
+all rows. ``lang`` is taken to have ``LANGUAGES`` values at most; more are an error, as they can't be languages.
 
 Defined results: a NULL text or one without a letter is ``und`` with score 0; with no labelled rows all are ``und``;
 equal scores go to the language first in order; repeated ids and rows each give a row.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ship, slices, table
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
-PER_LANGUAGE, LANGUAGES = 5_000, 200
+PER_LANGUAGE, LANGUAGES = 5_000, 1 << 15
+MATRIX = 1 << 23
 SMOOTHING, FOLDS, UNKNOWN = 0.5, 4, "und"
 #: Code points handled at once.
 RUN = 400_000
@@ -48,7 +50,15 @@ _ASCII = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
 _LATIN = "".join(chr(i) if chr(i).isalpha() else " " for i in range(256))
 
 
-def grams(points: np.ndarray) -> list[np.ndarray]:
+def buckets_for(languages: int) -> int:
+    """A power of two: BUCKETS, or fewer where the matrix would be too large."""
+    n = BUCKETS
+    while n * languages > MATRIX:
+        n //= 2
+    return n
+
+
+def grams(points: np.ndarray, buckets: int = BUCKETS) -> list[np.ndarray]:
     """Bucket of the n-gram that starts at each place, for each order; those that would run over the end are left out."""
     x = points.astype(np.uint32)
     out = []
@@ -60,7 +70,7 @@ def grams(points: np.ndarray) -> list[np.ndarray]:
         for k in range(n):
             h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
-        out.append((h & np.uint32(BUCKETS - 1)).astype(np.int64))
+        out.append((h & np.uint32(buckets - 1)).astype(np.int64))
     return out
 
 
@@ -90,18 +100,18 @@ def _spans(h: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, np.maximum(first, np.minimum(np.minimum(starts[1:] - n + 1, starts[:-1] + RUN), len(h)))
 
 
-def _count(languages: list[str]):
+def _count(languages: list[str], buckets: int):
     def run(batches):
         import pyarrow as pa
 
         place = {x: k for k, x in enumerate(languages)}
-        counts = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        counts = np.zeros((len(languages), buckets), dtype=np.int64)
         for batch in slices(batches):
             langs = batch.column("lang").to_pylist()
             for who, flat, starts in _runs([letters(t or "") for t in batch.column("text").to_pylist()]):
-                for n, h in zip(ORDERS, grams(flat), strict=True):
+                for n, h in zip(ORDERS, grams(flat, buckets), strict=True):
                     for i, a, b in zip(who, *_spans(h, n, starts), strict=True):
-                        counts[place[langs[i]]] += np.bincount(h[a:b], minlength=BUCKETS)
+                        counts[place[langs[i]]] += np.bincount(h[a:b], minlength=buckets)
         lang, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(lang.astype(np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(counts[lang, bucket])})
 
@@ -116,12 +126,14 @@ class Model:
         clean = [letters(t or "") for t in texts]
         total = np.tile(self.priors, (len(texts), 1))
         for who, flat, starts in _runs(clean) if self.languages else ():
-            for n, h in zip(ORDERS, grams(flat), strict=True):
+            for n, h in zip(ORDERS, grams(flat, self.logs.shape[1]), strict=True):
                 first, last = _spans(h, n, starts)
-                for k in range(len(self.languages)):
-                    # sums of a part as differences of a running sum
-                    run = np.concatenate([[0.0], np.cumsum(self.logs[k].take(h))])
-                    np.add.at(total[:, k], who, run[last] - run[first])
+                some = last > first
+                # each part is summed on its own, so that equal texts have equal scores whatever stands beside them
+                cuts = np.stack([first[some], last[some]], axis=1).reshape(-1)
+                h = np.append(h, 0)
+                for k in range(len(self.languages) if len(cuts) else 0):
+                    np.add.at(total[:, k], who[some], np.add.reduceat(self.logs[k].take(h), cuts)[::2])
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = total.argmax(axis=1)
@@ -134,20 +146,23 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from (doc_id, text, lang)."""
     ship(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = sorted(((r["count"], r["lang"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()), key=lambda x: x[1])
-    languages = [x for _, x in sizes]
+    sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect())
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"lang has over {LANGUAGES} values")
+    languages = [x for x, _ in sizes]
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
+    buckets = buckets_for(len(languages))
     # the share of a language's rows that gives per_language of them
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    shares = docs.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for n, x in sizes], "lang string, share double")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sizes], "lang string, share double")
     sample = known.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")  # LANGUAGES rows at most
-    counted = sample.mapInArrow(_count(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # LANGUAGES x BUCKETS rows at most
-    counts = np.zeros((len(languages), BUCKETS))
+    counted = sample.mapInArrow(_count(languages, buckets), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = counted.toPandas()  # MATRIX rows at most
+    counts = np.zeros((len(languages), buckets))
     counts[got["lang"], got["bucket"]] = got["n"]
-    logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-    weight = np.array([n for n, _ in sizes], dtype=float)
+    logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * buckets)
+    weight = np.array([n for _, n in sizes], dtype=float)
     return Model(languages, logs, np.log(weight / weight.sum()))
 
 

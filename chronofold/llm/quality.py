@@ -1,17 +1,19 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 A text is cut into blocks of ``BLOCK`` bytes, all of it, and each block is compressed with the dictionary trained on good
-texts and with the one trained on bad texts. The normalised difference of the summed sizes, with the size itself against
-the length (repetition and noise lie at its ends), becomes a probability by a logistic curve fitted on other labelled rows
-than the dictionaries were.
-
-The fit takes at most ``PER_CLASS`` labelled rows of each class for the dictionaries and as many for the curve, the first
-by a hash of their id, texts of over ``LONGEST`` characters left out, which bounds what the driver holds; the curve weighs rows so that the classes count as
-often as in all labels. Scoring covers all of every text.
-
-Defined results: NULL and empty texts are scored as the empty text; without labels of both classes every score is the
-share of good labels, or 0.5 with none; labels other than 0 and 1 don't count; a document labelled twice counts twice;
-repeated ids and rows each give a row.
+texts and with the one trained on bad texts. The normalised difference of the summed sizes becomes a probability by a
+logistic curve, fitted on other labelled rows than the dictionaries were. The curve is a linear spline in that difference;
+how far the text compresses at all and how long it is (the difference of a few words is mostly noise) are splines beside it.
+Knots are quantiles of the rows that the curve is fitted on.
+
+The fit takes at most ``PER_CLASS`` labelled texts of each class for the dictionaries, ``SAMPLES`` blocks of each, spread over
+the whole text, and as many whole texts for the curve, chosen by hashes of id and text. Texts of any length are read on
+the executors; the driver gets those blocks, and three sizes of each text of the curve. The curve weighs rows so that the
+classes count as often as in all labels. Scoring covers all of every text.
+
+Defined results: NULL and empty texts are scored as the empty text; without labelled texts of both classes every score is
+the share of good labels, or 0.5 with none; labels other than 0 and 1 and ids without a document don't count; equal
+(id, text, label) rows count once in the fit; repeated ids and rows each give a row.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ship, slices, table
 
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 65_536
-PER_CLASS, LONGEST, BLOCKS_OF_A_TEXT = 2_000, 50_000, 8
+#: Texts of a class that the dictionaries are trained on, and the curve, at most; blocks of a text for a dictionary.
+PER_CLASS, SAMPLES = 2_000, 8
+#: Quantiles at which a spline has its knots; closer at the ends, where repetition and noise lie.
+KNOTS = (0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98, 0.99)
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -33,6 +38,7 @@ THRESHOLD, FOLDS = 0.3, 5
 class Model:
     good: bytes = b""
     bad: bytes = b""
+    knots: np.ndarray | None = None
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
@@ -58,17 +64,25 @@ class Sizes:
         return sum(len(self.good(b)) for b in blocks), sum(len(self.bad(b)) for b in blocks), len(data)
 
 
-def features(sizes: np.ndarray) -> np.ndarray:
+def measures(sizes: np.ndarray) -> np.ndarray:
+    """(good, bad, length) to the normalised difference, the ratio of compression and the logarithm of the length."""
     good, bad, length = sizes.T.astype(float)
-    length = length + 16
-    diff, ratio, short = (bad - good) / (bad + good), good / length, np.maximum(0, 6 - np.log(length))
-    return np.stack(
-        [np.ones(len(diff)), diff, np.minimum(diff, 0), np.maximum(0, 0.06 - np.abs(diff)), ratio, np.maximum(0, 0.25 - ratio), np.maximum(0, 0.15 - ratio), np.maximum(0, ratio - 0.45), short, diff * short],
-        axis=1,
-    )
+    return np.stack([(bad - good) / (bad + good), good / (length + 16), np.log(length + 16)], axis=1)
+
+
+def choose_knots(sizes: np.ndarray) -> np.ndarray:
+    """A row for each measure: its quantiles."""
+    return np.quantile(measures(sizes), KNOTS, axis=0).T
+
 
+def features(sizes: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """A constant, the measures, and their hinges at the knots."""
+    m = measures(sizes)
+    hinges = [np.maximum(0, m[:, k, None] - knots[k]) for k in range(3)]
+    return np.concatenate([np.ones((len(m), 1)), m, *hinges], axis=1)
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Penalised logistic regression by Newton's method: mean, scale, weights."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[0], scale[0] = 0, 1
@@ -84,48 +98,80 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 def probability(model: Model, sizes: np.ndarray) -> np.ndarray:
     if model.weights is None:
         return np.full(len(sizes), model.prior)
-    z = (features(sizes) - model.mean) / model.scale @ model.weights
+    z = (features(sizes, model.knots) - model.mean) / model.scale @ model.weights
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_dictionary(texts: list[str]) -> bytes:
+def sample_blocks(text: str | None, most: int = SAMPLES) -> list[bytes]:
+    """At most ``most`` blocks of a text, at equal distances over all of it; those of under 8 bytes are left out."""
+    data = (text or "").encode()
+    n = -(-len(data) // BLOCK)
+    places = sorted({k * n // most for k in range(most)}) if n > most else range(n)
+    return [s for k in places if len(s := data[k * BLOCK : (k + 1) * BLOCK]) >= 8]
+
+
+def train_dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
-    samples = []
-    for text in texts:
-        data = text.encode()
-        starts = range(0, len(data), BLOCK)
-        step = max(1, len(starts) // BLOCKS_OF_A_TEXT)
-        samples += [s for i in starts[::step] if len(s := data[i : i + BLOCK]) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: their own bytes serve as the dictionary
         return b"".join(samples)[-DICTIONARY:]
 
 
+def _blocks(batches):
+    import pyarrow as pa
+
+    for batch in slices(batches):
+        for id_, hash_, quality, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "hash", "quality", "text")], strict=True):
+            got = sample_blocks(text)
+            n = len(got)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([id_] * n, pa.int64()), "hash": pa.array([hash_] * n, pa.int64()), "quality": pa.array([quality] * n, pa.int32()), "place": pa.array(range(n), pa.int32()), "block": pa.array(got, pa.binary())})
+
+
+def _sizes(model: Model):
+    def run(batches):
+        import pyarrow as pa
+
+        sizes = Sizes(model.good, model.bad)
+        for batch in slices(batches):
+            got = np.array([sizes.of(t) for t in batch.column("text").to_pylist()], dtype=np.int64)
+            cols = [*map(batch.column, ("doc_id", "hash", "quality")), *(pa.array(got[:, k]) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "hash", "quality", "good", "bad", "length"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns from ``labels`` (doc_id, quality) and the texts of ``docs`` (doc_id, text)."""
+    ship(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL")
     total = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     if len(total) < 2:
         return Model(prior=float(next(iter(total), 0.5)))
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LONGEST)
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = [marked.where(F.col("quality") == q).orderBy(*order).limit(2 * per_class) for q in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 4 * per_class rows at most
-    rows = kept.join(chosen, "doc_id").orderBy(*order).toPandas()
-    # alternate rows of a class train its dictionary and the curve
-    turn = rows.groupby("quality").cumcount() % 2
-    texts = [rows.text[(rows.quality == q) & (turn == 0)].tolist() for q in (0, 1)]
-    curve = rows[turn == 1]
-    if not (texts[0] and texts[1] and curve.quality.nunique() == 2):
-        return Model(prior=total[1] / (total[0] + total[1]))
-    model = Model(good=train_dictionary(texts[1]), bad=train_dictionary(texts[0]), prior=total[1] / (total[0] + total[1]))
-    sizes = Sizes(model.good, model.bad)
-    y = curve.quality.to_numpy()
+    prior = total[1] / (total[0] + total[1])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").where("text IS NOT NULL")
+    known = texts.select("doc_id", "hash").join(marked, "doc_id").distinct()
+    turn = F.pmod(F.xxhash64(F.lit(3), "doc_id", "hash"), F.lit(2)).alias("turn")
+    order = [F.xxhash64("doc_id", "hash"), "doc_id", "hash"]
+    picked = [known.where((F.col("quality") == q) & (turn == t)).orderBy(*order).limit(per_class).withColumn("turn", F.lit(t)) for q in (0, 1) for t in (0, 1)]
+    chosen = picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3]).toPandas()  # 4 * per_class rows of numbers at most
+    if len(chosen.groupby(["quality", "turn"])) < 4:
+        return Model(prior=prior)
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, hash long, quality int, turn int"))
+    rows = texts.join(chosen, ["doc_id", "hash"])
+    # equal rows give equal blocks and sizes, which count once: so what comes to the driver is bounded
+    blocks = rows.where("turn = 0").select("doc_id", "hash", "quality", "text").mapInArrow(_blocks, "doc_id long, hash long, quality int, place int, block binary")
+    blocks = blocks.distinct().orderBy("quality", *order, "place").select("quality", "block").toPandas()
+    samples = [[bytes(b) for b in blocks.block[blocks.quality == q]] for q in (0, 1)]
+    model = Model(good=train_dictionary(samples[1]), bad=train_dictionary(samples[0]), prior=prior)
+    sizes = rows.where("turn = 1").select("doc_id", "hash", "quality", "text").mapInArrow(_sizes(model), "doc_id long, hash long, quality int, good long, bad long, length long")
+    sizes = sizes.distinct().orderBy("quality", *order).toPandas()
+    y, x = sizes.quality.to_numpy(), sizes[["good", "bad", "length"]].to_numpy()
     share = np.array([total[q] / max(1, (y == q).sum()) for q in (0, 1)])
-    weight = share[y] * len(y) / (share[y].sum())
-    model.mean, model.scale, model.weights = fit_curve(features(np.array([sizes.of(t) for t in curve.text])), y, weight)
+    weight = share[y] * len(y) / share[y].sum()
+    model.knots = choose_knots(x)
+    model.mean, model.scale, model.weights = fit_curve(features(x, model.knots), y, weight)
     return model
 
 
@@ -136,8 +182,7 @@ def _score(model: Model):
         sizes = Sizes(model.good, model.bad) if model.weights is not None else None
         for batch in slices(batches):
             got = np.array([sizes.of(t) if sizes else (0, 0, 0) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
-            others = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(probability(model, got))], names=[*others, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(model, got))], names=["doc_id", "score"])
 
     return run
 

@@ -255,7 +255,7 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = links(firsts.select("space", "fp"), bits=CLOSE).distinct()
     pairs = pairs.join(side("a"), ["space", "a"]).join(side("b"), ["space", "b"]).where(_alike("a_sketch", "b_sketch", similarity))
     roots = connected(members.select(F.col("row").alias("a"), F.col("first").alias("b")).unionByName(pairs.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))))
-    of = copies.join(roots.withColumnRenamed("node", "first"), "first", "left").select("high", "low", "n", F.coalesce("root", "first").alias("group"))
+    of = copies.join(roots.withColumnRenamed("node", "first"), "first", "left").select("high", "low", "first", "n", F.coalesce("root", "first").alias("group"))
     single = of.where("n = 1").select(F.col("first").alias("row"), "group")
     several = join_counted(rows.select("row", "high", "low"), store(of.where("n > 1"), "copied"), ["high", "low"])
     return single.unionByName(several.select("row", "group"))

@@ -113,6 +113,107 @@ def test_quality_of_odd_rows(spark):
     assert quality.select(wide, quality.Model(prior=1.0)).columns == wide.columns
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: each value's bytes with the hash so far as the seed, signed."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for kind, v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<" + kind, v), seed)
+    return seed - (seed >> 63 << 64)
+
+
+def plain_quality(docs, labels):
+    """Dictionaries, and the rows of the curve as (good, bad, length, quality), of less rows than the bounds."""
+    import zstandard
+
+    rows = []
+    for d, text in docs:
+        if text is not None:
+            h = spark_hash(("s", text))
+            rows += [(q, spark_hash(("q", d), ("q", h)), d, h, spark_hash(("i", 3), ("q", d), ("q", h)) % 2, text) for d2, q in labels if d2 == d]
+    dictionaries = []
+    for q in (1, 0):
+        parts = []
+        for *_, text in sorted(set(r for r in rows if r[0] == q and r[4] == 0)):
+            data = text.encode()
+            blocks = [data[i : i + 1024] for i in range(0, len(data), 1024)]
+            if len(blocks) > 8:
+                blocks = [blocks[k * len(blocks) // 8] for k in range(8)]
+            parts += [b for b in blocks if len(b) >= 8]
+        dictionaries.append(zstandard.train_dictionary(65_536, parts).as_bytes())
+    curve = [(*plain_sizes(dictionaries, r[-1]), r[0]) for r in sorted(set(rows)) if r[4] == 1]
+    return dictionaries, curve
+
+
+def plain_sizes(dictionaries, text):
+    import zstandard
+
+    data, out = (text or "").encode(), []
+    for d in dictionaries:
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+        out.append(sum(len(c.compress(data[i : i + 1024])) for i in range(0, max(1, len(data)), 1024)))
+    return (*out, len(data))
+
+
+def test_quality_query_against_a_plain_version(spark):
+    import math
+    import zlib
+
+    import numpy as np
+
+    sf = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    seen = [(d, q) for d, q in labels if zlib.crc32(str(d).encode()) % 5]
+    dictionaries, curve = plain_quality(docs, seen)
+    model = quality.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(seen, "doc_id long, quality int"))
+    assert (model.good, model.bad) == tuple(dictionaries)
+    assert model.prior == sum(q for _, q in seen) / len(seen)
+
+    def point(good, bad, length):
+        m = [(bad - good) / (bad + good), good / (length + 16), math.log(length + 16)]
+        x = [1.0, *m]
+        for k in range(3):
+            x += [max(0.0, m[k] - t) for t in model.knots[k]]
+        return [(v - a) / b for v, a, b in zip(x, model.mean, model.scale, strict=True)]
+
+    # the weights are where the gradient of the weighted, penalised likelihood is zero
+    x = np.array([point(*c[:3]) for c in curve])
+    y = np.array([c[3] for c in curve])
+    share = np.array([sum(q == c for _, q in seen) / (y == c).sum() for c in (0, 1)])
+    p = 1 / (1 + np.exp(-(x @ model.weights)))
+    gradient = x.T @ (share[y] * len(y) / share[y].sum() * (y - p)) - 0.3 * model.weights
+    assert np.abs(gradient).max() < 1e-6
+    got = {r["doc_id"]: r for r in quality.op5_quality_classifier(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d, t in docs:
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(point(*plain_sizes(dictionaries, t)), model.weights, strict=True))))
+        assert got[d]["score"] == pytest.approx(want, abs=1e-9)
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0)
+        assert got[d]["predicted"] == (got[d]["score"] >= 0.3)
+
+
+def test_quality_fit_reads_long_texts_and_counts_equal_rows_once(spark):
+    assert quality.sample_blocks(None) == []
+    long = "".join(f"{k:07d} " for k in range(128 * 100))
+    blocks = quality.sample_blocks(long)
+    assert len(blocks) == 8
+    assert int(blocks[-1][:7]) > 128 * 80
+    r = random.Random(0)
+    good = [" ".join(r.choice(["tree", "house", "river", "stone", "light"]) for _ in range(n)) for n in (60, 90, 40_000, 70, 80, 99, 120, 61)]
+    bad = ["".join(r.choice("$%&/()=?") for _ in range(n)) for n in (300, 400, 200_000, 350, 360, 390, 410, 420)]
+    docs = [(k, t) for k, t in enumerate(good + bad)]
+    labels = spark.createDataFrame([(k, int(k < 8)) for k in range(16)] + [(99, 1)], "doc_id long, quality int")
+    once = quality.fit(spark.createDataFrame(docs, DOCS), labels)
+    again = quality.fit(spark.createDataFrame(docs * 3, DOCS).selectExpr("*", "1 AS hash", "2 AS quality", "3 AS turn"), labels)
+    assert once.weights is not None
+    assert (once.good, once.bad) == (again.good, again.bad)
+    assert (once.weights == again.weights).all()
+
+
 # --- language -----------------------------------------------------------------------------------------------------------
 
 
@@ -153,6 +254,67 @@ def test_scores_against_a_plain_sum(monkeypatch, run):
         assert score == pytest.approx(p.max() / p.sum())
 
 
+def test_language_query_against_a_plain_version(spark, sf):
+    import math
+    import zlib
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    counts, n = {}, {}
+
+    def buckets(text):
+        import numpy as np
+
+        for g in plain_grams(langid.letters(text or "")):
+            yield int(langid.grams(np.array([ord(c) for c in g], dtype="<u4"))[len(g) - 1][0])
+
+    for d, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            n[lang] = n.get(lang, 0) + 1
+            of = counts.setdefault(lang, {})
+            for b in buckets(t):
+                of[b] = of.get(b, 0) + 1
+    size = {x: sum(c.values()) + 0.5 * langid.BUCKETS for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.op6_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for d, t, _ in rows[:60]:
+        held = zlib.crc32(str(d).encode()) % 4 == 2
+        if not langid.letters(t or ""):
+            assert tuple(got[d]) == (d, held, "und", 0)
+            continue
+        found = list(buckets(t))
+        total = {x: math.log(n[x] / sum(n.values())) + sum(math.log((counts[x].get(b, 0) + 0.5) / size[x]) for b in found) for x in sorted(n)}
+        best = max(total, key=total.get)
+        assert (got[d]["held_out"], got[d]["lang_pred"]) == (held, best)
+        assert got[d]["score"] == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()))
+
+
+def test_equal_scores_go_to_the_first_language_whatever_stands_beside():
+    import numpy as np
+
+    logs = np.random.RandomState(1).randn(1, 512).repeat(3, axis=0)
+    m = langid.Model(["a", "b", "c"], logs, np.log(np.full(3, 1 / 3)))
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefg hij") for _ in range(r.randint(1, 3000))) + "x" for _ in range(50)]
+    langs, scores = m.predict(texts)
+    assert set(langs) == {"a"}
+    assert scores == pytest.approx(1 / 3)
+    for t, s in zip(texts, scores, strict=True):
+        assert m.predict(["other text", t])[1][1] == s
+
+
+def test_many_languages(spark, monkeypatch):
+    assert [langid.buckets_for(n) for n in (1, 128, 129, 4096)] == [1 << 16, 1 << 16, 1 << 15, 1 << 11]
+    docs = spark.createDataFrame([(k, f"{chr(97 + k) * 5} word", f"l{k:02d}") for k in range(26)] * 2, "doc_id long, text string, lang string").selectExpr("*", "1 AS share", "2 AS bucket", "3 AS n")
+    monkeypatch.setattr(langid, "MATRIX", 26 * 4096)
+    model = langid.fit(docs)
+    assert model.logs.shape == (26, 4096)
+    assert {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, model).collect()} == {(k, f"l{k:02d}") for k in range(26)}
+    monkeypatch.setattr(langid, "LANGUAGES", 25)
+    with pytest.raises(ValueError):
+        langid.fit(docs)
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
 def test_language_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "123 !!", "en"), (3, "the cat", "en"), (4, "le chat noir", "fr"), (None, "chat noir", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(docs)).collect()}
