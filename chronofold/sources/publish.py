@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.validate import same_rows
+from ..session import reach_workers
 
 
 class Files:
@@ -95,18 +97,26 @@ def publish_pair(df: DataFrame, path: str, metadata: dict, check=None) -> None:
 
 
 def convert(spark: SparkSession, df: DataFrame, path: str) -> dict:
-    """Writes a validated table, reads it back, compares, and only then puts it in place; rows and bytes."""
-    files, stage = Files(spark, path), f"{path}.{uuid.uuid4().hex}.new"
-    write_parquet(df, stage)
+    """Writes a validated table, reads it back, compares, and only then puts it in place; rows and bytes.
+
+    An old table steps aside, and comes back if the new one can't be put in place.
+    """
+    files, token = Files(spark, path), uuid.uuid4().hex
+    stage, old = f"{path}.{token}.new", f"{path}.{token}.old"
     try:
+        write_parquet(df, stage)
         if not same_rows(df, spark.read.parquet(stage)):
             raise ValueError(f"{path}: what was written isn't what was read")
         if files.exists(path):
-            files.delete(path)
+            files.rename(path, old)
         files.rename(stage, path)
     except BaseException:
-        files.delete(stage)
+        with contextlib.suppress(Exception):
+            files.delete(stage)
+        if files.exists(old) and not files.exists(path):
+            files.rename(old, path)
         raise
+    files.delete(old)
     size = files.fs.getContentSummary(files.path(path)).getLength()
     return {"rows": spark.read.parquet(path).count(), "bytes": size}
 
@@ -135,9 +145,29 @@ def identity(df: DataFrame, columns: list[str] | None = None) -> str:
     return d.agg(F.sha2(text, 256)).first()[0]
 
 
+def _digests(batches):
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for uri in batch.column("path").to_pylist():
+            files, path = (fs.LocalFileSystem(), "/" + unquote(uri[5:]).lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with files.open_input_stream(path) as stream:
+                while piece := stream.read(8 << 20):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(found, pa.string())], names=["n", "h"])
+
+
 def files_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the sorted names and digests of a folder's files."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    d = rows.select(F.struct(F.element_at(F.split("path", "/"), -1).alias("n"), F.sha2("content", 256).alias("h")).alias("x"))
+    """SHA-256 over the sorted names and digests of a folder's files, each read in pieces where it lies, whatever its size."""
+    reach_workers(spark)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    names = rows.select("path", F.element_at(F.split("path", "/"), -1).alias("n"))
+    d = names.mapInArrow(_digests, "n string, h string").select(F.struct("n", "h").alias("x"))
     joined = F.concat_ws("|", F.transform(F.sort_array(F.collect_list("x")), lambda x: F.concat(x["n"], F.lit(":"), x["h"])))
     return d.agg(F.sha2(joined, 256)).first()[0]

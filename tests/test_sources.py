@@ -57,6 +57,58 @@ def test_row_identity(spark, tmp_path):
     assert many.select("k").distinct().count() == 100
 
 
+def test_row_identity_of_a_partitioned_table(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id", "concat('a b/', id % 3) AS p").coalesce(1)
+    rows.write.partitionBy("p").parquet(str(tmp_path / "parts"))
+    df = spark.read.parquet(str(tmp_path / "parts"))
+    assert len({f.rsplit("/", 1)[1] for f in df.inputFiles()}) < len(df.inputFiles())
+    got = row_identity(df, "k")
+    assert got.columns == ["id", "p", "k"]
+    assert got.count() == 60
+    assert got.select("k").distinct().count() == 60
+    assert sorted(r["k"] & (1 << 40) - 1 for r in got.collect()) == sorted(list(range(1, 21)) * 3)
+
+
+def test_csv_quotes(spark, tmp_path):
+    text = 'userId,movieId,tag,timestamp\n1,2,"say ""hi"", now",2020-01-01 00:00:00\n1,2,"two\nlines",2020-01-01 00:00:00\n1,2,back\\slash,2020-01-01 00:00:00\n'
+    got = read_csv(spark, csv(tmp_path, text), DATASETS["tags"])
+    assert sorted(r["tag"] for r in got.collect()) == ["back\\slash", 'say "hi", now', "two\nlines"]
+    one = read_csv(spark, csv(tmp_path, 'userId,movieId,tag,timestamp\n1,2,"a, ""b""",2020-01-01 00:00:00\n'), DATASETS["tags"], multiline=False)
+    assert one.first()["tag"] == 'a, "b"'
+
+
+@pytest.mark.parametrize("value", ["abc", "1.5x", "-"])
+def test_malformed_nullable_numbers_are_rejected(spark, tmp_path, value):
+    with pytest.raises(ValueError, match="tmdbId"):
+        read_csv(spark, csv(tmp_path, f"movieId,imdbId,tmdbId\n1,2,\n2,3,{value}\n"), DATASETS["links"])
+
+
+def test_convert_keeps_the_old_table_on_failure(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    assert pub.convert(spark, spark.range(3), path)["rows"] == 3
+    rename = pub.Files.rename
+
+    def broken(self, a, b):
+        if a.endswith(".new"):
+            raise OSError("no room")
+        rename(self, a, b)
+
+    monkeypatch.setattr(pub.Files, "rename", broken)
+    with pytest.raises(OSError):
+        pub.convert(spark, spark.range(5), path)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.undo()
+    assert pub.convert(spark, spark.range(5), path)["rows"] == 5
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_files_digest_follows_content(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * (20 << 20))
+    first = pub.files_digest(spark, f"file://{tmp_path}")
+    (tmp_path / "a").write_bytes(b"x" * (20 << 20) + b"y")
+    assert pub.files_digest(spark, f"file://{tmp_path}") != first
+
+
 def test_identity(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 0.5), (2, "y", 0.5)], "a long, b string, c double")
     want = pub.identity(a)
