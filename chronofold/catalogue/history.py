@@ -53,7 +53,11 @@ def item_history(spark, sf):
 , h AS (SELECT *, count(*) OVER w AS n, sum(rating) OVER w AS s FROM re WINDOW w AS (PARTITION BY item_id ORDER BY event_us {PRIOR}))
 SELECT event_id, user_id, item_id, event_us, n AS item_id_n, coalesce(s, 0) AS item_id_s FROM h"""))
 def salted_item_history(spark, sf):
-    return h.salted_history(views.events(spark, sf), "item_id").select(*KEYS, "item_id_n", "item_id_s")
+    """Items with over 20 events go through buckets of time."""
+    e = views.events(spark, sf).drop("ts")
+    e = h.item_history(e, {}, h.hot_keys(e, "item_id", 20))
+    total = F.coalesce(F.round(F.col("item_mean") * F.col("item_count") * 2) / 2, F.lit(0.0))  # sums of half stars
+    return e.select(*KEYS, F.col("item_count").alias("item_id_n"), total.alias("item_id_s"))
 
 
 def _rolling(days: int) -> str:
@@ -97,9 +101,11 @@ def json_event_items(spark, sf):
 
 
 _AFFINITY = f"""
-, ue AS (SELECT re.*, s / nullif(n, 0) AS user_mean FROM (SELECT event_id, count(*) OVER w AS n, sum(rating) OVER w AS s FROM re WINDOW w AS (PARTITION BY user_id ORDER BY event_us {PRIOR})) x JOIN re USING (event_id)),
-x AS (SELECT ue.event_id, count(*) OVER w AS n, sum(rating) OVER w AS s FROM ue JOIN br USING (item_id) WINDOW w AS (PARTITION BY user_id, genre ORDER BY event_us {PRIOR})),
-g AS (SELECT event_id, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s FROM x GROUP BY event_id)
+, ue AS MATERIALIZED (
+  SELECT event_id, user_id, item_id, event_us, rating, sum(rating) OVER w / nullif(count(*) OVER w, 0) AS user_mean FROM re WINDOW w AS (PARTITION BY user_id ORDER BY event_us {PRIOR})),
+ug AS MATERIALIZED (SELECT event_id, user_id, genre, event_us, rating FROM ue JOIN br ON ue.item_id = br.item_id),
+x AS MATERIALIZED (SELECT event_id, count(*) OVER w AS n, sum(rating) OVER w AS s FROM ug WINDOW w AS (PARTITION BY user_id, genre ORDER BY event_us {PRIOR})),
+g AS MATERIALIZED (SELECT event_id, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s FROM x GROUP BY event_id)
 """
 
 
@@ -203,6 +209,16 @@ def feature_matrix_baseline17(spark, sf):
     return _as_double(feature_table(views.events(spark, sf), views.catalog(spark, sf), version=17))
 
 
+@query(with_views("re yr br", _BASE + f"SELECT {_COLUMNS17} {_JOINS}"))
+def feature_matrix_hot_keys(spark, sf):
+    """The 17 features where items and users with over 30 events are hot."""
+    from ..plans.features import blocks
+    from ..schemas import CONTEXT, contract
+
+    e = blocks(views.events(spark, sf), views.catalog(spark, sf), hot=30)
+    return _as_double(e.select(*CONTEXT, *[F.col(f.name).cast(f.kind).alias(f.name) for f in contract(17)]))
+
+
 _VECTOR_NAMES = ("liked_cosine", "disliked_cosine", "preference_margin", "nearest_liked", "top5_liked", "vector_mean", "vector_std", "vector_top10")
 
 

@@ -18,8 +18,10 @@ from ..functions.scalars import DAY_US, check_window_us, pop_std, safe_ratio
 
 # Fixed value: the global mean where there is no history.
 COLD_START = 3.5
-#: Width of the time buckets of the global history.
-BUCKET_US = 30 * DAY_US
+#: Width of the time buckets of the global history, an hour: 20 years are 175,320 of them, whatever the number of events.
+BUCKET_US = DAY_US // 24
+#: Rows of a key from which its time is cut into buckets of about so many rows.
+HOT = 1_000_000
 
 
 def prior(*key: str, upto: int = -1):
@@ -29,26 +31,87 @@ def prior(*key: str, upto: int = -1):
 def global_history(events: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """Adds global_count and global_mean.
 
-    Time is cut into buckets: totals of earlier buckets (a row a bucket) are joined, and only the bucket of a row is a
-    window's partition, so no task sees all events.
+    Events are summed by timestamp before any shuffle; a timestamp sees the totals of the earlier buckets of time (a row a
+    bucket) and of the earlier timestamps of its own, so no task sees all events. What each timestamp sees is joined back.
     """
-    bucket = F.floor(F.col("event_us") / bucket_us)
-    e = events.withColumn("__b", bucket)
-    totals = e.groupBy("__b").agg(F.count("*").alias("n"), F.sum("rating").alias("s"))
-    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("__s0"))
+    t = events.groupBy("event_us").agg(F.count("*").alias("__n"), F.sum("rating").alias("__s")).withColumn("__b", F.floor(F.col("event_us") / bucket_us))
+    totals = t.groupBy("__b").agg(F.sum("__n").alias("n"), F.sum("__s").alias("s"))
+    before, zero = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1), F.lit(0.0)
+    totals = totals.select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("s").over(before), zero).alias("__s0"))
     w = prior("__b")
-    e = e.withColumns({"__n1": F.count("*").over(w), "__s1": F.coalesce(F.sum("rating").over(w), F.lit(0.0))}).join(totals, "__b")
+    t = t.select("event_us", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__n1"), F.coalesce(F.sum("__s").over(w), zero).alias("__s1")).join(totals, "__b")
     n, s = F.col("__n0") + F.col("__n1"), F.col("__s0") + F.col("__s1")
-    return e.withColumns({"global_count": n, "global_mean": F.coalesce(safe_ratio(s, n.cast("double")), F.lit(COLD_START))}).drop("__b", "__n0", "__s0", "__n1", "__s1")
+    t = t.select(F.col("event_us").alias("__t"), n.alias("global_count"), F.coalesce(safe_ratio(s, n.cast("double")), F.lit(COLD_START)).alias("global_mean"))
+    return events.join(t, F.col("event_us").eqNullSafe(F.col("__t")), "left").drop("__t")
 
 
-def user_history(events: DataFrame) -> DataFrame:
-    """Adds user_n, user_s (sums), user_count, user_mean (NULL when empty), user_std and user_recency_s."""
+def hot_keys(events: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:
+    """(key, __width): keys with over ``rows`` events, and the width of time that about ``rows`` of each fill; None if there
+    are none. There are at most events / rows of them."""
+    rows = HOT if rows is None else rows
+    if events.limit(rows + 1).count() <= rows:
+        return None
+    counts = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), (F.max("event_us") - F.min("event_us") + 1).alias("span"))
+    hot = counts.where(F.col("n") > rows).select(key, F.greatest(F.lit(1), F.floor(F.col("span") * F.lit(rows) / F.col("n"))).cast("long").alias("__width"))
+    kept = hot.collect()
+    return events.sparkSession.createDataFrame(kept, hot.schema) if kept else None
+
+
+def spread_prior(events: DataFrame, keys: list[str], hot: DataFrame, shifts: dict[str, int]) -> DataFrame:
+    """Events of hot keys with __n_{k}, __s_{k}, __ss_{k} and __last_{k} of the events of equal ``keys`` before event_us - shift,
+    for each name and shift of ``shifts``; the first of ``keys`` is that of ``hot``.
+
+    Each event asks once for each shift, at the time shifted; questions and events fall into buckets of time, of which each
+    is a window's partition, and the totals of earlier buckets come from a table of a row a key and bucket.
+    """
+    others = [c for c in events.columns if c not in (*keys, "event_id")]
+    e = events.join(F.broadcast(hot), keys[0])
+    asks = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(us).cast("long").alias("shift")) for k, us in shifts.items()])).alias("__ask")
+    first = next(iter(shifts))
+    if shifts[first]:
+        raise ValueError("the first shift must be 0: its rows are the events")
+    e = e.select("*", asks).withColumn("__at", F.col("event_us") - F.col("__ask.shift")).withColumn("__b", F.floor(F.col("__at") / F.col("__width")))
+    own = F.col("__ask.name") == first
+    r = F.col("rating")
+    e = e.withColumns({"__w": own.cast("long"), "__r": F.when(own, r).otherwise(0.0), "__rr": F.when(own, r * r).otherwise(0.0), "__u": F.when(own, F.col("event_us"))})
+    sums = {"n": F.sum("__w"), "s": F.sum("__r"), "ss": F.sum("__rr"), "last": F.max("__u")}
+    totals = e.groupBy(*keys, "__b").agg(*[c.alias(k) for k, c in sums.items()])
+    before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__b", *[(F.max(k) if k == "last" else F.sum(k)).over(before).alias(f"__0{k}") for k in sums])
+    w = W.partitionBy(*keys, "__b").orderBy("__at").rangeBetween(W.unboundedPreceding, -1)
+    e = e.withColumns({f"__1{k}": c.over(w) for k, c in sums.items()})
+    on = [e[k].eqNullSafe(totals[k]) for k in (*keys, "__b")]
+    e = e.join(totals, on).select(*[e[c] for c in e.columns], *[f"__0{k}" for k in sums])
+    zero = {k: F.coalesce(f"__0{k}", F.lit(0)) + F.coalesce(f"__1{k}", F.lit(0)) for k in ("n", "s", "ss")}
+    found = zero | {"last": F.greatest("__0last", "__1last")}
+    pick = [F.max(F.when(F.col("__ask.name") == name, found[k])).alias(f"__{k}_{name}") for name in shifts for k in found]
+    return e.groupBy(*keys, "event_id").agg(*[F.first(F.struct(c))[c].alias(c) for c in others], *pick)
+
+
+def _split(events: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of other keys, and of hot ones."""
+    names = F.broadcast(hot.select(key))
+    return events.join(names, key, "left_anti"), events.join(names, key, "left_semi")
+
+
+def user_history(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Adds user_count, user_mean (NULL when empty), user_std and user_recency_s; ``hot`` as from ``hot_keys``."""
+    if hot is not None:
+        rest, some = _split(events, "user_id", hot)
+        some = spread_prior(some, ["user_id"], hot, {"all": 0})
+        some = some.select(*events.columns, F.col("__n_all").alias("user_count"), F.col("__s_all").alias("__s"), F.col("__ss_all").alias("__ss"), F.col("__last_all").alias("__last"))
+        return _user_columns(_user_sums(rest).unionByName(some))
+    return _user_columns(_user_sums(events))
+
+
+def _user_sums(events: DataFrame) -> DataFrame:
     w = prior("user_id")
-    e = events.withColumns({
+    return events.withColumns({
         "user_count": F.count("*").over(w), "__s": F.sum("rating").over(w), "__ss": F.sum(F.col("rating") * F.col("rating")).over(w), "__last": F.max("event_us").over(w),
     })
+
+
+def _user_columns(e: DataFrame) -> DataFrame:
     n = F.col("user_count").cast("double")
     return e.withColumns({
         "user_mean": safe_ratio(F.col("__s"), n), "user_std": pop_std(n, F.col("__s"), F.col("__ss")),
@@ -56,22 +119,36 @@ def user_history(events: DataFrame) -> DataFrame:
     }).drop("__s", "__ss", "__last")
 
 
-def item_history(events: DataFrame, windows: dict[str, int] | None = None) -> DataFrame:
-    """Adds item_count, item_mean, item_std, and item_count_{w}, item_mean_{w} of rolling windows, all in one pass by item."""
+def item_history(events: DataFrame, windows: dict[str, int] | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """Adds item_count, item_mean, item_std, and item_count_{w}, item_mean_{w} of rolling windows, all in one pass by item;
+    ``hot`` as from ``hot_keys``."""
     windows = {"30d": 30 * DAY_US, "60d": 60 * DAY_US} if windows is None else windows
+    if hot is not None:
+        rest, some = _split(events, "item_id", hot)
+        some = spread_prior(some, ["item_id"], hot, {"all": 0} | {name: check_window_us(us) for name, us in windows.items()})
+        sums = [F.col("__n_all").alias("item_count"), F.col("__s_all").alias("__s"), F.col("__ss_all").alias("__ss")]
+        sums += [F.col(f"__{k}_{name}") for name in windows for k in ("n", "s")]
+        return _item_columns(_item_sums(rest, windows).unionByName(some.select(*events.columns, *sums)), windows)
+    return _item_columns(_item_sums(events, windows), windows)
+
+
+def _item_sums(events: DataFrame, windows: dict[str, int]) -> DataFrame:
     w = prior("item_id")
     new = {"item_count": F.count("*").over(w), "__s": F.sum("rating").over(w), "__ss": F.sum(F.col("rating") * F.col("rating")).over(w)}
     for name, us in windows.items():
         out = prior("item_id", upto=-check_window_us(us) - 1)
         new |= {f"__n_{name}": F.count("*").over(out), f"__s_{name}": F.coalesce(F.sum("rating").over(out), F.lit(0.0))}
-    e = events.withColumns(new)
+    return events.withColumns(new)
+
+
+def _item_columns(e: DataFrame, windows: dict[str, int]) -> DataFrame:
     n = F.col("item_count").cast("double")
     more = {"item_mean": safe_ratio(F.col("__s"), n), "item_std": pop_std(n, F.col("__s"), F.col("__ss"))}
     for name in windows:
         count = F.col("item_count") - F.col(f"__n_{name}")
         total = F.coalesce("__s", F.lit(0.0)) - F.col(f"__s_{name}")
         more |= {f"item_count_{name}": count, f"item_mean_{name}": safe_ratio(total, count.cast("double"))}
-    return e.withColumns(more).drop(*new.keys() - {"item_count"})
+    return e.withColumns(more).drop("__s", "__ss", *[f"__{k}_{name}" for name in windows for k in ("n", "s")])
 
 
 def window_ratios(events: DataFrame, short: str = "30d", long: str = "60d") -> DataFrame:
@@ -82,12 +159,21 @@ def window_ratios(events: DataFrame, short: str = "30d", long: str = "60d") -> D
     return events.withColumns({"item_mean_ratio": ratio, "item_count_ratio": n})
 
 
-def group_affinity(events: DataFrame) -> DataFrame:
+def group_affinity(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Adds user_genre_count and user_genre_mean: the user's earlier ratings of the target's genres, a row an association.
 
     ``events`` has ``genres`` (array), event_id and user_mean, as ``user_history`` gives it. The shuffle by user that its window
-    made serves the exploded windows by (user, genre), and the grouping by (user, event) back to one row an event.
+    made serves the exploded windows by (user, genre), and the grouping by (user, event) back to one row an event; ``hot``
+    as from ``hot_keys`` of the users.
     """
+    if hot is not None:
+        rest, some = _split(events, "user_id", hot)
+        x = some.select("user_id", F.explode("genres").alias("__g"), "event_id", "event_us", "rating")
+        x = spread_prior(x, ["user_id", "__g"], hot, {"all": 0})
+        x = x.groupBy("user_id", "event_id").agg(F.sum("__n_all").alias("user_genre_count"), F.sum("__s_all").alias("__s"))
+        some = some.join(x, ["user_id", "event_id"], "left").withColumn("user_genre_count", F.coalesce("user_genre_count", F.lit(0)))
+        mean = F.coalesce(safe_ratio(F.col("__s"), F.col("user_genre_count").cast("double")), "user_mean")
+        return group_affinity(rest).unionByName(some.withColumn("user_genre_mean", mean).drop("__s"))
     others = [c for c in events.columns if c not in ("user_id", "event_id")]
     e = events.select("*", F.explode_outer("genres").alias("__g"))
     w = prior("user_id", "__g")
@@ -95,18 +181,3 @@ def group_affinity(events: DataFrame) -> DataFrame:
     back = e.groupBy("user_id", "event_id").agg(*[F.first(c).alias(c) for c in others], F.coalesce(F.sum("__n"), F.lit(0)).alias("user_genre_count"), F.sum("__s").alias("__s"))
     mean = safe_ratio(F.col("__s"), F.col("user_genre_count").cast("double"))
     return back.withColumn("user_genre_mean", F.coalesce(mean, "user_mean")).drop("__s")
-
-
-def salted_history(events: DataFrame, key: str, bucket_us: int = BUCKET_US) -> DataFrame:
-    """Adds {key}_n, {key}_s: strict-prior count and sum, for keys that may hold a third of all rows.
-
-    A key's time is cut into buckets, so its rows spread over tasks; the totals of its earlier buckets come from a table of
-    a row a key and bucket, aggregated before its shuffle.
-    """
-    e = events.withColumn("__b", F.floor(F.col("event_us") / bucket_us))
-    totals = e.groupBy(key, "__b").agg(F.count("*").alias("n"), F.sum("rating").alias("s"))
-    before = W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(key, "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("__s0"))
-    w = prior(key, "__b")
-    e = e.withColumns({"__n1": F.count("*").over(w), "__s1": F.coalesce(F.sum("rating").over(w), F.lit(0.0))}).join(totals, [key, "__b"])
-    return e.withColumns({f"{key}_n": F.col("__n0") + F.col("__n1"), f"{key}_s": F.col("__s0") + F.col("__s1")}).drop("__b", "__n0", "__s0", "__n1", "__s1")

@@ -86,8 +86,24 @@ def test_salted_history_equals_plain(spark):
     data = [(k, 1, r.choice([1, 1, 1, 2]), r.randint(1, 10) / 2, r.randint(0, 400) * DAY_US) for k in range(200)]
     e = spark.createDataFrame(data, EVENTS)
     w = h.prior("item_id")
-    plain = e.select("event_id", F.count("*").over(w).alias("n"), F.coalesce(F.sum("rating").over(w), F.lit(0.0)).alias("s"))
-    assert rows(plain, "n", "s") == rows(h.salted_history(e, "item_id"), "item_id_n", "item_id_s")
+    plain = e.select("event_id", F.count("*").over(w).alias("n"), (F.sum("rating").over(w) / F.count("*").over(w)).alias("s"))
+    assert h.hot_keys(e, "item_id") is None
+    hot = h.hot_keys(e, "item_id", 60)
+    assert [r["item_id"] for r in hot.collect()] == [1]
+    assert rows(plain, "n", "s") == rows(h.item_history(e, {}, hot), "item_count", "item_mean")
+
+
+@pytest.mark.parametrize("span", [400, 30 * 400, 3])
+def test_hot_keys_give_the_same_features(spark, span):
+    """A third of all events on one item, and half on one user; spans of many buckets a window, and of one timestamp a bucket."""
+    r = random.Random(span)
+    g = {i: r.sample(["a", "b", "c"], r.randint(0, 3)) for i in range(1, 20)}
+    data = [(k, 1 if r.random() < 0.5 else r.randint(2, 9), 1 if r.random() < 0.35 else r.randint(2, 19), r.randint(1, 10) / 2, r.randint(0, span) * DAY_US // 24) for k in range(600)]
+    e = spark.createDataFrame(data, EVENTS).repartition(3)
+    c = catalog(spark, g)
+    names = [f.name for f in contract(17)] + ["item_count_60d", "item_mean_60d"]
+    plain, hot = (rows(blocks(e, c, hot=n), "user_id", "item_id", "rating", *names) for n in (None, 40))
+    assert plain == hot
 
 
 def scores(spark, vectors, tags=10):
