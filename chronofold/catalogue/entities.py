@@ -85,10 +85,16 @@ def domain_violations(spark, sf):
 
 
 @query(with_views("it", """
-SELECT item_id, 'mixed' AS fault FROM it WHERE contains(genres, '(no genres listed)') AND genres <> '(no genres listed)'
-UNION ALL SELECT item_id, 'empty' FROM it WHERE list_contains(string_split(genres, '|'), '')"""))
+, f AS (SELECT item_id, CASE item_id % 50 WHEN 1 THEN genres || '|' WHEN 2 THEN ' ' || genres WHEN 3 THEN genres || '|(no genres listed)' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE genres END AS g FROM it),
+t AS (SELECT item_id, g, string_split(g, '|') AS p FROM f),
+c AS (SELECT item_id, CASE WHEN g IS NULL OR list_contains(p, '') THEN 'empty' WHEN len(list_filter(p, lambda x: trim(x) <> x)) > 0 THEN 'space'
+  WHEN list_contains(p, '(no genres listed)') AND len(p) > 1 THEN 'mixed' END AS fault FROM t)
+SELECT item_id, fault FROM c WHERE fault IS NOT NULL"""))
 def genre_grammar(spark, sf):
-    return val.genre_faults(views.raw_items(spark, sf))
+    """Every 50th item and its neighbours get a fault of each kind."""
+    k = F.col("item_id") % 50
+    broken = F.when(k == 1, F.concat("genres", F.lit("|"))).when(k == 2, F.concat(F.lit(" "), "genres")).when(k == 3, F.concat("genres", F.lit("|"), F.lit(views.NO_GENRE))).when(k == 4, F.lit(""))
+    return val.genre_faults(views.raw_items(spark, sf).withColumn("genres", F.when(k == 5, F.lit(None)).otherwise(F.coalesce(broken, "genres"))))
 
 
 @query(with_views("br", """

@@ -19,11 +19,15 @@ CUT_US = 920_246_400_000_000
 
 
 def _scratch(spark) -> str:
-    """A folder for files of a query: in the shared checkpoint folder, if the session names one."""
+    """A folder for files of a query: in the shared checkpoint folder, which only a session in one process may leave unnamed."""
     import uuid
 
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named.rstrip('/')}/chronofold-{uuid.uuid4().hex}" if named else f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
+    if named:
+        return f"{named.rstrip('/')}/chronofold/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
 
 
 @query(with_views("re", """
@@ -82,13 +86,21 @@ def checkpoint_resume(spark, sf):
     return _as_double(found.select(*_columns()))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_full, CAST(0 AS BIGINT) AS only_incremental")
+@query(with_views("re yr br", _BASE + f""", w AS (SELECT {_COLUMNS17} {_JOINS} WHERE b.event_us >= {CUT_US})
+SELECT CAST(0 AS BIGINT) AS only_full, CAST(0 AS BIGINT) AS only_incremental, count(*) AS n, CAST(sum(user_count) AS BIGINT) AS user_counts,
+  CAST(sum(user_genre_count) AS BIGINT) AS group_counts, CAST(sum(global_count) AS BIGINT) AS global_counts, round(sum(item_mean), 3) AS item_means FROM w"""))
 def incremental_equals_full(spark, sf):
-    """Rows that only the full plan, or only the resumed one, gives; none of either."""
+    """Rows that only the full plan, or only the resumed one, gives (none of either), and sums of the resumed one."""
     e, c = _kept(spark, sf, _scratch(spark)), views.catalog(spark, sf)
     full = blocks(e, c).where(F.col("event_us") >= CUT_US).select(*_columns())
     some = tables.suffix_features(tables.build(e, checkpoints.bridge_of(c), CUT_US), e, c).select(*_columns())
-    return full.exceptAll(some).agg(F.count("*").alias("only_full")).crossJoin(some.exceptAll(full).agg(F.count("*").alias("only_incremental")))
+    total = lambda c: F.sum(c).cast("long")
+    sums = some.agg(
+        F.count("*").alias("n"), total("user_count").alias("user_counts"), total("user_genre_count").alias("group_counts"), total("global_count").alias("global_counts"),
+        F.round(F.sum(F.col("item_mean").cast("double")), 3).alias("item_means"),
+    )
+    one = full.exceptAll(some).agg(F.count("*").alias("only_full")).crossJoin(some.exceptAll(full).agg(F.count("*").alias("only_incremental")))
+    return one.crossJoin(sums)  # a row each
 
 
 @query(with_views("re yr br", _BASE + f"SELECT {_COLUMNS17} {_JOINS}"))
@@ -98,11 +110,10 @@ def stream_replay(spark, sf):
 
     root = _scratch(spark)
     e = views.events(spark, sf).select("event_id", "user_id", "item_id", "rating", "event_us")
-    for k, part in enumerate(_thirds(e)):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in/part={k}")
     stream = StreamReplay(spark, f"{root}/out", views.catalog(spark, sf))
-    for k in range(3):
-        stream.process(spark.read.parquet(f"{root}/in/part={k}").select(*e.columns), k)
+    for part in _thirds(e):  # what has arrived is one micro-batch; the stream's own checkpoint says what is new
+        part.write.mode("append").parquet(f"{root}/in")
+        stream.run(f"{root}/in", files_a_batch=None, flush=False)
     stream.flush()
     return _as_double(stream.features().select(*_columns()))
 

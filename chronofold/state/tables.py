@@ -44,7 +44,7 @@ def _sums(df: DataFrame, *keys, ss: bool = True) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *([F.sum("ss").alias("ss")] if ss else []))
 
 
-def _fold(user: DataFrame, item: DataFrame, group: DataFrame, cutoff_us: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fold(user: DataFrame, item: DataFrame, group: DataFrame, cutoff_us: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     u = user.groupBy("user_id").agg(F.max("event_us").alias("event_us"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     when = F.when(F.col("event_us") >= cutoff_us - KEEP_US, F.col("event_us")).otherwise(F.lit(OLD)).alias("event_us")
     i = _sums(item, "item_id", when)
@@ -60,7 +60,7 @@ def _rows(events: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame, D
 def build(events: DataFrame, bridge: DataFrame, cutoff_us: int) -> State:
     """The state of exactly the events before the cutoff."""
     past = events.where(F.col("event_us") < cutoff_us)
-    u, i, g = _fold(*_rows(past, bridge), cutoff_us)
+    u, i, g = fold(*_rows(past, bridge), cutoff_us)
     n, s = past.agg(F.count("*"), F.coalesce(F.sum("rating"), F.lit(0.0))).first()
     return State(cutoff_us, n, s, u, i, g)
 
@@ -74,7 +74,7 @@ def advance(state: State, events: DataFrame, bridge: DataFrame, cutoff_us: int)
         raise ValueError("the cutoff is before the state's")
     new = events.where((F.col("event_us") >= state.cutoff_us) & (F.col("event_us") < cutoff_us))
     u, i, g = _rows(new, bridge)
-    u, i, g = _fold(state.user.unionByName(u), state.item.unionByName(i), state.group.unionByName(g), cutoff_us)
+    u, i, g = fold(state.user.unionByName(u), state.item.unionByName(i), state.group.unionByName(g), cutoff_us)
     n, s = new.agg(F.count("*"), F.coalesce(F.sum("rating"), F.lit(0.0))).first()
     return State(cutoff_us, state.count + n, state.total + s, u, i, g)
 

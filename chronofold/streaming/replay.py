@@ -4,8 +4,11 @@ Each micro-batch is joined with the rows held back before. All but the newest ti
 from the state, and the state advances to the newest timestamp, whose rows are held back, as a later batch may bring more
 of them. A row at or before a closed timestamp raises; it is never dropped. ``flush`` closes the rest.
 
-A batch commits by renaming one folder that has the state, the rows held back and the number of the batch; output is
-written before it, in a folder of the batch that a repeat overwrites, so each event's features appear once.
+A batch commits by renaming one folder that has what the state gains, the rows held back and the number of the batch; output
+is written before it, in a folder of the batch that a repeat overwrites, so each event's features appear once. What the
+state gains is the sums of the events that the batch closed; the state is the last whole one with the gains since. Every
+``COMPACT`` commits a whole one is written, so a batch writes as much as it closes, and a load reads a bounded number of
+folders.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ..sources.publish import Files, to_json, write_parquet
 from ..state.checkpoints import EVENT, bridge_of
-from ..state.tables import NAMES, OLD, State, advance, build, suffix_features
+from ..state.tables import NAMES, OLD, State, advance, build, fold, suffix_features
 
+#: Commits from one whole state to the next.
+COMPACT = 16
 SCHEMA = "event_id long, user_id long, item_id long, rating double, event_us long"
 
 
@@ -38,19 +43,28 @@ class StreamReplay:
         empty = self.spark.createDataFrame([], SCHEMA)
         if not (known := self.versions()):
             return build(empty, bridge_of(self.catalog), OLD), empty, -1
-        path = f"{self.root}/commits/{known[-1]}"
-        side = json.loads(self.files.read(f"{path}/commit.json"))
-        tables = [self.spark.read.parquet(f"{path}/{n}") for n in NAMES]
-        return State(side["cutoff_us"], side["count"], side["total"], *tables), self.spark.read.schema(SCHEMA).parquet(f"{path}/held"), side["batch"]
-
-    def _commit(self, state: State, held: DataFrame, batch: int) -> None:
-        number = len(self.versions())
+        side = json.loads(self.files.read(f"{self.root}/commits/{known[-1]}/commit.json"))
+        since = [f"{self.root}/commits/{v}" for v in known[side["whole"] :]]
+        tables = [self.spark.read.parquet(*[f"{p}/{n}" for p in since]) for n in NAMES]
+        state = State(side["cutoff_us"], side["count"], side["total"], *fold(*tables, side["cutoff_us"]))
+        return state, self.spark.read.schema(SCHEMA).parquet(f"{since[-1]}/held"), side["batch"]
+
+    def _commit(self, state: State, closed: DataFrame, cutoff_us: int, held: DataFrame, batch: int) -> None:
+        """Adds ``closed``, the events from the state's cutoff to the new one, to the state."""
+        known = self.versions()
+        number = len(known)
+        whole = json.loads(self.files.read(f"{self.root}/commits/{known[-1]}/commit.json"))["whole"] if known else 0
+        new = advance(state, closed, bridge_of(self.catalog), cutoff_us)
+        if number - whole >= COMPACT or not known:
+            whole, tables = number, new
+        else:
+            tables = build(closed, bridge_of(self.catalog), cutoff_us)
         stage, path = f"{self.root}/commits/.stage-{number:09d}", f"{self.root}/commits/v{number:09d}"
         self.files.delete(stage)
         for n in NAMES:
-            write_parquet(getattr(state, n), f"{stage}/{n}")
+            write_parquet(getattr(tables, n), f"{stage}/{n}")
         write_parquet(held, f"{stage}/held")
-        self.files.write(f"{stage}/commit.json", to_json({"cutoff_us": state.cutoff_us, "count": state.count, "total": state.total, "batch": batch}))
+        self.files.write(f"{stage}/commit.json", to_json({"cutoff_us": cutoff_us, "count": new.count, "total": new.total, "batch": batch, "whole": whole}))
         self.files.rename(stage, path)
 
     def process(self, rows: DataFrame, batch: int) -> None:
@@ -68,8 +82,9 @@ class StreamReplay:
         if not waiting.groupBy("event_id").count().where("count > 1").isEmpty():
             raise ValueError("event ids repeat")
         cut = max(high, held.agg(F.max("event_us")).first()[0] or high)
-        self._emit(state, waiting.where(F.col("event_us") < cut), f"b{batch:09d}")
-        self._commit(advance(state, waiting, bridge_of(self.catalog), cut), waiting.where(F.col("event_us") >= cut), batch)
+        closed = waiting.where(F.col("event_us") < cut)
+        self._emit(state, closed, f"b{batch:09d}")
+        self._commit(state, closed, cut, waiting.where(F.col("event_us") >= cut), batch)
 
     def _emit(self, state: State, closed: DataFrame, name: str) -> None:
         write_parquet(suffix_features(state, closed, self.catalog), f"{self.root}/features/{name}", "overwrite")
@@ -81,15 +96,21 @@ class StreamReplay:
         if last is None:
             return
         self._emit(state, held, f"f{len(self.versions()):09d}")
-        self._commit(advance(state, held, bridge_of(self.catalog), last + 1), held.limit(0), done)
+        self._commit(state, held, last + 1, held.limit(0), done)
 
     def features(self) -> DataFrame:
         names = self.files.names(f"{self.root}/features")
         return self.spark.read.parquet(*[f"{self.root}/features/{n}" for n in names])
 
-    def run(self, source: str, files_a_batch: int = 1) -> None:
-        """Reads the Parquet files of ``source`` as a stream until none is left, oldest first, then flushes."""
-        stream = self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-        q = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/stream").trigger(availableNow=True).start()
+    def run(self, source: str, files_a_batch: int | None = 1, flush: bool = True) -> None:
+        """Reads the Parquet files of ``source`` that are new to the stream until none is left, oldest first, then flushes.
+
+        Without ``files_a_batch``, all that are there are one micro-batch.
+        """
+        stream = self.spark.readStream.schema(SCHEMA)
+        if files_a_batch:
+            stream = stream.option("maxFilesPerTrigger", files_a_batch)
+        q = stream.parquet(source).writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/stream").trigger(availableNow=True).start()
         q.awaitTermination()
-        self.flush()
+        if flush:
+            self.flush()
