@@ -136,19 +136,46 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(space << 36 | keys), pa.array(space), pa.array(fp[rows])], names=["key", "space", "fp"])
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
-    """(space, fp) of distinct fingerprints to edges (space, a, b) that connect what differs in at most two bits.
+def _apart(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
 
-    Only fingerprints of a space meet. With more ``bits``, pairs that differ in so many are edges too where they share a key.
+def _buckets(distinct: DataFrame) -> DataFrame:
+    """(space, fp) to (key, space, fp, n, mark) for the keys that n > 1 fingerprints of a space share.
+
+    ``mark`` and the key's hash, by exclusive or, are one of the fingerprints, another one for another key.
     """
     ship(distinct.sparkSession)
     keys = distinct.select(F.col("space").cast("long").alias("space"), "fp")
     keys = store(keys.mapInArrow(_keys, "key long, space long, fp long"), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = store(join_counted(keys, shared, ["key"]), "buckets")
-    few = buckets.where(F.col("n") <= bucket).select("key", "space", "fp")
-    near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
-    pairs = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select("a.space", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.xxhash64("key"))).alias("mark")).where("n > 1")
+    return store(join_counted(keys, shared, ["key"]), "buckets")
+
+
+def _pairs(few: DataFrame, bits: int) -> DataFrame:
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (_apart("a.fp", "b.fp") <= bits)
+    return few.alias("a").join(few.alias("b"), same).select("a.space", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def candidates(distinct: DataFrame, bucket: int, bits: int) -> DataFrame:
+    """(space, fp) of distinct fingerprints to pairs (space, a, b) that share a key and differ in at most ``bits`` bits.
+
+    Of a key that more than ``bucket`` share, each meets one of them, chosen by the key; a fingerprint has some 16 keys, so
+    that many such keys give it many partners, and their number stays linear.
+    """
+    buckets = _buckets(distinct)
+    pairs = _pairs(buckets.where(F.col("n") <= bucket).select("key", "space", "fp"), bits)
+    one = buckets.where(F.col("n") > bucket).select("space", F.col("mark").bitwiseXOR(F.xxhash64("key")).alias("a"), F.col("fp").alias("b"))
+    return pairs.unionByName(one.where("a <> b").where(_apart("a", "b") <= bits)).distinct()
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(space, fp) of distinct fingerprints to edges (space, a, b) that connect what differs in at most two bits.
+
+    Only fingerprints of a space meet.
+    """
+    buckets = _buckets(distinct)
+    pairs = _pairs(buckets.where(F.col("n") <= bucket).select("key", "space", "fp"), BITS)
     many = buckets.where(F.col("n") > bucket).select("space", "fp").distinct()
     words = many.select("space", "fp", F.explode(F.expr("transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, i)))")).alias("word"))
     groups = words.groupBy("space", "word").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
@@ -176,6 +203,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SPACES, PARTS = 4, 16
 #: Standard error of a similarity of 0.8 that is estimated from the sketch; bits in which candidates differ at most.
 ERROR, CLOSE = 0.026, 5
+#: Fingerprints of a key that all meet each other as candidates.
+MEET = 8
 _CHUNK = 4096
 
 
@@ -238,8 +267,9 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Two texts are similar if their sets of five-word shingles are, as estimated from 1024-bit SimHash sketches, at most one
     standard error below ``similarity``. Candidates are texts of which one of four fingerprints of the distinct words is
     equal, or shares a Golay key and differs in at most five bits, so that a text meets those near it, not all. A text is
-    compared with the first text of its fingerprint, and the first texts of near fingerprints with each other. Texts of the
-    same words in order (ASCII case and white space aside) are one; NULL and wordless texts are such texts too.
+    compared with the first text of its fingerprint, and the first texts of near fingerprints with each other, or where over
+    ``MEET`` share a key, with one of them for each key. Texts of the same words in order (ASCII case and white space aside)
+    are one; NULL and wordless texts are such texts too.
     """
     spark = texts.sparkSession
     ship(spark)
@@ -252,7 +282,7 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     firsts = store(firsts.join(unique.select("row", F.col("sketch").alias("of_first")), "row").withColumnRenamed("row", "first"), "firsts")
     members = join_counted(flat, firsts.where("n > 1"), ["space", "fp"]).where("row <> first").where(_alike("sketch", "of_first", similarity))
     side = lambda x: firsts.select("space", F.col("fp").alias(x), F.col("first").alias(f"{x}_row"), F.col("of_first").alias(f"{x}_sketch"))
-    pairs = links(firsts.select("space", "fp"), bits=CLOSE).distinct()
+    pairs = candidates(firsts.select("space", "fp"), MEET, CLOSE)
     pairs = pairs.join(side("a"), ["space", "a"]).join(side("b"), ["space", "b"]).where(_alike("a_sketch", "b_sketch", similarity))
     roots = connected(members.select(F.col("row").alias("a"), F.col("first").alias("b")).unionByName(pairs.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))))
     of = copies.join(roots.withColumnRenamed("node", "first"), "first", "left").select("high", "low", "first", "n", F.coalesce("root", "first").alias("group"))

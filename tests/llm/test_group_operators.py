@@ -142,9 +142,20 @@ def similar_rows(seed):
     return rows + [" ".join(r.choice(words) for _ in range(r.choice([3, 40, 200]))) for _ in range(60)] + [None, "", " \n", "A b  c d e f", "a B c\nd e f", "f e d c b a"]
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_similar_texts_are_found(spark, monkeypatch, hot):
+def test_candidates_of_a_large_group_stay_linear(spark):
+    rng = np.random.RandomState(5)
+    fps = sorted({int(sum(1 << int(k) for k in rng.choice(60, 2, replace=False))) for _ in range(3_000)})
+    got = simhash.candidates(spark.createDataFrame([(0, f) for f in fps], "space long, fp long"), 8, 5).collect()
+    assert len(got) < 40 * len(fps)
+    assert all(0 < (r["a"] ^ r["b"]).bit_count() <= 5 for r in got)
+    place = {f: k for k, f in enumerate(fps)}
+    assert len(set(roots(len(fps), [(place[r["a"]], place[r["b"]]) for r in got]))) == 1
+
+
+@pytest.mark.parametrize("hot, meet", [(100_000, 8), (2, 2)])
+def test_similar_texts_are_found(spark, monkeypatch, hot, meet):
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(simhash, "MEET", meet)
     rows = similar_rows(hot)
     got = dict(map(tuple, simhash.similar(spark.createDataFrame(list(enumerate(rows)), "row long, text string").selectExpr("*", "1 AS fp", "2 AS n")).collect()))
     assert sorted(got) == list(range(len(rows)))
