@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, slices, table
+from .common import crc_mod, ship, slices, store, table
 
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 65_536
 #: Texts of a class that the dictionaries are trained on, and the curve, at most; blocks of a text for a dictionary.
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     if len(chosen.groupby(["quality", "turn"])) < 4:
         return Model(prior=prior)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, hash long, quality int, turn int"))
-    rows = texts.join(chosen, ["doc_id", "hash"])
+    rows = store(texts.drop("hash").join(chosen, "doc_id").where(F.xxhash64("text") == F.col("hash")), "labelled")
     # equal rows give equal blocks and sizes, which count once: so what comes to the driver is bounded
     blocks = rows.where("turn = 0").select("doc_id", "hash", "quality", "text").mapInArrow(_blocks, "doc_id long, hash long, quality int, place int, block binary")
     blocks = blocks.distinct().orderBy("quality", *order, "place").select("quality", "block").toPandas()
