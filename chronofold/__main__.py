@@ -1,4 +1,4 @@
-"""Command line: ``python -m chronofold convert | audit | materialize | train | compare`` over a folder of tables."""
+"""Command line: ``python -m chronofold convert | audit | materialize | train | evaluate | check | compare`` over a folder of tables."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ def main(args: list[str] | None = None) -> None:
     convert = sub.add_parser("convert", help="CSV files of a folder to validated Parquet")
     convert.add_argument("source")
     convert.add_argument("target")
-    for name, text in (("audit", "the temporal audit of the events"), ("materialize", "the feature table"), ("train", "fit, score and evaluate"), ("compare", "two contracts, metric by metric")):
+    for name, text in (("audit", "the temporal audit of the events"), ("materialize", "the feature table"), ("train", "fit, score and evaluate"), ("compare", "two contracts, metric by metric"), ("evaluate", "boosted trees by split, quarter, bin and gain"), ("check", "a feature table against its events")):
         p = sub.add_parser(name, help=text)
         p.add_argument("tables")
-        if name == "materialize":
+        if name in ("materialize", "check"):
             p.add_argument("target")
         p.add_argument("--contract", type=int, default=17, choices=(17, 25, 30))
         p.add_argument("--learner", default="logistic", choices=("logistic", "gbt"))
@@ -45,6 +45,19 @@ def main(args: list[str] | None = None) -> None:
         from .model.train import fit_and_evaluate
 
         fit_and_evaluate(spark, a.tables, a.contract, a.learner).show(truncate=False)
+    elif a.command == "evaluate":
+        from .model.train import fit_and_evaluate_trees
+
+        fit_and_evaluate_trees(spark, a.tables, a.contract).show(1000, truncate=False)
+    elif a.command == "check":
+        import json
+
+        from .operators.artifacts import check_artifact
+        from .sources.publish import Files
+
+        side = json.loads(Files(spark, a.target).read(f"{a.target}.json"))
+        check_artifact(spark.read.parquet(a.target), views.events(spark, a.tables), side["contract"], side["source"])
+        print("valid")
     else:
         from .model.train import fit_and_evaluate
         from .operators.evaluate import BETTER, deltas

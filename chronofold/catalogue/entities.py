@@ -116,6 +116,68 @@ def status_violations(spark, sf):
     return val.status_faults(items, views.bridge(spark, sf).where("item_id % 3 <> 0"))
 
 
+@query(with_views("yr", """
+, c AS (SELECT CASE WHEN item_id % 40 = 5 THEN -item_id WHEN item_id % 40 = 6 THEN item_id + 1 ELSE item_id END AS item_id, CASE WHEN item_id % 40 = 1 THEN ' ' WHEN item_id % 40 = 2 THEN NULL ELSE title END AS title,
+  CASE WHEN item_id % 40 = 3 THEN 0 ELSE release_year END AS release_year, CASE WHEN item_id % 40 = 4 THEN 'unknown' WHEN item_id % 40 = 3 THEN NULL WHEN genres = '(no genres listed)' THEN 'missing_in_source' ELSE 'listed' END AS genre_status FROM yr)
+SELECT item_id, 'title' AS fault FROM c WHERE title IS NULL OR trim(title) = '' UNION ALL SELECT item_id, 'year' FROM c WHERE release_year < 1 OR release_year > 9999
+UNION ALL SELECT item_id, 'status' FROM c WHERE genre_status IS NULL OR genre_status NOT IN ('listed', 'missing_in_source') UNION ALL SELECT item_id, 'id' FROM c WHERE item_id IS NULL OR item_id < 1
+UNION ALL SELECT item_id, 'repeated' FROM c WHERE item_id IS NOT NULL GROUP BY item_id HAVING count(*) > 1"""))
+def canonical_item_faults(spark, sf):
+    """Canonical items of which some of every 40 get a fault."""
+    items, k = e.items(views.raw_items(spark, sf), views.links(spark, sf), check=False), F.col("item_id") % 40
+    items = items.select(
+        F.when(k == 5, -F.col("item_id")).when(k == 6, F.col("item_id") + 1).otherwise(F.col("item_id")).alias("item_id"),
+        F.when(k == 1, " ").when(k == 2, F.lit(None)).otherwise(F.col("title")).alias("title"), F.when(k == 3, 0).otherwise(F.col("release_year")).alias("release_year"),
+        F.when(k == 4, "unknown").when(k == 3, F.lit(None)).otherwise(F.col("genre_status")).alias("genre_status"),
+    )
+    return val.item_faults(items)
+
+
+def _folder(spark) -> str:
+    from .state import _scratch
+
+    return _scratch(spark)
+
+
+@query(with_views("it lk", """
+SELECT it.item_id + 1 AS "movieId", title || ', "' || genres || '"' AS title, CAST(imdb_id AS BIGINT) AS "imdbId", CAST(tmdb_id AS BIGINT) AS "tmdbId"
+FROM it JOIN lk ON it.item_id = lk.item_id"""))
+def typed_csv(spark, sf):
+    """Titles with commas, quotes and doubled quotes, and links with missing numbers, written as CSV and read by schema."""
+    from ..schemas import DATASETS
+    from ..sources.scan import read_csv
+
+    root = _folder(spark)
+    title = F.concat("title", F.lit(', "'), "genres", F.lit('"')).alias("title")
+    out = {"header": True, "quoteAll": True, "escape": '"'}
+    views.raw_items(spark, sf).select((F.col("item_id") + 1).alias("movieId"), title, "genres").write.options(**out).csv(f"{root}/movies")
+    views.links(spark, sf).select((F.col("item_id") + 1).alias("movieId"), F.col("imdb_id").alias("imdbId"), F.col("tmdb_id").alias("tmdbId")).write.options(header=True).csv(f"{root}/links")
+    movies = read_csv(spark, f"{root}/movies", DATASETS["movies"]).select("movieId", "title")
+    return movies.join(read_csv(spark, f"{root}/links", DATASETS["links"]), "movieId")
+
+
+@query(with_views("re it", """
+SELECT 'events' AS dataset, count(*) AS "rows" FROM re UNION ALL SELECT 'items', count(*) FROM it UNION ALL SELECT 'tags', count(*) FROM events"""))
+def convert_report(spark, sf):
+    """Tables written, read back, compared and put in place."""
+    from ..sources.publish import convert_all
+
+    frames = {"events": views.events(spark, sf), "items": views.raw_items(spark, sf), "tags": views.tags(spark, sf)}
+    return convert_all(spark, frames, _folder(spark)).select("dataset", "rows")
+
+
+@query("""
+SELECT 'orders' AS dataset, 'o_custkey' AS "column", count(*) FILTER (o_custkey % 1000 = 1) AS nulls, count(*) FILTER (o_custkey % 1000 = 2 OR o_custkey < 1) AS out_of_domain FROM orders
+UNION ALL SELECT 'orders', 'o_orderkey', 0, count(*) FILTER (o_orderkey % 777 = 0) FROM orders""")
+def declared_domain_report(spark, sf):
+    """Missing and impossible ids of orders of which some are broken on purpose."""
+    from ..operators.validate import domain_report
+
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    o = views.table(spark, sf, "orders").select(F.when(c % 1000 == 1, F.lit(None)).when(c % 1000 == 2, F.lit(0)).otherwise(c).alias("o_custkey"), F.when(k % 777 == 0, -k).otherwise(k).alias("o_orderkey"))
+    return domain_report(o, "orders", {"o_custkey": (1, 2**32 - 1), "o_orderkey": (1, 2**32 - 1)})
+
+
 SPLITS = [("train", None, "2000-01-01"), ("validation", "2000-01-01", "2001-01-01"), ("test", "2001-01-01", None)]
 _SPLIT = "CASE WHEN ts < TIMESTAMP '2000-01-01' THEN 'train' WHEN ts < TIMESTAMP '2001-01-01' THEN 'validation' ELSE 'test' END"
 

@@ -163,6 +163,19 @@ def ventile_rate_falls(spark, sf):
     return ex.falls(b, "bucket", "rate")
 
 
+@query(f"WITH {_S} SELECT CAST(y AS BIGINT) AS y, CAST(least(floor(p * 40 + 1e-9) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1, 2")
+def score_density_by_class(spark, sf):
+    return rounded(ex.histogram(_scores(spark, sf).withColumn("p", F.col("p") + F.lit(2.5e-11)), "p", 0.0, 1.0, 40, ["y"]))
+
+
+@query()
+def boosted_trees(spark, sf):
+    """Boosted trees that stop on the validation split: metrics by split and quarter, calibration, gains."""
+    from ..model.train import fit_and_evaluate_trees
+
+    return rounded(fit_and_evaluate_trees(spark, sf))
+
+
 @query()
 def model_scores(spark, sf):
     """Trains on the past, scores later splits; no other engine gives the same model."""

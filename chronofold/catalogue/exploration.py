@@ -168,6 +168,18 @@ def activity_histogram(spark, sf):
     return rounded(ex.histogram(_features(spark, sf), "user_count", 0.0, 80.0))
 
 
+@query(with_views("re", _FEATS + """
+SELECT CAST(least(floor(ln(1 + least(greatest(user_count, 0), 200)) / ln(CAST(201 AS DOUBLE)) * 40 + 1e-12) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM f GROUP BY 1"""))
+def activity_histogram_log1p(spark, sf):
+    return rounded(ex.histogram(_features(spark, sf), "user_count", 0.0, 200.0, scale="log1p"))
+
+
+@query("""
+SELECT CAST(least(floor(ln(least(greatest(o_totalprice, 1000), 500000) / 1000) / ln(CAST(500 AS DOUBLE)) * 20) + 1, 20) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1""")
+def price_histogram_log(spark, sf):
+    return rounded(ex.histogram(views.table(spark, sf, "orders"), "o_totalprice", 1000.0, 500_000.0, 20, scale="log"))
+
+
 @query(with_views("re", ", h AS (SELECT event_us, count(*) OVER (ORDER BY event_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS value FROM re) SELECT event_us, min(value) AS value, count(*) AS n FROM h GROUP BY event_us"))
 def timestamp_collapse(spark, sf):
     return ex.collapse_timestamps(h.global_history(views.events(spark, sf)), "global_count")

@@ -172,6 +172,21 @@ def tag_attribution(spark, sf):
     return rounded(v.attribution(v.vectors(views.scores(spark, sf)), 1, 2))
 
 
+@query(with_views("vec", """
+, u AS (SELECT unnest(v) / size AS x, unnest(range(1, len(v) + 1)) AS tag_id FROM vec WHERE item_id = 1)
+SELECT tag_id, round(x, 6) AS weight FROM u ORDER BY x DESC, tag_id LIMIT 10"""))
+def tag_attribution_top(spark, sf):
+    return rounded(v.top_tags(v.vectors(views.scores(spark, sf)), 1))
+
+
+@query(with_views("vec", """
+, u AS (SELECT item_id, unnest(v) / size AS x, unnest(range(1, len(v) + 1)) AS tag_id FROM vec WHERE item_id IN (1, 2))
+SELECT a.tag_id, round(a.x * b.x, 6) AS contribution
+FROM u a JOIN u b ON a.tag_id = b.tag_id AND a.item_id = 1 AND b.item_id = 2 ORDER BY a.x * b.x DESC, a.tag_id LIMIT 8"""))
+def tag_attribution_contributions(spark, sf):
+    return rounded(v.contributions(v.vectors(views.scores(spark, sf)), 1, 2))
+
+
 _F = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
 _W = "OVER (PARTITION BY {} ORDER BY event_us " + PRIOR + ")"
 _U, _I = _W.format("user_id"), _W.format("item_id")

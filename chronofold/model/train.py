@@ -30,16 +30,20 @@ def matrix(df: DataFrame, features: tuple[Feature, ...]) -> tuple[DataFrame, lis
     return df.withColumns(new), names
 
 
-def fit(train: DataFrame, features: tuple[Feature, ...], kind: str = "gbt", seed: int = 7, trees: int = 20, depth: int = 4):
-    """``train`` has the features and ``y``."""
+def fit(train: DataFrame, features: tuple[Feature, ...], kind: str = "gbt", seed: int = 7, trees: int = 20, depth: int = 4, stop: str | None = None):
+    """``train`` has the features and ``y``. ``stop`` names a boolean column of rows held out: trees end when they gain nothing
+    on these."""
     df, names = matrix(train, features)
+    kept = ["y", *names, *([stop] if stop and kind == "gbt" else [])]
     if kind == "gbt":
         learner = GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed)
+        if stop:
+            learner = learner.setValidationIndicatorCol(stop)
     elif kind == "logistic":
         learner = LogisticRegression(labelCol="y", featuresCol="features", regParam=1e-4, maxIter=50)
     else:
         raise ValueError(f"no learner {kind}")
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(df.select("y", *names))
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(df.select(*kept))
 
 
 def score(model, df: DataFrame, features: tuple[Feature, ...], keep: list[str]) -> DataFrame:
@@ -59,7 +63,31 @@ def evaluate_splits(scored: DataFrame) -> DataFrame:
     return evaluate.metrics(scored, ["split"])
 
 
-def fit_and_evaluate(spark: SparkSession, sf_dir: str, version: int = 17, kind: str = "logistic") -> DataFrame:
+def evaluate_model(scored: DataFrame, model=None, features: tuple[Feature, ...] = ()) -> DataFrame:
+    """(part, name, n, roc_auc, average_precision, log_loss, brier, value): a model's whole evaluation in one table.
+
+    ``scored`` has split, event_us, y and p. Parts: ``split``; ``quarter`` of the test split; ``calibration``, its bins, with
+    the gap as value; ``ece`` by split; ``gain`` by feature, of tree models.
+    """
+    from ..functions.scalars import quarter_label
+
+    names = ["n", "roc_auc", "average_precision", "log_loss", "brier"]
+    empty = [F.lit(None).cast("double").alias(c) for c in names[1:]]
+    none = F.lit(None).cast("double").alias("value")
+    test = scored.where("split = 'test'").withColumn("quarter", quarter_label(F.timestamp_micros("event_us")))
+    out = evaluate.metrics(scored, ["split"]).select(F.lit("split").alias("part"), F.col("split").alias("name"), *names, none)
+    out = out.unionByName(evaluate.metrics(test, ["quarter"]).select(F.lit("quarter").alias("part"), F.col("quarter").alias("name"), *names, none))
+    out = out.unionByName(evaluate.calibration(test).select(F.lit("calibration").alias("part"), F.col("bin").cast("string").alias("name"), "n", *empty, F.col("gap").alias("value")))
+    n = F.lit(None).cast("long").alias("n")
+    out = out.unionByName(evaluate.expected_calibration_error(scored, ["split"]).select(F.lit("ece").alias("part"), F.col("split").alias("name"), n, *empty, F.col("ece").alias("value")))
+    if model is not None and hasattr(model.stages[1], "featureImportances"):
+        rows = scored.sparkSession.createDataFrame(gains(model, features), "name string, value double")
+        out = out.unionByName(rows.select(F.lit("gain").alias("part"), "name", n, *empty, "value"))
+    return out
+
+
+def labelled(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    """The feature table with ``y`` and ``split``."""
     from .. import views
     from ..catalogue.entities import SPLITS
     from ..plans.features import feature_table
@@ -68,7 +96,18 @@ def fit_and_evaluate(spark: SparkSession, sf_dir: str, version: int = 17, kind:
     e = views.events(spark, sf_dir)
     target = e.select("event_id", (F.col("rating") >= 4.0).cast("int").alias("y"))
     table = feature_table(e, views.catalog(spark, sf_dir), views.scores(spark, sf_dir) if version > 17 else None, version)
-    table = table.join(target, "event_id").withColumn("split", split_label(F.col("event_us"), SPLITS))
-    features = contract(version)
+    return table.join(target, "event_id").withColumn("split", split_label(F.col("event_us"), SPLITS))
+
+
+def fit_and_evaluate_trees(spark: SparkSession, sf_dir: str, version: int = 17, trees: int = 5, depth: int = 3) -> DataFrame:
+    """Boosted trees that stop on the validation split, and their whole evaluation."""
+    features, table = contract(version), labelled(spark, sf_dir, version)
+    some = table.where("split IN ('train', 'validation')").withColumn("held", F.col("split") == "validation")
+    model = fit(some, features, "gbt", trees=trees, depth=depth, stop="held")
+    return evaluate_model(score(model, table, features, ["split", "event_us", "y"]), model, features)
+
+
+def fit_and_evaluate(spark: SparkSession, sf_dir: str, version: int = 17, kind: str = "logistic") -> DataFrame:
+    table, features = labelled(spark, sf_dir, version), contract(version)
     model = fit(table.where("split = 'train'"), features, kind)
     return evaluate_splits(score(model, table, features, ["split", "y"]))

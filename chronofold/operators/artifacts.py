@@ -16,6 +16,27 @@ def artifact_audit(table: DataFrame, features: tuple[Feature, ...]) -> DataFrame
     )
 
 
+def check_artifact(table: DataFrame, events: DataFrame, version: int, source: str | None = None) -> None:
+    """Holds a materialised table against the events it comes from; raises ValueError.
+
+    Columns and types of the contract, exactly the events' ids, no NULL where the contract has none, time that never falls
+    within a file, and, with ``source``, the digest of the events as the sidecar names it.
+    """
+    from ..schemas import check_contract, contract
+    from ..sources.publish import identity
+
+    check_contract(table.dtypes, version)
+    if not table_difference(table.select("event_id"), events.select("event_id")).where("only_a > 0 OR only_b > 0").isEmpty():
+        raise ValueError("the artifact doesn't have the events' ids")
+    broken = artifact_audit(table, contract(version)).first()["broken"]
+    if broken:
+        raise ValueError(f"missing values in {broken}")
+    if falls := unsorted_files(table).where("falls > 0").limit(5).collect():
+        raise ValueError(f"time falls in {[r['file'] for r in falls]}")
+    if source is not None and source != identity(events.select("event_id", "user_id", "item_id", "rating", "event_us")):
+        raise ValueError("the artifact comes from other events")
+
+
 def unsorted_files(table: DataFrame) -> DataFrame:
     """(file, falls): how often time falls from a row to the next within a file of a Parquet table; files without falls too."""
     from pyspark.sql import Window as W

@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 def temporal_audit(events: DataFrame) -> DataFrame:
     """One row of the event log's size, span, ties and repetitions. Events: user_id, item_id, rating, ts.
 
-    Four groupings, each aggregated before its shuffle; none needs all rows in one task.
+    Equal rows are counted once; all other groupings are rolled up from those counts, whose shuffle they share.
     """
-    whole = events.agg(
-        F.count("*").alias("row_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-        F.coalesce(F.bool_and(F.date_trunc("second", F.col("ts")) == F.col("ts")), F.lit(True)).alias("whole_seconds"),
+    rows = events.groupBy("user_id", "item_id", "rating", "ts").agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    whole = rows.agg(
+        F.coalesce(F.sum("n"), zero).alias("row_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        F.coalesce(F.bool_and(F.date_trunc("second", F.col("ts")) == F.col("ts")), F.lit(True)).alias("whole_seconds"), F.coalesce(F.sum(F.col("n") - 1), zero).alias("duplicate_rows"),
     )
-    rows = events.groupBy("user_id", "item_id", "rating", "ts").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
-    pairs = events.groupBy("user_id", "item_id").agg(F.count("*").alias("n")).agg(
-        F.count_if(F.col("n") > 1).alias("repeated_pairs"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_repeated_pairs"),
-    )
-    times = events.groupBy("ts").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_timestamps"), F.max("n").alias("most_at_one_timestamp"))
-    ties = events.groupBy("user_id", "ts").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("n"))
-    ties = ties.agg(F.count("*").alias("users"), F.count_if(F.col("n") > 1).alias("users_with_ties"))
-    kinds = events.groupBy("item_id").agg(F.lit(1).alias("one")).agg(F.count("*").alias("items"))
+    by = lambda *keys: rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+    pairs = by("user_id", "item_id").agg(F.count_if(F.col("n") > 1).alias("repeated_pairs"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), zero).alias("rows_in_repeated_pairs"))
+    times = by("ts").agg(F.count_if(F.col("n") > 1).alias("shared_timestamps"), F.max("n").alias("most_at_one_timestamp"))
+    ties = by("user_id", "ts").groupBy("user_id").agg(F.max("n").alias("n")).agg(F.count("*").alias("users"), F.count_if(F.col("n") > 1).alias("users_with_ties"))
+    kinds = by("item_id").agg(F.count("*").alias("items"))
     out = whole
-    for part in (rows, pairs, times, ties, kinds):  # one row each
+    for part in (pairs, times, ties, kinds):  # one row each
         out = out.crossJoin(part)
     return out
 
@@ -151,10 +150,12 @@ def feature_summary(df: DataFrame, names: list[str]) -> DataFrame:
     """(feature, n, missing_pct, mean, std, min, p01 to p99, max, distinct), all features in one stacked pass."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in names])).alias("s")).select("s.feature", "s.x")
     q = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)
-    return stacked.groupBy("feature").agg(
+    found = stacked.groupBy("feature").agg(
         F.count("x").alias("n"), (100 * F.avg(F.col("x").isNull().cast("double"))).alias("missing_pct"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), *[F.percentile("x", v).alias(f"p{int(v * 100):02d}") for v in q], F.max("x").alias("max"), F.count_distinct("x").alias("distinct"),
+        F.min("x").alias("min"), F.percentile("x", F.array(*map(F.lit, q))).alias("q"), F.max("x").alias("max"), F.count_distinct("x").alias("distinct"),
     )
+    at = [F.col("q")[k].alias(f"p{int(v * 100):02d}") for k, v in enumerate(q)]  # one table of the values for all quantiles
+    return found.select("feature", "n", "missing_pct", "mean", "std", "min", *at, "max", "distinct")
 
 
 def by_target(df: DataFrame, names: list[str], target: str) -> DataFrame:
@@ -167,11 +168,15 @@ def null_rates(df: DataFrame, names: list[str]) -> DataFrame:
     return one.unpivot([], names, "feature", "null_rate")
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 40) -> DataFrame:
-    """(bin, n): equal bins from 1; values outside are clipped to the range, as for display."""
-    x = F.least(F.greatest(F.col(column).cast("double"), F.lit(low)), F.lit(high))
-    b = F.least(F.width_bucket(x, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins))
-    return df.where(F.col(column).isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 40, by: list[str] | None = None, scale: str | None = None) -> DataFrame:
+    """by, bin, n: equal bins from 1; values outside are clipped to the range, as for display.
+
+    ``scale``: ``log`` makes the bins equal in the logarithm, with low above 0; ``log1p`` in the logarithm of 1 + x.
+    """
+    move = {None: lambda c: c, "log": F.ln, "log1p": F.log1p}[scale]
+    x = F.least(F.greatest(F.col(column).cast("double"), F.lit(low).cast("double")), F.lit(high).cast("double"))
+    b = F.least(F.width_bucket(move(x), move(F.lit(low).cast("double")), move(F.lit(high).cast("double")), F.lit(bins)), F.lit(bins))
+    return df.where(F.col(column).isNotNull()).groupBy(*(by or []), b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def collapse_timestamps(df: DataFrame, column: str) -> DataFrame:

@@ -88,6 +88,42 @@ def bridge_faults(bridge: DataFrame, items: DataFrame, genres: DataFrame) -> Dat
     return repeated.unionByName(token).unionByName(item).unionByName(genre)
 
 
+def domain_report(df: DataFrame, dataset: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """(dataset, column, nulls, out_of_domain) of numeric columns against closed ranges, in one pass."""
+    sums = []
+    for name, (low, high) in ranges.items():
+        x = F.col(name)
+        sums += [F.count_if(x.isNull()).alias(f"n_{name}"), F.count_if(~x.between(low, high)).alias(f"d_{name}")]
+    one = df.agg(*sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"n_{n}").alias("nulls"), F.col(f"d_{n}").alias("out_of_domain")) for n in ranges])).alias("r")
+    return one.select(F.lit(dataset).alias("dataset"), rows).select("dataset", "r.*")
+
+
+#: What a canonical item's genres may be.
+STATUSES = ("listed", "missing_in_source")
+
+
+def item_faults(items: DataFrame) -> DataFrame:
+    """(item_id, fault), one row a fault: canonical items without a title, with a year outside 1 to 9999, an unknown status, or an
+    id that is missing, below 1 or repeated."""
+    year, k = F.col("release_year"), F.col("item_id")
+    faults = {
+        "title": F.coalesce(F.trim("title") == "", F.lit(True)), "year": F.coalesce((year < 1) | (year > 9999), F.lit(False)),
+        "status": ~F.coalesce(F.col("genre_status").isin(*STATUSES), F.lit(False)), "id": F.coalesce(k < 1, F.lit(True)),
+    }
+    each = F.explode(F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in faults.items()]), lambda x: x.isNotNull())).alias("fault")
+    repeated = items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.count("*").alias("n")).where("n > 1").select("item_id", F.lit("repeated").alias("fault"))
+    return items.select("item_id", each).unionByName(repeated)
+
+
+def check_items(items: DataFrame) -> None:
+    """Raises ValueError where ``item_faults`` finds one; the columns must be there."""
+    if missing := {"item_id", "title", "release_year", "genre_status"} - set(items.columns):
+        raise ValueError(f"items: missing columns {sorted(missing)}")
+    if some := item_faults(items).limit(5).collect():
+        raise ValueError(f"items: {[tuple(r) for r in some]}")
+
+
 def status_faults(items: DataFrame, bridge: DataFrame) -> DataFrame:
     """Items whose status and membership disagree, or with over 255 genres."""
     n = bridge.groupBy("item_id").agg(F.count("*").alias("n"))

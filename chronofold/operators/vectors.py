@@ -12,9 +12,10 @@ from ..session import reach_workers
 # The rating from which an item is liked; similarities and tags averaged; tags needed.
 LIKED = 4.0
 NEAREST, TOP, MIN_TAGS = 5, 10, 10
-#: Numbers of the vectors of all items that a broadcast may hold (0.5 GB of float32).
-BROADCAST = 128 << 20
-ROWS = 512
+#: Numbers of the vectors of all items that a broadcast may hold (64 MB of float32).
+BROADCAST = 16 << 20
+#: Rows of a running sum, and similarities, held at once.
+CHUNK, NUMBERS = 1024, 1 << 21
 
 
 def vectors(scores: DataFrame) -> DataFrame:
@@ -49,8 +50,9 @@ def _unit(vector: np.ndarray) -> np.ndarray:
 def _profile(item: np.ndarray, vector: np.ndarray, unit: np.ndarray, rating: np.ndarray, us: np.ndarray):
     """Features of one user's events, sorted by time; ``item`` is the row in ``vector`` and ``unit``, -1 without one.
 
-    Sums grow by time; what a row sees ends before the first row of its own time. Similarities are taken against the
-    distinct liked items, in blocks of targets, with how often each was liked by then.
+    Sums grow by time, some rows at once with the sum so far carried over; what a row sees ends before the first row of its
+    own time. Similarities are taken against the distinct liked items, in blocks of targets, with how often each was liked
+    by then. So what is held at once doesn't grow with the user's events, but for the events themselves.
     """
     n = len(item)
     out = np.full((n, 4), np.nan)
@@ -60,26 +62,47 @@ def _profile(item: np.ndarray, vector: np.ndarray, unit: np.ndarray, rating: np.
         rows = np.flatnonzero(has & want)
         if not len(rows):
             continue
-        sums = np.cumsum(vector[item[rows]], axis=0)
-        upto = np.searchsorted(rows, seen)  # how many of them each row sees
+        upto = np.searchsorted(rows, seen)  # how many of them each row sees; it never falls
         at = np.flatnonzero(has & (upto > 0))
-        s = sums[upto[at] - 1]
-        size = np.sqrt(np.einsum("ij,ij->i", s, s))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out[at, k] = np.where(size > 0, np.einsum("ij,ij->i", unit[item[at]], s) / size, np.nan)
+        carried = np.zeros(vector.shape[1])
+        for c in range(0, len(rows), CHUNK):
+            sums = np.cumsum(vector[item[rows[c : c + CHUNK]]], axis=0) + carried
+            carried = sums[-1]
+            first, last = np.searchsorted(upto[at], [c, c + len(sums)], side="right")
+            for i in range(first, last, CHUNK):
+                some = at[i : min(last, i + CHUNK)]
+                s = sums[upto[some] - 1 - c]
+                size = np.sqrt(np.einsum("ij,ij->i", s, s))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out[some, k] = np.where(size > 0, np.einsum("ij,ij->i", unit[item[some]], s) / size, np.nan)
         if k == 0:
-            for i in range(0, len(at), ROWS):
-                some = at[i : i + ROWS]
-                sims = unit[item[some]] @ unit[item[rows]].T
-                sims[np.arange(len(rows)) >= upto[some][:, None]] = -np.inf
-                top = -np.partition(-sims, min(NEAREST, sims.shape[1]) - 1, axis=1)[:, :NEAREST]
-                top = -np.sort(-top, axis=1)
-                count = np.minimum(upto[some], NEAREST)
-                out[some, 2] = top[:, 0]
-                out[some, 3] = np.where(np.arange(top.shape[1]) < count[:, None], top, 0).sum(axis=1) / count
+            _nearest(out, item, unit, item[rows], upto, at)
     return out
 
 
+def _nearest(out: np.ndarray, item: np.ndarray, unit: np.ndarray, liked: np.ndarray, upto: np.ndarray, at: np.ndarray) -> None:
+    """Fills columns 2 and 3 of ``out`` for the rows ``at``: the largest similarity, and the mean of the NEAREST largest."""
+    distinct, since, which = np.unique(liked, return_index=True, return_inverse=True)
+    # places of an item's likes, item after item, so that a binary search counts those before a place
+    step = len(liked) + 1
+    places = np.sort(which * step + np.arange(len(liked)))
+    k = min(NEAREST, len(distinct))
+    block = max(16, NUMBERS // len(distinct))
+    for i in range(0, len(at), block):
+        some = at[i : i + block]
+        sims = unit[item[some]] @ unit[distinct].T
+        sims[since >= upto[some][:, None]] = -np.inf
+        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        value = np.take_along_axis(sims, best, axis=1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
+        often = np.searchsorted(places, best * step + upto[some][:, None]) - np.searchsorted(places, best * step)
+        before = np.cumsum(often, axis=1) - often
+        weight = np.clip(NEAREST - before, 0, often)
+        out[some, 2] = value[:, 0]
+        out[some, 3] = (np.where(weight > 0, value, 0) * weight).sum(axis=1) / weight.sum(axis=1)
+
+
 NAMES = ("liked_cosine", "disliked_cosine", "nearest_liked", "top5_liked")
 
 
@@ -159,10 +182,24 @@ def preference_history(events: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _units(vectors: DataFrame, item_id: int, name: str) -> DataFrame:
+    unit = vectors.where(F.col("item_id") == item_id).select(F.posexplode(F.transform("vector", lambda x: x.cast("double") / norm("vector"))).alias("pos", name))
+    return unit.select((F.col("pos") + 1).alias("tag_id"), name)
+
+
 def attribution(vectors: DataFrame, item_id: int, other_id: int, k: int = TOP) -> DataFrame:
     """The k tags with the largest difference between two normalised vectors, largest first."""
-    unit = vectors.select("item_id", F.posexplode(F.transform("vector", lambda x: x.cast("double") / norm("vector"))).alias("pos", "u"))
-    a = unit.where(F.col("item_id") == item_id).select("pos", F.col("u").alias("a"))
-    b = unit.where(F.col("item_id") == other_id).select("pos", F.col("u").alias("b"))
     diff = F.col("a") - F.col("b")
-    return a.join(b, "pos").select((F.col("pos") + 1).alias("tag_id"), "a", "b", diff.alias("difference")).orderBy(F.abs(diff).desc(), "tag_id").limit(k)
+    j = _units(vectors, item_id, "a").join(_units(vectors, other_id, "b"), "tag_id")
+    return j.select("tag_id", "a", "b", diff.alias("difference")).orderBy(F.abs(diff).desc(), "tag_id").limit(k)
+
+
+def top_tags(vectors: DataFrame, item_id: int, k: int = TOP) -> DataFrame:
+    """(tag_id, weight): the k largest of an item's normalised vector, largest first; ties by tag."""
+    return _units(vectors, item_id, "weight").orderBy(F.desc("weight"), "tag_id").limit(k)
+
+
+def contributions(vectors: DataFrame, item_id: int, other_id: int, k: int = 8) -> DataFrame:
+    """(tag_id, contribution): the k tags that add most to the cosine of two items, largest first; ties by tag."""
+    j = _units(vectors, item_id, "a").join(_units(vectors, other_id, "b"), "tag_id")
+    return j.select("tag_id", (F.col("a") * F.col("b")).alias("contribution")).orderBy(F.desc("contribution"), "tag_id").limit(k)

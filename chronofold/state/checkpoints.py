@@ -47,6 +47,8 @@ def check_history(events: DataFrame) -> None:
 
 def save(state: State, path: str, source: str, catalog: str, whole: str | None = None) -> None:
     """Publishes a checkpoint under ``path``, which must not exist: staged beside it, verified there and renamed."""
+    if not (state.windows and state.trusted):
+        raise ValueError("a state without windows, or with ratings of unknown times, makes no checkpoint")
     spark = state.user.sparkSession
     files, stage = Files(spark, path), f"{path}.{uuid.uuid4().hex}.new"
     try:

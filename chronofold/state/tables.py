@@ -33,6 +33,8 @@ class State:
     user: DataFrame  # user_id, event_us, n, s, ss
     item: DataFrame  # item_id, event_us, n, s, ss
     group: DataFrame  # user_id, genre, event_us, n, s
+    windows: bool = True  # whether recent rows of items are kept; fixed when a state is made
+    trusted: bool = True  # whether all came through build and advance, with times
 
 
 def weighted(events: DataFrame) -> DataFrame:
@@ -44,9 +46,11 @@ def _sums(df: DataFrame, *keys, ss: bool = True) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *([F.sum("ss").alias("ss")] if ss else []))
 
 
-def fold(user: DataFrame, item: DataFrame, group: DataFrame, cutoff_us: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fold(user: DataFrame, item: DataFrame, group: DataFrame, cutoff_us: int, windows: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of state, or weighted events, summed to the rows of the state at the cutoff."""
     u = user.groupBy("user_id").agg(F.max("event_us").alias("event_us"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    when = F.when(F.col("event_us") >= cutoff_us - KEEP_US, F.col("event_us")).otherwise(F.lit(OLD)).alias("event_us")
+    recent = (F.col("event_us") >= cutoff_us - KEEP_US) & F.lit(windows)
+    when = F.when(recent, F.col("event_us")).otherwise(F.lit(OLD)).alias("event_us")
     i = _sums(item, "item_id", when)
     g = _sums(group, "user_id", "genre", F.lit(OLD).alias("event_us"), ss=False)
     return u, i, g
@@ -57,12 +61,27 @@ def _rows(events: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame, D
     return w.select("user_id", "event_us", "n", "s", "ss"), w.select("item_id", "event_us", "n", "s", "ss"), w.join(bridge, "item_id").select("user_id", "genre", "event_us", "n", "s")
 
 
-def build(events: DataFrame, bridge: DataFrame, cutoff_us: int) -> State:
-    """The state of exactly the events before the cutoff."""
+def build(events: DataFrame, bridge: DataFrame, cutoff_us: int, windows: bool = True) -> State:
+    """The state of exactly the events before the cutoff.
+
+    Without ``windows`` an item is one row, and neither rolling features nor a checkpoint can come from the state, nor from
+    any that it is advanced to.
+    """
     past = events.where(F.col("event_us") < cutoff_us)
-    u, i, g = fold(*_rows(past, bridge), cutoff_us)
+    u, i, g = fold(*_rows(past, bridge), cutoff_us, windows)
     n, s = past.agg(F.count("*"), F.coalesce(F.sum("rating"), F.lit(0.0))).first()
-    return State(cutoff_us, n, s, u, i, g)
+    return State(cutoff_us, n, s, u, i, g, windows)
+
+
+def add_untimed(state: State, ratings: DataFrame, bridge: DataFrame) -> State:
+    """The state with ratings (user_id, item_id, rating) whose times are unknown: they count as older than any window.
+
+    Such a state gives features, but isn't bound to a history any more, so no checkpoint is made of it.
+    """
+    u, i, g = _rows(ratings.withColumn("event_us", F.lit(OLD)), bridge)
+    u, i, g = fold(state.user.unionByName(u), state.item.unionByName(i), state.group.unionByName(g), state.cutoff_us, state.windows)
+    n, s = ratings.agg(F.count("*"), F.coalesce(F.sum("rating"), F.lit(0.0))).first()
+    return State(state.cutoff_us, state.count + n, state.total + s, u, i, g, state.windows, False)
 
 
 def advance(state: State, events: DataFrame, bridge: DataFrame, cutoff_us: int) -> State:
@@ -74,9 +93,9 @@ def advance(state: State, events: DataFrame, bridge: DataFrame, cutoff_us: int)
         raise ValueError("the cutoff is before the state's")
     new = events.where((F.col("event_us") >= state.cutoff_us) & (F.col("event_us") < cutoff_us))
     u, i, g = _rows(new, bridge)
-    u, i, g = fold(state.user.unionByName(u), state.item.unionByName(i), state.group.unionByName(g), cutoff_us)
+    u, i, g = fold(state.user.unionByName(u), state.item.unionByName(i), state.group.unionByName(g), cutoff_us, state.windows)
     n, s = new.agg(F.count("*"), F.coalesce(F.sum("rating"), F.lit(0.0))).first()
-    return State(cutoff_us, state.count + n, state.total + s, u, i, g)
+    return State(cutoff_us, state.count + n, state.total + s, u, i, g, state.windows, state.trusted)
 
 
 def _with_state(events: DataFrame, rows: DataFrame) -> DataFrame:
@@ -89,6 +108,8 @@ def _before(*key: str, upto: int = -1):
 
 def suffix_features(state: State, events: DataFrame, catalog: DataFrame, bucket_us: int = 30 * DAY_US) -> DataFrame:
     """Features of the 22 columns that need no vectors, for the events from the state's cutoff on, in double precision."""
+    if not state.windows:
+        raise ValueError("the state was made without windows")
     zero = F.lit(0.0)
     e = weighted(events.where(F.col("event_us") >= state.cutoff_us).select("event_id", "user_id", "item_id", "rating", "event_us"))
     # all events: buckets of the suffix on top of the state's totals

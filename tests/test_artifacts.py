@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.model import manifest
 from chronofold.operators import artifacts
@@ -56,3 +57,47 @@ def test_command_line(capsys, spark, sf):
     assert "row_count" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["nothing"])
+
+
+def test_an_artifact_is_held_against_its_events(spark, tmp_path):
+    from chronofold.operators.artifacts import check_artifact
+    from chronofold.plans.materialize import materialize
+    from chronofold.sources.publish import identity
+
+    e = spark.createDataFrame([(k, k % 3 + 1, k % 4 + 1, 0.5 * (k % 10 + 1), k * 1000) for k in range(1, 40)], "event_id long, user_id long, item_id long, rating double, event_us long")
+    c = spark.createDataFrame([(i, 1990, ["a"]) for i in range(1, 5)], "item_id long, release_year int, genres array<string>")
+    path = f"file://{tmp_path}/t"
+    source = materialize(e, c, None, path, 17)["source"]
+    table = spark.read.parquet(path)
+    check_artifact(table, e, 17, source)
+    assert source == identity(e)
+    with pytest.raises(ValueError, match="ids"):
+        check_artifact(table.where("event_id > 3"), e, 17)
+    with pytest.raises(ValueError, match="other events"):
+        check_artifact(table, e.withColumn("rating", F.lit(1.0)), 17, source)
+    with pytest.raises(ValueError, match="contract"):
+        check_artifact(table.drop("user_mean"), e, 17)
+
+
+def test_canonical_items_are_checked(spark):
+    from chronofold.operators.validate import check_items, item_faults
+
+    good = [(1, "a", 1990, "listed"), (2, "b", None, "missing_in_source")]
+    kind = "item_id long, title string, release_year int, genre_status string"
+    check_items(spark.createDataFrame(good, kind))
+    bad = [(3, None, 0, "odd"), (4, "x", 10_000, "listed"), (None, "x", 1, "listed"), (1, "again", 1, "listed")]
+    got = sorted(map(tuple, item_faults(spark.createDataFrame(good + bad, kind)).collect()), key=repr)
+    assert got == sorted([(3, "title"), (3, "year"), (3, "status"), (4, "year"), (None, "id"), (1, "repeated")], key=repr)
+    with pytest.raises(ValueError, match="missing columns"):
+        check_items(spark.createDataFrame(good, kind).drop("title"))
+
+
+def test_allowed_columns(spark):
+    from chronofold.operators.predicates import allow_columns
+
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, y int")
+    assert allow_columns(df, ["b", "a"], {"y"}).columns == ["b", "a"]
+    with pytest.raises(ValueError, match="leaks"):
+        allow_columns(df, ["a", "y"], {"y"})
+    with pytest.raises(ValueError, match="missing"):
+        allow_columns(df, ["a", "z"], {"y"})

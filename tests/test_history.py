@@ -189,3 +189,42 @@ def test_split_rules():
     for bad in ([("a", None, "2020-01-02"), ("b", "2020-01-01", None)], [("a", "2020-01-01", "2020-01-01")], [("a", None, None), ("b", "2020-01-01", None)]):
         with pytest.raises(ValueError):
             p.check_splits(bad)
+
+
+def test_profiles_of_a_long_history_are_bounded(monkeypatch):
+    """Against the plain definition, at any size of the pieces."""
+    r = np.random.RandomState(6)
+    vector = r.rand(9, 12)
+    unit = v._unit(vector)
+    n = 300
+    item, rating, us = r.randint(-1, 9, n), r.randint(1, 11, n) / 2, np.sort(r.randint(0, 120, n))
+    want = np.full((n, 4), np.nan)
+    for k in range(n):
+        if item[k] < 0:
+            continue
+        past = [j for j in range(n) if us[j] < us[k] and item[j] >= 0]
+        for c, some in enumerate(([j for j in past if rating[j] >= 4], [j for j in past if rating[j] < 4])):
+            if some:
+                s = vector[item[some]].sum(axis=0)
+                want[k, c] = unit[item[k]] @ s / np.sqrt(s @ s)
+                if c == 0:
+                    sims = np.sort(unit[item[some]] @ unit[item[k]])[::-1][:5]
+                    want[k, 2:] = sims[0], sims.mean()
+    for chunk, numbers in ((1024, 1 << 21), (7, 200)):
+        monkeypatch.setattr(v, "CHUNK", chunk)
+        monkeypatch.setattr(v, "NUMBERS", numbers)
+        np.testing.assert_allclose(v._profile(item, vector, unit, rating, us), want, atol=1e-12)
+
+
+def test_profile_of_200000_events_within_a_gigabyte():
+    import tracemalloc
+
+    r = np.random.RandomState(7)
+    n = 200_000
+    vector = r.rand(2_000, 64)
+    tracemalloc.start()
+    out = v._profile(r.randint(0, 2_000, n), vector, v._unit(vector), r.randint(1, 11, n) / 2, np.sort(r.randint(0, 10**9, n)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(out[-1]).all()
+    assert peak < 300 << 20

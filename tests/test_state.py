@@ -131,3 +131,41 @@ def test_stream_late_rows_and_repeats(spark, catalog, tmp_path):
     s.flush()
     s.flush()
     assert {r["event_id"]: r["user_count"] for r in s.features().collect()} == {1: 0, 2: 1, 3: 1}
+
+
+def test_states_without_windows_or_with_unknown_times_make_no_checkpoint(spark, tmp_path):
+    e = spark.createDataFrame([(1, 1, 1, 4.0, 10), (2, 1, 2, 3.0, 20), (3, 2, 1, 5.0, 30)], "event_id long, user_id long, item_id long, rating double, event_us long")
+    c = spark.createDataFrame([(1, 1990, ["a"]), (2, 1991, ["a", "b"])], "item_id long, release_year int, genres array<string>")
+    b = cp.bridge_of(c)
+    coarse = st.build(e, b, 25, windows=False)
+    assert {r["event_us"] for r in coarse.item.collect()} == {st.OLD}
+    later = st.advance(coarse, e, b, 40)
+    assert not later.windows and later.count == 3
+    with pytest.raises(ValueError, match="windows"):
+        st.suffix_features(coarse, e, c)
+    more = st.add_untimed(st.build(e, b, 25), spark.createDataFrame([(1, 2, 1.0)], "user_id long, item_id long, rating double"), b)
+    assert not more.trusted and st.conservation(more).first()["ok"]
+    third = st.suffix_features(more, e, c).collect()[0]
+    assert (third["global_count"], third["item_count"], third["item_count_60d"]) == (3, 1, 1)
+    for k, state in enumerate((coarse, later, more, st.advance(more, e, b, 40))):
+        with pytest.raises(ValueError, match="checkpoint"):
+            cp.save(state, f"file://{tmp_path}/{k}", "0" * 64, "0" * 64)
+
+
+def test_stream_commits_gains_and_compacts(spark, tmp_path, monkeypatch):
+    from chronofold.streaming import replay
+
+    monkeypatch.setattr(replay, "COMPACT", 2)
+    r = random.Random(8)
+    kind = "event_id long, user_id long, item_id long, rating double, event_us long"
+    rows = [(k, r.randint(1, 3), r.randint(1, 3), r.randint(1, 10) / 2, (k // 2) * 20 * 86_400_000_000) for k in range(1, 25)]
+    c = spark.createDataFrame([(i, 1990, ["a", "b"][: i % 3]) for i in range(1, 4)], "item_id long, release_year int, genres array<string>")
+    stream = replay.StreamReplay(spark, f"file://{tmp_path}/s", c)
+    for k in range(4):
+        stream.process(spark.createDataFrame(rows[6 * k : 6 * k + 6], kind), k)
+    stream.flush()
+    names = ["event_id", "global_count", "user_count", "item_count_30d", "item_count_60d", "user_genre_count", "item_mean"]
+    want = sorted(map(tuple, blocks(spark.createDataFrame(rows, kind), c).select(*names).collect()))
+    assert sorted(map(tuple, stream.features().select(*names).collect())) == want
+    wholes = [json.loads(stream.files.read(f"{stream.root}/commits/{v}/commit.json"))["whole"] for v in stream.versions()]
+    assert wholes == [0, 0, 2, 2, 4]
