@@ -27,7 +27,7 @@ from .tokens import encoder, vocabulary_path
 #: The vocabulary and its end-of-document id; ids are below 2 ** 16.
 VOCABULARY, END = "word_bpe_49k.json", 49_407
 #: Bytes of a block, an even number.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def _write(root: str, path: str, end: int):

@@ -6,7 +6,9 @@ change. Compaction takes the shards of a size tier (sizes within a factor of ``f
 rewrites them as files of about ``target`` bytes: their scan is planned in partitions of that size, one written file each,
 without a shuffle. Replaced shards stay for readers of older versions until ``vacuum``.
 
-What the driver handles is a line a shard, never rows. A job that fails leaves files that no manifest lists.
+The commit needs a file system whose rename is atomic and fails where the target exists, as HDFS and local ones do; plain
+object stores don't. What the driver handles is a line a shard, never rows. A job that fails leaves files that no manifest
+lists. One writer publishes one arrival after another.
 
 Defined results: rows come back as they were, repeated ones too, in no order; NULL arrivals are arrival 0; no rows make a
 version without shards.
