@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ def save(state: State, path: str, source: str, catalog: str, whole: str | None =
     spark = state.user.sparkSession
     files, stage = Files(spark, path), f"{path}.{uuid.uuid4().hex}.new"
     try:
-        for name in NAMES:
-            write_parquet(getattr(state, name), f"{stage}/{name}")
+        with ThreadPoolExecutor(len(NAMES)) as pool:  # jobs of their own, none of which fills a cluster
+            list(pool.map(lambda name: write_parquet(getattr(state, name), f"{stage}/{name}"), NAMES))
         written = State(state.cutoff_us, state.count, state.total, *[spark.read.parquet(f"{stage}/{n}") for n in NAMES])
         if not conservation(written).first()["ok"]:
             raise ValueError("the state's sums disagree")
