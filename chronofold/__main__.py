@@ -1,4 +1,5 @@
-"""Command line: ``python -m chronofold convert | audit | materialize | train | evaluate | check | compare`` over a folder of tables."""
+"""Command line: ``python -m chronofold convert | audit | materialize | train | evaluate | check |
+compare | fit | score | explain`` over a folder of tables."""
 
 from __future__ import annotations
 
@@ -11,6 +12,16 @@ def main(args: list[str] | None = None) -> None:
     convert = sub.add_parser("convert", help="CSV files of a folder to validated Parquet")
     convert.add_argument("source")
     convert.add_argument("target")
+    for name, text in (("fit", "fit and save a model with its manifest"), ("score", "scores of all events by a saved model"), ("explain", "Shapley values of a saved model's features")):
+        p = sub.add_parser(name, help=text)
+        p.add_argument("tables")
+        p.add_argument("model")
+        if name == "score":
+            p.add_argument("target")
+        if name == "fit":
+            p.add_argument("--contract", type=int, default=17, choices=(17, 25, 30))
+            p.add_argument("--learner", default="gbt", choices=("logistic", "gbt"))
+            p.add_argument("--against", help="the model in place")
     for name, text in (("audit", "the temporal audit of the events"), ("materialize", "the feature table"), ("train", "fit, score and evaluate"), ("compare", "two contracts, metric by metric"), ("evaluate", "boosted trees by split, quarter, bin and gain"), ("check", "a feature table against its events")):
         p = sub.add_parser(name, help=text)
         p.add_argument("tables")
@@ -58,6 +69,23 @@ def main(args: list[str] | None = None) -> None:
         side = json.loads(Files(spark, a.target).read(f"{a.target}.json"))
         check_artifact(spark.read.parquet(a.target), views.events(spark, a.tables), side["contract"], side["source"])
         print("valid")
+    elif a.command == "fit":
+        from .model import manifest
+
+        old = manifest.read(spark, f"{a.against}.json") if a.against else None
+        print(manifest.dumps(manifest.publish_model(spark, a.tables, a.model, a.contract, a.learner, a.model.rstrip("/").split("/")[-1], old)))
+    elif a.command in ("score", "explain"):
+        from .model import attribution, manifest, train
+        from .schemas import contract
+        from .sources.publish import scratch, write_parquet
+
+        model, m = manifest.open_model(spark, a.model)
+        features, table = contract(m["contract"]), train.labelled(spark, a.tables, m["contract"])
+        if a.command == "score":
+            write_parquet(train.score(model, table, features, ["event_id", "event_us", "split"]), a.target)
+        else:
+            found = attribution.contributions(model, table.where("split = 'test'"), features, [], scratch(spark))
+            attribution.importance(found, features).orderBy("mean_abs", ascending=False).show(100, truncate=False)
     else:
         from .model.train import fit_and_evaluate
         from .operators.evaluate import BETTER, deltas

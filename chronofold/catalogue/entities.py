@@ -134,9 +134,9 @@ def canonical_item_faults(spark, sf):
 
 
 def _folder(spark) -> str:
-    from .state import _scratch
+    from ..sources.publish import scratch
 
-    return _scratch(spark)
+    return scratch(spark)
 
 
 @query(with_views("it lk", """

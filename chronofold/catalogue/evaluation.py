@@ -176,6 +176,19 @@ def boosted_trees(spark, sf):
     return rounded(fit_and_evaluate_trees(spark, sf))
 
 
+@query()
+def shapley_importance(spark, sf):
+    """Mean absolute Shapley value of each feature over the whole test split, of the trees of ``boosted_trees``."""
+    from ..model.attribution import contributions, importance
+    from ..model.train import fit_trees, labelled
+    from ..schemas import contract
+    from ..sources.publish import scratch
+
+    features, table = contract(17), labelled(spark, sf, 17)
+    model = fit_trees(table, features)
+    return rounded(importance(contributions(model, table.where("split = 'test'"), features, [], scratch(spark)), features))
+
+
 @query()
 def model_scores(spark, sf):
     """Trains on the past, scores later splits; no other engine gives the same model."""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import views
 from ..plans.features import blocks
 from ..schemas import contract
+from ..sources.publish import scratch
 from ..state import checkpoints, tables
 from ..views import with_views
 from . import query
@@ -18,18 +17,6 @@ CUT = "1999-03-01"
 CUT_US = 920_246_400_000_000
 
 
-def _scratch(spark) -> str:
-    """A folder for files of a query: in the shared checkpoint folder, which only a session in one process may leave unnamed."""
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return f"{named.rstrip('/')}/chronofold/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
-
-
 @query(with_views("re", """
 , t AS (SELECT event_us, count(*) AS n, min(event_id) AS first_id FROM re GROUP BY event_us) SELECT row_number() OVER (ORDER BY event_us) - 1 AS ordinal, event_us, n, first_id FROM t"""))
 def timestamp_batches(spark, sf):
@@ -79,7 +66,7 @@ def _columns():
 @query(with_views("re yr br", _BASE + f"SELECT {_COLUMNS17} {_JOINS} WHERE b.event_us >= {CUT_US}"))
 def checkpoint_resume(spark, sf):
     """Features from the cutoff on, from a checkpoint that is saved, loaded, bound to its history and resumed."""
-    root = _scratch(spark)
+    root = scratch(spark)
     e, c, path = _kept(spark, sf, root), views.catalog(spark, sf), f"{root}/checkpoint"
     checkpoints.checkpoint(e, c, CUT_US, path)
     found, _ = checkpoints.replay(checkpoints.resume(e, c, path), e, c)
@@ -91,7 +78,7 @@ SELECT CAST(0 AS BIGINT) AS only_full, CAST(0 AS BIGINT) AS only_incremental, co
   CAST(sum(user_genre_count) AS BIGINT) AS group_counts, CAST(sum(global_count) AS BIGINT) AS global_counts, round(sum(item_mean), 3) AS item_means FROM w"""))
 def incremental_equals_full(spark, sf):
     """Rows that only the full plan, or only the resumed one, gives (none of either), and sums of the resumed one."""
-    e, c = _kept(spark, sf, _scratch(spark)), views.catalog(spark, sf)
+    e, c = _kept(spark, sf, scratch(spark)), views.catalog(spark, sf)
     full = blocks(e, c).where(F.col("event_us") >= CUT_US).select(*_columns())
     some = tables.suffix_features(tables.build(e, checkpoints.bridge_of(c), CUT_US), e, c).select(*_columns())
     total = lambda c: F.sum(c).cast("long")
@@ -108,7 +95,7 @@ def stream_replay(spark, sf):
     """All events as a stream of files in order of time, some files splitting a timestamp."""
     from ..streaming.replay import StreamReplay
 
-    root = _scratch(spark)
+    root = scratch(spark)
     e = views.events(spark, sf).select("event_id", "user_id", "item_id", "rating", "event_us")
     stream = StreamReplay(spark, f"{root}/out", views.catalog(spark, sf))
     for part in _thirds(e):  # what has arrived is one micro-batch; the stream's own checkpoint says what is new

@@ -51,6 +51,35 @@ def check(m: dict) -> None:
                 raise ValueError(f"{split}: {k} is {v}")
 
 
+def publish_model(spark: SparkSession, sf_dir: str, path: str, version: int = 17, kind: str = "gbt", name: str = "model", against: dict | None = None) -> dict:
+    """Fits, evaluates and saves a model under ``path``, which must not exist, with its manifest beside it in ``path.json``.
+
+    ``against`` is the manifest of the model in place. The manifest comes last, so a model without one is no model.
+    """
+    from .. import views
+    from ..catalogue.entities import SPLITS
+    from ..state.checkpoints import catalog_id, source_id
+    from .train import evaluate_splits, fit, fit_trees, labelled, score
+
+    if Files(spark, path).exists(path):
+        raise FileExistsError(path)
+    table, features = labelled(spark, sf_dir, version), contract(version)
+    model = fit_trees(table, features) if kind == "gbt" else fit(table.where("split = 'train'"), features, kind)
+    found = {r["split"]: {k: r[k] for k in BETTER} for r in evaluate_splits(score(model, table, features, ["split", "y"])).collect() if r["split"]}
+    m = build(name, version, source_id(views.events(spark, sf_dir)), catalog_id(views.catalog(spark, sf_dir)), SPLITS, found, (against or {}).get("metrics"))
+    model.save(path)
+    write(spark, m, f"{path}.json")
+    return m
+
+
+def open_model(spark: SparkSession, path: str):
+    """A saved model and its manifest, which is checked."""
+    from pyspark.ml import PipelineModel
+
+    m = read(spark, f"{path}.json")
+    return PipelineModel.load(path), m
+
+
 def dumps(m: dict) -> str:
     check(m)
     return to_json(m)

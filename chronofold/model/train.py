@@ -99,11 +99,16 @@ def labelled(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     return table.join(target, "event_id").withColumn("split", split_label(F.col("event_us"), SPLITS))
 
 
+def fit_trees(table: DataFrame, features: tuple[Feature, ...], trees: int = 5, depth: int = 3):
+    """Boosted trees of the training split that stop on the validation split."""
+    some = table.where("split IN ('train', 'validation')").withColumn("held", F.col("split") == "validation")
+    return fit(some, features, "gbt", trees=trees, depth=depth, stop="held")
+
+
 def fit_and_evaluate_trees(spark: SparkSession, sf_dir: str, version: int = 17, trees: int = 5, depth: int = 3) -> DataFrame:
     """Boosted trees that stop on the validation split, and their whole evaluation."""
     features, table = contract(version), labelled(spark, sf_dir, version)
-    some = table.where("split IN ('train', 'validation')").withColumn("held", F.col("split") == "validation")
-    model = fit(some, features, "gbt", trees=trees, depth=depth, stop="held")
+    model = fit_trees(table, features, trees, depth)
     return evaluate_model(score(model, table, features, ["split", "event_us", "y"]), model, features)
 
 

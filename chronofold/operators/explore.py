@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts that the values of a feature are cut into for exact quantiles; a power of two.
+CUTS = 256
+
 
 def temporal_audit(events: DataFrame) -> DataFrame:
     """One row of the event log's size, span, ties and repetitions. Events: user_id, item_id, rating, ts.
@@ -146,21 +149,70 @@ def group_summary(events: DataFrame, bridge: DataFrame, catalog: DataFrame) -> D
     return g.crossJoin(catalog.agg(F.count("*").alias("total"))).withColumn("coverage_pct", 100 * F.col("items") / F.col("total")).drop("total")
 
 
+def _moments(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """by, feature, n, missing_pct, mean, std, min, max: one aggregate of all columns, nothing is stacked before it."""
+    one = df.groupBy(*by).agg(*[
+        F.struct(
+            F.count(x).alias("n"), (100 * F.avg(x.isNull().cast("double"))).alias("missing_pct"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        ).alias(n) for n, x in ((n, F.col(n).cast("double")) for n in names)
+    ])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in names])).alias("r")
+    return one.select(*by, rows).select(*by, "r.feature", "r.v.*")
+
+
+def value_counts(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """by, feature, x, c: how often each value of each column is there, NULL left out; summed before the shuffle."""
+    stacked = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in names])).alias("s"))
+    return stacked.select(*by, "s.feature", "s.x").where("x IS NOT NULL").groupBy(*by, "feature", "x").agg(F.count("*").alias("c"))
+
+
+def exact_quantiles(counts: DataFrame, by: list[str], q: tuple[float, ...]) -> DataFrame:
+    """by, quantiles, distinct: exact interpolated quantiles of x with counts c, and how many values there are. ``by`` has few
+    groups, features or classes, whose cuts are broadcast.
+
+    Values are cut at ``CUTS`` approximate quantiles; the parts' sums say in which of them the wanted ranks lie, and only
+    these are ordered, each in a task of its own. So no task holds the values of a group.
+    """
+    points = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
+    cuts = counts.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx("x", points, F.lit(20 * CUTS)))).alias("cuts"), F.sum("c").alias("n"), F.count("*").alias("distinct"))
+    # the number of cuts at or below x, by halving
+    low = F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in range(CUTS.bit_length() - 1, -1, -1)])
+    at = lambda i, step: F.when(F.coalesce(F.get(F.col("cuts"), i + step - 1) <= F.col("x"), F.lit(False)), i + step).otherwise(i)
+    parts = counts.join(F.broadcast(cuts.select(*by, "cuts")), by).withColumn("part", F.aggregate(steps, low, at)).drop("cuts")
+    sums = parts.groupBy(*by, "part").agg(F.sum("c").alias("k"))
+    before = W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("below", F.coalesce(F.sum("k").over(before), F.lit(0))).join(cuts.select(*by, "n", "distinct"), by)
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(v) * (F.col("n") - 1)).alias("at")) for i, v in enumerate(q)])).alias("w")
+    wanted = sums.select(*by, "part", "k", "below", "n", "distinct", place).select("*", "w.*").drop("w")
+    # a rank's part holds the value at floor(at), that at ceil(at), or both
+    has = (F.col("below") <= F.ceil("at")) & (F.floor("at") < F.col("below") + F.col("k"))
+    some = wanted.where(has).groupBy(*by, "part", "below").agg(F.collect_list(F.struct("i", "at")).alias("ws"))
+    inside = W.partitionBy(*by, "part").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    ranked = parts.join(F.broadcast(some), [*by, "part"]).withColumn("first", F.col("below") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    hit = ranked.select(*by, "x", "c", "first", F.explode("ws").alias("w")).select(*by, "x", "w.i", "w.at", "first", (F.col("first") + F.col("c") - 1).alias("last"))
+    lower = F.max(F.when((F.col("first") <= F.floor("at")) & (F.floor("at") <= F.col("last")), F.col("x")))
+    upper = F.max(F.when((F.col("first") <= F.ceil("at")) & (F.ceil("at") <= F.col("last")), F.col("x")))
+    share = F.max(F.col("at") - F.floor("at"))
+    found = hit.groupBy(*by, "i").agg(lower.alias("l"), upper.alias("u"), share.alias("f"))
+    found = found.withColumn("v", F.when(F.col("l") == F.col("u"), F.col("l")).otherwise(F.col("l") * (1 - F.col("f")) + F.col("u") * F.col("f")))
+    value = [F.max(F.when(F.col("i") == i, F.col("v"))) for i in range(len(q))]
+    return found.groupBy(*by).agg(F.array(*value).alias("quantiles")).join(cuts.select(*by, "distinct"), by)
+
+
 def feature_summary(df: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, n, missing_pct, mean, std, min, p01 to p99, max, distinct), all features in one stacked pass."""
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in names])).alias("s")).select("s.feature", "s.x")
+    """(feature, n, missing_pct, mean, std, min, p01 to p95, max, distinct)."""
     q = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)
-    found = stacked.groupBy("feature").agg(
-        F.count("x").alias("n"), (100 * F.avg(F.col("x").isNull().cast("double"))).alias("missing_pct"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.percentile("x", F.array(*map(F.lit, q))).alias("q"), F.max("x").alias("max"), F.count_distinct("x").alias("distinct"),
-    )
-    at = [F.col("q")[k].alias(f"p{int(v * 100):02d}") for k, v in enumerate(q)]  # one table of the values for all quantiles
-    return found.select("feature", "n", "missing_pct", "mean", "std", "min", *at, "max", "distinct")
+    found = _moments(df, [], names).join(exact_quantiles(value_counts(df, [], names), ["feature"], q), "feature", "left")
+    at = [F.col("quantiles")[k].alias(f"p{int(v * 100):02d}") for k, v in enumerate(q)]
+    return found.select("feature", "n", "missing_pct", "mean", "std", "min", *at, "max", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def by_target(df: DataFrame, names: list[str], target: str) -> DataFrame:
-    stacked = df.select(target, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in names])).alias("s")).select(target, "s.feature", "s.x")
-    return stacked.groupBy("feature", target).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.percentile("x", 0.5).alias("median"))
+    """(feature, target, n, mean, std, median); rows without a target aren't counted."""
+    some = df.where(F.col(target).isNotNull())
+    medians = exact_quantiles(value_counts(some, [target], names), [target, "feature"], (0.5,)).select(target, "feature", F.col("quantiles")[0].alias("median"))
+    return _moments(some, [target], names).select("feature", target, "n", "mean", "std").join(medians, [target, "feature"], "left").select("feature", target, "n", "mean", "std", "median")
 
 
 def null_rates(df: DataFrame, names: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import tempfile
 import uuid
 from urllib.parse import unquote
 
@@ -56,6 +57,16 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(p))) if self.exists(p) else []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate files: in the shared checkpoint folder, which only a local session may leave unnamed."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named.rstrip('/')}/chronofold/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
+
+
 def to_json(value: object) -> str:
     """Deterministic JSON: sorted keys, no NaN."""
     return json.dumps(value, sort_keys=True, indent=1, allow_nan=False, default=str) + "\n"

@@ -62,3 +62,34 @@ def test_drift_and_ranking(spark):
     g = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "name string, gain double")
     assert [r["name"] for r in ex.ranked(g, "gain", "name").orderBy("rank").collect()] == ["c", "a", "b"]
     assert ex.temporal_audit(e.withColumn("ts", F.expr("timestamp_ntz '2020-01-01' + make_interval(0,0,0,0,0,0,event_us)")).limit(0)).first()["row_count"] == 0
+
+
+def test_quantiles_against_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from chronofold.operators import explore
+
+    monkeypatch.setattr(explore, "CUTS", 16)
+    rng = np.random.RandomState(3)
+    columns = {
+        "spread": rng.randn(997), "few": rng.randint(0, 3, 997).astype(float), "one": np.full(997, 2.5), "tail": np.exp(3 * rng.randn(997)),
+        "zeros": np.where(rng.rand(997) < 0.9, 0.0, rng.randn(997)),
+    }
+    rows = [[None if (k + j) % 10 == 0 else float(v[k]) for j, v in enumerate(columns.values())] + [None, k % 3 == 0] for k in range(997)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in columns) + ", nothing double, hit boolean").repartition(5)
+    names = [*columns, "nothing"]
+    found = {r["feature"]: r for r in explore.feature_summary(df, names).collect()}
+    for j, n in enumerate(columns):
+        x = np.array([r[j] for r in rows if r[j] is not None])
+        assert (found[n]["n"], found[n]["distinct"]) == (len(x), len(np.unique(x)))
+        want = [*np.quantile(x, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95)), x.min(), x.max(), x.mean(), x.std(ddof=1)]
+        got = [found[n][c] for c in ("p01", "p05", "p25", "p50", "p75", "p95", "min", "max", "mean", "std")]
+        assert np.allclose(got, want, rtol=1e-12, atol=1e-12), n
+    assert (found["nothing"]["n"], found["nothing"]["distinct"], found["nothing"]["p50"], found["nothing"]["missing_pct"]) == (0, 0, None, 100)
+    for r in explore.by_target(df, names, "hit").collect():
+        x = [row[names.index(r["feature"])] for row in rows if row[-1] == r["hit"]]
+        x = [v for v in x if v is not None]
+        assert r["n"] == len(x)
+        assert r["median"] is None if not x else abs(r["median"] - np.median(x)) < 1e-12
+    empty = explore.feature_summary(df.limit(0), names).collect()
+    assert {(r["feature"], r["n"], r["p50"], r["distinct"]) for r in empty} == {(n, 0, None, 0) for n in names}
