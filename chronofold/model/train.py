@@ -13,12 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
-from ..operators.predicates import check_splits, split_label
+from ..operators.predicates import allow_columns, check_splits, split_label
 from ..schemas import Feature, contract
 
 
+#: Columns that show the target and are never inputs.
+TARGETS = {"rating", "y"}
+
+
 def matrix(df: DataFrame, features: tuple[Feature, ...]) -> tuple[DataFrame, list[str]]:
-    """Adds the columns of the feature vector in the contract's order, and gives their names."""
+    """Adds the columns of the feature vector in the contract's order, and gives their names.
+
+    A feature that shows the target or isn't there raises ValueError.
+    """
+    allow_columns(df, [f.name for f in features], TARGETS)
     new, names = {}, []
     for f in features:
         x = F.col(f.name).cast("int").cast("double") if f.kind == "boolean" else F.col(f.name).cast("double")

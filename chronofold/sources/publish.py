@@ -53,6 +53,10 @@ class Files:
         context = self.hadoop.FileContext.getFileContext(self.path(a).toUri(), self.conf)
         context.rename(self.path(a), self.path(b), self.gateway.new_array(self.hadoop.Options.Rename, 0))
 
+    def size(self, p: str) -> int:
+        """Bytes of a file, or of all files of a folder."""
+        return self.fs.getContentSummary(self.path(p)).getLength()
+
     def names(self, p: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(p))) if self.exists(p) else []
 
@@ -108,7 +112,9 @@ def publish_pair(df: DataFrame, path: str, metadata: dict, check=None) -> None:
 
 
 def convert(spark: SparkSession, df: DataFrame, path: str) -> dict:
-    """Writes a validated table, reads it back, compares, and only then puts it in place; rows and bytes.
+    """Writes a validated table, reads it back, compares, and only then puts it in place; rows, bytes and source_bytes.
+
+    source_bytes is the size of the files that ``df`` reads, None where it reads none.
 
     An old table steps aside, and comes back if the new one can't be put in place.
     """
@@ -128,14 +134,19 @@ def convert(spark: SparkSession, df: DataFrame, path: str) -> dict:
             files.rename(old, path)
         raise
     files.delete(old)
-    size = files.fs.getContentSummary(files.path(path)).getLength()
-    return {"rows": spark.read.parquet(path).count(), "bytes": size}
+    size = files.size(path)
+    read = sum(Files(spark, p).size(p) for p in df.inputFiles()) or None
+    return {"rows": spark.read.parquet(path).count(), "bytes": size, "source_bytes": read}
 
 
 def convert_all(spark: SparkSession, frames: dict[str, DataFrame], root: str) -> DataFrame:
-    """(dataset, rows, bytes) of tables converted one after another; the first failure stops it."""
+    """(dataset, rows, bytes, source_bytes, ratio) of tables converted one after another; the first failure stops it.
+
+    ratio is how many bytes of the source a byte of the table stands for.
+    """
     rows = [(name, *convert(spark, df, f"{root}/{name}.parquet").values()) for name, df in frames.items()]
-    return spark.createDataFrame(rows, "dataset string, rows long, bytes long")
+    found = spark.createDataFrame(rows, "dataset string, rows long, bytes long, source_bytes long")
+    return found.withColumn("ratio", F.col("source_bytes") / F.col("bytes"))
 
 
 def row_digest(columns: list[str]) -> Column:

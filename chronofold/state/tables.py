@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,12 @@ KEEP_US = 60 * DAY_US
 #: The time of what is older than any window.
 OLD = -(2**60)
 NAMES = ("user", "item", "group")
+#: Columns of the tables in a document, and rows of one at most.
+DOCUMENTS = {
+    "user": "user_id long, event_us long, n long, s double, ss double", "item": "item_id long, event_us long, n long, s double, ss double",
+    "group": "user_id long, genre string, event_us long, n long, s double",
+}
+DOCUMENT = 100_000
 
 
 @dataclass
@@ -98,6 +104,39 @@ def advance(state: State, events: DataFrame, bridge: DataFrame, cutoff_us: int)
     return State(cutoff_us, state.count + n, state.total + s, u, i, g, state.windows, state.trusted)
 
 
+def to_document(state: State, most: int = DOCUMENT) -> dict:
+    """A small state as plain values in order of its keys, for JSON. More than ``most`` rows raise ValueError: tables are for these."""
+    out = {"cutoff_us": state.cutoff_us, "count": state.count, "total": state.total, "windows": state.windows, "trusted": state.trusted}
+    for name in NAMES:
+        rows = getattr(state, name).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name}: more than {most} rows")
+        key = [c for c in ("user_id", "item_id", "genre", "event_us") if c in rows[0]] if rows else []
+        out[name] = sorted((r.asDict() for r in rows), key=lambda r: [r[c] for c in key])
+    return out
+
+
+def from_document(spark: SparkSession, document: dict) -> State:
+    """The state of ``to_document``. Other fields, values of other types, or sums that disagree raise ValueError; nothing is cast."""
+    plain = {"cutoff_us": int, "count": int, "total": float, "windows": bool, "trusted": bool}
+    if not isinstance(document, dict) or set(document) != {*plain, *NAMES}:
+        raise ValueError("the document's fields differ")
+    if wrong := [k for k, kind in plain.items() if type(document[k]) is not kind]:
+        raise ValueError(f"{wrong} are of other types")
+    kinds = {"long": int, "double": float, "string": str}
+    found = []
+    for name, schema in DOCUMENTS.items():
+        want = dict(c.split() for c in schema.split(", "))
+        for row in document[name]:
+            if set(row) != set(want) or any(type(row[c]) is not kinds[k] for c, k in want.items()):
+                raise ValueError(f"{name}: {row}")
+        found.append(spark.createDataFrame([tuple(r[c] for c in want) for r in document[name]], schema))
+    state = State(document["cutoff_us"], document["count"], document["total"], *found, document["windows"], document["trusted"])
+    if not conservation(state).first()["ok"]:
+        raise ValueError("the state's sums disagree")
+    return state
+
+
 def _with_state(events: DataFrame, rows: DataFrame) -> DataFrame:
     return events.withColumn("__new", F.lit(True)).unionByName(rows.withColumn("__new", F.lit(False)), allowMissingColumns=True)
 

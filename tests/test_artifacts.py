@@ -25,7 +25,7 @@ def test_manifest(spark, tmp_path):
     assert manifest.build("m", 17, HEX, HEX, [], {"test": GOOD}, {"test": GOOD | {"brier": 0.20005}})["promoted"]
 
 
-@pytest.mark.parametrize("change", [{"version": 2}, {"features": []}, {"source": "x"}, {"metrics": {"test": GOOD | {"brier": float("nan")}}}, {"metrics": {"test": {}}}, {"extra": 1}])
+@pytest.mark.parametrize("change", [{"version": 2}, {"features": []}, {"source": "x"}, {"metrics": {"test": GOOD | {"brier": float("nan")}}}, {"metrics": {"test": {}}}, {"status": "candidate"}, {"target": {}}, {"rows": {"other": 1}}, {"extra": 1}])
 def test_manifest_checks(change):
     m = manifest.build("m", 17, HEX, HEX, [], {"test": GOOD})
     with pytest.raises(ValueError):

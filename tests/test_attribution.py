@@ -62,6 +62,13 @@ def test_contributions_add_up_to_log_odds(spark, fitted, tmp_path):
     assert attribution.contributions(model, df.limit(0), features, ["id"], f"file://{tmp_path}/u").collect() == []
 
 
+def test_inputs_may_not_show_the_target(spark):
+    df = spark.createDataFrame([(1.0, 4.0, 1)], "a double, rating double, y int")
+    for name in ("rating", "y", "absent"):
+        with pytest.raises(ValueError, match=name):
+            train.matrix(df, (Feature(name, "double", False, "x", 17),))
+
+
 def test_commands_fit_score_and_explain(spark, sf, tmp_path, capsys):
     from chronofold.__main__ import main
 
@@ -70,7 +77,14 @@ def test_commands_fit_score_and_explain(spark, sf, tmp_path, capsys):
     m = manifest.read(spark, f"{path}.json")
     assert m["promoted"]
     assert m["name"] == "m"
-    assert "test" in m["metrics"]
+    assert m["status"] == "promoted"
+    assert m["learner"]["trees"] >= 1
+    assert sum(m["rows"].values()) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    manifest.validate(spark, m, sf)
+    with pytest.raises(ValueError, match="other events"):
+        manifest.validate(spark, m | {"source": "0" * 64}, sf)
+    with pytest.raises(ValueError, match="splits"):
+        manifest.validate(spark, m | {"splits": []}, sf)
     with pytest.raises(FileExistsError):
         manifest.publish_model(spark, sf, path)
     main(["score", sf, path, out])

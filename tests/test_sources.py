@@ -154,6 +154,10 @@ def test_publish_pair_restores_when_the_last_rename_fails(spark, tmp_path, monke
 def test_convert(spark, tmp_path):
     got = pub.convert_all(spark, {"a": spark.range(4), "b": spark.range(2)}, f"file://{tmp_path}")
     assert [(r["dataset"], r["rows"]) for r in got.collect()] == [("a", 4), ("b", 2)]
+    assert all(r["ratio"] is None for r in got.collect())
+    spark.range(5).write.csv(f"file://{tmp_path}/c.csv")
+    r = pub.convert_all(spark, {"c": spark.read.csv(f"file://{tmp_path}/c.csv")}, f"file://{tmp_path}").first()
+    assert (r["source_bytes"], r["ratio"]) == (10, 10 / r["bytes"])
     assert pub.files_digest(spark, f"file://{tmp_path}/a.parquet") == pub.files_digest(spark, f"file://{tmp_path}/a.parquet")
 
 

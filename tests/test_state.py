@@ -56,6 +56,27 @@ def test_advance_in_steps_equals_build(spark, catalog):
         st.advance(step, e, b, 0)
 
 
+def test_document_round_trip(spark, catalog):
+    e, b = spark.createDataFrame(data(5), EVENTS), cp.bridge_of(catalog)
+    state = st.build(e, b, 60 * DAY_US)
+    doc = json.loads(json.dumps(st.to_document(state), sort_keys=True))
+    back = st.from_document(spark, doc)
+    assert st.to_document(back) == doc
+    assert st.to_document(st.build(e.orderBy("rating").repartition(3), b, 60 * DAY_US)) == doc
+    assert take(st.suffix_features(back, e, catalog)) == take(st.suffix_features(state, e, catalog))
+    empty = st.to_document(st.build(e, b, -(10**15)))
+    assert st.from_document(spark, empty).count == 0
+    first = doc["user"][0]
+    for wrong in (
+        doc | {"more": 1}, {k: v for k, v in doc.items() if k != "item"}, doc | {"count": True}, doc | {"total": str(doc["total"])}, doc | {"count": doc["count"] + 1},
+        doc | {"user": [first | {"n": float(first["n"])}, *doc["user"][1:]]}, doc | {"user": doc["user"][1:]},
+    ):
+        with pytest.raises(ValueError, match="."):
+            st.from_document(spark, wrong)
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        st.to_document(state, 2)
+
+
 def test_checkpoint_round_trip_and_guards(spark, catalog, tmp_path):
     rows = data(83)
     e = spark.createDataFrame(rows, EVENTS)
