@@ -28,8 +28,8 @@ def prior(*key: str, upto: int = -1):
     return W.partitionBy(*key).orderBy("event_us").rangeBetween(W.unboundedPreceding, upto)
 
 
-def global_history(events: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
-    """Adds global_count and global_mean.
+def global_history(events: DataFrame, bucket_us: int = BUCKET_US, count: int = 0, total: float = 0.0) -> DataFrame:
+    """Adds global_count and global_mean; ``count`` and ``total`` are of ratings before all events.
 
     Events are summed by timestamp before any shuffle; a timestamp sees the totals of the earlier buckets of time (a row a
     bucket) and of the earlier timestamps of its own, so no task sees all events. What each timestamp sees is joined back.
@@ -40,7 +40,7 @@ def global_history(events: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     totals = totals.select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("s").over(before), zero).alias("__s0"))
     w = prior("__b")
     t = t.select("event_us", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__n1"), F.coalesce(F.sum("__s").over(w), zero).alias("__s1")).join(totals, "__b")
-    n, s = F.col("__n0") + F.col("__n1"), F.col("__s0") + F.col("__s1")
+    n, s = F.col("__n0") + F.col("__n1") + F.lit(count), F.col("__s0") + F.col("__s1") + F.lit(float(total))
     t = t.select(F.col("event_us").alias("__t"), n.alias("global_count"), F.coalesce(safe_ratio(s, n.cast("double")), F.lit(COLD_START)).alias("global_mean"))
     return events.join(t, F.col("event_us").eqNullSafe(F.col("__t")), "left").drop("__t")
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,12 @@ def check_history(events: DataFrame) -> None:
         raise ValueError("event ids repeat")
 
 
+def _together(*jobs: Callable):
+    """What the jobs give, run at once, as none of them fills a cluster; the first one's error in the order given counts."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def save(state: State, path: str, source: str, catalog: str, whole: str | None = None) -> None:
     """Publishes a checkpoint under ``path``, which must not exist: staged beside it, verified there and renamed."""
     if not (state.windows and state.trusted):
@@ -53,8 +61,7 @@ def save(state: State, path: str, source: str, catalog: str, whole: str | None =
     spark = state.user.sparkSession
     files, stage = Files(spark, path), f"{path}.{uuid.uuid4().hex}.new"
     try:
-        with ThreadPoolExecutor(len(NAMES)) as pool:  # jobs of their own, none of which fills a cluster
-            list(pool.map(lambda name: write_parquet(getattr(state, name), f"{stage}/{name}"), NAMES))
+        _together(*[partial(write_parquet, getattr(state, name), f"{stage}/{name}") for name in NAMES])
         written = State(state.cutoff_us, state.count, state.total, *[spark.read.parquet(f"{stage}/{n}") for n in NAMES])
         if not conservation(written).first()["ok"]:
             raise ValueError("the state's sums disagree")
@@ -92,19 +99,24 @@ def load(spark: SparkSession, path: str) -> tuple[State, dict]:
 
 def checkpoint(events: DataFrame, catalog: DataFrame, cutoff_us: int, path: str, strict: bool = False) -> None:
     """State and sidecar of the events before the cutoff."""
-    check_history(events)
-    save(build(events, bridge_of(catalog), cutoff_us), path, source_id(events, cutoff_us), catalog_id(catalog), source_id(events) if strict else None)
+    _, source, items, whole, state = _together(
+        lambda: check_history(events), lambda: source_id(events, cutoff_us), lambda: catalog_id(catalog), lambda: source_id(events) if strict else None,
+        lambda: build(events, bridge_of(catalog), cutoff_us),
+    )
+    save(state, path, source, items, whole)
 
 
 def resume(events: DataFrame, catalog: DataFrame, path: str) -> State:
     """The checkpoint's state, once its digests match the history before its cutoff and the catalogue."""
     state, side = load(events.sparkSession, path)
-    check_history(events)
-    if side["source"] != source_id(events, state.cutoff_us):
+    _, source, items, whole = _together(
+        lambda: check_history(events), lambda: source_id(events, state.cutoff_us), lambda: catalog_id(catalog), lambda: None if side["whole"] is None else source_id(events),
+    )
+    if side["source"] != source:
         raise ValueError("the history before the cutoff differs")
-    if side["catalog"] != catalog_id(catalog):
+    if side["catalog"] != items:
         raise ValueError("the catalogue differs")
-    if side["whole"] is not None and side["whole"] != source_id(events):
+    if side["whole"] != whole:
         raise ValueError("the whole history differs")
     return state
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_US, age_years, pop_std, safe_ratio
-from ..operators.history import COLD_START, window_ratios
+from ..operators.history import global_history, window_ratios
 
 KEEP_US = 60 * DAY_US
 #: The time of what is older than any window.
@@ -145,23 +145,13 @@ def _before(*key: str, upto: int = -1):
     return W.partitionBy(*key).orderBy("event_us").rangeBetween(W.unboundedPreceding, upto)
 
 
-def suffix_features(state: State, events: DataFrame, catalog: DataFrame, bucket_us: int = 30 * DAY_US) -> DataFrame:
+def suffix_features(state: State, events: DataFrame, catalog: DataFrame) -> DataFrame:
     """Features of the 22 columns that need no vectors, for the events from the state's cutoff on, in double precision."""
     if not state.windows:
         raise ValueError("the state was made without windows")
     zero = F.lit(0.0)
-    e = weighted(events.where(F.col("event_us") >= state.cutoff_us).select("event_id", "user_id", "item_id", "rating", "event_us"))
-    # all events: buckets of the suffix on top of the state's totals
-    e = e.withColumn("__b", F.floor(F.col("event_us") / bucket_us))
-    t = e.groupBy("__b").agg(F.sum("n").alias("n1"), F.sum("s").alias("s1"))
-    w = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    t = t.select("__b", (F.coalesce(F.sum("n1").over(w), F.lit(0)) + state.count).alias("__n0"), (F.coalesce(F.sum("s1").over(w), zero) + state.total).alias("__s0"))
-    w = _before("__b")
-    e = e.withColumns({"__n1": F.count("*").over(w), "__s1": F.coalesce(F.sum("s").over(w), zero)}).join(t, "__b")
-    e = e.withColumn("global_count", F.col("__n0") + F.col("__n1"))
-    e = e.withColumn("global_mean", F.coalesce(safe_ratio(F.col("__s0") + F.col("__s1"), F.col("global_count").cast("double")), F.lit(COLD_START)))
-    e = e.drop("__b", "__n0", "__s0", "__n1", "__s1")
-
+    e = events.where(F.col("event_us") >= state.cutoff_us).select("event_id", "user_id", "item_id", "rating", "event_us")
+    e = weighted(global_history(e, count=state.count, total=state.total))
     e = _with_state(e, state.item)
     w, w30, w60 = _before("item_id"), _before("item_id", upto=-30 * DAY_US - 1), _before("item_id", upto=-60 * DAY_US - 1)
     new = {"item_count": F.coalesce(F.sum("n").over(w), F.lit(0)), "__s": F.coalesce(F.sum("s").over(w), zero), "__ss": F.coalesce(F.sum("ss").over(w), zero)}
