@@ -95,16 +95,17 @@ def evaluate_model(scored: DataFrame, model=None, features: tuple[Feature, ...]
 
 
 def labelled(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
-    """The feature table with ``y`` and ``split``."""
+    """The feature table with ``y`` and ``split``, made once and stored, as fitting and scoring read it many times."""
     from .. import views
     from ..catalogue.entities import SPLITS
     from ..plans.features import feature_table
+    from ..sources.publish import kept
 
     check_splits(SPLITS)
-    e = views.events(spark, sf_dir)
-    target = e.select("event_id", (F.col("rating") >= 4.0).cast("int").alias("y"))
-    table = feature_table(e, views.catalog(spark, sf_dir), views.scores(spark, sf_dir) if version > 17 else None, version)
-    return table.join(target, "event_id").withColumn("split", split_label(F.col("event_us"), SPLITS))
+    scores = views.scores(spark, sf_dir) if version > 17 else None
+    y = (F.col("rating") >= 4.0).cast("int").alias("y")
+    table = feature_table(views.events(spark, sf_dir), views.catalog(spark, sf_dir), scores, version, y)
+    return kept(table.withColumn("split", split_label(F.col("event_us"), SPLITS)), "labelled")
 
 
 def fit_trees(table: DataFrame, features: tuple[Feature, ...], trees: int = 5, depth: int = 3):

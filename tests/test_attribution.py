@@ -94,3 +94,13 @@ def test_commands_fit_score_and_explain(spark, sf, tmp_path, capsys):
     capsys.readouterr()
     main(["explain", sf, path])
     assert "mean_abs" in capsys.readouterr().out
+
+
+def test_the_labelled_table_is_made_once(spark, sf):
+    """Fitting and scoring read it many times, so it is a stored table without joins or windows."""
+    t = train.labelled(spark, sf, 17)
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert "Window" not in plan
+    assert t.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert {r["y"] for r in t.select("y").distinct().collect()} == {0, 1}
