@@ -160,10 +160,13 @@ def _pairs(few: DataFrame, bits: int) -> DataFrame:
 def candidates(distinct: DataFrame, bucket: int, bits: int) -> DataFrame:
     """(space, fp) of distinct fingerprints to pairs (space, a, b) that share a key and differ in at most ``bits`` bits.
 
-    Of a key that more than ``bucket`` share, each meets one of them, chosen by the key; a fingerprint has some 16 keys, so
-    that many such keys give it many partners, and their number stays linear.
+    Of a key that more than ``bucket`` share, each meets one of them, chosen by the key, so that their number stays linear;
+    ``_rest`` compares what these pairs leave apart.
     """
-    buckets = _buckets(distinct)
+    return _candidates(_buckets(distinct), bucket, bits)
+
+
+def _candidates(buckets: DataFrame, bucket: int, bits: int) -> DataFrame:
     pairs = _pairs(buckets.where(F.col("n") <= bucket).select("key", "space", "fp"), bits)
     one = buckets.where(F.col("n") > bucket).select("space", F.col("mark").bitwiseXOR(F.xxhash64("key")).alias("a"), F.col("fp").alias("b"))
     return pairs.unionByName(one.where("a <> b").where(_apart("a", "b") <= bits)).distinct()
@@ -203,8 +206,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SPACES, PARTS = 4, 16
 #: Standard error of a similarity of 0.8 that is estimated from the sketch; bits in which candidates differ at most.
 ERROR, CLOSE = 0.026, 5
-#: Fingerprints of a key that all meet each other as candidates.
-MEET = 8
+#: Fingerprints of a key that are all joined with each other; rows that a task compares with all others under a crowded key.
+MEET, ASK = 8, 1024
 _CHUNK = 4096
 
 
@@ -261,14 +264,65 @@ def _alike(a: str, b: str, similarity: float):
     return apart <= bits_apart(similarity - ERROR)
 
 
+def _unite(bits: int, apart: int):
+    """Rows (first, fp, sketch, root, ask) of a key: pairs of roots of which a row that asks and another row are alike, as many
+    as it takes to connect them."""
+
+    def unite(group):
+        import pyarrow as pa
+
+        fp, root = (group.column(c).to_numpy() for c in ("fp", "root"))
+        fp = fp.view(np.uint64)
+        parts = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), -1)
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        out, asking = [], np.flatnonzero(group.column("ask").to_numpy(zero_copy_only=False))
+        for i in asking:
+            near = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= bits) & (root != root[i]))
+            near = near[np.bitwise_count(parts[near] ^ parts[i]).sum(axis=1, dtype=np.int64) <= apart]
+            for other in np.unique(root[near]).tolist():
+                x, y = sorted((top(int(root[i])), top(other)))
+                if x != y:
+                    above[y] = x
+                    out.append((x, y))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return unite
+
+
+def _rest(buckets: DataFrame, firsts: DataFrame, roots: DataFrame, similarity: float, meet: int) -> DataFrame:
+    """Pairs (a, b) of roots that similar texts under a key shared by over ``meet`` connect beyond ``roots``.
+
+    Where all under a key lead to one root there is nothing to do. Else those outside its largest group are compared with all
+    under the key, ``ASK`` at a time, each such part in a task of its own.
+    """
+    crowd = buckets.where(F.col("n") > meet).select("key", "space", "fp").join(firsts.select("space", "fp", "first"), ["space", "fp"])
+    crowd = crowd.join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", "space", "fp", "first", F.coalesce("root", "first").alias("root"))
+    crowd = store(crowd, "crowd")
+    each = crowd.groupBy("key", "root").agg(F.count("*").alias("n"))
+    of = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    of = store(of.select("key", "n", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / ASK).alias("parts")), "apart")
+    mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    rows = join_counted(crowd, of, ["key"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.withColumn("ask", (F.col("root") != F.col("main")) & (mine == F.col("part"))).select("key", "part", "space", "fp", "root", "ask")
+    rows = rows.join(firsts.select("space", "fp", F.col("of_first").alias("sketch")), ["space", "fp"]).select("key", "part", "fp", "root", "ask", "sketch")
+    return rows.groupBy("key", "part").applyInArrow(_unite(CLOSE, bits_apart(similarity - ERROR)), "a long, b long")
+
+
 def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row long, text) to (row, group): the smallest row of those that similar texts lead to; ``row`` is unique.
 
     Two texts are similar if their sets of five-word shingles are, as estimated from 1024-bit SimHash sketches, at most one
     standard error below ``similarity``. Candidates are texts of which one of four fingerprints of the distinct words is
     equal, or shares a Golay key and differs in at most five bits, so that a text meets those near it, not all. A text is
-    compared with the first text of its fingerprint, and the first texts of near fingerprints with each other, or where over
-    ``MEET`` share a key, with one of them for each key. Texts of the same words in order (ASCII case and white space aside)
+    compared with the first text of its fingerprint, and the first texts of near fingerprints with each other; where over
+    ``MEET`` share a key, with one of them first, and then what that leaves apart with all. Texts of the same words in order (ASCII case and white space aside)
     are one; NULL and wordless texts are such texts too.
     """
     spark = texts.sparkSession
@@ -282,9 +336,13 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     firsts = store(firsts.join(unique.select("row", F.col("sketch").alias("of_first")), "row").withColumnRenamed("row", "first"), "firsts")
     members = join_counted(flat, firsts.where("n > 1"), ["space", "fp"]).where("row <> first").where(_alike("sketch", "of_first", similarity))
     side = lambda x: firsts.select("space", F.col("fp").alias(x), F.col("first").alias(f"{x}_row"), F.col("of_first").alias(f"{x}_sketch"))
-    pairs = candidates(firsts.select("space", "fp"), MEET, CLOSE)
+    buckets = _buckets(firsts.select("space", "fp"))
+    pairs = _candidates(buckets, MEET, CLOSE)
     pairs = pairs.join(side("a"), ["space", "a"]).join(side("b"), ["space", "b"]).where(_alike("a_sketch", "b_sketch", similarity))
     roots = connected(members.select(F.col("row").alias("a"), F.col("first").alias("b")).unionByName(pairs.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))))
+    rest = store(_rest(buckets, firsts, roots, similarity, MEET), "rest")
+    if not rest.isEmpty():
+        roots = connected(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest))
     of = copies.join(roots.withColumnRenamed("node", "first"), "first", "left").select("high", "low", "first", "n", F.coalesce("root", "first").alias("group"))
     single = of.where("n = 1").select(F.col("first").alias("row"), "group")
     several = join_counted(rows.select("row", "high", "low"), store(of.where("n > 1"), "copied"), ["high", "low"])

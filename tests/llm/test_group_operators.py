@@ -152,6 +152,31 @@ def test_candidates_of_a_large_group_stay_linear(spark):
     assert len(set(roots(len(fps), [(place[r["a"]], place[r["b"]]) for r in got]))) == 1
 
 
+@pytest.mark.parametrize("ask", [1024, 7])
+def test_no_link_is_lost_under_a_crowded_key(spark, monkeypatch, ask):
+    """Fingerprints that all share a key: components are those of all pairs, not only of pairs with the key's one."""
+    monkeypatch.setattr(simhash, "ASK", ask)
+    r = random.Random(9)
+    fps = sorted({r.randrange(1 << 20) << 43 for _ in range(60)})
+    fps = sorted({*fps, *[f ^ 0b1111 << 50 for f in fps[::2]], *[f ^ 0b10101010 << 44 for f in fps[::5]]})
+    sketches = [[-1 if k % 3 == 0 else 0] * simhash.PARTS for k in range(len(fps))]
+    firsts = spark.createDataFrame([(0, f, k, s) for k, (f, s) in enumerate(zip(fps, sketches, strict=True))], "space int, fp long, first long, of_first array<long>")
+    buckets = simhash._buckets(firsts.select("space", "fp"))
+    row = {f: k for k, f in enumerate(fps)}
+    met = [(row[x["a"]], row[x["b"]]) for x in simhash._candidates(buckets, simhash.MEET, simhash.CLOSE).collect()]
+    met = [(a, b) for a, b in met if sketches[a] == sketches[b]]
+    found = simhash.connected(spark.createDataFrame(met, "a long, b long"))
+    rest = [tuple(x) for x in simhash._rest(buckets, firsts, found, simhash.SIMILARITY, simhash.MEET).collect()]
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= simhash.CLOSE and sketches[a] == sketches[b]]
+
+    def named(links):
+        of = roots(len(fps), links)
+        return [of.index(x) for x in of]
+
+    assert named(met) != named(pairs)  # the key's one alone leaves some apart
+    assert named(met + rest) == named(pairs)
+
+
 @pytest.mark.parametrize("hot, meet", [(100_000, 8), (2, 2)])
 def test_similar_texts_are_found(spark, monkeypatch, hot, meet):
     monkeypatch.setattr(common, "HOT", hot)
