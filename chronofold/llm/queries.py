@@ -12,12 +12,13 @@ from .quality import op5_quality_classifier
 from .sharding import OP9_SQL, op9_sharding
 from .simhash import op2_simhash_near_dedup
 from .tokenfile import op4_token_files
+from .whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_simhash_near_dedup, op3_embedding_near_dedup, op4_token_files, op5_quality_classifier,
-        op6_language_id, op7_decontamination, op8_token_counts, op9_sharding, op10_packing,
+        op6_language_id, op7_decontamination, op8_token_counts, op9_sharding, op10_packing, op11_embedding_whitening,
     )
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_sharding": OP9_SQL}
