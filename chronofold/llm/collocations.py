@@ -32,8 +32,10 @@ from .common import join_counted, ship, slices, small_enough, store, table
 LEAST, LONGEST, PERCENT, TOP = 100, 5, 100, 2_000
 #: Rows of a sketch; bytes of text for a cell of a row; the narrowest and the widest row and a block of it, as powers of two.
 DEPTH, SPARE, NARROWEST, WIDEST, BLOCK = 2, 32, 16, 24, 16
-#: Phrases that a task holds before it hands on their counts; parts of a language that are ranked before all of it.
-HELD, PARTS = 1 << 18, 64
+#: Phrases that a task holds before it hands on their counts; bytes of text whose phrases are a bucket of them, at most.
+HELD, SHARE = 1 << 18, 1 << 20
+#: Parts of a language that are ranked before all of it; buckets at least.
+PARTS = 64
 BROADCAST = 100_000
 _SPLIT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
@@ -146,31 +148,45 @@ def survivors(texts: DataFrame, width: int, least: int = LEAST, longest: int = L
     return bits
 
 
-def _count(bits, longest: int, width: int):
-    """Exact counts of the phrases whose cells are all set: (lang, k, phrase, c); with k = 0 the number of words."""
+def _count(bits, longest: int, width: int, buckets: int):
+    """Exact counts of the phrases whose cells are all set, a row a bucket with some of them; the number of words as that of
+    the empty phrase. A key is the phrase, a tab, which no phrase has, and the language."""
 
-    def rows(counts: dict):
+    def rows(counts: dict[str, Counter]):
         import pyarrow as pa
 
-        keys = [(x, k, p, c) for (x, k), of in counts.items() for p, c in of.items()]
-        lang, k, phrase, c = zip(*keys, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(c, pa.int64())], names=["lang", "k", "phrase", "c"])
+        keys, n, bucket = [], [], []
+        for lang, of in counts.items():
+            tail = b"\t" + lang.encode()
+            keys += [p + tail for p in of]
+            n += of.values()
+            bucket += [zlib.crc32(p) % buckets for p in of]
+        order = np.argsort(np.array(bucket), kind="stable")
+        some, first = np.unique(np.array(bucket)[order], return_index=True)
+        ends = pa.array(np.append(first, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, x.take(pa.array(order))) for x in (pa.array(keys, pa.binary()), pa.array(n, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists], names=["bucket", "keys", "counts"])
 
     def run(batches):
         table, counts = bits.value, {}
         for some in _texts(batches):
             for x, n in zip(some.langs, np.bincount(some.lang, minlength=len(some.langs)).tolist(), strict=True):
                 if n:
-                    counts.setdefault((x, 0), Counter())[b""] += n
+                    counts.setdefault(x, Counter())[b""] += n
+            alive = np.ones(some.n + 1, dtype=bool)
             for k, place, h in some.hashes(longest):
+                # a phrase is there no more often than the two that are a word shorter
+                keep = alive[place] & alive[place + (k > 1)]
+                place, h = place[keep], h[keep]
                 for r in range(DEPTH):
                     at = cells(h, r, width)
                     keep = (table[r, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                     place, h = place[keep], h[keep]
-                if len(place):
-                    lang = some.lang[place]
-                    for i in np.unique(lang).tolist():
-                        counts.setdefault((some.langs[i], k), Counter()).update(some.phrases(place[lang == i], k))
+                alive = np.zeros(some.n + 1, dtype=bool)
+                alive[place] = True
+                lang = some.lang[place]
+                for i in np.unique(lang).tolist():
+                    counts.setdefault(some.langs[i], Counter()).update(some.phrases(place[lang == i], k))
             if sum(map(len, counts.values())) >= HELD:
                 yield rows(counts)
                 counts = {}
@@ -180,6 +196,32 @@ def _count(bits, longest: int, width: int):
     return run
 
 
+def _total(least: int):
+    """Rows of counts, sorted by bucket, to (lang, k, phrase, c) of what is there ``least`` times; one bucket is held at a time."""
+
+    def rows(of: dict[bytes, int]):
+        import pyarrow as pa
+
+        kept = [(*key.split(b"\t", 1), c) for key, c in of.items() if c >= least or key[:1] == b"\t"]
+        phrase, lang, c = zip(*kept, strict=True) if kept else ((), (), ())
+        k = [p.count(b" ") + 1 if p else 0 for p in phrase]
+        text = [pa.array(x, pa.binary()).cast(pa.string()) for x in (lang, phrase)]
+        return pa.RecordBatch.from_arrays([text[0], pa.array(k, pa.int32()), text[1], pa.array(c, pa.int64())], names=["lang", "k", "phrase", "c"])
+
+    def run(batches):
+        now, of = None, {}
+        for batch in batches:
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now:
+                    yield rows(of)
+                    now, of = bucket, {}
+                for key, c in zip(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py(), strict=True):
+                    of[key] = of.get(key, 0) + c
+        yield rows(of)
+
+    return run
+
+
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, widest: int = WIDEST) -> tuple[DataFrame, DataFrame]:
     """(text, lang) to (lang, k, phrase, c) of all phrases of up to ``longest`` words that are there ``least`` times, and (lang, n) of all words."""
     spark = docs.sparkSession
@@ -188,8 +230,9 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, widest
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = 1 << min(widest, max(NARROWEST, int(size // SPARE).bit_length()))
     bits = spark.sparkContext.broadcast(survivors(texts, width, least, longest))
-    counted = texts.mapInArrow(_count(bits, longest, width), "lang string, k int, phrase string, c long")
-    counted = counted.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("k") == 0))
+    buckets = max(PARTS, int(size // SHARE))
+    counted = texts.mapInArrow(_count(bits, longest, width, buckets), "bucket int, keys array<binary>, counts array<long>")
+    counted = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total(least), "lang string, k int, phrase string, c long")
     counted = store(counted, "frequent")
     return counted.where("k > 0"), counted.where("k = 0").select("lang", F.col("c").alias("n"))
 
