@@ -6,6 +6,7 @@ import contextlib
 import posixpath
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,8 +61,18 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Folders of the tables that ``store`` wrote, in order.
-WRITTEN: list[str] = []
+_RUN: ContextVar[list[str] | None] = ContextVar("run", default=None)
+
+
+@contextlib.contextmanager
+def recorded():
+    """A list of the folders that ``store`` writes inside, in order. Each run, session and thread has its own."""
+    own: list[str] = []
+    token = _RUN.set(own)
+    try:
+        yield own
+    finally:
+        _RUN.reset(token)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -69,16 +80,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    WRITTEN.append(path)
+    if (run := _RUN.get()) is not None:
+        run.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def delete(spark: SparkSession, folders: list[str]) -> None:
-    """Deletes tables of ``WRITTEN`` that nothing reads any more."""
+    """Deletes stored tables that nothing reads any more."""
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        WRITTEN.remove(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -141,14 +141,11 @@ def _apart(a: str, b: str):
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
-    """(space, fp) to (key, space, fp, n, mark) for the keys that n > 1 fingerprints of a space share.
-
-    ``mark`` and the key's hash, by exclusive or, are one of the fingerprints, another one for another key.
-    """
+    """(space, fp) to (key, space, fp, n) for the keys that n > 1 fingerprints of a space share."""
     ship(distinct.sparkSession)
     keys = distinct.select(F.col("space").cast("long").alias("space"), "fp")
     keys = store(keys.mapInArrow(_keys, "key long, space long, fp long"), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.xxhash64("key"))).alias("mark")).where("n > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return store(join_counted(keys, shared, ["key"]), "buckets")
 
 
@@ -157,21 +154,6 @@ def _pairs(few: DataFrame, bits: int) -> DataFrame:
     return few.alias("a").join(few.alias("b"), same).select("a.space", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def candidates(distinct: DataFrame, bucket: int, bits: int) -> DataFrame:
-    """(space, fp) of distinct fingerprints to pairs (space, a, b) that share a key and differ in at most ``bits`` bits.
-
-    Of a key that more than ``bucket`` share, each meets one of them, chosen by the key, so that their number stays linear;
-    ``_rest`` compares what these pairs leave apart.
-    """
-    return _candidates(_buckets(distinct), bucket, bits)
-
-
-def _candidates(buckets: DataFrame, bucket: int, bits: int) -> DataFrame:
-    pairs = _pairs(buckets.where(F.col("n") <= bucket).select("key", "space", "fp"), bits)
-    one = buckets.where(F.col("n") > bucket).select("space", F.col("mark").bitwiseXOR(F.xxhash64("key")).alias("a"), F.col("fp").alias("b"))
-    return pairs.unionByName(one.where("a <> b").where(_apart("a", "b") <= bits)).distinct()
-
-
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(space, fp) of distinct fingerprints to edges (space, a, b) that connect what differs in at most two bits.
 
@@ -200,14 +182,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 # --- similar texts --------------------------------------------------------------------------------------------------
 
-#: Words of a shingle and the similarity of the sets of shingles that is asked for.
+#: Words of a shingle, and the similarity of the sets of shingles that is asked for: their cosine, as SimHash has it.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Independent fingerprints of a text's distinct words; 64-bit parts of the sketch of its shingles.
-SPACES, PARTS = 4, 16
-#: Standard error of a similarity of 0.8 that is estimated from the sketch; bits in which candidates differ at most.
-ERROR, CLOSE = 0.026, 5
-#: Fingerprints of a key that are all joined with each other; rows that a task compares with all others under a crowded key.
-MEET, ASK = 8, 1024
+SPACES, PARTS = 8, 16
+#: Standard error of a similarity of 0.8 that is estimated from the sketch.
+ERROR = 0.026
+#: Rows of a key that are all compared with each other; times that a crowded key's rows are compared with one of them, by key
+#: of the words and by band of the sketch; share of similar texts, at most, that meet in no band.
+MEET, BY_WORDS, BY_BAND, MISS = 8, 2, 8, 0.01
+#: Rows of a block where all that is left of a band is compared.
+ASK = 1024
 _CHUNK = 4096
 
 
@@ -255,25 +240,98 @@ def _sketches(batches):
 
 
 def bits_apart(similarity: float) -> int:
-    """Bits of the sketch in which sets of shingles of this similarity differ, on average."""
-    return int(64 * PARTS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Bits of the sketch in which sets of shingles of this cosine differ, on average."""
+    return int(64 * PARTS * np.arccos(similarity) / np.pi)
+
 
+def _distances(pairs: DataFrame, sketches: DataFrame, hot: bool = False) -> DataFrame:
+    """(a, b), pairs of rows, to (a, b, d), the bits in which their sketches differ; with ``hot`` a row may be ``a`` of any number of pairs."""
+    left, right = (sketches.select(F.col("row").alias(x), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
+    if hot:
+        side = store(pairs.groupBy("a").agg(F.count("*").alias("n")).join(left, "a"), "leaders")
+        pairs = join_counted(pairs, side, ["a"])
+    else:
+        pairs = pairs.join(left, "a")
+    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(right, "b").select("a", "b", apart.alias("d"))
 
-def _alike(a: str, b: str, similarity: float):
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return apart <= bits_apart(similarity - ERROR)
 
+def _meet(groups: DataFrame, sketches: DataFrame, apart: int, meet: int, rounds: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links (a, b, d) of rows that differ in at most ``apart`` bits and share a group, and what of ``groups`` (g, row) isn't done after ``rounds``.
+
+    Rows of a group of at most ``meet`` are all compared. In a larger one each is compared with one of them, the leader. Say
+    that of the rows not linked to it the nearest is ``e`` bits away: then a row less than ``e - apart`` away, which is linked to the leader,
+    can't be linked to any that isn't, and leaves the group. So no link between what is connected and what is not is lost,
+    and a group of similar texts is done in a round or a few.
+    """
+    links = []
+    for k in range(rounds):
+        leader = F.min_by("row", F.xxhash64(F.lit(k), "row")).alias("leader")
+        sizes = store(groups.groupBy("g").agg(F.count("*").alias("n"), leader).where("n > 1"), "sizes")
+        groups = store(join_counted(groups, sizes, ["g"]), "groups")
+        few = groups.where(F.col("n") <= meet)
+        same = (F.col("x.g") == F.col("y.g")) & (F.col("x.row") < F.col("y.row"))
+        pairs = few.alias("x").join(few.alias("y"), same).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+        links.append(_distances(pairs, sketches).where(F.col("d") <= apart))
+        many = groups.where(F.col("n") > meet).select("g", "row", "leader")
+        if many.isEmpty():
+            return links, None
+        near = many.select(F.col("leader").alias("a"), F.col("row").alias("b")).where("a <> b").distinct()
+        near = store(_distances(near, sketches, hot=True), "near")
+        links.append(near.where(F.col("d") <= apart))
+        rows = store(many.join(near.toDF("leader", "row", "d"), ["leader", "row"]).select("g", "row", "d"), "compared")
+        edge = rows.groupBy("g").agg(F.count("*").alias("n"), F.min(F.when(F.col("d") > apart, F.col("d"))).alias("edge")).where("edge IS NOT NULL")
+        groups = store(join_counted(rows, store(edge, "edges-of-groups"), ["g"]).where(F.col("d") >= F.col("edge") - apart).select("g", "row"), "left")
+        if groups.isEmpty():
+            return links, None
+    return links, groups
+
+
+def _word_keys(batches):
+    import pyarrow as pa
 
-def _unite(bits: int, apart: int):
-    """Rows (first, fp, sketch, root, ask) of a key: pairs of roots of which a row that asks and another row are alike, as many
-    as it takes to connect them."""
+    for batch in slices(batches, 2048):
+        row = batch.column("row").to_numpy()
+        fps = batch.column("fps").flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
+        for space in range(fps.shape[1]):
+            at, keys = keys_of(np.ascontiguousarray(fps[:, space]))
+            yield pa.RecordBatch.from_arrays([pa.array(space << 36 | keys), pa.array(row[at])], names=["g", "row"])
+
+
+def bands(rows: int, apart: int, miss: float = MISS) -> np.ndarray:
+    """Bits of a sketch that make up each band, a row a band: so many bits that about four of ``rows`` unlike texts share
+    a band's value, and so many bands that two texts ``apart`` bits from each other share none with probability ``miss``."""
+    bits = min(24, max(8, int(np.ceil(np.log2(max(rows, 1) / 4)))))
+    shared = (1 - apart / (64 * PARTS)) ** bits
+    count = int(np.ceil(np.log(miss) / np.log1p(-shared)))
+    rng = np.random.RandomState(11)
+    return np.stack([rng.choice(64 * PARTS, bits, replace=False) for _ in range(count)])
+
+
+def _band_keys(places: np.ndarray):
+    def run(batches):
+        import pyarrow as pa
+
+        weight, number = 1 << np.arange(places.shape[1]), np.arange(len(places)) << 32
+        for batch in slices(batches, 256):
+            row = batch.column("row").to_numpy()
+            parts = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(row), -1)
+            bits = np.unpackbits(parts.view(np.uint8), axis=1, bitorder="little")
+            keys = bits[:, places].astype(np.int64) @ weight | number
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(row, len(places)))], names=["g", "row"])
+
+    return run
+
+
+def _unite(apart: int):
+    """Rows (p, q, part, row, sketch) of two blocks of a group, or of one with itself: links, as many as it takes to connect them."""
 
     def unite(group):
         import pyarrow as pa
 
-        fp, root = (group.column(c).to_numpy() for c in ("fp", "root"))
-        fp = fp.view(np.uint64)
-        parts = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), -1)
+        part, row = group.column("part").to_numpy(), group.column("row").to_numpy()
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        bits = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(row), -1)
         above: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -281,12 +339,11 @@ def _unite(bits: int, apart: int):
                 x = above[x]
             return x
 
-        out, asking = [], np.flatnonzero(group.column("ask").to_numpy(zero_copy_only=False))
-        for i in asking:
-            near = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= bits) & (root != root[i]))
-            near = near[np.bitwise_count(parts[near] ^ parts[i]).sum(axis=1, dtype=np.int64) <= apart]
-            for other in np.unique(root[near]).tolist():
-                x, y = sorted((top(int(root[i])), top(other)))
+        out, left, right = [], np.flatnonzero(part == p), np.flatnonzero(part == q)
+        for i in left:
+            d = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            for j in right[(d <= apart) & (row[right] != row[i])]:
+                x, y = sorted((top(int(row[i])), top(int(row[j]))))
                 if x != y:
                     above[y] = x
                     out.append((x, y))
@@ -296,34 +353,43 @@ def _unite(bits: int, apart: int):
     return unite
 
 
-def _rest(buckets: DataFrame, firsts: DataFrame, roots: DataFrame, similarity: float, meet: int) -> DataFrame:
-    """Pairs (a, b) of roots that similar texts under a key shared by over ``meet`` connect beyond ``roots``.
-
-    Where all under a key lead to one root there is nothing to do. Else those outside its largest group are compared with all
-    under the key, ``ASK`` at a time, each such part in a task of its own.
-    """
-    crowd = buckets.where(F.col("n") > meet).select("key", "space", "fp").join(firsts.select("space", "fp", "first"), ["space", "fp"])
-    crowd = crowd.join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", "space", "fp", "first", F.coalesce("root", "first").alias("root"))
-    crowd = store(crowd, "crowd")
-    each = crowd.groupBy("key", "root").agg(F.count("*").alias("n"))
-    of = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    of = store(of.select("key", "n", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / ASK).alias("parts")), "apart")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    rows = join_counted(crowd, of, ["key"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.withColumn("ask", (F.col("root") != F.col("main")) & (mine == F.col("part"))).select("key", "part", "space", "fp", "root", "ask")
-    rows = rows.join(firsts.select("space", "fp", F.col("of_first").alias("sketch")), ["space", "fp"]).select("key", "part", "fp", "root", "ask", "sketch")
-    return rows.groupBy("key", "part").applyInArrow(_unite(CLOSE, bits_apart(similarity - ERROR)), "a long, b long")
+def _blocks(groups: DataFrame, sketches: DataFrame, apart: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in each of ``groups`` (g, row), all rows of a group compared, ``ASK`` with ``ASK`` a task."""
+    sizes = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    rows = join_counted(groups, store(sizes.withColumn("parts", F.ceil(F.col("n") / ASK)), "sizes"), ["g"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), "parts")).join(sketches.select("row", "sketch"), "row")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("g", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "row", "sketch")
+    return rows.groupBy("g", "p", "q").applyInArrow(_unite(apart), "a long, b long")
+
+
+def similar_links(unique: DataFrame, similarity: float = SIMILARITY, meet: int = MEET) -> DataFrame:
+    """(row, fps, sketch) of different texts to links (a, b) of rows."""
+    apart = bits_apart(similarity - ERROR)
+    links, left = _meet(unique.mapInArrow(_word_keys, "g long, row long"), unique, apart, meet, BY_WORDS)
+    if left is not None:
+        # texts of much the same words in another order: the keys of the words can't tell them apart, the sketch can
+        again = store(unique.join(left.select("row").distinct(), "row", "left_semi").select("row", "sketch"), "crowded")
+        places = bands(again.count(), apart)
+        more, left = _meet(again.mapInArrow(_band_keys(places), "g long, row long"), again, apart, meet, BY_BAND)
+        links += more
+        if left is not None:
+            links.append(_blocks(left, again, apart).withColumn("d", F.lit(apart)))
+    out = links[0].select("a", "b")
+    for more in links[1:]:
+        out = out.unionByName(more.select("a", "b"))
+    return out
 
 
 def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row long, text) to (row, group): the smallest row of those that similar texts lead to; ``row`` is unique.
 
-    Two texts are similar if their sets of five-word shingles are, as estimated from 1024-bit SimHash sketches, at most one
-    standard error below ``similarity``. Candidates are texts of which one of four fingerprints of the distinct words is
-    equal, or shares a Golay key and differs in at most five bits, so that a text meets those near it, not all. A text is
-    compared with the first text of its fingerprint, and the first texts of near fingerprints with each other; where over
-    ``MEET`` share a key, with one of them first, and then what that leaves apart with all. Texts of the same words in order (ASCII case and white space aside)
-    are one; NULL and wordless texts are such texts too.
+    Two texts are similar if the cosine of their sets of five-word shingles is, as estimated from 1024-bit SimHash sketches, at most one
+    standard error below ``similarity``; for sets of one size a cosine of 0.8 is two thirds of the union in common. Texts meet that share a Golay key of one of ``SPACES`` fingerprints of their distinct words. Where
+    over ``MEET`` share one, each is compared with one of them, twice over; rows that links to these don't settle meet anew, by
+    bands of bits of their sketches, as many as it takes, and what is left of a crowded band after ``BY_BAND`` such rounds is compared in full,
+    block by block. So no group is one task, and texts that aren't similar cost a number of bands each, not all their pairs. Texts of
+    the same words in order (ASCII case and white space aside) are one; NULL and wordless texts are such texts too.
     """
     spark = texts.sparkSession
     ship(spark)
@@ -331,18 +397,7 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     copies = rows.groupBy("high", "low").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     copies = store(copies, "copies")
     unique = store(rows.join(copies.select(F.col("first").alias("row")), "row", "left_semi").select("row", "fps", "sketch"), "texts")
-    flat = unique.select("row", "sketch", F.posexplode("fps").alias("space", "fp"))
-    firsts = flat.groupBy("space", "fp").agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    firsts = store(firsts.join(unique.select("row", F.col("sketch").alias("of_first")), "row").withColumnRenamed("row", "first"), "firsts")
-    members = join_counted(flat, firsts.where("n > 1"), ["space", "fp"]).where("row <> first").where(_alike("sketch", "of_first", similarity))
-    side = lambda x: firsts.select("space", F.col("fp").alias(x), F.col("first").alias(f"{x}_row"), F.col("of_first").alias(f"{x}_sketch"))
-    buckets = _buckets(firsts.select("space", "fp"))
-    pairs = _candidates(buckets, MEET, CLOSE)
-    pairs = pairs.join(side("a"), ["space", "a"]).join(side("b"), ["space", "b"]).where(_alike("a_sketch", "b_sketch", similarity))
-    roots = connected(members.select(F.col("row").alias("a"), F.col("first").alias("b")).unionByName(pairs.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))))
-    rest = store(_rest(buckets, firsts, roots, similarity, MEET), "rest")
-    if not rest.isEmpty():
-        roots = connected(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest))
+    roots = connected(similar_links(unique, similarity, MEET))
     of = copies.join(roots.withColumnRenamed("node", "first"), "first", "left").select("high", "low", "first", "n", F.coalesce("root", "first").alias("group"))
     single = of.where("n = 1").select(F.col("first").alias("row"), "group")
     several = join_counted(rows.select("row", "high", "low"), store(of.where("n > 1"), "copied"), ["high", "low"])
