@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, langid, packing, quality, simhash
-from chronofold.llm.common import WRITTEN, crc_mod, delete, small_enough, store, table, unused
+from chronofold.llm.common import crc_mod, delete, recorded, small_enough, store, table, unused
 from chronofold.llm.tokens import vocabulary_path
 
 #: Languages surer than this stay.
@@ -44,7 +44,7 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of texts whose five-word shingles are similar by 0.8 or more: that of the smallest doc_id.
+    """Keeps one row of each group of texts whose five-word shingles are similar by 0.8 or more, as ``simhash.similar`` has it: that of the smallest doc_id.
 
     NULL ids come last. Where ids repeat or are NULL they can't tell rows apart, and rows are numbered first.
     """
@@ -89,9 +89,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     last output, which the result reads, stays until ``common.clean``."""
     docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        start = len(WRITTEN)
-        docs = store(stage(spark, docs, sf_dir), name)
-        *inner, own = WRITTEN[start:]
+        with recorded() as written:
+            docs = store(stage(spark, docs, sf_dir), name)
+        *inner, own = written
         delete(spark, [*inner, *read])
         read = [own]
     return docs
