@@ -15,13 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_US, check_window_us, pop_std, safe_ratio
+from .buckets import BUCKET, bucketed, carried, hot_keys, over_buckets
+
+__all__ = ["BUCKET", "hot_keys", "over_buckets"]
 
 # Fixed value: the global mean where there is no history.
 COLD_START = 3.5
 #: Width of the time buckets of the global history, an hour: 20 years are 175,320 of them, whatever the number of events.
 BUCKET_US = DAY_US // 24
-#: Rows of a key from which its time is cut into buckets of about so many rows.
-HOT = 1_000_000
 
 
 def prior(*key: str, upto: int = -1):
@@ -45,65 +46,19 @@ def global_history(events: DataFrame, bucket_us: int = BUCKET_US, count: int = 0
     return events.join(t, F.col("event_us").eqNullSafe(F.col("__t")), "left").drop("__t")
 
 
-def hot_keys(events: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:
-    """(key, __width, __first, __last): keys with over ``rows`` events, the width of time that about ``rows`` of each fill, and
-    the first and last bucket of that width; None if there are none. There are at most events / rows of them."""
-    rows = HOT if rows is None else rows
-    if events.limit(rows + 1).count() <= rows:
-        return None
-    us = F.col("event_us")
-    counts = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(us).alias("a"), F.max(us).alias("z")).where(F.col("n") > rows)
-    counts = counts.withColumn("__width", F.greatest(F.lit(1), F.floor((F.col("z") - F.col("a") + 1) * F.lit(rows) / F.col("n"))).cast("long"))
-    hot = counts.select(key, "__width", F.floor(F.col("a") / F.col("__width")).alias("__first"), F.floor(F.col("z") / F.col("__width")).alias("__last"))
-    kept = hot.collect()
-    return events.sparkSession.createDataFrame(kept, hot.schema) if kept else None
-
-
-#: Columns of buckets of time, which ``user_history`` and ``item_history`` leave there if asked to.
-BUCKET = ["__b", "__width", "__last"]
-
-
-def _bucketed(events: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Adds __b, the event's bucket of time, and of hot keys its __width and the key's __last; events of other keys are one
-    bucket, 0, and have NULL there."""
-    e = events.join(F.broadcast(hot.select(key, "__width", "__last")), key, "left")
-    return e.withColumn("__b", F.coalesce(F.floor(F.col("event_us") / F.col("__width")), F.lit(0)))
-
-
-def over_buckets(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """``rows``, a row a key, once for each bucket of time of the key, so that a join by (key, __b) leaves events where they are."""
-    if hot is None:
-        return rows
-    each = F.coalesce(F.sequence("__first", "__last"), F.array(F.lit(0).cast("long")))
-    return rows.join(F.broadcast(hot.select(key, "__first", "__last")), key, "left").withColumn("__b", F.explode(each)).drop("__first", "__last")
-
-
-def _carried(rows: DataFrame, keys: list[str], sums: dict) -> DataFrame:
-    """(keys, __b, __0{k}): the sums (of "last", the maximum) of all earlier buckets, for each bucket of hot keys that has some.
-
-    The last bucket of a key is before no other and isn't summed.
-    """
-    totals = rows.where(F.col("__b") < F.col("__last")).groupBy(*keys, "__b").agg(F.max("__last").alias("__last"), *[c.alias(k) for k, c in sums.items()])
-    w = W.partitionBy(*keys).orderBy("__b")
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = [(F.max(k) if k == "last" else F.sum(k)).over(upto).alias(f"__0{k}") for k in sums]
-    to = totals.select(*keys, (F.col("__b") + 1).alias("__from"), F.coalesce(F.lead("__b").over(w), F.col("__last")).alias("__to"), *found)
-    return to.withColumn("__b", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to")
-
-
-def _plus(carried: str, own):
-    return F.coalesce(carried, F.lit(0)) + F.coalesce(own, F.lit(0))
+def _plus(before: str, own):
+    return F.coalesce(before, F.lit(0)) + F.coalesce(own, F.lit(0))
 
 
 def user_history(events: DataFrame, hot: DataFrame | None = None, buckets: bool = False) -> DataFrame:
     """Adds user_count, user_mean (NULL when empty), user_std and user_recency_s; ``hot`` as from ``hot_keys``, and with
     ``buckets`` the columns ``BUCKET`` stay."""
     if hot is not None:
-        e, r = _bucketed(events, "user_id", hot), F.col("rating")
-        carried = _carried(e, ["user_id"], {"n": F.count("*"), "s": F.sum(r), "ss": F.sum(r * r), "last": F.max("event_us")})
+        e, r = bucketed(events, "user_id", hot), F.col("rating")
+        before = carried(e, ["user_id"], {"n": F.count("*"), "s": F.sum(r), "ss": F.sum(r * r), "last": F.max("event_us")})
         w = prior("user_id", "__b")
         e = e.withColumns({"__n1": F.count("*").over(w), "__s1": F.sum(r).over(w), "__ss1": F.sum(r * r).over(w), "__last1": F.max("event_us").over(w)})
-        e = e.join(carried, ["user_id", "__b"], "left").withColumns({
+        e = e.join(before, ["user_id", "__b"], "left").withColumns({
             "user_count": _plus("__0n", "__n1"), "__s": _plus("__0s", "__s1"), "__ss": _plus("__0ss", "__ss1"), "__top": F.greatest("__0last", "__last1"),
         })
         return _user_columns(e.select(*events.columns, *(BUCKET if buckets else []), "user_count", "__s", "__ss", F.col("__top").alias("__last_us")))
@@ -131,18 +86,19 @@ def item_history(events: DataFrame, windows: dict[str, int] | None = None, hot:
     windows = {"30d": 30 * DAY_US, "60d": 60 * DAY_US} if windows is None else windows
     if hot is not None:
         kept = [*events.columns, *(BUCKET if buckets else [])]
-        return _item_columns(_item_buckets(_bucketed(events, "item_id", hot), windows, kept), windows)
+        gone = {f"__gone_{k}": F.col("event_us") + F.lit(check_window_us(n)) for k, n in windows.items()}
+        return _item_columns(_item_buckets(bucketed(events, "item_id", hot, **gone), windows, kept), windows)
     return _item_columns(_item_sums(events, windows), windows)
 
 
 def _item_buckets(e: DataFrame, windows: dict[str, int], kept: list[str]) -> DataFrame:
     """``kept`` and what ``_item_sums`` adds, of events with their buckets of time, in one shuffle of them.
 
-    An event leaves a window of length w after event_us + w. Where that lies in a later bucket, a row that says so goes there:
-    one an event and window at most, whatever the width of a bucket.
+    An event leaves a window of length w after event_us + w. Where that lies in a later bucket (__gone_{window}), a row that says so
+    goes there: one an event and window at most, whatever the width of a bucket.
     """
     us, name = F.col("event_us"), F.col("__x.name")
-    gone = {k: F.floor((us + F.lit(check_window_us(n))) / F.col("__width")) for k, n in windows.items()}
+    gone = {k: F.col(f"__gone_{k}") for k in windows}
     rows = [F.struct(F.lit(None).cast("string").alias("name"), F.col("__b").alias("b"), us.alias("at"))]
     rows += [
         F.when((b > F.col("__b")) & (b <= F.col("__last")), F.struct(F.lit(k).alias("name"), b.alias("b"), (us + F.lit(windows[k])).alias("at")))
@@ -159,7 +115,7 @@ def _item_buckets(e: DataFrame, windows: dict[str, int], kept: list[str]) -> Dat
     for k in windows:
         leaves = F.coalesce(F.col(f"__here_{k}"), F.lit(False))
         sums |= {f"n_{k}": F.sum(leaves.cast("long")), f"s_{k}": F.sum(F.when(leaves, r).otherwise(0.0))}
-    carried = _carried(x, ["item_id"], sums)
+    before_b = carried(x, ["item_id"], sums)
     w = W.partitionBy("item_id", "__b").orderBy("__at")
     before = w.rangeBetween(W.unboundedPreceding, -1)
     new = {"__1n": F.sum(n).over(before), "__1s": F.sum(s).over(before), "__1ss": F.sum(ss).over(before)}
@@ -167,7 +123,7 @@ def _item_buckets(e: DataFrame, windows: dict[str, int], kept: list[str]) -> Dat
         out, other = w.rangeBetween(W.unboundedPreceding, -width - 1), F.col("__name") == k
         new[f"__1n_{k}"] = F.coalesce(F.sum(n).over(out), F.lit(0)) + F.coalesce(F.sum(F.when(other, 1)).over(before), F.lit(0))
         new[f"__1s_{k}"] = F.coalesce(F.sum(s).over(out), F.lit(0.0)) + F.coalesce(F.sum(F.when(other, r)).over(before), F.lit(0.0))
-    x = x.withColumns(new).where(own).join(carried, ["item_id", "__b"], "left")
+    x = x.withColumns(new).where(own).join(before_b, ["item_id", "__b"], "left")
     return x.select(*kept, *[_plus(f"__0{k}", f"__1{k}").alias("item_count" if k == "n" else f"__{k}") for k in sums])
 
 
@@ -208,14 +164,14 @@ def group_affinity(events: DataFrame, hot: DataFrame | None = None) -> DataFrame
     by = ["user_id"]
     if hot is not None:
         by = ["user_id", "__b"]
-        events = events if "__b" in events.columns else _bucketed(events, "user_id", hot)
+        events = events if "__b" in events.columns else bucketed(events, "user_id", hot)
         x = events.select("user_id", "__b", "__last", "rating", F.explode("genres").alias("__g"))
-        carried = _carried(x, ["user_id", "__g"], {"n": F.count("*"), "s": F.sum("rating")})
+        before = carried(x, ["user_id", "__g"], {"n": F.count("*"), "s": F.sum("rating")})
         # a row a user and bucket, so that events stay where they are
-        carried = carried.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__g", F.struct(F.col("__0n").alias("n"), F.col("__0s").alias("s"))))).alias("__of"))
-        events = events.join(carried, by, "left")
+        before = before.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__g", F.struct(F.col("__0n").alias("n"), F.col("__0s").alias("s"))))).alias("__of"))
+        events = events.join(before, by, "left")
         summed = lambda k, zero: F.coalesce(F.aggregate("genres", zero, lambda a, g: a + F.coalesce(F.col("__of")[g][k], zero)), zero)
-        events = events.withColumns({"__0n": summed("n", F.lit(0).cast("long")), "__0s": summed("s", F.lit(0.0))}).drop("__of", "__width", "__last")
+        events = events.withColumns({"__0n": summed("n", F.lit(0).cast("long")), "__0s": summed("s", F.lit(0.0))}).drop("__of", "__last")
     others = [c for c in events.columns if c not in (*by, "event_id")]
     e = events.select("*", F.explode_outer("genres").alias("__g"))
     w = prior(*by, "__g")

@@ -7,6 +7,7 @@ import gc
 import json
 import tempfile
 import uuid
+from contextvars import ContextVar
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,18 +73,41 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='chronofold-')}"
 
 
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession):
+    """Deletes, at its end, the tables that ``stored`` and ``kept`` wrote inside; what reads them must be written or collected by then."""
+    own: list[str] = []
+    token = _OWNED.set(own)
+    try:
+        yield own
+    finally:
+        _OWNED.reset(token)
+        for path in own:
+            Files(spark, path).delete(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored in a folder of ``scratch`` and read back; ``owned`` deletes it."""
+    folder, schema = scratch(df.sparkSession), df.schema
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    if (own := _OWNED.get()) is not None:
+        own.append(folder)
+    return df.sparkSession.read.schema(schema).parquet(f"{folder}/{name}")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored in a folder of ``scratch`` and read back; the files of shuffles that nothing needs any more are let go.
+    """``df`` as by ``stored``; the files of shuffles that nothing needs any more are let go.
 
     Spark deletes these once its driver has collected their handles, which a driver that is idle puts off.
     """
-    spark = df.sparkSession
-    path, schema = f"{scratch(spark)}/{name}", df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    out = stored(df, name)
     del df
     gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out.sparkSession._jvm.System.gc()
+    return out
 
 
 def to_json(value: object) -> str:

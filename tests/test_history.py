@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import DAY_US, check_window_us
+from chronofold.operators import buckets
 from chronofold.operators import history as h
 from chronofold.operators import predicates as p
 from chronofold.operators import vectors as v
@@ -106,6 +107,50 @@ def test_hot_keys_give_the_same_features(spark, span):
     assert plain == hot
 
 
+def test_a_burst_is_cut_by_rank(spark):
+    """10,000 events of an item over 20 years, 9,900 of them in one hour: no bucket has twice the rows asked for."""
+    r = random.Random(8)
+    hour = 3_600 * S
+    times = [10 * 365 * DAY_US + r.randint(0, hour) for _ in range(9_900)] + [r.randint(0, 20 * 365 * DAY_US) for _ in range(100)]
+    data = [(k, 1, 1 if k % 100 else 2, 1.0, t) for k, t in enumerate(times)] + [(20_000 + k, 1, 3, 1.0, 77) for k in range(300)]
+    e = spark.createDataFrame(data, EVENTS).repartition(3)
+    hot = h.hot_keys(e, "item_id", 100)
+    assert sorted(x["item_id"] for x in hot.select("item_id").collect()) == [1, 3]
+    rows = buckets.bucketed(e, "item_id", hot).collect()
+    of = {}
+    for x in rows:
+        of.setdefault((x["item_id"], x["__b"]), []).append(x["event_us"])
+        assert x["__last"] == {1: max(y["__b"] for y in rows if y["item_id"] == 1), 3: 0}.get(x["item_id"])
+    assert all(len(t) < 200 or len(set(t)) == 1 for (i, _), t in of.items() if i != 2)
+    assert len([1 for i, _ in of if i == 1]) > 70
+    mine = sorted((b, min(t), max(t)) for (i, b), t in of.items() if i == 1)
+    assert all(a[2] < b[1] for a, b in zip(mine, mine[1:], strict=False))  # in order, and no timestamp is in two
+    each = buckets.over_buckets(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "item_id long, x string"), "item_id", hot).collect()
+    assert sorted((x["item_id"], x["__b"]) for x in each if x["item_id"] != 1) == [(2, 0), (3, 0)]
+    assert {(x["item_id"], x["__b"]) for x in each} >= set(of)
+
+
+def test_hot_keys_of_many_cuts_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "BROADCAST", 3)
+    data = [(k, k % 4, 1, 1.0 + k % 3, k * DAY_US) for k in range(200)]
+    e = spark.createDataFrame(data, EVENTS)
+    hot = h.hot_keys(e, "user_id", 10)
+    plan = buckets.bucketed(e, "user_id", hot)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+    assert rows(h.user_history(e, hot), "user_count", "user_mean") == rows(h.user_history(e), "user_count", "user_mean")
+
+
+def test_stored_tables_have_an_owner(spark):
+    import os
+
+    from chronofold.sources.publish import kept, owned, stored
+
+    with owned(spark) as own:
+        assert stored(spark.range(3), "a").count() + kept(spark.range(4), "b").count() == 7
+        assert len(own) == 2 and all(os.path.isdir(p.removeprefix("file://")) for p in own)
+    assert not any(os.path.isdir(p.removeprefix("file://")) for p in own)
+
+
 def scores(spark, vectors, tags=10):
     return spark.createDataFrame([(i, t + 1, float(x[t]) if t < len(x) else 0.0) for i, x in vectors.items() for t in range(tags)], "item_id long, tag_id int, relevance float")
 
