@@ -188,11 +188,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 SPACES, PARTS = 8, 16
 #: Standard error of a similarity of 0.8 that is estimated from the sketch.
 ERROR = 0.026
-#: Rows of a key that are all compared with each other; times that a crowded key's rows are compared with one of them, by key
-#: of the words and by band of the sketch; share of similar texts, at most, that meet in no band.
-MEET, BY_WORDS, BY_BAND, MISS = 8, 2, 8, 0.01
-#: Rows of a block where all that is left of a band is compared.
-ASK = 1024
+#: Rows of a key that are joined with each other; rows that are compared with all others of their key, at most, block by block.
+MEET, FULL, ASK = 8, 4096, 1024
+#: Keys of the words, and bands, whose crowded groups are the first to meet one of them; rounds of that; share of similar texts, at
+#: most, that meet in no band.
+EARLY_SPACES, EARLY_BANDS, ROUNDS, MISS = 2, 4, 3, 0.01
 _CHUNK = 4096
 
 
@@ -256,35 +256,49 @@ def _distances(pairs: DataFrame, sketches: DataFrame, hot: bool = False) -> Data
     return pairs.join(right, "b").select("a", "b", apart.alias("d"))
 
 
-def _meet(groups: DataFrame, sketches: DataFrame, apart: int, meet: int, rounds: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Links (a, b, d) of rows that differ in at most ``apart`` bits and share a group, and what of ``groups`` (g, row) isn't done after ``rounds``.
+def _settle(groups: DataFrame, sketches: DataFrame, links: DataFrame, apart: int, early: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+    """``links`` (a, b) and those that connect what differs in at most ``apart`` bits in each of ``groups`` (g, row), and the groups not done.
 
-    Rows of a group of at most ``meet`` are all compared. In a larger one each is compared with one of them, the leader. Say
-    that of the rows not linked to it the nearest is ``e`` bits away: then a row less than ``e - apart`` away, which is linked to the leader,
-    can't be linked to any that isn't, and leaves the group. So no link between what is connected and what is not is lost,
-    and a group of similar texts is done in a round or a few.
+    All rows of a group of at most ``MEET`` meet. In a larger one, all meet one of them, its leader, at first where g < ``early`` alone.
+    Then a group is done if links lead from each of its rows to each other. If all but ``FULL`` lead to one place, those are compared with
+    all rows of the group, block by block, and it is done; else its rows meet another leader, ``rounds`` times in all.
     """
-    links = []
+    sizes = store(groups.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("sum")).where("n > 1"), "sizes")
+    few = store(join_counted(groups, sizes.where(F.col("n") <= MEET).select("g", "n"), ["g"]), "few")
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.row") < F.col("y.row"))
+    pairs = few.alias("x").join(few.alias("y"), same).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    found = [links, _distances(pairs, sketches).where(F.col("d") <= apart).select("a", "b")]
+    # groups of the same rows are one
+    many = sizes.where(F.col("n") > MEET).groupBy("n", "sum").agg(F.min("g").alias("g")).select("g", "n")
+    groups = store(join_counted(groups, many, ["g"]).select("g", "row"), "crowded")
     for k in range(rounds):
-        leader = F.min_by("row", F.xxhash64(F.lit(k), "row")).alias("leader")
-        sizes = store(groups.groupBy("g").agg(F.count("*").alias("n"), leader).where("n > 1"), "sizes")
-        groups = store(join_counted(groups, sizes, ["g"]), "groups")
-        few = groups.where(F.col("n") <= meet)
-        same = (F.col("x.g") == F.col("y.g")) & (F.col("x.row") < F.col("y.row"))
-        pairs = few.alias("x").join(few.alias("y"), same).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
-        links.append(_distances(pairs, sketches).where(F.col("d") <= apart))
-        many = groups.where(F.col("n") > meet).select("g", "row", "leader")
-        if many.isEmpty():
-            return links, None
-        near = many.select(F.col("leader").alias("a"), F.col("row").alias("b")).where("a <> b").distinct()
-        near = store(_distances(near, sketches, hot=True), "near")
-        links.append(near.where(F.col("d") <= apart))
-        rows = store(many.join(near.toDF("leader", "row", "d"), ["leader", "row"]).select("g", "row", "d"), "compared")
-        edge = rows.groupBy("g").agg(F.count("*").alias("n"), F.min(F.when(F.col("d") > apart, F.col("d"))).alias("edge")).where("edge IS NOT NULL")
-        groups = store(join_counted(rows, store(edge, "edges-of-groups"), ["g"]).where(F.col("d") >= F.col("edge") - apart).select("g", "row"), "left")
         if groups.isEmpty():
-            return links, None
-    return links, groups
+            break
+        leader = F.min_by("row", F.xxhash64(F.lit(k), "row")).alias("leader")
+        now = groups if k else groups.where(F.col("g") < early)
+        of = store(now.groupBy("g").agg(F.count("*").alias("n"), leader), "leads")
+        near = join_counted(now, of, ["g"]).select(F.col("leader").alias("a"), F.col("row").alias("b")).where("a <> b").distinct()
+        found.append(_distances(near, sketches, hot=True).where(F.col("d") <= apart).select("a", "b"))
+        links = store(_union(found), "links")
+        found = [links]
+        rooted = groups.join(connected(links).withColumnRenamed("node", "row"), "row", "left").select("g", "row", F.coalesce("root", "row").alias("root"))
+        rooted = store(rooted, "rooted")
+        each = rooted.groupBy("g", "root").agg(F.count("*").alias("n")).groupBy("g")
+        each = each.agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+        each = store(each.select("g", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("asking")), "apart")
+        asks = each.where(F.col("asking") <= FULL)
+        found.append(_blocks(join_counted(rooted, asks, ["g"]), sketches, apart))
+        groups = store(join_counted(rooted, each.where(F.col("asking") > FULL), ["g"]).select("g", "row"), "crowded")
+    else:
+        return store(_union(found), "links"), groups
+    return store(_union(found), "links"), None
+
+
+def _union(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _word_keys(batches):
@@ -324,13 +338,12 @@ def _band_keys(places: np.ndarray):
 
 
 def _unite(apart: int):
-    """Rows (p, q, part, row, sketch) of two blocks of a group, or of one with itself: links, as many as it takes to connect them."""
+    """Rows (ask, row, root, sketch) of a block: links of rows that ask and others of another root, as many as it takes to connect them."""
 
     def unite(group):
         import pyarrow as pa
 
-        part, row = group.column("part").to_numpy(), group.column("row").to_numpy()
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        ask, row, root = (group.column(c).to_numpy() for c in ("ask", "row", "root"))
         bits = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(row), -1)
         above: dict[int, int] = {}
 
@@ -339,57 +352,63 @@ def _unite(apart: int):
                 x = above[x]
             return x
 
-        out, left, right = [], np.flatnonzero(part == p), np.flatnonzero(part == q)
-        for i in left:
-            d = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            for j in right[(d <= apart) & (row[right] != row[i])]:
-                x, y = sorted((top(int(row[i])), top(int(row[j]))))
+        out, asking, others = [], np.flatnonzero(ask == 1), np.flatnonzero(ask == 0)
+        for i in asking:
+            d = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            for j in others[(d <= apart) & (root[others] != root[i])]:
+                x, y = top(int(root[i])), top(int(root[j]))
                 if x != y:
-                    above[y] = x
-                    out.append((x, y))
+                    above[max(x, y)] = min(x, y)
+                    out.append((int(row[i]), int(row[j])))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return unite
 
 
-def _blocks(groups: DataFrame, sketches: DataFrame, apart: int) -> DataFrame:
-    """Links (a, b) that connect what is linked in each of ``groups`` (g, row), all rows of a group compared, ``ASK`` with ``ASK`` a task."""
-    sizes = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    rows = join_counted(groups, store(sizes.withColumn("parts", F.ceil(F.col("n") / ASK)), "sizes"), ["g"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), "parts")).join(sketches.select("row", "sketch"), "row")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("g", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "row", "sketch")
-    return rows.groupBy("g", "p", "q").applyInArrow(_unite(apart), "a long, b long")
+def _blocks(rows: DataFrame, sketches: DataFrame, apart: int) -> DataFrame:
+    """(g, row, root, n, main, asking) to links (a, b) of rows outside a group's main root and any of it, ``ASK`` with ``ASK`` a task."""
+    rows = rows.withColumns({"row_parts": F.ceil(F.col("n") / ASK), "ask_parts": F.ceil(F.col("asking") / ASK)}).join(sketches.select("row", "sketch"), "row")
+    part = lambda c: F.pmod(F.xxhash64("row"), F.col(c))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_parts") - 1))
+    cols = ["g", "p", "q", "ask", "row", "root", "sketch"]
+    every = rows.select("g", part("row_parts").alias("q"), F.lit(0).alias("ask"), "row", "root", "sketch", others.alias("p")).select(*cols)
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_parts") - 1))
+    asking = rows.where("root <> main").select("g", part("ask_parts").alias("p"), F.lit(1).alias("ask"), "row", "root", "sketch", others.alias("q")).select(*cols)
+    return every.unionByName(asking).groupBy("g", "p", "q").applyInArrow(_unite(apart), "a long, b long")
 
 
-def similar_links(unique: DataFrame, similarity: float = SIMILARITY, meet: int = MEET) -> DataFrame:
+def similar_links(unique: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row, fps, sketch) of different texts to links (a, b) of rows."""
     apart = bits_apart(similarity - ERROR)
-    links, left = _meet(unique.mapInArrow(_word_keys, "g long, row long"), unique, apart, meet, BY_WORDS)
-    if left is not None:
-        # texts of much the same words in another order: the keys of the words can't tell them apart, the sketch can
-        again = store(unique.join(left.select("row").distinct(), "row", "left_semi").select("row", "sketch"), "crowded")
-        places = bands(again.count(), apart)
-        more, left = _meet(again.mapInArrow(_band_keys(places), "g long, row long"), again, apart, meet, BY_BAND)
-        links += more
-        if left is not None:
-            links.append(_blocks(left, again, apart).withColumn("d", F.lit(apart)))
-    out = links[0].select("a", "b")
-    for more in links[1:]:
-        out = out.unionByName(more.select("a", "b"))
-    return out
+    keys = store(unique.mapInArrow(_word_keys, "g long, row long"), "keys")
+    none = unique.select(F.col("row").alias("a"), F.col("row").alias("b")).limit(0)
+    links, left = _settle(keys, unique, none, apart, EARLY_SPACES << 36)
+    if left is None:
+        return links
+    # texts of much the same words in another order: the keys of the words can't tell them apart, the sketch can
+    again = store(unique.join(left.select("row").distinct(), "row", "left_semi").select("row", "sketch"), "again")
+    keys = store(again.mapInArrow(_band_keys(bands(again.count(), apart)), "g long, row long"), "bands")
+    links, left = _settle(keys, again, links, apart, EARLY_BANDS << 32)
+    if left is None:
+        return links
+    # what is left of a band: none leads to any other, so all of them ask
+    rooted = left.join(connected(links).withColumnRenamed("node", "row"), "row", "left").select("g", "row", F.coalesce("root", "row").alias("root"))
+    sizes = store(rooted.groupBy("g").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("main"), F.count("*").alias("asking")), "sizes")
+    rest = _blocks(join_counted(rooted, sizes, ["g"]).withColumn("main", F.lit(-1).cast("long")), again, apart)
+    return links.unionByName(rest)
 
 
 def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row long, text) to (row, group): the smallest row of those that similar texts lead to; ``row`` is unique.
 
     Two texts are similar if the cosine of their sets of five-word shingles is, as estimated from 1024-bit SimHash sketches, at most one
-    standard error below ``similarity``; for sets of one size a cosine of 0.8 is two thirds of the union in common. Texts meet that share a Golay key of one of ``SPACES`` fingerprints of their distinct words. Where
-    over ``MEET`` share one, each is compared with one of them, twice over; rows that links to these don't settle meet anew, by
-    bands of bits of their sketches, as many as it takes, and what is left of a crowded band after ``BY_BAND`` such rounds is compared in full,
-    block by block. So no group is one task, and texts that aren't similar cost a number of bands each, not all their pairs. Texts of
-    the same words in order (ASCII case and white space aside) are one; NULL and wordless texts are such texts too.
+    standard error below ``similarity``; for sets of one size a cosine of 0.8 is two thirds of the union in common. Texts meet that share
+    a Golay key of one of ``SPACES`` fingerprints of their distinct words. Where over ``MEET`` share one, all meet one of them, and then those that
+    links don't connect with most others are compared with all under the key, block by block. Only where over ``FULL`` are apart,
+    as texts of the same words in ever other orders are, they meet by bands of bits of their sketches instead, as many as it takes. So no group is one
+    task, and a text is compared with a bounded number of others a key. Texts of the same words in order (ASCII case and white space aside) are one;
+    NULL and wordless texts are such texts too.
     """
     spark = texts.sparkSession
     ship(spark)
@@ -397,7 +416,7 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     copies = rows.groupBy("high", "low").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     copies = store(copies, "copies")
     unique = store(rows.join(copies.select(F.col("first").alias("row")), "row", "left_semi").select("row", "fps", "sketch"), "texts")
-    roots = connected(similar_links(unique, similarity, MEET))
+    roots = connected(similar_links(unique, similarity))
     of = copies.join(roots.withColumnRenamed("node", "first"), "first", "left").select("high", "low", "first", "n", F.coalesce("root", "first").alias("group"))
     single = of.where("n = 1").select(F.col("first").alias("row"), "group")
     several = join_counted(rows.select("row", "high", "low"), store(of.where("n > 1"), "copied"), ["high", "low"])

@@ -173,30 +173,31 @@ def families(rng, count, size):
     return [*bits, *[rng.rand(1024) < 0.5 for _ in range(count)]]
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_rounds_lose_no_link_of_a_crowded_group(spark, rounds):
-    """All rows under one key: what rounds link, with what blocks link of the rest, connects as all pairs do."""
-    rng = np.random.RandomState(rounds)
+@pytest.mark.parametrize("full, ask", [(4096, 1024), (4096, 7), (60, 1024), (3, 5)])
+def test_no_link_of_a_crowded_group_is_lost(spark, monkeypatch, full, ask):
+    """All rows under one key: what is linked, with blocks of what isn't done, connects as all pairs do."""
+    for name, value in (("FULL", full), ("ASK", ask), ("MEET", 4)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.RandomState(ask)
     bits = families(rng, 5, 12)
     apart = simhash.bits_apart(simhash.SIMILARITY - simhash.ERROR)
     unique = sketches_of(spark, bits, [[0]] * len(bits))
-    groups = unique.selectExpr("7L AS g", "row").unionByName(unique.where("row < 9").selectExpr("8L AS g", "row"))
-    links, left = simhash._meet(groups, unique, apart, 4, rounds)
-    found = [x.select("a", "b") for x in links]
-    assert left is not None and left.where("g = 7").count() < len(bits) - rounds + 1
-    want = roots(len(bits), all_links(bits, apart))
-    for ask in (1024, 7):
-        simhash.ASK, held = ask, simhash.ASK
-        try:
-            rest = simhash._blocks(left, unique, apart)
-            both = [(r["a"], r["b"]) for x in [*found, rest] for r in x.collect()]
-        finally:
-            simhash.ASK = held
-        assert [roots(len(bits), both).index(x) for x in roots(len(bits), both)] == [want.index(x) for x in want]
+    groups = unique.selectExpr("7L AS g", "row").unionByName(unique.where("row < 9").selectExpr("8L AS g", "row")).unionByName(unique.where("row < 3").selectExpr("9L AS g", "row"))
+    none = unique.selectExpr("row AS a", "row AS b").limit(0)
+    links, left = simhash._settle(groups, unique, none, apart, 8, 2)
+    want, got = roots(len(bits), all_links(bits, apart)), linked(links, len(bits))
+    named = lambda of: [of.index(x) for x in of]
+    if full > 3:
+        assert left is None or left.isEmpty()
+        assert named(got) == named(want)
+    else:
+        assert left.where("g = 7").count() == len(bits)
+        assert all(want[a] == want[got[a]] for a in range(len(bits)))
 
 
 def test_unlike_texts_under_one_key_cost_bands_not_pairs(spark, monkeypatch):
     rng = np.random.RandomState(3)
+    monkeypatch.setattr(simhash, "FULL", 64)
     apart = simhash.bits_apart(simhash.SIMILARITY - simhash.ERROR)
     stored = []
     plain_store = simhash.store
