@@ -173,7 +173,7 @@ def families(rng, count, size):
     return [*bits, *[rng.rand(1024) < 0.5 for _ in range(count)]]
 
 
-@pytest.mark.parametrize("full, ask", [(4096, 1024), (4096, 7), (60, 1024), (3, 5)])
+@pytest.mark.parametrize("full, ask", [(4096, 1024), (4096, 7), (64, 30), (3, 5)])
 def test_no_link_of_a_crowded_group_is_lost(spark, monkeypatch, full, ask):
     """All rows under one key: what is linked, with blocks of what isn't done, connects as all pairs do."""
     for name, value in (("FULL", full), ("ASK", ask), ("MEET", 4)):
