@@ -224,36 +224,39 @@ def feature_matrix_baseline17(spark, sf):
     return _as_double(feature_table(views.events(spark, sf), views.catalog(spark, sf), version=17))
 
 
-@query(with_views("re yr br", _BASE + f"SELECT {_COLUMNS17} {_JOINS}"))
-def feature_matrix_hot_keys(spark, sf):
-    """The 17 features where items and users with over 30 events are hot."""
-    from ..plans.features import blocks
-    from ..schemas import CONTEXT, contract
-
-    e = blocks(views.events(spark, sf), views.catalog(spark, sf), hot=30)
-    return _as_double(e.select(*CONTEXT, *[F.col(f.name).cast(f.kind).alias(f.name) for f in contract(17)]))
-
-
 _VECTOR_NAMES = ("liked_cosine", "disliked_cosine", "preference_margin", "nearest_liked", "top5_liked", "vector_mean", "vector_std", "vector_top10")
 
 
-@query(with_views("re yr br vec", _BASE + _VECTORS + f""", st AS (
+_FULL30 = with_views("re yr br vec", _BASE + _VECTORS + f""", st AS (
   SELECT item_id, list_avg(v) AS vector_mean, list_stddev_pop(v) AS vector_std, list_avg(list_sort(v, 'DESC')[1:10]) AS vector_top10 FROM vec)
 SELECT {_COLUMNS17}, n60 AS item_count_60d, {_F("s30 / nullif(n30, 0)")} AS item_mean_30d, {_F("s60 / nullif(n60, 0)")} AS item_mean_60d, {_RATIOS},
   round(liked_cosine, 5) AS liked_cosine, round(disliked_cosine, 5) AS disliked_cosine, round(liked_cosine - disliked_cosine, 5) + 0e0 AS preference_margin,
   round(nearest_liked, 5) AS nearest_liked, round(top5_liked, 5) AS top5_liked,
   round(vector_mean, 5) AS vector_mean, round(vector_std, 5) AS vector_std, round(vector_top10, 5) AS vector_top10
-{_JOINS} LEFT JOIN cc ON b.event_id = cc.event_id LEFT JOIN nn ON b.event_id = nn.event_id LEFT JOIN st ON b.item_id = st.item_id"""))
-def feature_matrix_full30(spark, sf):
+{_JOINS} LEFT JOIN cc ON b.event_id = cc.event_id LEFT JOIN nn ON b.event_id = nn.event_id LEFT JOIN st ON b.item_id = st.item_id""")
+
+
+def _matrix30(spark, sf, hot=None):
     """The vector block in double, rounded to 5 digits; the other columns exactly as the table has them."""
     from ..plans.features import blocks
     from ..schemas import CONTEXT, FEATURES
 
-    e = blocks(views.events(spark, sf), views.catalog(spark, sf), views.scores(spark, sf))
+    e = blocks(views.events(spark, sf), views.catalog(spark, sf), views.scores(spark, sf), hot)
     out = [F.round(F.col(f.name), 5) + F.lit(0.0) if f.name in _VECTOR_NAMES else F.col(f.name).cast(f.kind) for f in FEATURES]
     return _as_double(e.select(*CONTEXT, *[c.alias(f.name) for c, f in zip(out, FEATURES, strict=True)]))
 
 
+@query(_FULL30)
+def feature_matrix_full30(spark, sf):
+    return _matrix30(spark, sf)
+
+
+@query(_FULL30)
+def feature_matrix_hot_keys(spark, sf):
+    """The 30 features where items and users with over 30 events are hot."""
+    return _matrix30(spark, sf, 30)
+
+
 _CUT = "1998-06-15"
 
 

@@ -183,6 +183,25 @@ def test_vectors_come_with_events_when_large(spark, monkeypatch):
     assert small.reset_index(drop=True).equals(large.reset_index(drop=True))
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_profiles_of_hot_users_go_by_bucket(spark, monkeypatch, large):
+    """One user with most events and one with none hot, an item liked in many buckets, ties over a bucket's end; blocks of a few items."""
+    r = np.random.RandomState(4)
+    vec = v.vectors(scores(spark, {i: r.rand(10) for i in range(1, 15)}))
+    data = [(k, 1 if k % 5 else 2 + k % 3, 3 if r.rand() < 0.3 else int(r.randint(1, 18)), float(r.randint(1, 11)) / 2, int(r.randint(0, 150))) for k in range(400)]
+    e = spark.createDataFrame(data, EVENTS).repartition(3)
+    order = lambda df: df.toPandas().sort_values("event_id").reset_index(drop=True)
+    plain = order(v.preference_history(e, vec))
+    monkeypatch.setattr(v, "BLOCK", 4)
+    if large:
+        monkeypatch.setattr(v, "BROADCAST", 0)
+    got = order(v.preference_history(e, vec, h.hot_keys(e, "user_id", 30)))
+    assert got.event_id.tolist() == plain.event_id.tolist()
+    for c in v.NAMES:
+        np.testing.assert_allclose(got[c].to_numpy(), plain[c].to_numpy(), atol=1e-12)
+    assert plain.top5_liked.notna().sum() > 250
+
+
 def test_few_tags_are_rejected(spark):
     with pytest.raises(ValueError, match="tags"):
         v.vectors(scores(spark, {1: [1]}, tags=9))
