@@ -105,6 +105,20 @@ def stream_replay(spark, sf):
     return _as_double(stream.features().select(*_columns()))
 
 
+@query(with_views("re yr br", _BASE + f"SELECT {_COLUMNS17} {_JOINS}"))
+def stream_keyed_state(spark, sf):
+    """All events as such a stream, with keyed state and timers."""
+    from ..streaming.keyed import KeyedReplay
+
+    root = scratch(spark)
+    e = views.events(spark, sf).select("event_id", "user_id", "item_id", "rating", "event_us")
+    stream = KeyedReplay(spark, f"{root}/out", views.catalog(spark, sf))
+    for part in _thirds(e):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream.run(f"{root}/in", files_a_batch=None)
+    return _as_double(stream.features().select(*_columns()))
+
+
 def _thirds(e):
     a, b = 883_612_800_000_000, 978_307_200_000_000  # two days inside the span; the second splits its own day
     return e.where(F.col("event_us") < a), e.where(f"event_us >= {a} AND (event_us < {b} OR event_us = {b} AND event_id % 2 = 0)"), e.where(f"event_us > {b} OR event_us = {b} AND event_id % 2 = 1")
