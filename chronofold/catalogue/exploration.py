@@ -63,7 +63,8 @@ d AS (SELECT user_id, count(*) AS n, count(*) FILTER (place < 0.3) AS n_early, c
 
 @query(with_views("re", _DRIFT + "SELECT user_id, n, n_early, n_late, round(early_rate, 6) AS early_rate, round(late_rate, 6) AS late_rate, round(delta, 6) AS delta FROM d"))
 def early_late_drift(spark, sf):
-    return rounded(ex.early_late(views.events(spark, sf)))
+    """Users with over 30 events are hot."""
+    return rounded(ex.early_late(views.events(spark, sf), hot=30))
 
 
 @query(with_views("re", _DRIFT + """
@@ -88,7 +89,8 @@ def drift_by_activity_bin(spark, sf):
 , x AS (SELECT user_id, event_id, count(*) OVER w AS n, avg(CASE WHEN rating >= 4 THEN 1e0 ELSE 0e0 END) OVER w AS rate FROM re WINDOW w AS (PARTITION BY user_id ORDER BY event_us, item_id, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
 SELECT user_id, event_id, CASE WHEN n >= 10 THEN round(rate, 6) END AS rate FROM x"""))
 def rolling_rate_50(spark, sf):
-    return rounded(ex.rolling_rate(views.events(spark, sf)))
+    """Users with over 30 events are hot."""
+    return rounded(ex.rolling_rate(views.events(spark, sf), hot=30))
 
 
 @query(with_views("re", _DRIFT + """

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .explore import quantiles_of
+
 BUCKETS = 1024
 EPSILON = 1e-15
 
@@ -86,7 +88,7 @@ def expected_calibration_error(df: DataFrame, by: list[str] | None = None) -> Da
 
 def quantile_edges(df: DataFrame, column: str, parts: int) -> list[float]:
     """Linear-interpolated quantiles of ``parts`` equal shares, equal ones once; parts + 1 numbers at most."""
-    found = df.agg(F.percentile(column, F.array(*[F.lit(k / parts) for k in range(parts + 1)]))).first()[0]
+    found = quantiles_of(df, column, tuple(k / parts for k in range(parts + 1))).first()[0]
     return sorted(set(found or []))
 
 
@@ -111,17 +113,15 @@ def quantile_buckets(df: DataFrame, parts: int = 20) -> DataFrame:
 def threshold_performance(df: DataFrame, parts: int = 20) -> DataFrame:
     """For each bucket's highest score as the cutoff: alerts, tp, fp, fn, precision, recall, f1, alert_rate.
 
-    One pass: buckets are aggregated, and what lies at or above a cutoff is a suffix sum over the few buckets. The rows of
+    Buckets are aggregated, and what lies at or above a cutoff is a suffix sum over the few buckets. The rows of
     a bucket that equal its highest score alert; its other rows don't.
     """
     edges = quantile_edges(df, "p", parts)
-    b = df.withColumn("bucket", bucket_right(F.col("p"), edges))
-    top = b.groupBy("bucket", "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    w = W.partitionBy("bucket")
-    top = top.withColumn("highest", F.max("p").over(w))
+    b = df.select("p", "y", bucket_right(F.col("p"), edges).alias("bucket"))
+    highest = b.groupBy("bucket").agg(F.max("p").alias("highest"))  # a row a bucket
     at = F.col("p") == F.col("highest")
-    g = top.groupBy("bucket").agg(
-        F.max("highest").alias("cutoff"), F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.when(at, F.col("n"))).alias("n_at"), F.sum(F.when(at, F.col("pos"))).alias("pos_at"),
+    g = b.join(F.broadcast(highest), "bucket").groupBy("bucket").agg(
+        F.max("highest").alias("cutoff"), F.count("*").alias("n"), F.sum("y").alias("pos"), F.count_if(at).alias("n_at"), F.sum(F.when(at, F.col("y"))).alias("pos_at"),
     )
     after, whole = W.orderBy("bucket").rowsBetween(1, W.unboundedFollowing), W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     g = g.withColumns({

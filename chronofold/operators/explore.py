@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .buckets import bucketed, hot_keys
+
 #: Parts that the values of a feature are cut into for exact quantiles; a power of two.
 CUTS = 256
 
@@ -48,18 +50,38 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
 def activity_quantiles(events: DataFrame, key: str, qs: tuple[float, ...] = (0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1)) -> DataFrame:
     """(q, value) of events a key, and their mean as q NULL."""
     n = events.groupBy(key).agg(F.count("*").alias("n"))
-    found = n.agg(F.percentile("n", F.array(*map(F.lit, map(float, qs)))).alias("v"), F.avg("n").alias("mean"))
+    found = quantiles_of(n, "n", tuple(map(float, qs))).crossJoin(n.agg(F.avg("n").alias("mean")))  # a row each
     pairs = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col("v")[k].alias("value")) for k, q in enumerate(qs)], F.struct(F.lit(None).cast("double").alias("q"), F.col("mean").alias("value")))
     return found.select(F.explode(pairs).alias("x")).select("x.q", "x.value")
 
 
-def early_late(events: DataFrame, early: float = 0.3, late: float = 0.7) -> DataFrame:
+def quantiles_of(df: DataFrame, column: str, q: tuple[float, ...]) -> DataFrame:
+    """One row: v, the exact interpolated quantiles of a column, NULL without values; no task holds all values."""
+    found = exact_quantiles(value_counts(df, [], [column]), ["feature"], q)
+    return found.agg(F.max("quantiles").alias("v"))
+
+
+def positions(events: DataFrame, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events with their place among their user's, k from 0 in order of time, item and id, and the user's n; and (user_id, __b, start, end) of buckets.
+
+    Users with over ``hot`` events (``buckets.HOT``) are numbered by bucket of time, from the number of events in earlier ones.
+    """
+    users = hot_keys(events, "user_id", hot)
+    e = events.withColumn("__b", F.lit(0).cast("long")) if users is None else bucketed(events, "user_id", users).drop("__last")
+    counts, all_ = e.groupBy("user_id", "__b").agg(F.count("*").alias("c")), W.partitionBy("user_id")
+    start = F.coalesce(F.sum("c").over(all_.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.select("user_id", "__b", start.alias("start"), F.sum("c").over(all_).alias("n"), (start + F.col("c")).alias("end"))
+    k = F.row_number().over(W.partitionBy("user_id", "__b").orderBy("event_us", "item_id", "event_id")) - 1
+    e = e.withColumn("k", k).join(spans.select("user_id", "__b", "start", "n"), ["user_id", "__b"])
+    return e.withColumn("k", F.col("k") + F.col("start")).drop("start"), spans
+
+
+def early_late(events: DataFrame, early: float = 0.3, late: float = 0.7, hot: int | None = None) -> DataFrame:
     """By user: n, early and late counts and high rates, delta. Rank by time, then item, from 0, over the number of events.
 
     This is analysis: the tie-break by item must not enter a feature.
     """
-    w = W.partitionBy("user_id")
-    ranked = events.select("user_id", "rating", (F.row_number().over(w.orderBy("event_us", "item_id", "event_id")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    ranked, _ = positions(events.select("user_id", "item_id", "event_id", "event_us", "rating"), hot)
     at, high = F.col("k") / F.col("n"), (F.col("rating") >= 4.0).cast("double")
     g = ranked.groupBy("user_id").agg(
         F.max("n").alias("n"), F.count_if(at < early).alias("n_early"), F.count_if(at >= late).alias("n_late"),
@@ -74,11 +96,14 @@ def drift_summary(drift: DataFrame, rules: tuple[tuple[int, int], ...] = ((20, 5
     one = drift.where("delta IS NOT NULL").select("n", "n_early", "n_late", "delta", F.explode(F.array(*[F.struct(F.lit(a).alias("least"), F.lit(b).alias("segment")) for a, b in rules])).alias("r"))
     one = one.select("*", "r.least", "r.segment").where("n >= least AND n_early >= segment AND n_late >= segment")
     share = lambda t: 100 * F.avg((F.abs(x) >= t).cast("double"))
-    return one.groupBy("least", "segment").agg(
-        F.count("*").alias("users"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_samp(x).alias("std"),
-        F.percentile(x, 0.1).alias("p10"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"), F.percentile(x, 0.9).alias("p90"),
+    found = one.groupBy("least", "segment").agg(
+        F.count("*").alias("users"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         share(0.05).alias("pct_over_05"), share(0.1).alias("pct_over_10"), share(0.2).alias("pct_over_20"),
     )
+    by, q = ["least", "segment"], {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+    at = exact_quantiles(one.groupBy(*by, x.alias("x")).agg(F.count("*").alias("c")), by, tuple(q.values()))
+    found = found.join(at.select(*by, *[F.col("quantiles")[k].alias(n) for k, n in enumerate(q)]), by)
+    return found.select(*by, "users", "mean", "median", "std", "p10", "p25", "p75", "p90", "pct_over_05", "pct_over_10", "pct_over_20")
 
 
 ACTIVITY = (0, 20, 50, 100, 200, 500)
@@ -93,15 +118,30 @@ def activity_bin(n: Column, edges: tuple[int, ...] = ACTIVITY) -> Column:
 
 
 def drift_by_activity(drift: DataFrame) -> DataFrame:
-    d = drift.where("delta IS NOT NULL")
-    return d.groupBy(activity_bin(F.col("n")).alias("from_n")).agg(F.count("*").alias("users"), F.avg("delta").alias("mean"), F.percentile(F.abs("delta"), 0.5).alias("median_abs"))
+    d = drift.where("delta IS NOT NULL").withColumn("from_n", activity_bin(F.col("n")))
+    medians = exact_quantiles(d.groupBy("from_n", F.abs("delta").alias("x")).agg(F.count("*").alias("c")), ["from_n"], (0.5,))
+    found = d.groupBy("from_n").agg(F.count("*").alias("users"), F.avg("delta").alias("mean"))
+    return found.join(medians.select("from_n", F.col("quantiles")[0].alias("median_abs")), "from_n")
 
 
-def rolling_rate(events: DataFrame, rows: int = 50) -> DataFrame:
-    """Mean high rate of the last ``rows`` events of a user, the current one included; NULL below max(10, rows / 5)."""
-    w = W.partitionBy("user_id").orderBy("event_us", "item_id", "event_id").rowsBetween(1 - rows, 0)
+def rolling_rate(events: DataFrame, rows: int = 50, hot: int | None = None) -> DataFrame:
+    """Mean high rate of the last ``rows`` events of a user, the current one included; NULL below max(10, rows / 5).
+
+    Of a hot user (``positions``), what lies up to ``rows`` - 1 places before a bucket begins is handed on to it.
+    """
+    e, spans = positions(events.select("user_id", "item_id", "event_id", "event_us", "rating"), hot)
+    e = e.select("user_id", "__b", "event_id", "k", F.col("rating"), F.lit(True).alias("own"))
+    if rows > 1:
+        # a row at k goes to later buckets that start in (k, k + rows - 1]; starts are met by stretches of ``rows`` places
+        later = spans.where("start > 0").select("user_id", F.col("__b").alias("to"), "start", F.floor(F.col("start") / rows).alias("stretch"))
+        tails = e.join(spans.select("user_id", "__b", "end", "n"), ["user_id", "__b"]).where((F.col("end") < F.col("n")) & (F.col("k") > F.col("end") - rows))
+        tails = tails.withColumn("stretch", F.explode(F.array(F.floor(F.col("k") / rows), F.floor(F.col("k") / rows) + 1)))
+        tails = tails.join(later, ["user_id", "stretch"]).where((F.col("start") > F.col("k")) & (F.col("start") < F.col("k") + rows))
+        e = e.unionByName(tails.select("user_id", F.col("to").alias("__b"), "event_id", "k", "rating", F.lit(False).alias("own")))
+    w = W.partitionBy("user_id", "__b").orderBy("k").rowsBetween(1 - rows, 0)
     high = (F.col("rating") >= 4.0).cast("double")
-    return events.select("user_id", "event_id", F.when(F.count("*").over(w) >= max(10, rows // 5), F.avg(high).over(w)).alias("rate"))
+    rate = F.when(F.count("*").over(w) >= max(10, rows // 5), F.avg(high).over(w))
+    return e.withColumn("rate", rate).where("own").select("user_id", "event_id", "rate")
 
 
 def examples(drift: DataFrame, least: int = 20) -> DataFrame:
@@ -115,7 +155,7 @@ def examples(drift: DataFrame, least: int = 20) -> DataFrame:
 
 def nearest_to_median(n: DataFrame, key: str, column: str) -> DataFrame:
     """The row whose value is nearest the median; ties go to the smaller key."""
-    m = n.agg(F.percentile(column, 0.5).alias("__m"))
+    m = quantiles_of(n, column, (0.5,)).select(F.col("v")[0].alias("__m"))
     return n.crossJoin(m).orderBy(F.abs(F.col(column) - F.col("__m")), key).limit(1).drop("__m")
 
 
@@ -144,8 +184,10 @@ def group_summary(events: DataFrame, bridge: DataFrame, catalog: DataFrame) -> D
     s = bridge.join(item_stats(events), "item_id", "left")
     g = s.groupBy("genre").agg(
         F.count("*").alias("items"), F.count("n").alias("rated_items"), F.coalesce(F.sum("n"), F.lit(0)).alias("ratings"),
-        (F.sum("total") / F.sum("n")).alias("mean"), (F.sum("high") / F.sum("n")).alias("rate"), F.percentile("mean", 0.5).alias("median_item_mean"),
+        (F.sum("total") / F.sum("n")).alias("mean"), (F.sum("high") / F.sum("n")).alias("rate"),
     )
+    medians = exact_quantiles(s.where("mean IS NOT NULL").groupBy("genre", F.col("mean").alias("x")).agg(F.count("*").alias("c")), ["genre"], (0.5,))
+    g = g.join(medians.select("genre", F.col("quantiles")[0].alias("median_item_mean")), "genre", "left")
     return g.crossJoin(catalog.agg(F.count("*").alias("total"))).withColumn("coverage_pct", 100 * F.col("items") / F.col("total")).drop("total")
 
 

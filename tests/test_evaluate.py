@@ -93,3 +93,30 @@ def test_quantiles_against_numpy(spark, monkeypatch):
         assert r["median"] is None if not x else abs(r["median"] - np.median(x)) < 1e-12
     empty = explore.feature_summary(df.limit(0), names).collect()
     assert {(r["feature"], r["n"], r["p50"], r["distinct"]) for r in empty} == {(n, 0, None, 0) for n in names}
+
+
+@pytest.mark.parametrize("rows", [1, 7, 50])
+def test_hot_users_are_numbered_by_bucket(spark, rows):
+    """One user with most events, many of them at one time, so that buckets are of any size."""
+    r = random.Random(rows)
+    data = [(k, 1 if r.random() < 0.7 else r.randint(2, 5), r.randint(1, 9), r.randint(1, 10) / 2, r.choice([3, 3, 3, r.randint(0, 200)])) for k in range(500)]
+    e = spark.createDataFrame(data, "event_id long, user_id long, item_id long, rating double, event_us long").repartition(3)
+    take = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = []
+    for user in {x[1] for x in data}:
+        mine = sorted((x for x in data if x[1] == user), key=lambda x: (x[4], x[2], x[0]))
+        for k, x in enumerate(mine):
+            some = [y[3] >= 4 for y in mine[max(0, k - rows + 1) : k + 1]]
+            want.append((user, x[0], round(sum(some) / len(some), 12) if len(some) >= max(10, rows // 5) else None))
+    for hot in (None, 12, 1):
+        got = [(u, i, v if v is None else round(v, 12)) for u, i, v in take(ex.rolling_rate(e, rows, hot))]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert take(ex.early_late(e, hot=hot)) == take(ex.early_late(e))
+
+
+def test_quantile_edges_are_exact(spark):
+    r = random.Random(1)
+    x = [round(r.random(), 3) for _ in range(3_000)]
+    got = ev.quantile_edges(spark.createDataFrame([(v,) for v in x], "x double"), "x", 20)
+    assert got == pytest.approx(sorted(set(np.quantile(x, [k / 20 for k in range(21)]).tolist())), abs=1e-12)
+    assert ev.quantile_edges(spark.createDataFrame([], "x double"), "x", 4) == []
