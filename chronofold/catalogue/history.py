@@ -101,18 +101,16 @@ def json_event_items(spark, sf):
 
 
 _AFFINITY = f"""
-, ue AS MATERIALIZED (
-  SELECT event_id, user_id, item_id, event_us, rating, sum(rating) OVER w / nullif(count(*) OVER w, 0) AS user_mean FROM re WINDOW w AS (PARTITION BY user_id ORDER BY event_us {PRIOR})),
-ug AS MATERIALIZED (SELECT event_id, user_id, genre, event_us, rating FROM ue JOIN br ON ue.item_id = br.item_id),
-x AS MATERIALIZED (SELECT event_id, count(*) OVER w AS n, sum(rating) OVER w AS s FROM ug WINDOW w AS (PARTITION BY user_id, genre ORDER BY event_us {PRIOR})),
-g AS MATERIALIZED (SELECT event_id, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s FROM x GROUP BY event_id)
+, a AS (SELECT event_id, user_id, item_id, event_us, sum(rating) OVER w / nullif(count(*) OVER w, 0) AS um FROM re WINDOW w AS (PARTITION BY user_id ORDER BY event_us {PRIOR})),
+x AS (SELECT re.event_id, count(*) OVER w AS n, sum(rating) OVER w AS s FROM re JOIN br USING (item_id) WINDOW w AS (PARTITION BY user_id, genre ORDER BY event_us {PRIOR})),
+g AS (SELECT event_id, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s FROM x GROUP BY event_id)
 """
 
 
 @query(with_views("re br", _AFFINITY + """
-SELECT ue.event_id, user_id, item_id, event_us, coalesce(g.n, 0) AS user_genre_count, coalesce(g.s / nullif(g.n, 0), user_mean) AS user_genre_mean,
-  coalesce(g.s / nullif(g.n, 0), user_mean) - user_mean AS user_genre_delta
-FROM ue LEFT JOIN g ON ue.event_id = g.event_id"""))
+SELECT a.event_id, user_id, item_id, event_us, coalesce(g.n, 0) AS user_genre_count, coalesce(g.s / nullif(g.n, 0), um) AS user_genre_mean,
+  coalesce(g.s / nullif(g.n, 0), um) - um AS user_genre_delta
+FROM a LEFT JOIN g ON a.event_id = g.event_id"""))
 def user_group_affinity(spark, sf):
     e = views.events(spark, sf).drop("ts").join(views.catalog(spark, sf).select("item_id", "genres"), "item_id", "left")
     e = h.group_affinity(h.user_history(e))

@@ -124,7 +124,10 @@ def _thirds(e):
     return e.where(F.col("event_us") < a), e.where(f"event_us >= {a} AND (event_us < {b} OR event_us = {b} AND event_id % 2 = 0)"), e.where(f"event_us > {b} OR event_us = {b} AND event_id % 2 = 1")
 
 
-@query(with_views("re", "SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, min(event_us) AS first_us, max(event_us) AS last_us, '' AS broken FROM re").replace("AS rows", 'AS "rows"'))
+@query(with_views("re", """
+SELECT count(*) AS "rows", count(DISTINCT event_id) AS ids, min(event_us) AS first_us, max(event_us) AS last_us, '' AS broken, min(event_id) AS first_id, max(event_id) AS last_id,
+  count(event_id) - count(DISTINCT event_id) AS repeats, count(*) - count(event_id) AS without_id,
+  count(DISTINCT event_id) = count(*) AND min(event_id) = 1 AND max(event_id) = count(*) AS complete FROM re"""))
 def artifact_audit(spark, sf):
     from ..operators.artifacts import artifact_audit as audit
     from ..plans.features import feature_table
@@ -139,3 +142,12 @@ def artifact_difference(spark, sf):
 
     e = views.events(spark, sf)
     return table_difference(e.where("rating < 4"), e.where("rating >= 2"))
+
+
+@query(with_views("re", "SELECT count(*) FILTER (rating < 2) AS only_a, count(*) FILTER (rating >= 4) AS only_b, CAST(0 AS BIGINT) AS repeats_a, count(*) FILTER (rating = 3) AS repeats_b FROM re"))
+def artifact_id_difference(spark, sf):
+    """The ids of all events but the best, and those of all but the worst with some twice, as bitmaps."""
+    from ..operators.artifacts import id_difference
+
+    e = views.events(spark, sf)
+    return id_difference(e.where("rating < 4"), e.where("rating >= 2").unionByName(e.where("rating = 3")))

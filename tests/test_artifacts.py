@@ -38,7 +38,7 @@ def test_artifact_audit(spark, tmp_path):
     path = f"file://{tmp_path}/f"
     materialize(events, catalog, None, path, 17)
     table = spark.read.parquet(path)
-    assert tuple(artifacts.artifact_audit(table, contract(17)).first()) == (19, 19, 81, 99, "")
+    assert tuple(artifacts.artifact_audit(table, contract(17)).first()) == (19, 19, 81, 99, "", 1, 19, 0, 0, True)
     assert all(r["falls"] == 0 for r in artifacts.unsorted_files(table).collect())
     assert tuple(artifacts.table_difference(table, table.where("event_id > 2").unionByName(table.where("event_id = 3"))).first()) == (2, 1)
     null = table.selectExpr("* EXCEPT (user_mean)", "CAST(NULL AS FLOAT) AS user_mean")
@@ -101,3 +101,30 @@ def test_allowed_columns(spark):
         allow_columns(df, ["a", "y"], {"y"})
     with pytest.raises(ValueError, match="missing"):
         allow_columns(df, ["a", "z"], {"y"})
+
+
+def test_ids_as_bitmaps(spark):
+    a = spark.createDataFrame([(k,) for k in (1, 2, 2, 32_768, 32_769, 70_000, None)], "event_id long")
+    b = spark.createDataFrame([(k,) for k in (2, 3, 32_769, 32_769, 32_769, 10**12)], "event_id long")
+    assert tuple(artifacts.id_difference(a, b).first()) == (3, 2, 1, 2)
+    assert tuple(artifacts.id_difference(a, a.limit(0)).first()) == (5, 0, 1, 0)
+    assert tuple(artifacts.id_difference(a.limit(0), a.limit(0)).first()) == (0, 0, 0, 0)
+    audit = lambda ids: artifacts.artifact_audit(spark.createDataFrame([(i, 5) for i in ids], "event_id long, event_us long"), ()).first()[5:]
+    assert audit([3, 1, 2]) == (1, 3, 0, 0, True)
+    assert audit([1, 2, 2]) == (1, 2, 1, 0, False) and audit([2, 3]) == (2, 3, 0, 0, False) and audit([1, None]) == (1, 1, 0, 1, False)
+    assert audit([]) == (None, None, 0, 0, True)
+
+
+def test_files_of_partitioned_tables(spark, tmp_path):
+    """Files of two folders share a name; each is sorted. Files that fall, or that overlap in a folder, are found."""
+    rows = spark.range(1000).selectExpr("id AS event_us", "id AS event_id", "id % 2 AS part")
+    path = f"file://{tmp_path}/p"
+    rows.coalesce(1).write.partitionBy("part").parquet(path)
+    table = spark.read.parquet(path)
+    assert [r["falls"] for r in artifacts.unsorted_files(table).collect()] == [0, 0]
+    assert artifacts.overlapping_files(table).isEmpty()
+    for some in ("event_us < 600", "event_us >= 400"):
+        rows.where(some).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/o")
+    assert artifacts.overlapping_files(spark.read.parquet(f"file://{tmp_path}/o")).count() == 1
+    rows.orderBy("event_us").repartition(1).sortWithinPartitions((F.col("event_us") % 10)).write.parquet(f"file://{tmp_path}/f")
+    assert artifacts.unsorted_files(spark.read.parquet(f"file://{tmp_path}/f")).first()["falls"] == 9
