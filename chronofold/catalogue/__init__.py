@@ -38,4 +38,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def load() -> None:
-    from . import asof, entities, evaluation, exploration, history, state  # noqa: F401
+    from . import asof, entities, evaluation, exploration, history, moments, state  # noqa: F401

@@ -66,3 +66,8 @@ def check_window_us(window_us: object) -> int:
     if window_us <= 0:
         raise ValueError("a window is longer than zero")
     return int(window_us)
+
+
+def check_column(df, column: str) -> None:
+    if column not in df.columns:
+        raise ValueError(f"no column {column}")
