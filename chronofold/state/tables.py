@@ -145,9 +145,13 @@ def _before(*key: str, upto: int = -1):
     return W.partitionBy(*key).orderBy("event_us").rangeBetween(W.unboundedPreceding, upto)
 
 
-def suffix_features(state: State, events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Features of the 22 columns that need no vectors, for the events from the state's cutoff on, in double precision."""
-    if not state.windows:
+def suffix_features(state: State, events: DataFrame, catalog: DataFrame, windows: bool = True) -> DataFrame:
+    """Features of the 22 columns that need no vectors, for the events from the state's cutoff on, in double precision.
+
+    Without ``windows`` those of rolling windows are NULL; only so can a state that was made without them be used. A user
+    whose last time isn't known has no recency before the first event here.
+    """
+    if windows and not state.windows:
         raise ValueError("the state was made without windows")
     zero = F.lit(0.0)
     e = events.where(F.col("event_us") >= state.cutoff_us).select("event_id", "user_id", "item_id", "rating", "event_us")
@@ -164,12 +168,15 @@ def suffix_features(state: State, events: DataFrame, catalog: DataFrame) -> Data
         k = F.col("item_count") - F.col(f"__n_{name}")
         more |= {f"item_count_{name}": k, f"item_mean_{name}": safe_ratio(F.col("__s") - F.col(f"__s_{name}"), k.cast("double"))}
     e = window_ratios(e.withColumns(more)).drop("__new", *new.keys() - {"item_count"})
+    if not windows:
+        kinds = dict(e.dtypes)
+        e = e.withColumns({c: F.lit(None).cast(kinds[c]) for c in ("item_count_30d", "item_mean_30d", "item_count_60d", "item_mean_60d", "item_mean_ratio", "item_count_ratio")})
 
     e = e.join(catalog.select("item_id", "release_year", "genres"), "item_id", "left")
     e = _with_state(e, state.user)
     w = _before("user_id")
     e = e.withColumns({
-        "user_count": F.coalesce(F.sum("n").over(w), F.lit(0)), "__s": F.coalesce(F.sum("s").over(w), zero), "__ss": F.coalesce(F.sum("ss").over(w), zero), "__last": F.max("event_us").over(w),
+        "user_count": F.coalesce(F.sum("n").over(w), F.lit(0)), "__s": F.coalesce(F.sum("s").over(w), zero), "__ss": F.coalesce(F.sum("ss").over(w), zero), "__last": F.nullif(F.max("event_us").over(w), F.lit(OLD)),
     }).where("__new")
     n = F.col("user_count").cast("double")
     e = e.withColumns({
