@@ -198,19 +198,34 @@ def row_digest(columns: list[str]) -> Column:
 GROUPS = 4096
 
 
-def identity(df: DataFrame, columns: list[str] | None = None) -> str:
-    """A digest of the bag of rows: the same for any order and partitioning, another if a row changes, goes or repeats.
+SUMS = ("n", *[f"s{k}" for k in range(8)])
+
+
+def digest_sums(df: DataFrame, columns: list[str] | None = None, by: Column | None = None) -> DataFrame:
+    """(bucket, n, s0 to s7): for each value of ``by`` whole numbers that stand for the bag of its rows.
 
     Each row's digest gives eight numbers of 32 bits, which are summed by group and then over the groups: one pass with a
-    partial aggregate, without a sort.
+    partial aggregate, without a sort. They add up: what all buckets have together is what their rows have.
     """
     columns = sorted(columns or df.columns)
-    d = df.select(row_digest(columns).alias("d")).select(*[F.xxhash64(F.lit(k), "d").alias(f"h{k}") for k in range(4)])
+    bucket = (F.lit(0) if by is None else by).cast("long").alias("bucket")
+    d = df.select(bucket, row_digest(columns).alias("d")).select("bucket", *[F.xxhash64(F.lit(k), "d").alias(f"h{k}") for k in range(4)])
     halves = [x for k in range(4) for x in (F.shiftrightunsigned(f"h{k}", 32), F.col(f"h{k}").bitwiseAND(F.lit(2**32 - 1)))]
-    g = d.groupBy(F.pmod("h0", F.lit(GROUPS)).alias("g")).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{k}") for k, x in enumerate(halves)])
+    g = d.groupBy("bucket", F.pmod("h0", F.lit(GROUPS)).alias("g")).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{k}") for k, x in enumerate(halves)])
+    return g.groupBy("bucket").agg(*[F.sum(F.col(c).cast("decimal(28,0)")).cast("decimal(38,0)").alias(c) for c in SUMS])
+
+
+def identity_of(sums: DataFrame, columns: list[str]) -> str:
+    """The digest of the rows of all buckets of ``digest_sums``."""
     zero = F.lit(0).cast("decimal(38,0)")
-    sums = [F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")).cast("decimal(38,0)"), zero).cast("string") for c in ("n", *[f"s{k}" for k in range(8)])]
-    return g.agg(F.sha2(F.concat_ws("|", F.lit(",".join(columns)), *sums), 256)).first()[0]
+    total = [F.coalesce(F.sum(c).cast("decimal(38,0)"), zero).cast("string") for c in SUMS]
+    return sums.agg(F.sha2(F.concat_ws("|", F.lit(",".join(sorted(columns))), *total), 256)).first()[0]
+
+
+def identity(df: DataFrame, columns: list[str] | None = None) -> str:
+    """A digest of the bag of rows: the same for any order and partitioning, another if a row changes, goes or repeats."""
+    columns = sorted(columns or df.columns)
+    return identity_of(digest_sums(df, columns), columns)
 
 
 def _digests(batches):

@@ -190,3 +190,27 @@ def test_stream_commits_gains_and_compacts(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, stream.features().select(*names).collect())) == want
     wholes = [json.loads(stream.files.read(f"{stream.root}/commits/{v}/commit.json"))["whole"] for v in stream.versions()]
     assert wholes == [0, 0, 2, 2, 4]
+
+
+def test_a_changed_event_is_named_by_its_stretch_and_checkpoints_extend(spark, catalog, tmp_path):
+    rows = data(11, 60)
+    e = spark.createDataFrame(rows, EVENTS)
+    first, second, once = (f"file://{tmp_path}/{n}" for n in ("first", "second", "once"))
+    cp.checkpoint(e, catalog, 31 * DAY_US, first)
+    cp.extend(e, catalog, first, 61 * DAY_US, second)
+    cp.checkpoint(e, catalog, 61 * DAY_US, once)
+    a, b = (cp.load(spark, p)[1] for p in (second, once))
+    assert a == b
+    digests = [sorted(map(tuple, cp.digests_of(spark, p).collect())) for p in (second, once)]
+    assert digests[0] == digests[1] and len(digests[0]) >= 3
+    names = [*NAMES]
+    got = cp.replay(cp.resume(e, catalog, second), e, catalog)[0]
+    assert take(got.select(*names)) == [r for r in take(blocks(e, catalog)) if r[0] in {x[0] for x in rows if x[4] >= 61 * DAY_US}]
+    changed = next(r for r in rows if 30 * DAY_US < r[4] < 60 * DAY_US)
+    other = e.withColumn("rating", F.when(F.col("event_id") == changed[0], 5.5 - F.col("rating")).otherwise(F.col("rating")))
+    with pytest.raises(ValueError, match=f"from {changed[4] // cp.BUCKET_US * cp.BUCKET_US}"):
+        cp.resume(other, catalog, second)
+    cp.resume(e.where(F.col("event_us") < 61 * DAY_US), catalog, second)  # later events may change
+    for bad in (lambda: cp.extend(e, catalog, second, DAY_US, f"{first}-x"), lambda: cp.extend(e, catalog.where("item_id > 1"), first, 61 * DAY_US, f"{first}-y")):
+        with pytest.raises(ValueError):
+            bad()
