@@ -9,7 +9,9 @@ from .. import views
 from ..functions.scalars import quarter_label
 from ..operators import evaluate as ev
 from ..operators import explore as ex
+from ..views import with_views
 from . import query, rounded
+from .history import _BASE
 
 _S = """s AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, least(greatest(l_discount * 10, 0.01), 0.99) AS p,
@@ -208,3 +210,23 @@ def model_scores(spark, sf):
     from ..model.train import fit_and_evaluate
 
     return rounded(fit_and_evaluate(spark, sf))
+
+
+_MARGIN = """-0.5 + CASE WHEN (b.event_us - ul) / CAST(1e6 AS DOUBLE) < 20000000 THEN 0.4 WHEN b.n < 20 THEN -0.3 ELSE 0.2 END
+  + CASE WHEN CAST(um AS FLOAT) < 2.75 THEN -0.1 ELSE 0.25 END + CASE WHEN release_year IS NULL OR release_year < 1990 THEN 0.05 ELSE -0.05 END"""
+
+
+@query(with_views("re yr br", _BASE + f"SELECT b.event_id, round(1 / (1 + exp(-({_MARGIN}))), 9) AS p FROM b LEFT JOIN yr ON b.item_id = yr.item_id"))
+def fixed_trees_scores(spark, sf):
+    """Scores of three fixed trees over the feature table; missing values go right in the first, left in the last."""
+    from ..model.boosting import Boosted, Tree, score
+    from ..plans.features import feature_table
+    from ..schemas import contract
+
+    features = contract(17)
+    at = {f.name: k for k, f in enumerate(features)}
+    stump = lambda name, cut, null_left, a, b: Tree([at[name], -1, -1], [cut, 0.0, 0.0], [0] * 3, [null_left, True, True], [1, 1, 2], [2, 1, 2], [0.0, a, b], [0.0] * 3)
+    first = Tree([at["user_recency_s"], -1, at["item_count"], -1, -1], [2e7, 0.0, 20.0, 0.0, 0.0], [0] * 5, [False, True, True, True, True], [1, 1, 3, 3, 4], [2, 1, 4, 3, 4], [0.0, 0.4, 0.0, -0.3, 0.2], [0.0] * 5)
+    model = Boosted([f.name for f in features], -0.5, [first, stump("user_mean", 2.75, True, -0.1, 0.25), stump("item_year", 1990.0, True, 0.05, -0.05)], [])
+    table = feature_table(views.events(spark, sf), views.catalog(spark, sf), version=17)
+    return score(model, table, features, ["event_id"]).select("event_id", F.round("p", 9).alias("p"))
