@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm
 from ..session import reach_workers
+from ..sources.publish import stored
 from .buckets import bucketed
 
 # The rating from which an item is liked; similarities and tags averaged; tags needed.
@@ -244,9 +245,12 @@ def preference_history(events: DataFrame, vectors: DataFrame, hot: DataFrame | N
     rows = known.join(base)
     if not cut:
         return rows.repartition("user_id").sortWithinPartitions("user_id", "event_us").mapInArrow(run, _SCHEMA)
+    # stored, as several branches read them, and so that the plan of one is not part of the plan of all
+    rows = stored(rows, "rows-of-users")
     some = rows.where("__last IS NOT NULL")
+    handed = stored(_sums_before(some, read), "sums-before"), stored(_near_before(some, known, read), "near-before")
     rows = rows.drop("__last").withColumn("__kind", F.lit(2))
-    for more in (_sums_before(some, read).withColumn("__kind", F.lit(0)), known.join(_near_before(some, known, read)).withColumn("__kind", F.lit(1))):
+    for more in (handed[0].withColumn("__kind", F.lit(0)), known.join(handed[1]).withColumn("__kind", F.lit(1))):
         rows = rows.unionByName(more, allowMissingColumns=True)
     rows = rows.withColumns({"item_id": F.coalesce("item_id", F.lit(-1).cast("long")), "event_us": F.coalesce("event_us", F.lit(0).cast("long")), "rating": F.coalesce("rating", F.lit(0.0))})
     return rows.repartition("user_id", "__b").sortWithinPartitions("user_id", "__b", "__kind", "event_us").mapInArrow(run, _SCHEMA)
