@@ -140,10 +140,11 @@ class _Vectors:
         count, length = have.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
         self.shared, self.have = None, have
         if count * length <= BROADCAST:
-            rows = have.toPandas()
-            order = np.argsort(rows["item_id"].to_numpy())
-            matrix = np.stack(rows["vector"].map(np.asarray)).astype(np.float32)[order] if count else np.zeros((0, 1), np.float32)
-            self.shared = spark.sparkContext.broadcast((rows["item_id"].to_numpy()[order], matrix))
+            rows = have.toArrow()  # no row becomes an object of its own
+            ids = rows.column("item_id").to_numpy()
+            order = np.argsort(ids)
+            matrix = rows.column("vector").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(count, -1)[order] if count else np.zeros((0, 1), np.float32)
+            self.shared = spark.sparkContext.broadcast((ids[order], matrix))
 
     def join(self, rows: DataFrame) -> DataFrame:
         """The rows whose item has a vector, and the vector where it isn't broadcast."""
