@@ -1,17 +1,17 @@
-"""Phrase collocations: count-min sketches pick what may be frequent, a second pass counts that exactly.
+"""Phrase collocations: sums of hashes pick what may be frequent, a second pass counts that exactly.
 
-First pass: each task counts the hashes of its phrases of one to ``LONGEST`` words in a sketch of ``DEPTH`` rows. A row is cut
-into blocks; those of all tasks are added up by (row, block), with counts that stop at the threshold. A sketch never counts too little,
-so a phrase whose cells reach the threshold in every row may be frequent and no other can be; what is kept of the sketch is a
-bit a cell. Second pass: the texts are read again, and only phrases that survive are counted, as words and not as hashes, in a bounded dictionary a
-task and then by grouping. Nothing frequent is lost and nothing rare is left, whatever the sketch.
+First pass: each task turns the hashes of its phrases of one to ``LONGEST`` words into cells of one row, sorts a bounded run of them and
+hands on each cell once, with its count, by block of the row; those of all runs are added up by block. Such a row never counts too little,
+so a phrase whose cell reaches the threshold may be frequent and no other can be; what is kept of it is a filter of the cells that do.
+Second pass: the texts are read again, and only phrases that survive are counted, as words and not as hashes, in a bounded dictionary a
+task, which hands on what is rarer when it is full, and then by grouping. Nothing frequent is lost and nothing rare is left, whatever the filter.
 
 Then each candidate is scored at its weakest cut, in whole numbers of up to 38 digits, and candidates that stand inside a longer one as often
 as alone are dropped, each by joins with the counts.
 
-A row has about a cell for ``SPARE`` bytes of text, 2^``NARROWEST`` at least and 2^``WIDEST`` at most, so that a task's sketch stays at 128 MB and the
-bits that go to all tasks at 4 MB. Where a text table is so large that cells fill up by chance (over some 2 billion phrases at the threshold of 100), more
-phrases survive and the second pass counts and shuffles them too: the result is the same.
+The row has a cell for 2 to 4 bytes of text, 2^``NARROWEST`` at least, so that it is as sparse for large texts as for small ones: some three
+phrases a cell. No task has all of it: a run is ``RUN`` phrases, a block 2^``BLOCK`` cells. What is shuffled are cells that are there, about two bytes
+for each distinct phrase of a run; what goes to all tasks are ``BITS`` bits in each of ``DEPTH`` rows for a cell that survives. Both grow with the texts.
 
 Defined results: a NULL text has no words, a NULL language is ``und``; repeated ids and rows count each time; a language without candidates has no row;
 no rows give no rows. Columns beside text and lang aren't read.
@@ -30,10 +30,14 @@ from pyspark.sql import functions as F
 from .common import join_counted, ship, slices, small_enough, store, table
 
 LEAST, LONGEST, PERCENT, TOP = 100, 5, 100, 2_000
-#: Rows of a sketch; bytes of text for a cell of a row; the narrowest and the widest row and a block of it, as powers of two.
-DEPTH, SPARE, NARROWEST, WIDEST, BLOCK = 2, 32, 16, 24, 16
-#: Phrases that a task holds before it hands on their counts; bytes of text whose phrases are a bucket of them, at most.
-HELD, SHARE = 1 << 18, 1 << 20
+#: Bytes of text for a cell; the narrowest and the widest row and a block of it, as powers of two; phrases of a run.
+SPARE, NARROWEST, WIDEST, BLOCK, RUN = 4, 16, 48, 22, 1 << 23
+#: Rows of the filter, and the bits of a row for a cell in it.
+DEPTH, BITS = 2, 32
+#: Phrases that a task holds before it hands on the counts of the rarer ones; bytes of text whose phrases are a bucket of them, at most.
+HELD, SHARE = 1 << 19, 1 << 20
+#: Bytes of text for a partition of what is shuffled.
+PARTITION = 64 << 20
 #: Parts of a language that are ranked before all of it; buckets at least.
 PARTS = 64
 BROADCAST = 100_000
@@ -97,59 +101,123 @@ def _texts(batches):
         yield Texts(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
 
 
+def _filtered(cell: np.ndarray, row: int, size: int) -> np.ndarray:
+    """The bits of mixed cells in a row of a filter of ``size`` bits."""
+    return ((cell >> np.uint64(32 * row) & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(gaps: np.ndarray, counts: np.ndarray) -> bytes:
+    """Whole numbers and their counts, byte by byte of them: the first bytes are noise, the others compress."""
+    import pyarrow as pa
+
+    planes = gaps.view(np.uint8).reshape(len(gaps), -1).T.tobytes()
+    return pa.compress(planes + counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, wide: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.decompress(data, n * (wide + np.dtype(kind).itemsize), codec="zstd", asbytes=True), np.uint8)
+    gaps = np.ascontiguousarray(raw[: n * wide].reshape(wide, n).T).reshape(-1).view(f"<u{wide}")
+    return np.cumsum(gaps, dtype=np.int64), raw[n * wide :].view(kind)
+
+
 def _sketch(width: int, least: int, longest: int):
-    """Of each task, the blocks of its sketch that aren't empty, counts up to ``least``."""
+    """Of each run, by block the cells that its phrases fill: gaps between them and counts up to ``least``."""
+    kind, step = np.min_scalar_type(least), min(width, 1 << BLOCK)
 
-    def run(batches):
+    def rows(held: list[np.ndarray]):
         import pyarrow as pa
 
-        rows = np.zeros((DEPTH, width), dtype=np.uint32)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        counts = np.minimum(np.diff(np.append(first, len(every))), least).astype(kind)
+        every = every[first].astype(np.int64)
+        block = every // step
+        out, starts = [], np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for i, j in zip(starts, np.append(starts[1:], len(every)), strict=True):
+            gaps = np.diff(every[i:j], prepend=block[i] * step)
+            wide = 2 if gaps.max() < 1 << 16 else 4
+            out.append((block[i], j - i, wide, _pack(gaps.astype(f"<u{wide}"), counts[i:j])))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["b", "n", "wide", "data"])
+
+    def run(batches):
+        held, n = [], 0
         for some in _texts(batches):
             for _, _, h in some.hashes(longest):
-                for r in range(DEPTH):
-                    np.add.at(rows[r], cells(h, r, width), np.uint32(1))
-        step = min(width, 1 << BLOCK)
-        for r in range(DEPTH):
-            for b in range(width // step):
-                part = rows[r, b * step : (b + 1) * step]
-                if part.any():
-                    data = zlib.compress(np.minimum(part, least).astype(np.min_scalar_type(least)).tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], names=["r", "b", "data"])
+                held.append(cells(h, 0, width).astype(np.uint32 if width <= 1 << 32 else np.uint64))
+                n += len(h)
+            if n >= RUN:
+                yield rows(held)
+                n = 0
+        if n:
+            yield rows(held)
 
     return run
 
 
-def _merge(least: int):
-    """Adds up blocks; gives a bit a cell that reaches ``least``."""
+def _merge(width: int, least: int):
+    """Adds up blocks, sorted by their number; gives the cells that reach ``least``. One block is held at a time."""
+    kind, step = np.min_scalar_type(least), min(width, 1 << BLOCK)
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[tuple[int, int], np.ndarray] = {}
+        now, total = None, np.zeros(step, dtype=np.uint32)
+
+        def found():
+            some = np.flatnonzero(total >= least) + now * step
+            total[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int64()), pa.array([some.astype("<u8").tobytes()], pa.binary())], names=["n", "cells"])
+
         for batch in batches:
-            for r, b, data in zip(*(batch.column(c).to_pylist() for c in ("r", "b", "data")), strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.min_scalar_type(least))
-                got = held.get((r, b))
-                held[r, b] = part if got is None else np.minimum(got.astype(np.uint32) + part, least).astype(part.dtype)
-        for (r, b), part in held.items():
-            bits = np.packbits(part >= least, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([bits], pa.binary())], names=["r", "b", "data"])
+            for b, n, wide, data in zip(*(batch.column(c).to_pylist() for c in ("b", "n", "wide", "data")), strict=True):
+                if b != now:
+                    if now is not None:
+                        yield found()
+                    now = b
+                at, counts = _unpack(data, n, wide, kind)
+                total[at] += counts
+        if now is not None:
+            yield found()
 
     return run
 
 
-def survivors(texts: DataFrame, width: int, least: int = LEAST, longest: int = LONGEST) -> np.ndarray:
-    """(text, lang) to the bits of the cells, a row a row of the sketch, that all texts together fill to ``least``."""
-    kind = "r int, b int, data binary"
-    merged = store(texts.mapInArrow(_sketch(width, least, longest), kind).repartition("r", "b").mapInArrow(_merge(least), kind), "sketch")
-    bits, step = np.zeros((DEPTH, width // 8), dtype=np.uint8), min(width, 1 << BLOCK) // 8
-    for r, b, data in merged.toLocalIterator():  # width * DEPTH / 8 bytes at most
-        bits[r, b * step : (b + 1) * step] = np.frombuffer(data, np.uint8)
-    return bits
+def _dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` by ``key``, over more partitions than the session has where texts of ``size`` bytes ask for it."""
+    n = int(size // PARTITION)
+    return rows.repartition(n, key) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
+
 
+def survivors(texts: DataFrame, width: int, least: int = LEAST, longest: int = LONGEST) -> tuple[np.ndarray, int]:
+    """(text, lang) to a filter of the cells that all texts together fill to ``least``, and the bits of a row of it."""
+    blocks = texts.mapInArrow(_sketch(width, least, longest), "b int, n int, wide int, data binary")
+    blocks = _dealt(blocks, "b", width * SPARE).sortWithinPartitions("b")
+    merged = store(blocks.mapInArrow(_merge(width, least), "n long, cells binary"), "cells")
+    size = max(64, BITS * (merged.agg(F.sum("n")).first()[0] or 0))
+    bits = np.zeros((DEPTH, -(-size // 8)), dtype=np.uint8)
+    for row in merged.select("cells").where("n > 0").toLocalIterator():
+        cell = _mix(np.frombuffer(row[0], "<u8"))
+        for r in range(DEPTH):
+            at = _filtered(cell, r, size)
+            np.bitwise_or.at(bits[r], at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return bits, size
 
-def _count(bits, longest: int, width: int, buckets: int):
-    """Exact counts of the phrases whose cells are all set, a row a bucket with some of them; the number of words as that of
+
+def _rarer(counts: dict[str, Counter]) -> dict[str, dict[bytes, int]]:
+    """Takes out of ``counts`` the half of its phrases that are rarest, or more."""
+    limit = np.median(np.fromiter((n for of in counts.values() for n in of.values()), np.int64))
+    rare = {lang: {p: n for p, n in of.items() if n <= limit} for lang, of in counts.items()}
+    for lang, of in rare.items():
+        counts[lang] = Counter({p: n for p, n in counts[lang].items() if n > limit})
+    return rare
+
+
+def _count(bits, longest: int, width: int, size: int, buckets: int):
+    """Exact counts of the phrases whose cells are in the filter, a row a bucket with some of them; the number of words as that of
     the empty phrase. A key is the phrase, a tab, which no phrase has, and the language."""
 
     def rows(counts: dict[str, Counter]):
@@ -178,19 +246,19 @@ def _count(bits, longest: int, width: int, buckets: int):
                 # a phrase is there no more often than the two that are a word shorter
                 keep = alive[place] & alive[place + (k > 1)]
                 place, h = place[keep], h[keep]
+                cell = _mix(cells(h, 0, width).astype(np.uint64))
                 for r in range(DEPTH):
-                    at = cells(h, r, width)
+                    at = _filtered(cell, r, size)
                     keep = (table[r, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                    place, h = place[keep], h[keep]
+                    place, cell = place[keep], cell[keep]
                 alive = np.zeros(some.n + 1, dtype=bool)
                 alive[place] = True
                 lang = some.lang[place]
                 for i in np.unique(lang).tolist():
                     counts.setdefault(some.langs[i], Counter()).update(some.phrases(place[lang == i], k))
             if sum(map(len, counts.values())) >= HELD:
-                yield rows(counts)
-                counts = {}
-        if counts:
+                yield rows(_rarer(counts))
+        if any(counts.values()):
             yield rows(counts)
 
     return run
@@ -222,17 +290,23 @@ def _total(least: int):
     return run
 
 
+def row_width(size: int, widest: int = WIDEST) -> int:
+    """Cells for texts of ``size`` bytes."""
+    return 1 << min(widest, max(NARROWEST, int(size // SPARE).bit_length()))
+
+
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, widest: int = WIDEST) -> tuple[DataFrame, DataFrame]:
     """(text, lang) to (lang, k, phrase, c) of all phrases of up to ``longest`` words that are there ``least`` times, and (lang, n) of all words."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = 1 << min(widest, max(NARROWEST, int(size // SPARE).bit_length()))
-    bits = spark.sparkContext.broadcast(survivors(texts, width, least, longest))
+    width = row_width(size, widest)
+    bits, bits_a_row = survivors(texts, width, least, longest)
+    bits = spark.sparkContext.broadcast(bits)
     buckets = max(PARTS, int(size // SHARE))
-    counted = texts.mapInArrow(_count(bits, longest, width, buckets), "bucket int, keys array<binary>, counts array<long>")
-    counted = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total(least), "lang string, k int, phrase string, c long")
+    counted = texts.mapInArrow(_count(bits, longest, width, bits_a_row, buckets), "bucket int, keys array<binary>, counts array<long>")
+    counted = _dealt(counted, "bucket", size).sortWithinPartitions("bucket").mapInArrow(_total(least), "lang string, k int, phrase string, c long")
     counted = store(counted, "frequent")
     return counted.where("k > 0"), counted.where("k = 0").select("lang", F.col("c").alias("n"))
 

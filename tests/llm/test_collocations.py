@@ -68,6 +68,32 @@ def test_a_crowded_sketch_loses_and_adds_nothing(spark, monkeypatch):
     assert run(spark, rows, 6, widest=4) == want  # 16 cells: all of them are full
 
 
+def test_many_runs_and_blocks(spark, monkeypatch):
+    rows = sample(5, 80)
+    for name, value in (("RUN", 50), ("BLOCK", 6), ("HELD", 40)):
+        monkeypatch.setattr(collocations, name, value)
+    for least in (6, 300):  # counts of a byte, and of more
+        assert run(spark, rows, least) == plain(rows, least)
+
+
+def test_rare_phrases_do_not_survive_in_large_texts(spark):
+    """Cells come with the texts, without a widest row: past 2^24 cells all of them filled up, and every phrase was counted and shuffled."""
+    assert collocations.row_width(10 << 30) >= (10 << 30) // collocations.SPARE
+    assert collocations.row_width(80 << 30) == 8 * collocations.row_width(10 << 30)
+    rows = [(" ".join(f"r{i}x{k}" for k in range(2000)) + " often" * 10, "en") for i in range(20)]
+    texts = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    width = 1 << 34  # of some 50 GB
+    bits, size = collocations.survivors(texts, width, 100)
+    some = collocations.Texts(*map(list, zip(*rows, strict=True)))
+    kept = 0
+    for _, _, h in some.hashes(1):
+        cell = collocations._mix(collocations.cells(h, 0, width).astype(np.uint64))
+        at = [collocations._filtered(cell, r, size) for r in range(2)]
+        hit = np.logical_and.reduce([(bits[r, at[r] >> 3] >> (at[r] & 7).astype(np.uint8) & 1).astype(bool) for r in range(2)])
+        kept += int(hit.sum())
+    assert 200 <= kept < 200 + 40_000 // 50
+
+
 def test_first_of_each_language_and_ties(spark):
     rows = [(i, ". ".join(f"a{k} b{k}" for k in range(40)), lang) for i, lang in enumerate(["en"] * 7 + ["de"] * 6)]
     assert run(spark, rows, 6, top=5) == plain(rows, 6, top=5)
