@@ -75,3 +75,47 @@ def test_late_rows_of_one_batch_and_no_rows(spark, catalog, tmp_path):  # noqa:
     stream, folder = stream_of(spark, tmp_path, catalog)
     write(spark, [], folder)
     stream.run(folder)
+
+
+class Calls:
+    """A state handle that counts its round trips."""
+
+    def __init__(self):
+        self.n, self.values = 0, {}
+
+    def getValueState(self, name, schema):
+        return Held(self, name)
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.n += 1
+
+
+class Held:
+    def __init__(self, calls, name):
+        self.calls, self.name = calls, name
+
+    def get(self):
+        self.calls.n += 1
+        return self.calls.values.get(self.name)
+
+    def update(self, value):
+        self.calls.n += 1
+        self.calls.values[self.name] = value
+
+    put = update
+
+
+def test_round_trips_of_a_key_do_not_grow_with_its_rows_and_groups():
+    """Each group of a user was written by a call of its own, and every value was asked for twice."""
+    from chronofold.streaming.keyed import ItemState, UserState
+
+    for processor, most in ((UserState(), 2), (ItemState(), 5)):
+        calls = Calls()
+        processor.init(calls)
+        for first in (0, 100):
+            before = calls.n
+            rows = [{"event_id": first + k, "event_us": (first + k) * DAY_US // 50, "rating": 1.0, "genres": [f"g{k}", f"g{k + 1}"]} for k in range(50)]
+            assert len(list(processor.handleInputRows((7,), iter(rows), None))) == 50
+            assert calls.n - before <= most
