@@ -12,40 +12,43 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalars import check_column
 from ..session import reach_workers
 from .buckets import bucketed, hot_keys
 from .history import prior
 
-#: Bits of a limb: 2^39 rows of a group don't overflow a long. Limbs of a number: 53 bits lie on four places at most.
-BITS, LIMBS = 24, 5
-#: Places that tiny numbers are taken up by.
-UP = 8
+#: Bits of a limb: 2^39 rows of a group don't overflow a long. Limbs of a number: 53 bits, up to 23 places higher.
+BITS, LIMBS = 24, 4
 
 
-def with_limbs(df: DataFrame, x) -> DataFrame:
-    """Adds __limbs, structs (place, limb) that add up to a finite double: limb * 2^(BITS * place)."""
-    # tiny numbers are taken up by whole places, so that none of theirs lies below what a double can be
-    tiny = F.abs(x) < 2.0**-700
-    df = df.withColumns({"__up": F.when(tiny, F.lit(UP)).otherwise(F.lit(0)), "__sign": F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)), "__abs": F.abs(x) * F.when(tiny, F.lit(2.0 ** (BITS * UP))).otherwise(F.lit(1.0))})
-    # a place of the leading limb that is high enough, whatever log2 rounds to
-    top = F.when(F.col("__abs") == 0, F.lit(0)).otherwise(F.floor((F.floor(F.log2("__abs")) + 1) / BITS).cast("int"))
-    df = df.withColumn("__top", top)
+def limbs(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The places of finite doubles, and the limbs from there up: x is the sum of limb k * 2^(BITS * (place + k))."""
+    part, power = np.frexp(np.abs(x))
+    whole, mask = (part * 2.0**53).astype(np.int64), (1 << BITS) - 1
+    place, shift = np.divmod(power.astype(np.int64) - 53, BITS)
+    sign, carry, out = np.where(x < 0, -1, 1), np.zeros(len(x), np.int64), []
+    for k in range(LIMBS):
+        carry += (whole >> BITS * k & mask) << shift if k < 3 else 0
+        out.append(sign * (carry & mask))
+        carry >>= BITS
+    return place, out
 
-    def whole(k: int):
-        """The number cut off below the place of limb k, in units of that place; exact, as all are powers of two apart."""
-        scale = F.pow(F.lit(2.0), BITS * (F.col("__top") - k))
-        units = F.col("__abs") / scale
-        return F.when(units >= 2.0**53, units).otherwise(F.floor(units).cast("double"))
 
-    df = df.withColumns({f"__u{k}": whole(k) for k in range(LIMBS)})
-    limb = [F.col(f"__u{k}") - (F.col(f"__u{k - 1}") * 2.0**BITS if k else F.lit(0.0)) for k in range(LIMBS)]
-    structs = [F.struct((F.col("__top") - k - F.col("__up")).alias("place"), (F.col("__sign") * c).cast("long").alias("limb")) for k, c in enumerate(limb)]
-    return df.withColumn("__limbs", F.array(*structs))
+def _limbs_of(by: list[str]):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            place, found = limbs(b.column("__x").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in by], pa.array(place), *map(pa.array, found)], names=[*by, "__p", *[f"__l{k}" for k in range(LIMBS)]])
+
+    return run
 
 
 def nearest_double(places: list[int], sums: list[int]) -> float:
@@ -67,9 +70,11 @@ def exact_sums(df: DataFrame, by: list[str], column: str) -> DataFrame:
     x = F.col(column).cast("double")
     finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
     each = df.groupBy(*by).agg(F.count(x).alias("n"), F.sum(F.when(~finite, x)).alias("__odd"))
-    parts = with_limbs(df.where(x.isNotNull() & finite).select(*by, x.alias("__x")), F.col("__x")).select(*by, F.explode("__limbs").alias("__l")).where("__l.limb <> 0")
-    parts = parts.groupBy(*by, F.col("__l.place").alias("__p")).agg(F.sum("__l.limb").alias("__s"))
-    parts = parts.groupBy(*by).agg(F.collect_list(F.struct("__p", "__s")).alias("__parts"))  # a hundred places at most
+    finite_x = df.where(x.isNotNull() & finite & (x != 0)).select(*by, x.alias("__x"))
+    schema = StructType([*[StructField(f.name, f.dataType) for f in df.select(*by).schema], *[StructField(c, LongType()) for c in ("__p", *[f"__l{k}" for k in range(LIMBS)])]])
+    parts = finite_x.mapInArrow(_limbs_of(by), schema).groupBy(*by, "__p").agg(*[F.sum(f"__l{k}").alias(f"__s{k}") for k in range(LIMBS)])
+    parts = parts.select(*by, F.explode(F.array(*[F.struct((F.col("__p") + k).alias("__p"), F.col(f"__s{k}").alias("__s")) for k in range(LIMBS)])).alias("__l")).select(*by, "__l.*")
+    parts = parts.groupBy(*by).agg(F.collect_list(F.struct("__p", "__s")).alias("__parts"))  # some hundred at most
 
     @F.udf("double")
     def total(rows):

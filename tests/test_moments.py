@@ -62,3 +62,17 @@ def test_prior_moments(spark, hot):
             assert got[i]["prior_std"] == pytest.approx(statistics.pstdev([v - 1e9 for v in past]), abs=1e-6)
         else:
             assert got[i]["prior_mean"] is None and got[i]["prior_std"] is None
+
+
+def test_limbs_are_the_double_itself():
+    """Cut by whole numbers of a batch, not by nested expressions a row, which took most of a minute on 600,000 rows."""
+    from fractions import Fraction
+
+    import numpy as np
+
+    r = random.Random(4)
+    x = np.array([0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, 2.0**53 - 1, -1.0, *[r.choice([-1, 1]) * math.ldexp(r.random(), r.randint(-1080, 1023)) for _ in range(2000)]])
+    place, found = moments.limbs(x)
+    for k, v in enumerate(x.tolist()):
+        assert all(abs(int(limb[k])) < 1 << moments.BITS for limb in found)
+        assert sum(int(limb[k]) * Fraction(2) ** (moments.BITS * (int(place[k]) + j)) for j, limb in enumerate(found)) == Fraction(v)
