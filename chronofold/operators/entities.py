@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import release_year
+from ..sources.publish import stored
 from .validate import NO_GENRE, check_references, duplicate_keys, genre_faults
 
 
@@ -40,7 +41,11 @@ def groups(bridge: DataFrame) -> DataFrame:
 
 
 def rating_events(events: DataFrame, known_users: DataFrame, known_items: DataFrame) -> DataFrame:
-    """Events with the target ``high`` (rating of 4 or more), after unique ids, domain and references are checked."""
+    """Events with the target ``high`` (rating of 4 or more), after unique ids, domain and references are checked.
+
+    The events are stored first: five jobs read them, and each would do anew what makes them.
+    """
+    events = stored(events, "events")
     bad = events.agg(
         F.count_if(F.col("event_id").isNull() | (F.col("event_id") < 1)).alias("ids"),
         F.count_if(~F.coalesce((F.col("rating") * 2).between(1, 10) & (F.col("rating") * 2 == F.floor(F.col("rating") * 2)), F.lit(False))).alias("ratings"),
