@@ -132,5 +132,9 @@ def status_faults(items: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equal schemas and equal bags of rows."""
-    return a.dtypes == b.dtypes and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """Equal schemas and equal bags of rows, which are counted once, those of ``b`` downwards."""
+    if a.dtypes != b.dtypes:
+        return False
+    names = [f"c{k}" for k in range(len(a.columns))]
+    rows = a.toDF(*names).withColumn("__n", F.lit(1)).union(b.toDF(*names).withColumn("__n", F.lit(-1)))
+    return rows.groupBy(*names).agg(F.sum("__n").alias("__n")).where("__n <> 0").isEmpty()

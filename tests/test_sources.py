@@ -199,3 +199,39 @@ def test_rating_event_checks(spark):
             e.rating_events(ok.withColumns(change), ids, ids)
     with pytest.raises(ValueError):
         e.rating_events(ok.unionByName(ok), ids, ids)
+
+
+def counted(spark, rows):
+    """``rows`` of (event_id, user_id, item_id, rating, ts), and how often one of them has been made so far."""
+    import pyarrow as pa  # noqa: F401
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    kind = "event_id long, user_id long, item_id long, rating double, ts string"
+    return spark.createDataFrame(rows, kind).coalesce(1).mapInArrow(count, kind), made
+
+
+def test_events_are_made_once_for_all_their_checks(spark):
+    from chronofold.operators.entities import rating_events
+
+    df, made = counted(spark, [(k, 1, 2, 4.0, "2000-01-01") for k in range(1, 11)])
+    out = rating_events(df, spark.createDataFrame([(1,)], "user_id long"), spark.createDataFrame([(2,)], "item_id long"))
+    assert out.where("high").count() == 10
+    assert made.value == 10
+
+
+def test_rows_are_compared_as_bags_in_one_pass(spark):
+    from chronofold.operators.validate import same_rows
+
+    row = lambda k, x=4.0: (k, 1, None, x, "a")
+    a, made = counted(spark, [row(1), row(1), row(2)])
+    plain = lambda rows: spark.createDataFrame(rows, a.schema)
+    assert same_rows(a, plain([row(2), row(1), row(1)]))
+    assert made.value == 3
+    for other in ([row(1), row(2), row(2)], [row(1), row(2)], [row(1), row(1), row(2), row(2)], [row(1), row(1), row(2, None)], []):
+        assert not same_rows(a, plain(other)) and not same_rows(plain(other), a)
