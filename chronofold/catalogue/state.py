@@ -81,13 +81,16 @@ def incremental_equals_full(spark, sf):
     e, c = _kept(spark, sf, scratch(spark)), views.catalog(spark, sf)
     full = blocks(e, c).where(F.col("event_us") >= CUT_US).select(*_columns())
     some = tables.suffix_features(tables.build(e, checkpoints.bridge_of(c), CUT_US), e, c).select(*_columns())
-    total = lambda c: F.sum(c).cast("long")
-    sums = some.agg(
-        F.count("*").alias("n"), total("user_count").alias("user_counts"), total("user_genre_count").alias("group_counts"), total("global_count").alias("global_counts"),
-        F.round(F.sum(F.col("item_mean").cast("double")), 3).alias("item_means"),
+    # both plans are run once: equal rows meet in one grouping, which has how many of them each plan gives
+    n = lambda a, b: {"__a": F.lit(a), "__b": F.lit(b)}
+    rows = full.withColumns(n(1, 0)).unionByName(some.withColumns(n(0, 1))).groupBy(*full.columns).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    zero, b = F.lit(0).cast("long"), F.col("__b")
+    total = lambda c: F.sum(F.when(b > 0, F.col(c) * b)).cast("long")
+    return rows.agg(
+        F.coalesce(F.sum(F.greatest(F.col("__a") - b, zero)), zero).alias("only_full"), F.coalesce(F.sum(F.greatest(b - F.col("__a"), zero)), zero).alias("only_incremental"),
+        F.coalesce(F.sum(b), zero).alias("n"), total("user_count").alias("user_counts"), total("user_genre_count").alias("group_counts"), total("global_count").alias("global_counts"),
+        F.round(F.sum(F.when(b > 0, F.col("item_mean").cast("double") * b)), 3).alias("item_means"),
     )
-    one = full.exceptAll(some).agg(F.count("*").alias("only_full")).crossJoin(some.exceptAll(full).agg(F.count("*").alias("only_incremental")))
-    return one.crossJoin(sums)  # a row each
 
 
 @query(with_views("re yr br", _BASE + f"SELECT {_COLUMNS17} {_JOINS}"))
