@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.predicates import allow_columns
@@ -62,6 +62,22 @@ class Tree:
         self.right.append(len(self.right))
         return len(self.left) - 1
 
+    def ends(self, columns, raw: bool = False) -> np.ndarray:
+        """The node that each row ends in, of ``columns`` of codes of bins, or of ``raw`` values with NaN: each column is compared whole, once a node."""
+        kind = np.min_scalar_type(len(self.left))
+
+        def below(k: int):
+            if (f := self.feature[k]) < 0:
+                return kind.type(k)
+            x, null = columns[f], self.null_left[k]
+            if raw:
+                low = ~(x >= self.cut[k]) if null else x < self.cut[k]
+            else:
+                low = x <= self.bin[k] + 1 if null else (x <= self.bin[k] + 1) & (x > 0)
+            return np.where(low, below(self.left[k]), below(self.right[k]))
+
+        return np.broadcast_to(below(0), len(columns[0]))
+
     def leaves(self, x: np.ndarray, missing: np.ndarray, binned: bool) -> np.ndarray:
         """The node that each row of ``x`` ends in."""
         feature, at, null = np.array(self.feature), np.array(self.bin if binned else self.cut), np.array(self.null_left)
@@ -99,92 +115,113 @@ class Boosted:
         return out
 
 
-def _values(df: DataFrame, features: tuple[Feature, ...]) -> DataFrame:
+def _values(df: DataFrame, features: tuple[Feature, ...]) -> dict[str, Column]:
+    """The features in double precision, by the names that ``_columns`` reads."""
     allow_columns(df, [f.name for f in features], TARGETS)
     one = lambda f: F.col(f.name).cast("int").cast("double") if f.kind == "boolean" else F.col(f.name).cast("double")
-    return df.withColumn("__x", F.array(*[F.nanvl(one(f), F.lit(None).cast("double")) for f in features]))
+    return {f"__x{k}": F.nanvl(one(f), F.lit(None).cast("double")) for k, f in enumerate(features)}
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """A list column as a matrix, and where it is NULL."""
-    flat = column.flatten()
-    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return x, np.isnan(x)
+def _columns(batch, count: int) -> list[np.ndarray]:
+    """The features of a batch, NaN where they are missing."""
+    return [batch.column(f"__x{k}").to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for k in range(count)]
 
 
-def _binned(cuts: list[np.ndarray]):
+def _binned(cuts: list[np.ndarray], kind: np.dtype):
+    """Rows whose bins are one value, so that a pass reads bytes and no lists: a feature's code is its bin plus 1, or 0 where it is missing."""
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                x, missing = _matrix(b.column("__x"))
-                bins = np.stack([np.searchsorted(c, x[:, k], side="right") for k, c in enumerate(cuts)], axis=1)
-                bins[missing] = -1
-                flat = pa.ListArray.from_arrays(np.arange(0, bins.size + 1, bins.shape[1], dtype=np.int32), pa.array(bins.reshape(-1).astype(np.int16)))
+                codes = np.empty((b.num_rows, len(cuts)), dtype=kind)
+                for k, (c, x) in enumerate(zip(cuts, _columns(b, len(cuts)), strict=True)):
+                    codes[:, k] = np.where(np.isnan(x), 0, np.searchsorted(c, x, side="right") + 1)
+                ends = np.arange(0, codes.nbytes + 1, codes.nbytes // len(codes), dtype=np.int32)
+                flat = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])
                 yield pa.RecordBatch.from_arrays([flat, b.column("y"), b.column("held"), b.column("margin")], names=["bins", "y", "held", "margin"])
 
     return run
 
 
-_ROWS = "bins array<short>, y int, held boolean, margin double"
+_ROWS = "bins binary, y int, held boolean, margin double"
+
 
+def _codes(batch, kind: np.dtype) -> np.ndarray:
+    """The codes of a batch, rows by features, as they lie in it."""
+    column = batch.column("bins")
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
 
-def _margins(batch, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
-    bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    margin = batch.column("margin").to_numpy().copy()
+
+def _margins(start: np.ndarray, columns, trees: list[Tree], raw: bool = False) -> np.ndarray:
+    margin = start.copy()
     for t in trees:
-        margin += np.array(t.value)[t.leaves(bins, bins < 0, True)]
-    return bins, margin
+        margin += np.array(t.value)[t.ends(columns, raw)]
+    return margin
 
 
-def _refreshed(trees: list[Tree]):
+def _refreshed(trees: list[Tree], kind: np.dtype):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("y"), b.column("held"), pa.array(_margins(b, trees)[1])], names=["bins", "y", "held", "margin"])
+                margin = _margins(b.column("margin").to_numpy(), np.ascontiguousarray(_codes(b, kind).T), trees)
+                yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("y"), b.column("held"), pa.array(margin)], names=["bins", "y", "held", "margin"])
 
     return run
 
 
-def _histograms(trees: list[Tree], tree: Tree, wanted: list[int], width: int, share: float, seed: int):
-    """(node, feature, bin, g, h, n) of ``wanted`` nodes, bin -1 for missing values; node -1 has the held-out loss and rows."""
+def _histograms(trees: list[Tree], tree: Tree, wanted: list[int], width: int, share: float, seed: int, kind: np.dtype):
+    """(node, feature, bin, g, h, n) of ``wanted`` nodes, bin -1 for missing values; if 0 is one of them, node -1 has the held-out loss and rows.
+
+    The trees so far are applied to the rows that are counted and no others.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         sums, loss, held_n = None, 0.0, 0
-        place = {k: i for i, k in enumerate(wanted)}
+        place = np.full(len(tree.left), -1)
+        place[wanted] = np.arange(len(wanted))
         for b in batches:
             if not b.num_rows:
                 continue
-            bins, margin = _margins(b, trees)
-            p = 1 / (1 + np.exp(-margin))
-            y, held = b.column("y").to_numpy().astype(np.float64), b.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            q = np.clip(p, _EPSILON, 1 - _EPSILON)
-            loss -= float((y * np.log(q) + (1 - y) * np.log(1 - q))[held].sum())
-            held_n += int(held.sum())
-            node = tree.leaves(bins, bins < 0, True)
-            at = np.array([place.get(k, -1) for k in range(len(tree.left))])[node]
-            use = ~held & (at >= 0)
+            codes, start, y = _codes(b, kind), b.column("margin").to_numpy(), b.column("y").to_numpy().astype(np.float64)
+            held = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            f = codes.shape[1]
+            if sums is None:
+                sums = np.zeros((3, len(wanted), f, width + 1))
+            if place[0] >= 0 and held.any():
+                out = np.flatnonzero(held)
+                q = np.clip(1 / (1 + np.exp(-_margins(start[out], np.ascontiguousarray(codes[out].T), trees))), _EPSILON, 1 - _EPSILON)
+                loss -= float((y[out] * np.log(q) + (1 - y[out]) * np.log(1 - q)).sum())
+                held_n += len(out)
+            at = place[tree.ends(codes.T)]
+            use = np.flatnonzero(~held & (at >= 0))
+            codes = codes[use]
             if share < 1:  # a row's own hash, so that a task that runs again takes the same rows
-                mark = (bins.astype(np.uint64) * (np.arange(1, bins.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * seed + 1))).sum(axis=1, dtype=np.uint64)
+                bins = codes.astype(np.float64) - 1  # sums of small whole numbers are exact
+                plain, by_place = (bins.sum(axis=1).astype(np.int64).astype(np.uint64), (bins @ np.arange(1.0, f + 1)).astype(np.int64).astype(np.uint64))
+                mark = by_place * np.uint64(0x9E3779B97F4A7C15) + plain * np.uint64(2 * seed + 1)
                 mark ^= mark >> np.uint64(31)
-                use &= (mark * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)).astype(np.float64) / 2.0**53 < share
-            f = bins.shape[1]
-            if sums is None:
-                sums = np.zeros((3, len(wanted) * f * (width + 1)))
-            cell = ((at[use, None] * f + np.arange(f)) * (width + 1) + bins[use] + 1).reshape(-1)
-            for k, w in enumerate((p - y, p * (1 - p), np.ones_like(p))):
-                sums[k] += np.bincount(cell, weights=np.repeat(w[use], f), minlength=sums.shape[1])
+                some = (mark * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)).astype(np.float64) / 2.0**53 < share
+                use, codes = use[some], codes[some]
+            columns = np.ascontiguousarray(codes.T)
+            p = 1 / (1 + np.exp(-_margins(start[use], columns, trees)))
+            g, h, first = p - y[use], p * (1 - p), at[use] * (width + 1)
+            for k, codes_k in enumerate(columns):
+                cell = first + codes_k
+                for s, w in zip(sums, (g, h, None), strict=True):
+                    s[:, k] += np.bincount(cell, weights=w, minlength=len(wanted) * (width + 1)).reshape(len(wanted), width + 1)
         if sums is not None:
-            some = np.flatnonzero(sums[2])
-            f = sums.shape[1] // (width + 1) // len(wanted)
-            node, rest = np.divmod(some, f * (width + 1))
-            cols = [np.append(np.array(wanted)[node], -1), np.append(rest // (width + 1), -1), np.append(rest % (width + 1) - 1, -1), np.append(sums[0][some], loss), np.append(sums[1][some], 0.0), np.append(sums[2][some], held_n)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in cols[:3]], *[pa.array(c.astype(np.float64)) for c in cols[3:]]], names=["node", "feature", "bin", "g", "h", "n"])
+            node, feature, code = np.nonzero(sums[2])
+            cols, found = [np.array(wanted)[node], feature, code - 1], [s[node, feature, code] for s in sums]
+            if place[0] >= 0:
+                cols, found = [np.append(c, -1) for c in cols], [np.append(s, v) for s, v in zip(found, (loss, 0.0, held_n), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in cols], *[pa.array(s) for s in found]], names=["node", "feature", "bin", "g", "h", "n"])
 
     return run
 
@@ -214,10 +251,11 @@ def fit(df: DataFrame, features: tuple[Feature, ...], held: str | None = None, p
     """``df`` has the features and ``y``, 0 or 1; ``held`` names a boolean column of rows that are held out and stop the trees."""
     p = replace(params or Params(), **more)
     reach_workers(df.sparkSession)
-    x = _values(df, features).select("__x", F.col("y").cast("int").alias("y"), (F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)).alias("held")).where("y IS NOT NULL")
+    values = _values(df, features)
+    x = df.select(*[c.alias(k) for k, c in values.items()], F.col("y").cast("int").alias("y"), (F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)).alias("held")).where("y IS NOT NULL")
     train = x.where("NOT held")
     points = F.array(*[F.lit(k / p.bins) for k in range(1, p.bins)])
-    found = train.agg(F.avg("y").alias("mean"), *[F.percentile_approx(F.col("__x")[k], points, F.lit(20 * p.bins)).alias(f"c{k}") for k in range(len(features))]).first()
+    found = train.agg(F.avg("y").alias("mean"), *[F.percentile_approx(f"__x{k}", points, F.lit(20 * p.bins)).alias(f"c{k}") for k in range(len(features))]).first()
     names = [f.name for f in features]
     if found["mean"] is None:
         return Boosted(names, 0.0, [], [])
@@ -225,11 +263,12 @@ def fit(df: DataFrame, features: tuple[Feature, ...], held: str | None = None, p
     base = float(np.log(mean / (1 - mean)))
     cuts = [np.unique(np.array(found[f"c{k}"] or [], dtype=np.float64)) for k in range(len(features))]
     width = max(map(len, cuts)) + 1
-    rows = stored(x.withColumn("margin", F.lit(base)).mapInArrow(_binned(cuts), _ROWS), "binned")
+    kind = np.min_scalar_type(width)
+    rows = stored(x.withColumn("margin", F.lit(base)).mapInArrow(_binned(cuts, kind), _ROWS), "binned")
     rng, model, done = np.random.RandomState(p.seed), Boosted(names, base, [], []), 0
 
     def sums(tree: Tree, wanted: list[int], number: int) -> dict[int, np.ndarray]:
-        got = rows.mapInArrow(_histograms(model.trees[done:], tree, wanted, width, p.subsample, p.seed + number), "node int, feature int, bin int, g double, h double, n double")
+        got = rows.mapInArrow(_histograms(model.trees[done:], tree, wanted, width, p.subsample, p.seed + number, kind), "node int, feature int, bin int, g double, h double, n double")
         out = {k: np.zeros((len(features), width + 1, 3)) for k in wanted}
         for r in got.groupBy("node", "feature", "bin").agg(F.sum("g"), F.sum("h"), F.sum("n")).collect():
             if r[0] >= 0:
@@ -240,7 +279,7 @@ def fit(df: DataFrame, features: tuple[Feature, ...], held: str | None = None, p
 
     for number in range(p.trees):
         if number - done == REFRESH:
-            rows = stored(rows.mapInArrow(_refreshed(model.trees[done:]), _ROWS), "margins")
+            rows = stored(rows.mapInArrow(_refreshed(model.trees[done:], kind), _ROWS), "margins")
             done = number
         tree, open_ = Tree(), {}
         open_ = sums(tree, [0], number)
@@ -279,7 +318,7 @@ def score(model: Boosted, df: DataFrame, features: tuple[Feature, ...], keep: li
     reach_workers(df.sparkSession)
     if [f.name for f in features] != model.names:
         raise ValueError("the model has other features")
-    rows = _values(df, features).select(*keep, "__x")
+    rows = df.select(*keep, *[c.alias(k) for k, c in _values(df, features).items()])
     base, trees = model.base, model.trees
 
     def run(batches):
@@ -287,10 +326,7 @@ def score(model: Boosted, df: DataFrame, features: tuple[Feature, ...], keep: li
 
         for b in batches:
             if b.num_rows:
-                x, missing = _matrix(b.column("__x"))
-                margin = np.full(len(x), base)
-                for t in trees:
-                    margin += np.array(t.value)[t.leaves(x, missing, False)]
+                margin = _margins(np.full(b.num_rows, base), _columns(b, len(features)), trees, raw=True)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(1 / (1 + np.exp(-margin)))], names=[*keep, "p"])
 
     kinds = dict(rows.dtypes)

@@ -125,3 +125,39 @@ def test_loss_is_no_worse_than_with_flags(spark):
     old = train.fit(df, FEATURES, "gbt", trees=10, depth=3, stop="held")
     of = lambda scored: metrics(scored).first()["log_loss"]
     assert of(boosting.score(new, test, FEATURES, ["y"])) <= of(train.score(old, test, FEATURES, ["y"]))
+
+
+def test_a_pass_applies_trees_to_the_rows_it_counts():
+    """Against plain sums, and with how many rows the trees so far are applied to: half of them are in other nodes."""
+    import pyarrow as pa
+
+    class Counted(boosting.Tree):
+        rows = 0
+
+        def ends(self, columns, raw=False):
+            Counted.rows += len(columns[0])
+            return super().ends(columns, raw)
+
+    r = np.random.RandomState(1)
+    x = np.where(r.rand(400, 2) < 0.1, np.nan, r.randint(0, 8, (400, 2)))
+    y, held = r.randint(0, 2, 400).astype(np.int32), r.rand(400) < 0.25
+    cuts = [np.arange(1.0, 8.0)] * 2
+    old = Counted([0, -1, -1], [3.0, 0.0, 0.0], [2, 0, 0], [True] * 3, [1, 1, 2], [2, 1, 2], [0.0, 0.5, -0.25], [0.0] * 3)
+    tree = boosting.Tree([1, -1, -1], [4.0, 0.0, 0.0], [3, 0, 0], [False, True, True], [1, 1, 2], [2, 1, 2], [0.0] * 3, [0.0] * 3)
+    raw = pa.RecordBatch.from_pydict({"__x0": pa.array(x[:, 0], from_pandas=True), "__x1": pa.array(x[:, 1], from_pandas=True), "y": y, "held": held, "margin": np.full(400, 0.1)})
+    kind = np.min_scalar_type(8)
+    (binned,) = boosting._binned(cuts, kind)(iter([raw]))
+    assert binned.column("bins")[0].as_py() == bytes(0 if np.isnan(v) else int(v) + 1 for v in x[0])
+    found = {}
+    for b in boosting._histograms([old], tree, [1], 8, 1.0, 0, kind)(iter([binned.slice(0, 150), binned.slice(150)])):
+        found |= {tuple(v[:3]): v[3:] for v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    here = ~held & (x[:, 1] < 4)
+    assert Counted.rows == here.sum()
+    assert (tree.ends(list(x.T), True) == tree.leaves(x, np.isnan(x), False)).all() and (old.ends(list(x.T), True) == old.leaves(x, np.isnan(x), False)).all()
+    p = 1 / (1 + np.exp(-(0.1 + np.where(np.isnan(x[:, 0]) | (x[:, 0] < 3), 0.5, -0.25))))
+    for k in range(2):
+        for code in range(-1, 8):
+            rows = here & (np.isnan(x[:, k]) if code < 0 else x[:, k] == code)
+            if rows.any():
+                assert found.pop((1, k, code)) == pytest.approx([(p - y)[rows].sum(), (p * (1 - p))[rows].sum(), rows.sum()])
+    assert not found
