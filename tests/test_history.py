@@ -305,13 +305,21 @@ def test_hot_events_go_the_way_of_all_others(spark):
 
 
 def test_wide_rows_are_shuffled_once(spark):
-    """What comes by timestamp, by event or by item is joined to narrow rows or broadcast; the others of an event's rows by genre have nothing but keys."""
-    from chronofold.operators.history import one_of
-
+    """What comes by timestamp is broadcast, and the rows of genres are grouped without a sort."""
     e = spark.createDataFrame([(k, k % 3, k % 4, 0.5 + k % 9 / 2, k * DAY_US) for k in range(1, 40)], EVENTS)
     c = spark.createDataFrame([(k, 1990, ["a", "b"][: k % 3]) for k in range(4)], "item_id long, release_year int, genres array<string>")
     scores = spark.createDataFrame([(i, t, (i + t) % 7 / 7) for i in range(4) for t in range(12)], "item_id long, tag_id int, relevance float")
     plan = blocks(e, c, scores)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning(event_us" not in plan
-    x = one_of(e.join(c, "item_id"), ["user_id", "event_id"], ["rating", "event_us"], "genres", "g").where("event_id = 2").collect()
-    assert sorted((r["g"], r["__rest"] is None) for r in x) == [("a", False), ("b", True)]
+    assert "Exchange hashpartitioning(event_us" not in plan and "SortAggregate(key=[user_id" not in plan
+
+
+def test_tasks_of_a_pass_by_user_grow_in_number(spark):
+    from chronofold.operators import buckets
+
+    df = spark.range(100).selectExpr("id AS user_id")
+    buckets.TASK, held = 10, buckets.TASK
+    try:
+        assert buckets.spread(df, 100, "user_id").rdd.getNumPartitions() == 10
+        assert buckets.spread(df, 30, "user_id") is df
+    finally:
+        buckets.TASK = held
