@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
+from ..operators.buckets import spread
 from ..operators.predicates import allow_columns, check_splits, split_label
 from ..schemas import Feature, contract
 
@@ -51,7 +52,9 @@ def fit(train: DataFrame, features: tuple[Feature, ...], kind: str = "gbt", seed
         learner = LogisticRegression(labelCol="y", featuresCol="features", regParam=1e-4, maxIter=50)
     else:
         raise ValueError(f"no learner {kind}")
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(df.select(*kept))
+    # learners hold a task's rows unpacked, many times what they have in a file
+    rows = spread(df.select(*kept), train.count(), *names)
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(rows)
 
 
 def score(model, df: DataFrame, features: tuple[Feature, ...], keep: list[str]) -> DataFrame:
