@@ -17,12 +17,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_US, age_years, pop_std, safe_ratio
-from ..operators.history import global_history, window_ratios
+from ..operators import buckets
+from ..operators.history import at_times, global_times, window_ratios
+from ..plans.features import genre_codes
 
 KEEP_US = 60 * DAY_US
 #: The time of what is older than any window.
 OLD = -(2**60)
 NAMES = ("user", "item", "group")
+#: Kinds of rows that meet in a shuffle: events, and rows of the state's tables.
+NEW, ITEM, USER, GROUP = range(4)
 #: Columns of the tables in a document, and rows of one at most.
 DOCUMENTS = {
     "user": "user_id long, event_us long, n long, s double, ss double", "item": "item_id long, event_us long, n long, s double, ss double",
@@ -137,14 +141,18 @@ def from_document(spark: SparkSession, document: dict) -> State:
     return state
 
 
-def _with_state(events: DataFrame, rows: DataFrame) -> DataFrame:
-    return events.withColumn("__new", F.lit(True)).unionByName(rows.withColumn("__new", F.lit(False)), allowMissingColumns=True)
-
-
 def _before(*key: str, upto: int = -1):
     return W.partitionBy(*key).orderBy("event_us").rangeBetween(W.unboundedPreceding, upto)
 
 
+def _met(state: State, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of the state's tables, of the keys of ``events`` alone where these are few, so that a small batch shuffles no whole state."""
+    if events.limit(buckets.BROADCAST + 1).count() > buckets.BROADCAST:
+        return state.user, state.item, state.group
+    of = lambda rows, key: rows.join(F.broadcast(events.select(F.col(key).alias("__k")).distinct()), F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    return of(state.user, "user_id"), of(state.item, "item_id"), of(state.group, "user_id")
+
+
 def suffix_features(state: State, events: DataFrame, catalog: DataFrame, windows: bool = True) -> DataFrame:
     """Features of the 22 columns that need no vectors, for the events from the state's cutoff on, in double precision.
 
@@ -153,48 +161,64 @@ def suffix_features(state: State, events: DataFrame, catalog: DataFrame, windows
     """
     if windows and not state.windows:
         raise ValueError("the state was made without windows")
-    zero = F.lit(0.0)
+    zero, mine, rating = F.lit(0.0), F.col("__kind") == NEW, F.col("rating")
     e = events.where(F.col("event_us") >= state.cutoff_us).select("event_id", "user_id", "item_id", "rating", "event_us")
-    e = weighted(global_history(e, count=state.count, total=state.total))
-    e = _with_state(e, state.item)
+    times, few = global_times(e, count=state.count, total=state.total)
+    e = e if few else at_times(e, times)
+    # events and state rows are dealt by the key once; weights are made after that, and means only of the last rows
+    own = lambda new, c, none: F.when(mine, new).otherwise(F.coalesce(c, none))
+    kind = lambda df, k: df.withColumn("__kind", F.lit(k))
+    user, item, group = _met(state, e)
+    e = kind(e, NEW).unionByName(kind(item.select("item_id", "event_us", "n", "s", "ss"), ITEM), allowMissingColumns=True).repartition("item_id")
+    e = e.withColumns({"n": own(F.lit(1).cast("long"), "n", F.lit(0)), "s": own(rating, "s", zero), "ss": own(rating * rating, "ss", zero)})
     w, w30, w60 = _before("item_id"), _before("item_id", upto=-30 * DAY_US - 1), _before("item_id", upto=-60 * DAY_US - 1)
-    new = {"item_count": F.coalesce(F.sum("n").over(w), F.lit(0)), "__s": F.coalesce(F.sum("s").over(w), zero), "__ss": F.coalesce(F.sum("ss").over(w), zero)}
+    new = {"item_count": F.coalesce(F.sum("n").over(w), F.lit(0)), "__is": F.coalesce(F.sum("s").over(w), zero), "__iss": F.coalesce(F.sum("ss").over(w), zero)}
     for name, out in (("30d", w30), ("60d", w60)):
         new |= {f"__n_{name}": F.coalesce(F.sum("n").over(out), F.lit(0)), f"__s_{name}": F.coalesce(F.sum("s").over(out), zero)}
-    e = e.withColumns(new).where("__new")
-    n = F.col("item_count").cast("double")
-    more = {"item_mean": F.coalesce(safe_ratio(F.col("__s"), n), "global_mean"), "item_std": pop_std(n, F.col("__s"), F.col("__ss"))}
+    e = e.withColumns(new).where(mine).drop("n", "s", "ss")
+    of_items, code, genre = catalog.select("item_id", "release_year", "genres"), genre_codes(catalog), F.col("genre")
+    if code is not None:  # numbers are shuffled for genres; what no item has now meets no event
+        of_items, group, genre = of_items.withColumn("genres", F.transform("genres", code)), group.where(code(genre) > 0), code(genre)
+    e = e.join(of_items, "item_id", "left")
+
+    u = user.select("user_id", "event_us", "n", "s", "ss")
+    g = group.select("user_id", F.lit(OLD).alias("event_us"), F.array(genre).alias("genres"), "n", "s")
+    e = e.unionByName(kind(u, USER), allowMissingColumns=True).unionByName(kind(g, GROUP), allowMissingColumns=True).repartition("user_id")
+    w, theirs, n, s = _before("user_id"), F.col("__kind") == USER, F.col("n"), F.col("s")
+    e = e.withColumns({
+        "__un": F.when(mine, 1).when(theirs, n).otherwise(0), "__us": F.when(mine, rating).when(theirs, s).otherwise(0.0), "__uss": F.when(mine, rating * rating).when(theirs, F.col("ss")).otherwise(0.0),
+    })
+    e = e.withColumns({
+        "user_count": F.coalesce(F.sum("__un").over(w), F.lit(0)).cast("long"), "__us": F.coalesce(F.sum("__us").over(w), zero), "__uss": F.coalesce(F.sum("__uss").over(w), zero), "__last": F.nullif(F.max("event_us").over(w), F.lit(OLD)),
+    }).where(~theirs)
+
+    e = e.withColumns({"n": own(F.lit(1).cast("long"), "n", F.lit(0)), "s": own(rating, "s", zero), "item_genres": F.coalesce(F.size("genres"), F.lit(0))}).drop("__un", "ss")
+    others = [c for c in e.columns if c not in ("user_id", "event_id", "genres", "n", "s", "__kind")]
+    # plain columns alone, as an array would have each row of a genre sorted for the grouping
+    x = e.select("user_id", "event_id", *others, "n", "s", "__kind", F.explode_outer("genres").alias("genre"))
+    w = _before("user_id", "genre")
+    x = x.withColumns({"__gn": F.when(F.col("genre").isNotNull(), F.sum("n").over(w)), "__gs": F.when(F.col("genre").isNotNull(), F.sum("s").over(w))}).where(mine)
+    e = x.groupBy("user_id", "event_id").agg(*[F.first(c).alias(c) for c in others], F.coalesce(F.sum("__gn"), F.lit(0)).alias("user_genre_count"), F.sum("__gs").alias("__gs"))
+
+    e = at_times(e, times) if few else e
+    n, un = F.col("item_count").cast("double"), F.col("user_count").cast("double")
+    more = {"item_mean": F.coalesce(safe_ratio(F.col("__is"), n), "global_mean"), "item_std": pop_std(n, F.col("__is"), F.col("__iss"))}
     for name in ("30d", "60d"):
         k = F.col("item_count") - F.col(f"__n_{name}")
-        more |= {f"item_count_{name}": k, f"item_mean_{name}": safe_ratio(F.col("__s") - F.col(f"__s_{name}"), k.cast("double"))}
-    e = window_ratios(e.withColumns(more)).drop("__new", *new.keys() - {"item_count"})
+        more |= {f"item_count_{name}": k, f"item_mean_{name}": safe_ratio(F.col("__is") - F.col(f"__s_{name}"), k.cast("double"))}
+    more |= {
+        "user_mean": F.coalesce(safe_ratio(F.col("__us"), un), "global_mean"), "user_std": pop_std(un, F.col("__us"), F.col("__uss")), "user_recency_s": (F.col("event_us") - F.col("__last")) / F.lit(1e6),
+    }
+    e = window_ratios(e.withColumns(more))
     if not windows:
         kinds = dict(e.dtypes)
         e = e.withColumns({c: F.lit(None).cast(kinds[c]) for c in ("item_count_30d", "item_mean_30d", "item_count_60d", "item_mean_60d", "item_mean_ratio", "item_count_ratio")})
-
-    e = e.join(catalog.select("item_id", "release_year", "genres"), "item_id", "left")
-    e = _with_state(e, state.user)
-    w = _before("user_id")
-    e = e.withColumns({
-        "user_count": F.coalesce(F.sum("n").over(w), F.lit(0)), "__s": F.coalesce(F.sum("s").over(w), zero), "__ss": F.coalesce(F.sum("ss").over(w), zero), "__last": F.nullif(F.max("event_us").over(w), F.lit(OLD)),
-    }).where("__new")
-    n = F.col("user_count").cast("double")
-    e = e.withColumns({
-        "user_mean": F.coalesce(safe_ratio(F.col("__s"), n), "global_mean"), "user_std": pop_std(n, F.col("__s"), F.col("__ss")), "user_recency_s": (F.col("event_us") - F.col("__last")) / F.lit(1e6),
-    }).drop("__s", "__ss", "__last", "__new")
-
-    others = [c for c in e.columns if c not in ("user_id", "event_id")]
-    x = e.select("*", F.explode_outer("genres").alias("genre"))
-    x = _with_state(x, state.group)
-    w = _before("user_id", "genre")
-    x = x.withColumns({"__n": F.when(F.col("genre").isNotNull(), F.sum("n").over(w)), "__gs": F.when(F.col("genre").isNotNull(), F.sum("s").over(w))}).where("__new")
-    back = x.groupBy("user_id", "event_id").agg(*[F.first(c).alias(c) for c in others], F.coalesce(F.sum("__n"), F.lit(0)).alias("user_genre_count"), F.sum("__gs").alias("__gs"))
     mean = F.coalesce(safe_ratio(F.col("__gs"), F.col("user_genre_count").cast("double")), "user_mean")
-    out = back.withColumns({
-        "user_genre_mean": mean, "user_genre_delta": mean - F.col("user_mean"), "item_genres": F.coalesce(F.size("genres"), F.lit(0)), "item_year": F.col("release_year"),
-        "item_year_missing": F.col("release_year").isNull(), "item_age_years": age_years(F.col("event_us"), F.col("release_year")),
+    e = e.withColumns({
+        "user_genre_mean": mean, "user_genre_delta": mean - F.col("user_mean"), "item_year": F.col("release_year"), "item_year_missing": F.col("release_year").isNull(),
+        "item_age_years": age_years(F.col("event_us"), F.col("release_year")),
     })
-    return out.drop("__gs", "n", "s", "ss")
+    return e.drop(*[c for c in e.columns if c.startswith("__")])
 
 
 def conservation(state: State) -> DataFrame:

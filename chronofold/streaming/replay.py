@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.publish import Files, to_json, write_parquet
 from ..state.checkpoints import EVENT, bridge_of
-from ..state.tables import NAMES, OLD, State, advance, build, fold, suffix_features
+from ..state.tables import NAMES, OLD, State, advance, build, suffix_features
 
 #: Commits from one whole state to the next.
 COMPACT = 16
@@ -45,8 +45,9 @@ class StreamReplay:
             return build(empty, bridge_of(self.catalog), OLD), empty, -1
         side = json.loads(self.files.read(f"{self.root}/commits/{known[-1]}/commit.json"))
         since = [f"{self.root}/commits/{v}" for v in known[side["whole"] :]]
+        # rows of gains are left as they are: features and sums of states count weighted events, summed up or not
         tables = [self.spark.read.parquet(*[f"{p}/{n}" for p in since]) for n in NAMES]
-        state = State(side["cutoff_us"], side["count"], side["total"], *fold(*tables, side["cutoff_us"]))
+        state = State(side["cutoff_us"], side["count"], side["total"], *tables)
         return state, self.spark.read.schema(SCHEMA).parquet(f"{since[-1]}/held"), side["batch"]
 
     def _commit(self, state: State, closed: DataFrame, cutoff_us: int, held: DataFrame, batch: int) -> None:
@@ -87,7 +88,7 @@ class StreamReplay:
         self._commit(state, closed, cut, waiting.where(F.col("event_us") >= cut), batch)
 
     def _emit(self, state: State, closed: DataFrame, name: str) -> None:
-        write_parquet(suffix_features(state, closed, self.catalog), f"{self.root}/features/{name}", "overwrite")
+        write_parquet(suffix_features(state, closed, self.catalog), f"{self.root}/features/{name}", "overwrite", "zstd")
 
     def flush(self) -> None:
         """Closes the newest timestamp."""

@@ -214,3 +214,26 @@ def test_a_changed_event_is_named_by_its_stretch_and_checkpoints_extend(spark, c
     for bad in (lambda: cp.extend(e, catalog, second, DAY_US, f"{first}-x"), lambda: cp.extend(e, catalog.where("item_id > 1"), first, 61 * DAY_US, f"{first}-y")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_features_of_a_suffix_shuffle_events_by_item_and_by_user_alone(spark, catalog):
+    """Rows of genres stay in the task of their user, as do events on their way back to one row."""
+    e = spark.createDataFrame(data(7), EVENTS)
+    made = st.build(e, cp.bridge_of(catalog), 31 * DAY_US)
+    user, item, group = (spark.createDataFrame(getattr(made, n).collect(), getattr(made, n).schema) for n in st.NAMES)  # as read from a checkpoint
+    found = st.suffix_features(st.State(made.cutoff_us, made.count, made.total, user, item, group), e, catalog)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for key in ("genre", "event_id"):
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(user_id" in x and f"{key}#" in x], key
+
+
+def test_a_stream_shuffles_no_state_to_sum_up_gains(spark, catalog, tmp_path):
+    """What a load gives is the rows of the commits as they are."""
+    s = StreamReplay(spark, f"file://{tmp_path}/out", catalog)
+    rows = sorted(data(3), key=lambda r: r[4])
+    for k, part in enumerate((rows[:12], rows[12:24], rows[24:])):
+        s.process(spark.createDataFrame([r for r in part if not k or r[4] > rows[12 * k - 1][4]], EVENTS), k)
+    state, _, batch = s._load()
+    assert batch == 2 and state.count == sum(r["n"] for r in state.user.collect())
+    for n in st.NAMES:
+        assert "Exchange" not in getattr(state, n)._jdf.queryExecution().executedPlan().toString()
