@@ -235,3 +235,18 @@ def test_rows_are_compared_as_bags_in_one_pass(spark):
     assert made.value == 3
     for other in ([row(1), row(2), row(2)], [row(1), row(2)], [row(1), row(1), row(2), row(2)], [row(1), row(1), row(2, None)], []):
         assert not same_rows(a, plain(other)) and not same_rows(plain(other), a)
+
+
+def test_digest_sums_shuffle_few_rows_a_task(spark):
+    """A task hands on some hundred rows a bucket, not one for each row of its own."""
+    from chronofold.sources.publish import digest_sums
+
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s := stages.apply(k)).stageId(): s.shuffleWriteRecords() for k in range(stages.size())}
+
+    before = shuffled()
+    assert digest_sums(spark.range(0, 20_000, 1, 2).toDF("event_id")).first()["n"] == 20_000
+    assert max(n for k, n in shuffled().items() if k not in before) <= 600
