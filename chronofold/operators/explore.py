@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import safe_ratio
+from ..sources.publish import stored
 from .buckets import bucketed, hot_keys
 
 #: Parts that the values of a feature are cut into for exact quantiles; a power of two.
@@ -127,21 +129,30 @@ def drift_by_activity(drift: DataFrame) -> DataFrame:
 def rolling_rate(events: DataFrame, rows: int = 50, hot: int | None = None) -> DataFrame:
     """Mean high rate of the last ``rows`` events of a user, the current one included; NULL below max(10, rows / 5).
 
-    Of a hot user (``positions``), what lies up to ``rows`` - 1 places before a bucket begins is handed on to it.
+    Users with over ``hot`` events (``buckets.HOT``) are cut into buckets of time. A bucket gets the last ``rows`` - 1 values before it in one
+    row, so events are shuffled once by user and bucket. They are stored first, as they are read several times.
     """
-    e, spans = positions(events.select("user_id", "item_id", "event_id", "event_us", "rating"), hot)
-    e = e.select("user_id", "__b", "event_id", "k", F.col("rating"), F.lit(True).alias("own"))
-    if rows > 1:
-        # a row at k goes to later buckets that start in (k, k + rows - 1]; starts are met by stretches of ``rows`` places
-        later = spans.where("start > 0").select("user_id", F.col("__b").alias("to"), "start", F.floor(F.col("start") / rows).alias("stretch"))
-        tails = e.join(spans.select("user_id", "__b", "end", "n"), ["user_id", "__b"]).where((F.col("end") < F.col("n")) & (F.col("k") > F.col("end") - rows))
-        tails = tails.withColumn("stretch", F.explode(F.array(F.floor(F.col("k") / rows), F.floor(F.col("k") / rows) + 1)))
-        tails = tails.join(later, ["user_id", "stretch"]).where((F.col("start") > F.col("k")) & (F.col("start") < F.col("k") + rows))
-        e = e.unionByName(tails.select("user_id", F.col("to").alias("__b"), "event_id", "k", "rating", F.lit(False).alias("own")))
-    w = W.partitionBy("user_id", "__b").orderBy("k").rowsBetween(1 - rows, 0)
-    high = (F.col("rating") >= 4.0).cast("double")
-    rate = F.when(F.count("*").over(w) >= max(10, rows // 5), F.avg(high).over(w))
-    return e.withColumn("rate", rate).where("own").select("user_id", "event_id", "rate")
+    e = stored(events.select("user_id", "item_id", "event_id", "event_us", (F.col("rating") >= 4.0).alias("high")), "events")
+    users = hot_keys(e, "user_id", hot)
+    e = e.withColumn("__b", F.lit(0).cast("long")) if users is None else bucketed(e, "user_id", users).drop("__last")
+    e, by, order = e.repartition("user_id", "__b"), W.partitionBy("user_id", "__b"), ["event_us", "item_id", "event_id"]
+    before = None
+    if users is not None and rows > 1:
+        # from the latest on; as no bucket is empty, rows - 1 earlier ones have all that is asked for
+        last = e.withColumn("__d", F.row_number().over(by.orderBy(*[F.desc(c) for c in order]))).where(F.col("__d") < rows)
+        # keys as aggregates, lest the join's filter of NULL keys go below the shuffle, which then couldn't serve both sides
+        last = last.groupBy("user_id", "__b").agg(F.max("user_id").alias("__user"), F.max("__b").alias("__to"), F.sort_array(F.collect_list(F.struct("__d", "high"))).alias("__last"))
+        earlier = F.flatten(F.collect_list("__last").over(W.partitionBy("__user").orderBy(F.desc("__to")).rowsBetween(1, rows - 1)))
+        before = last.select(F.col("__user").alias("user_id"), F.col("__to").alias("__b"), F.transform(F.slice(earlier, 1, rows - 1), lambda x: x["high"]).alias("__before"))
+    w, k = by.orderBy(*order), F.col("__k")
+    e = e.withColumns({"__k": F.row_number().over(w), "__n": F.count("high").over(w.rowsBetween(1 - rows, 0)), "__s": F.coalesce(F.sum(F.col("high").cast("long")).over(w.rowsBetween(1 - rows, 0)), F.lit(0))})
+    all_, n, s = F.least(k, F.lit(rows)), F.col("__n"), F.col("__s")
+    if before is not None:
+        taken = F.slice(F.coalesce("__before", F.array().cast("array<boolean>")), F.lit(1), F.greatest(F.lit(rows) - k, F.lit(0)))
+        e = e.join(before, ["user_id", "__b"], "left").withColumn("__taken", taken)
+        all_, n, s = all_ + F.size("__taken"), n + F.size(F.filter("__taken", lambda x: x.isNotNull())), s + F.size(F.filter("__taken", lambda x: x))
+    rate = F.when(all_ >= max(10, rows // 5), safe_ratio(s.cast("double"), n.cast("double")))
+    return e.select("user_id", "event_id", rate.alias("rate"))
 
 
 def examples(drift: DataFrame, least: int = 20) -> DataFrame:

@@ -120,3 +120,10 @@ def test_quantile_edges_are_exact(spark):
     got = ev.quantile_edges(spark.createDataFrame([(v,) for v in x], "x double"), "x", 20)
     assert got == pytest.approx(sorted(set(np.quantile(x, [k / 20 for k in range(21)]).tolist())), abs=1e-12)
     assert ev.quantile_edges(spark.createDataFrame([], "x double"), "x", 4) == []
+
+
+def test_rolling_rate_reads_events_once_and_copies_none(spark):
+    """What is read several times is stored first; tails of buckets are a row a bucket, not events joined to the others."""
+    e = spark.createDataFrame([(k % 3, 1, k, 4.0, k) for k in range(200)], "user_id long, item_id long, event_id long, rating double, event_us long")
+    plan = ex.rolling_rate(e, 50, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Union" not in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
