@@ -119,3 +119,37 @@ def test_round_trips_of_a_key_do_not_grow_with_its_rows_and_groups():
             rows = [{"event_id": first + k, "event_us": (first + k) * DAY_US // 50, "rating": 1.0, "genres": [f"g{k}", f"g{k + 1}"]} for k in range(50)]
             assert len(list(processor.handleInputRows((7,), iter(rows), None))) == 50
             assert calls.n - before <= most
+
+
+def test_neighbouring_keys_share_the_calls_of_the_state():
+    """Each key had calls of its own, and each event a row of its own back: 64 items were 256 calls and 128 rows."""
+    import json
+
+    from chronofold.streaming.keyed import _ITEM, Grouped, ItemState, _fields
+
+    calls = Calls()
+    names = ["item_id", *[c for c, _ in _fields(_ITEM)]]
+    grouped = Grouped(ItemState(), names)
+    grouped.init(calls)
+    for first in (0, 2):
+        rows = [{"row": json.dumps({"id": k, "event_id": 64 * t + k, "event_us": t * DAY_US, "rating": 1.5})} for k in range(64) for t in (first, first + 1)]
+        before = calls.n
+        (out,) = grouped.handleInputRows((0,), iter(rows), None)
+        assert calls.n - before <= 3
+        found = json.loads(out["found"])
+        assert sorted(found["event_id"]) == list(range(64 * first, 64 * first + 128))
+        assert {(i, e) for i, e in zip(found["item_id"], found["event_id"], strict=True)} == {(e % 64, e) for e in found["event_id"]}
+        assert set(zip(found["event_us"], found["item_count"], found["n60"], strict=True)) == {(t * DAY_US, t, t) for t in (first, first + 1)}
+
+
+def test_items_that_share_a_state_and_negative_ids(spark, catalog, tmp_path):  # noqa: F811
+    """Timers of items of one group are at different times; keys below zero have groups too."""
+    stream, folder = stream_of(spark, tmp_path, catalog)
+    rows = [(k, 1 + k % 3, item, 1.0 + k % 4, day * DAY_US) for k, (item, day) in enumerate([(1, 0), (2, 3), (-1, 5), (70, 6), (1, 31), (2, 34), (-1, 40), (70, 64), (1, 66), (2, 80)])]
+    for part in (rows[:4], rows[4:7], rows[7:]):
+        write(spark, part, folder)
+        stream.run(folder)
+    assert take(stream.features()) == take(blocks(spark.createDataFrame(rows, EVENTS), catalog))
+    assert {r["key"]["item_id"] for r in stream.state("item", "sums").collect()} == {1, 2, -1, 70}
+    assert {(r["key"]["item_id"], r["list_element"]["t"] // DAY_US) for r in stream.state("item", "recent").collect()} == {(1, 31), (2, 34)}
+    assert {r["key"]["user_id"]: r["value"]["n"] + r["value"]["tn"] for r in stream.state("user", "sums").collect()} == {1: 4, 2: 3, 3: 3}
