@@ -12,8 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate
-from ..operators.buckets import spread
+from ..operators import buckets, evaluate
 from ..operators.predicates import allow_columns, check_splits, split_label
 from ..schemas import Feature, contract
 
@@ -53,8 +52,8 @@ def fit(train: DataFrame, features: tuple[Feature, ...], kind: str = "gbt", seed
     else:
         raise ValueError(f"no learner {kind}")
     # learners hold a task's rows unpacked, many times what they have in a file
-    rows = spread(df.select(*kept), train.count(), *names)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(rows)
+    with buckets.small_reads(train.sparkSession, train.count()):
+        return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(df.select(*kept))
 
 
 def score(model, df: DataFrame, features: tuple[Feature, ...], keep: list[str]) -> DataFrame:
@@ -108,7 +107,7 @@ def labelled(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     scores = views.scores(spark, sf_dir) if version > 17 else None
     y = (F.col("rating") >= 4.0).cast("int").alias("y")
     table = feature_table(views.events(spark, sf_dir), views.catalog(spark, sf_dir), scores, version, y)
-    return kept(table.withColumn("split", split_label(F.col("event_us"), SPLITS)), "labelled")
+    return kept(table.withColumn("split", split_label(F.col("event_us"), SPLITS)), "labelled", maxRecordsPerFile=buckets.TASK)
 
 
 def fit_trees(table: DataFrame, features: tuple[Feature, ...], trees: int = 5, depth: int = 3):

@@ -161,3 +161,29 @@ def test_a_pass_applies_trees_to_the_rows_it_counts():
             if rows.any():
                 assert found.pop((1, k, code)) == pytest.approx([(p - y)[rows].sum(), (p * (1 - p))[rows].sum(), rows.sum()])
     assert not found
+
+
+@pytest.mark.parametrize("kind", ["gbt", "logistic"])
+def test_learners_read_small_pieces_and_shuffle_no_rows(spark, tmp_path, kind):
+    """Rows were shuffled by all of their columns so that a task of a learner had few of them: 600 rows a shuffle, and three or one of these."""
+    from chronofold.model import train
+    from chronofold.operators import buckets
+
+    spark.createDataFrame(rows(5, 600), KIND).coalesce(1).write.option("maxRecordsPerFile", 50).parquet(f"{tmp_path}/t")
+    table, before, seen = spark.read.parquet(f"{tmp_path}/t"), buckets.TASK, []
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        buckets.TASK = 50
+        spark.sparkContext.setJobGroup(f"learn-{kind}", "")
+        train.fit(table, FEATURES, kind, trees=1, depth=2, stop="held" if kind == "gbt" else None)
+        for job in tracker.getJobIdsForGroup(f"learn-{kind}"):
+            seen += [s.numTasks for k in tracker.getJobInfo(job).stageIds if (s := tracker.getStageInfo(k))]
+    finally:
+        buckets.TASK = before
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(seen) == 12
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    x, names = train.matrix(table, FEATURES)
+    plan = x.select(*names)
+    with buckets.small_reads(spark, 12 * buckets.TASK):
+        assert plan.rdd.getNumPartitions() == 12 and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
