@@ -187,3 +187,12 @@ def test_learners_read_small_pieces_and_shuffle_no_rows(spark, tmp_path, kind):
     plan = x.select(*names)
     with buckets.small_reads(spark, 12 * buckets.TASK):
         assert plan.rdd.getNumPartitions() == 12 and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_read_scores_that_are_made_once(spark, sf):
+    """Each of the three readings of the scores read all features and applied the trees in Python."""
+    import __spark_entry__
+
+    out = __spark_entry__.queries()["boosted_trees_missing"](spark, sf)
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["split"] for r in out.collect()} == {"train", "validation", "test"}
