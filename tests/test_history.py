@@ -323,3 +323,15 @@ def test_tasks_of_a_pass_by_user_grow_in_number(spark):
         assert buckets.spread(df, 30, "user_id") is df
     finally:
         buckets.TASK = held
+
+
+def test_small_buckets_are_added_up_in_one_part(spark, monkeypatch):
+    """Buckets of a few rows were cut into eight parts, each a call of Python."""
+    from chronofold.operators import vectors
+
+    df = spark.createDataFrame([(1, k // 30, 2) for k in range(90)], "user_id long, __b long, __last long")
+    assert vectors._parts(df) == 1 and vectors._parts(df.limit(0)) == 1
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    assert vectors._parts(df) == 3
+    monkeypatch.setattr(vectors, "BLOCK", 1)
+    assert vectors._parts(df) == vectors.PARTS
